@@ -6,6 +6,7 @@ from tidemark.llm.chat import op7_chat
 from tidemark.llm.decontaminate import op1_decontaminate
 from tidemark.llm.pii import op9_pii
 from tidemark.llm.simhash import op8_simhash
+from tidemark.llm.syncmers import op4_syncmers
 from tidemark.llm.urls import op2_urls
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -14,6 +15,7 @@ _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_urls": op2_urls,
+    "op4_syncmers": op4_syncmers,
     "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
