@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tidemark.llm.chat import op7_chat
 from tidemark.llm.decontaminate import op1_decontaminate
+from tidemark.llm.html import op3_html
+from tidemark.llm.licenses import op10_licenses
 from tidemark.llm.pii import op9_pii
 from tidemark.llm.simhash import op8_simhash
 from tidemark.llm.syncmers import op4_syncmers
@@ -15,10 +17,12 @@ _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_urls": op2_urls,
+    "op3_html": op3_html,
     "op4_syncmers": op4_syncmers,
     "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES = {
