@@ -9,6 +9,7 @@ from tidemark.llm.licenses import op10_licenses
 from tidemark.llm.pii import op9_pii
 from tidemark.llm.simhash import op8_simhash
 from tidemark.llm.syncmers import op4_syncmers
+from tidemark.llm.toxicity import op5_toxicity
 from tidemark.llm.urls import op2_urls
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -19,6 +20,7 @@ QUERIES = {
     "op2_urls": op2_urls,
     "op3_html": op3_html,
     "op4_syncmers": op4_syncmers,
+    "op5_toxicity": op5_toxicity,
     "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
