@@ -1,13 +1,67 @@
-"""The corpus pipeline: toxicity, near duplicates, decontamination, personal data, mixture."""
+"""The corpus pipeline: toxicity, near duplicates, decontamination, personal data, mixture.
+
+run() gives the documents that every stage keeps, with their sanitised texts and their place in the mixture.
+No stage can be stated in SQL (a fitted field, SimHash groups, corpus statistics, hashed permutations), so there is no
+ORACLE_SQL; tests/llm holds run() against a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame
+
+from tidemark.llm.decontaminate import remove_contaminated
+from tidemark.llm.graph import shared_folder
+from tidemark.llm.mixture import mix
+from tidemark.llm.pii import sanitise
+from tidemark.llm.simhash import keep_one
+from tidemark.llm.toxicity import remove_toxic
+
+
+def toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field scores as toxic go."""
+    return remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies (shingles of five words, similarity of 0.8) stays."""
+    return keep_one(docs, words=5, similarity=0.8)
+
+
+def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten words in a row of a benchmark item go."""
+    return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data, and terms that reveal them, are generalised in the texts."""
+    return sanitise(docs)
+
+
+def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with how often and where it comes in the mix of sources."""
+    return mix(docs, max_repeats=4.0).select(*docs.columns, "mixture.*")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark, sf_dir: str) -> DataFrame:
+    """The stages, one after the other; what each keeps is written to the shared folder and read again."""
+    shared_folder(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs

@@ -6,6 +6,7 @@ from tidemark.llm.chat import op7_chat
 from tidemark.llm.decontaminate import op1_decontaminate
 from tidemark.llm.html import op3_html
 from tidemark.llm.licenses import op10_licenses
+from tidemark.llm.mixture import op6_mixture
 from tidemark.llm.pii import op9_pii
 from tidemark.llm.simhash import op8_simhash
 from tidemark.llm.syncmers import op4_syncmers
@@ -21,6 +22,7 @@ QUERIES = {
     "op3_html": op3_html,
     "op4_syncmers": op4_syncmers,
     "op5_toxicity": op5_toxicity,
+    "op6_mixture": op6_mixture,
     "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,

@@ -325,8 +325,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stand for their group: the one with the least doc_id. Of repeated rows one stays."""
-    groups = near_duplicates(docs, **options)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """The rows of docs that stand for their group: those with the least doc_id; of rows with the same doc_id one stays.
+
+    A null doc_id counts as the hash of its text, so such rows are grouped like others.
+    """
+    rows = docs.withColumn("row_id_", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    groups = near_duplicates(rows.select(F.col("row_id_").alias("doc_id"), "text"), **options)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("row_id_")).distinct()
+    return rows.join(kept, "row_id_", "left_semi").dropDuplicates(["row_id_"]).select(*(F.col(f"`{c}`") for c in docs.columns))
