@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.graph import shared_folder
+
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
 
@@ -76,7 +78,7 @@ def disclosing_terms(docs: DataFrame, *, near: int = 48, support: int = 20, thre
     stands (p(t)), in how many beside the kind (p(t, e)), in how many different surroundings. A term
     discloses if log2(p(t, e) / (p(t) p(e))) is at least `threshold` of the kind's information -log2 p(e),
     and it was seen in `support` different surroundings (copies of a document count once there). Words
-    are counted by partial aggregates; documents without a span only send counts of the candidates.
+    are counted by partial aggregates before anything is shuffled.
     """
     spans = docs.select("doc_id", "text").withColumn("spans", base_spans("text"))
     some = spans.filter("size(spans) > 0")
@@ -87,14 +89,14 @@ def disclosing_terms(docs: DataFrame, *, near: int = 48, support: int = 20, thre
             'left', substring(text, greatest(s.start - {near}, if(i = 0, 0, spans[greatest(i - 1, 0)].end), 0) + 1, s.start - greatest(s.start - {near}, if(i = 0, 0, spans[greatest(i - 1, 0)].end), 0)),
             'right', substring(text, s.end + 1, least({near}, if(i + 1 < size(spans), greatest(spans[least(i + 1, size(spans) - 1)].start - s.end, 0), {near}))))))""").alias("c"),
     ).select("doc_id", "c.kind", "c.left", "c.right")
-    words = around.select("doc_id", "kind", F.xxhash64("left", "right").alias("context"), F.expr(f"explode(array_distinct(concat({_words('left')}, {_words('right')})))").alias("term"))
+    shared_folder(docs.sparkSession)
+    words = around.select("doc_id", "kind", F.xxhash64("left", "right").alias("context"), F.expr(f"explode_outer(array_distinct(concat({_words('left')}, {_words('right')})))").alias("term")).checkpoint()
     contexts = words.select("kind", "term", "context").distinct().groupBy("kind", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
     together = words.select("kind", "term", "doc_id").distinct().groupBy("kind", "term").agg(F.count("*").alias("together"))
     seen = contexts.join(together, ["kind", "term"])
     all_words = docs.select(F.expr(f"explode(array_distinct({_words('text')}))").alias("term"))
-    wanted = seen.select("term").distinct()
-    documents = all_words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("documents"))
-    kinds = some.select(F.explode(F.array_distinct(F.expr("transform(spans, s -> s.kind)"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("with_kind"))
+    documents = all_words.groupBy("term").agg(F.count("*").alias("documents"))
+    kinds = words.select("kind", "doc_id").distinct().groupBy("kind").agg(F.count("*").alias("with_kind"))
     total = docs.agg(F.count("*").alias("total"))
     measured = seen.join(documents, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(total))
     information = -F.log2(F.col("with_kind") / F.col("total"))
