@@ -17,7 +17,7 @@ HELD_OUT = 2
 FOLDS = 4
 #: A document is toxic from this score on.
 THRESHOLD = 0.3
-PREFIXES, SUFFIXES = (3, 4, 5), (3, 4)
+PREFIXES, SUFFIXES = (4, 5, 6, 7, 8), (4,)
 SLOT_BITS = 22
 _SALTS = arrays.mix(np.arange(7_001, 7_001 + 1 + len(PREFIXES) + len(SUFFIXES), dtype=np.uint64))
 
@@ -50,6 +50,15 @@ def words_of(offsets: np.ndarray, data: np.ndarray) -> Words:
     return Words(starts, ends, arrays.owners(offsets, starts), features)
 
 
+def words_in_slices(texts: list[str]) -> Words:
+    """The words of texts of any total size, hashed slice by slice; only cuts and features are kept."""
+    parts = [words_of(offsets, data) for _, _, offsets, data in arrays.slices(pa.array(texts, type=pa.string()), 1 << 19)]
+    before = np.cumsum([0, *(p.cuts[-1] for p in parts)])
+    cuts = np.concatenate([p.cuts[:-1] + b for p, b in zip(parts, before[:-1], strict=True)] + [before[-1:]])
+    none = np.zeros(0, dtype=np.int64)
+    return Words(none, none, cuts, np.concatenate([p.features for p in parts], axis=1))
+
+
 def scan(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     """x[t] = (a[t] x[t-1] + b[t]) / (c[t] x[t-1] + d[t]) from x = 1, for non-negative numbers.
 
@@ -102,7 +111,7 @@ class Model:
     bias: float
     start: float
     moves: np.ndarray
-    document: np.ndarray  # of (1, strongest word's log-odds, log of the expected toxic words, log of the words)
+    document: np.ndarray  # of (1, strongest word's log-odds, logs of the expected toxic words, of those but the strongest, of all words)
 
     def __post_init__(self):
         self.slots = np.zeros(1 << SLOT_BITS, dtype=np.int32)
@@ -115,7 +124,7 @@ class Model:
         return np.where(self.keys[found] == features, found, 0)
 
     def marginals(self, words: Words) -> np.ndarray:
-        emission = np.full(len(words.starts), self.bias)
+        emission = np.full(words.features.shape[1], self.bias)
         for row in words.features:
             emission += self.weights[self.ids(row)]
         return forward_backward(emission, words.cuts, self.start, self.moves)[0]
@@ -132,11 +141,12 @@ def document_features(p: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         most[full] = np.maximum.reduceat(p, cuts[full])
         total[full] = np.add.reduceat(p, cuts[full])
     most = np.clip(most, 1e-6, 1 - 1e-6)
-    return np.stack([np.ones(len(counts)), np.log(most / (1 - most)), np.log(total + 1e-3), np.log1p(counts)], axis=1)
+    rest = np.maximum(total - most, 0.0)
+    return np.stack([np.ones(len(counts)), np.log(most / (1 - most)), np.log(total + 1e-3), np.log(rest + 1e-3), np.log1p(counts)], axis=1)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, per_class: int, most_chars: int) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels to fit, at most per_class of each label with at most most_chars code points each, and the share of toxic labels.
+    """Texts and labels to fit, at most per_class toxic and twice as many clean ones with at most most_chars code points each, and the share of toxic labels.
 
     The rows with the least hashes of their ids are taken, so the sample doesn't change with the partitioning.
     """
@@ -145,10 +155,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, per_class: int, most_
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1.0)
     some = None
     for label in (0, 1):
-        part = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class)
+        part = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class * (2 - label))
         some = part if some is None else some.unionByName(part)
     rows = docs.select("doc_id", "text").filter(F.length("text") <= most_chars).join(F.broadcast(some), "doc_id").select("text", "toxic").distinct()
-    found = sorted(rows.toLocalIterator(), key=lambda r: (r["toxic"], r["text"]))
+    found = sorted(rows.collect(), key=lambda r: (r["toxic"], r["text"]))
     return [r["text"] for r in found], np.array([r["toxic"] for r in found], dtype=np.int64), share
 
 
@@ -165,21 +175,23 @@ def _one_of_each_family(words: Words) -> np.ndarray:
     return keep
 
 
-def fit(texts: list[str], toxic: np.ndarray, share: float, *, steps: int = 40, evidence: float = 3.0, most_features: int = 20_000, penalty: float = 1e-3) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, share: float, *, steps: int = 40, evidence: float = 3.5, most_features: int = 20_000, penalty: float = 1e-3) -> Model:
     """The field that fits the words' labels, and a logistic score of documents over its marginals.
 
     The documents' labels give the words': a word of a toxic document is labelled toxic if one of its features (the
-    word, its first 3 to 5 and last 3 to 4 bytes) has log-odds of at least `evidence` between toxic and other documents.
+    word, its first 4 to 8 and last 4 bytes) has log-odds of at least `evidence` between toxic and other documents,
+    where the part of a word counts only if no clean document of the sample has it.
     """
-    zero = Model(np.zeros(1, dtype=np.uint64), np.zeros(1), -5.0, 0.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0]))
+    zero = Model(np.zeros(1, dtype=np.uint64), np.zeros(1), -5.0, 0.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0]))
     if not (toxic == 1).any() or not (toxic == 0).any():
         return zero
-    _, _, offsets, data = next(arrays.slices(pa.array(texts), 1 << 60))
-    keep = _one_of_each_family(words_of(offsets, data))
-    texts, toxic = [t for t, k in zip(texts, keep.tolist(), strict=True) if k], toxic[keep]
-    _, _, offsets, data = next(arrays.slices(pa.array(texts), 1 << 60))
-    words = words_of(offsets, data)
-    owner = np.repeat(np.arange(len(texts)), np.diff(words.cuts))
+    words = words_in_slices(texts)
+    keep = _one_of_each_family(words)
+    counts = np.diff(words.cuts)
+    words.features = words.features[:, np.repeat(keep, counts)]
+    words.cuts = np.concatenate([[0], np.cumsum(counts[keep])])
+    toxic = toxic[keep]
+    owner = np.repeat(np.arange(len(toxic)), np.diff(words.cuts))
     # in how many documents of each label a feature occurs
     keys, docs_with = [], []
     for row in words.features:
@@ -197,14 +209,19 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, *, steps: int = 40, e
         docs_with.append(with_[:, some])
     if not keys:
         return zero
+    affix = np.concatenate([np.full(len(k), i > 0) for i, k in enumerate(keys)])
     key, with_ = np.concatenate(keys), np.concatenate(docs_with, axis=1)
     totals = np.bincount(toxic, minlength=2)
     odds = np.log((with_[1] + 0.5) / (totals[1] + 1)) - np.log((with_[0] + 0.5) / (totals[0] + 1))
     top = np.argsort(-np.abs(odds) * np.sqrt(with_.sum(axis=0)), kind="stable")[:most_features]
-    key, odds = np.concatenate([np.zeros(1, dtype=np.uint64), key[top]]), np.concatenate([[0.0], odds[top]])
+    telling = np.where(affix & (with_[0] > 0), 0.0, odds)  # an affix that clean documents have is a feature, but no evidence
+    key, odds = np.concatenate([np.zeros(1, dtype=np.uint64), key[top]]), np.concatenate([[0.0], telling[top]])
     model = Model(key, np.zeros(len(key)), -3.0, -3.0, np.zeros((2, 2)), zero.document)
-    ids = np.stack([model.ids(row) for row in words.features])
-    y = (toxic[owner] == 1) & (odds[ids].max(axis=0) >= evidence)
+    ids = [model.ids(row).astype(np.int32) for row in words.features]
+    y = np.zeros(len(owner), dtype=bool)
+    for row in ids:
+        y |= odds[row] >= evidence
+    y &= toxic[owner] == 1
     # gradient ascent on the field's likelihood, with steps of their own for each parameter
     first = np.zeros(len(y), dtype=bool)
     first[words.cuts[:-1][np.diff(words.cuts) > 0]] = True
@@ -212,14 +229,15 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, *, steps: int = 40, e
     parameters = np.concatenate([model.weights, [model.bias, model.start], model.moves.ravel()])
     moment, spread = np.zeros_like(parameters), np.zeros_like(parameters)
     size = len(key)
-    flat = ids.ravel()
     for step in range(1, steps + 1):
         weights, bias, start, moves = parameters[:size], parameters[size], parameters[size + 1], parameters[size + 2 :].reshape(2, 2)
-        emission = weights[ids].sum(axis=0) + bias
+        emission = np.full(len(y), bias)
+        for row in ids:
+            emission += weights[row]
         p, alpha, beta = forward_backward(emission, words.cuts, start, moves)
         gap = y - p
         gradient = np.zeros_like(parameters)
-        gradient[:size] = np.bincount(flat, weights=np.tile(gap, len(ids)), minlength=size) - penalty * len(y) ** 0.5 * weights
+        gradient[:size] = sum(np.bincount(row, weights=gap, minlength=size) for row in ids) - penalty * len(y) ** 0.5 * weights
         gradient[0] = 0.0
         gradient[size], gradient[size + 1] = gap.sum(), gap[first].sum()
         a, e = np.exp(moves), np.exp(np.clip(emission[inner], -30, 30))
@@ -244,11 +262,11 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, *, steps: int = 40, e
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, most_chars: int = 20_000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 1000, most_chars: int = 6000, **options) -> Model:
     """A model of labels.toxic, fitted on the driver on a bounded sample of the rows that aren't held out.
 
-    per_class bounds the documents of each label, most_chars the size of one, so the sample has 80 MB of
-    characters at most. Longer documents are only left out of the sample; all are scored whole.
+    per_class bounds the toxic documents (there are up to twice as many clean ones), most_chars the size of one, so
+    the sample has 18 million characters at most. Longer documents are only left out of the sample; all are scored whole.
     """
     texts, toxic, share = training_sample(docs, labels, per_class=per_class, most_chars=most_chars)
     return fit(texts, toxic, share, **options)
@@ -274,16 +292,16 @@ def score_slice(offsets: np.ndarray, data: np.ndarray, model: Model) -> list[dic
     return out
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `toxicity`: score (0 to 1) and the toxic spans (code points, end exclusive) of every whole text.
+def score(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
+    """docs with `out`: score (0 to 1) and the toxic spans (code points, end exclusive) of every whole text.
 
     Null and empty texts have no words: their score follows from the labels' share. Repeated rows are
     alike; a table without labels of both kinds gives every text the labels' share. One pass without a
-    shuffle, in slices of about a megabyte. Other columns pass through (one named `toxicity` is replaced).
+    shuffle, in slices of about a megabyte. Other columns pass through (one named `out` is replaced).
     """
     known = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias, model.start, model.moves, model.document))
-    names = [c for c in docs.columns if c.lower() != "toxicity"]
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("toxicity", T.StructType.fromDDL(RESULT))])
+    names = [c for c in docs.columns if c.lower() != out.lower()]
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(out, T.StructType.fromDDL(RESULT))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*known.value)
@@ -291,14 +309,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text"))
             results = [r for _, _, offsets, data in arrays.slices(texts, 1 << 20) for r in score_slice(offsets, data, model)]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(results, type=ARROW_RESULT)], names=[*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(results, type=ARROW_RESULT)], names=[*names, out])
 
     return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of docs with a score below the threshold."""
-    return score(docs, train(docs, labels, **options)).filter(F.col("toxicity.score") < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return score(docs, train(docs, labels, **options), "result_").filter(F.col("result_.score") < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
