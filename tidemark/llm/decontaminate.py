@@ -111,6 +111,8 @@ def occurrences(tokens: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np
         keep = (high > low) & (token >= 0)
         live, low, high = live[keep], low[keep], high[keep]
         depth += 1
+    if not done:
+        return none, none
     suffix, low, high = (np.concatenate(x) for x in zip(*done, strict=True))
     counts = high - low
     within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -219,8 +221,8 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[l
     yield ids, texts
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard_bytes: int = 2 << 20, block_bytes: int = 16 << 20, keep_text: bool = True) -> DataFrame:
-    """docs with a column `contamination`: n_words, n_hit, the longest verbatim match and where it starts, items, spans of words.
+def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard_bytes: int = 2 << 20, block_bytes: int = 16 << 20, keep_text: bool = True, out: str = "contamination") -> DataFrame:
+    """docs with a column `out`: n_words, n_hit, the longest verbatim match and where it starts, items, spans of words.
 
     Every task sorts the suffixes of its texts, shard by shard (about shard_bytes of whole texts), and
     looks every suffix of every benchmark item up in that suffix array by binary search. Rows are not
@@ -231,29 +233,29 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard_bytes
     Null or empty texts have no words and no hit; ties of equal length go to the first place in the text;
     repeated rows each get their result; an empty benchmark gives no hits; items without words never
     occur; a null item_id counts as the id "null". Other columns pass through, but for one named
-    `contamination`, which is replaced.
+    `out`, which is replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("contamination")
+    docs = docs.drop(out)
     blocks = [spark.sparkContext.broadcast(TestSuffixes(ids, texts, window)) for ids, texts in benchmark_blocks(benchmark, block_bytes)]
     for k, block in enumerate(blocks):
-        kept = [f for f in docs.schema if f.name != "contamination" and (keep_text or k < len(blocks) - 1 or f.name != "text")]
-        schema = T.StructType([*kept, T.StructField("contamination", RESULT)])
-        docs = docs.mapInArrow(_task(block, [f.name for f in kept], shard_bytes), schema)
+        kept = [f for f in docs.schema if f.name != out and (keep_text or k < len(blocks) - 1 or f.name != "text")]
+        schema = T.StructType([*kept, T.StructField(out, RESULT)])
+        docs = docs.mapInArrow(_task(block, [f.name for f in kept], shard_bytes, out), schema)
     return docs
 
 
-def _task(block, names: list[str], shard_bytes: int):
+def _task(block, names: list[str], shard_bytes: int, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = block.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             results = [r for _, _, offsets, data in arrays.slices(texts, shard_bytes) for r in search_shard(offsets, data, tests)]
-            if "contamination" in batch.schema.names:
-                old = batch.column(batch.schema.get_field_index("contamination")).to_pylist()
+            if out in batch.schema.names:
+                old = batch.column(batch.schema.get_field_index(out)).to_pylist()
                 results = [merged(a, b) for a, b in zip(old, results, strict=True)]
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(results, type=ARROW_RESULT)], names=[*names, "contamination"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(results, type=ARROW_RESULT)], names=[*names, out])
 
     return run
 
@@ -272,7 +274,7 @@ ARROW_RESULT = pa.struct(
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no benchmark window occurs, with the columns of docs."""
-    return scan(docs, benchmark, **options).filter("contamination.n_hit = 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return scan(docs, benchmark, out="result_", **options).filter("result_.n_hit = 0").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

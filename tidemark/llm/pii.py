@@ -104,13 +104,13 @@ def disclosing_terms(docs: DataFrame, *, near: int = 48, support: int = 20, thre
     return measured.withColumn("strength", F.when(information > 0, pointwise / information)).filter(F.col("strength") >= threshold).select("kind", "term", "documents", "together", "contexts", "strength")
 
 
-def find_private(docs: DataFrame, terms: DataFrame | None = None, *, block: int = 200, **options) -> DataFrame:
-    """docs with `private`: array<struct<start, kind, end>> of base spans and of disclosing terms, by start and kind.
+def find_private(docs: DataFrame, terms: DataFrame | None = None, *, block: int = 200, out: str = "private", **options) -> DataFrame:
+    """docs with `out`: array<struct<start, kind, end>> of base spans and of disclosing terms, by start and kind.
 
     kind is a place in KINDS, or TERM for a term; a term is marked only in documents that hold a span of the
     kind that it reveals. Terms are read in blocks, each one pattern. Null text has no spans; very long runs
     of one character class cost linear time; repeated rows are alike; other columns pass through (one
-    named `private` is replaced).
+    named `out` is replaced).
     """
     terms = disclosing_terms(docs, **options) if terms is None else terms
     found: list[tuple[int, list[str]]] = []
@@ -118,16 +118,16 @@ def find_private(docs: DataFrame, terms: DataFrame | None = None, *, block: int
         if not found or found[-1][0] != kind or len(found[-1][1]) >= block:
             found.append((kind, []))
         found[-1][1].append(term)
-    names = [c for c in docs.columns if c.lower() != "private"]
-    out = docs.select(*(F.col(f"`{c}`") for c in names), F.coalesce("text", F.lit("")).alias("text_"))
-    out = out.withColumn("private", base_spans("text_"))
+    names = [c for c in docs.columns if c.lower() != out.lower()]
+    rows = docs.select(*(F.col(f"`{c}`") for c in names), F.coalesce("text", F.lit("")).alias("text_"))
+    rows = rows.withColumn(out, base_spans("text_"))
     for kind, words in found:
         pattern = r"(?iu)(?<!\p{L})(?:" + "|".join(sorted(words, key=len, reverse=True)) + r")(?!\p{L})"
-        more = F.expr(f"if(exists(private, s -> s.kind = {kind}), {find('text_', pattern, TERM)}, {NONE})")
-        out = out.withColumn("private", F.concat("private", more))
+        more = F.expr(f"if(exists({out}, s -> s.kind = {kind}), {find('text_', pattern, TERM)}, {NONE})")
+        rows = rows.withColumn(out, F.concat(out, more))
     if found:
-        out = out.withColumn("private", F.array_sort(F.array_distinct("private")))
-    return out.drop("text_")
+        rows = rows.withColumn(out, F.array_sort(F.array_distinct(out)))
+    return rows.drop("text_")
 
 
 def redact(text: str = "text", spans: str = "private") -> Column:
@@ -144,7 +144,7 @@ def redact(text: str = "text", spans: str = "private") -> Column:
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs whose texts hold no span that find_private finds; n_chars, where there is one, follows."""
-    clean = find_private(docs, **options).withColumn("text", redact()).drop("private")
+    clean = find_private(docs, out="spans_", **options).withColumn("text", redact(spans="spans_")).drop("spans_")
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*(F.col(f"`{c}`") for c in docs.columns))
