@@ -27,7 +27,7 @@ class Offsets(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.end = handle.getValueState("end", "n long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows, "seq")
         end = self.end.get()[0] if self.end.exists() else 0
         self.end.update((end + len(batch),))
@@ -47,7 +47,7 @@ class Watermark(StatefulProcessor):
         self.last = handle.getMapState("last", "replica int", "offset long")
         self.high = handle.getValueState("high", "n long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         known = {r: self.last.getValue((r,))[0] if self.last.containsKey((r,)) else 0 for r in self.replicas}
         high = self.high.get()[0] if self.high.exists() else 0
         out = []
@@ -71,7 +71,7 @@ class Fence(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.epoch = handle.getValueState("epoch", "n long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows, "seq")
         largest = self.epoch.get()[0] if self.epoch.exists() else 0
         accepted = []
@@ -91,7 +91,7 @@ class Merge(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.newest = handle.getValueState("newest", "version long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows, "seq")
         version = self.newest.get()[0] if self.newest.exists() else None
         out = []
@@ -122,7 +122,7 @@ class Detector(StatefulProcessor):
         self.gaps = handle.getListState("gaps", "gap long")
         self.last = handle.getValueState("last", "tick long, due long, down boolean")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         gaps = [g[0] for g in self.gaps.get()] if self.gaps.exists() else []
         last, due, down = self.last.get() if self.last.exists() else (None, None, False)
         before, out = due, []
@@ -147,9 +147,9 @@ class Detector(StatefulProcessor):
         self.last.update((last, due, down))
         yield pd.DataFrame(out, columns=["endpoint", "tick", "state"])
 
-    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         last, due, down = self.last.get()
-        if not down and expired.getExpiryTimeInMs() == due * 1000:
+        if not down and expiredTimerInfo.getExpiryTimeInMs() == due * 1000:
             self.last.update((last, due, True))
             yield pd.DataFrame([(key[0], due, "DOWN")], columns=["endpoint", "tick", "state"])
 
