@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -113,11 +114,13 @@ class Model:
     moves: np.ndarray
     document: np.ndarray  # of (1, strongest word's log-odds, logs of the expected toxic words, of those but the strongest, of all words)
 
-    def __post_init__(self):
-        self.slots = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+    @cached_property
+    def slots(self) -> np.ndarray:
+        slots = np.zeros(1 << SLOT_BITS, dtype=np.int32)
         by = np.argsort(np.abs(self.weights), kind="stable")  # of features that share a slot the weightier one stays
-        self.slots[self.keys[by] >> np.uint64(64 - SLOT_BITS)] = by
-        self.slots[0] = 0
+        slots[self.keys[by] >> np.uint64(64 - SLOT_BITS)] = by
+        slots[0] = 0
+        return slots
 
     def ids(self, features: np.ndarray) -> np.ndarray:
         found = self.slots[features >> np.uint64(64 - SLOT_BITS)]
@@ -145,8 +148,8 @@ def document_features(p: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(counts)), np.log(most / (1 - most)), np.log(total + 1e-3), np.log(rest + 1e-3), np.log1p(counts)], axis=1)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, *, per_class: int, most_chars: int) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels to fit, at most per_class toxic and twice as many clean ones with at most most_chars code points each, and the share of toxic labels.
+def training_sample(docs: DataFrame, labels: DataFrame, *, per_class: int, most_chars: int) -> tuple[DataFrame, float]:
+    """(text, toxic) to fit, at most per_class toxic and twice as many clean ones with at most most_chars code points each, and the share of toxic labels.
 
     The rows with the least hashes of their ids are taken, so the sample doesn't change with the partitioning.
     """
@@ -158,8 +161,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, per_class: int, most_
         part = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class * (2 - label))
         some = part if some is None else some.unionByName(part)
     rows = docs.select("doc_id", "text").filter(F.length("text") <= most_chars).join(F.broadcast(some), "doc_id").select("text", "toxic").distinct()
-    found = sorted(rows.collect(), key=lambda r: (r["toxic"], r["text"]))
-    return [r["text"] for r in found], np.array([r["toxic"] for r in found], dtype=np.int64), share
+    return rows, share
 
 
 def _one_of_each_family(words: Words) -> np.ndarray:
@@ -263,13 +265,26 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, *, steps: int = 40, e
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 1000, most_chars: int = 6000, **options) -> Model:
-    """A model of labels.toxic, fitted on the driver on a bounded sample of the rows that aren't held out.
+    """A model of labels.toxic, fitted in one task on a bounded sample of the rows that aren't held out.
 
     per_class bounds the toxic documents (there are up to twice as many clean ones), most_chars the size of one, so
-    the sample has 18 million characters at most. Longer documents are only left out of the sample; all are scored whole.
+    the sample has 18 million characters at most. Longer documents are only left out of the sample; all are scored
+    whole. The driver gets the weights alone.
     """
-    texts, toxic, share = training_sample(docs, labels, per_class=per_class, most_chars=most_chars)
-    return fit(texts, toxic, share, **options)
+    sample, share = training_sample(docs, labels, per_class=per_class, most_chars=most_chars)
+    kinds = {"keys": np.uint64, "weights": np.float64, "moves": np.float64, "document": np.float64}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((y, t) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        model = fit([t for _, t in rows], np.array([y for y, _ in rows], dtype=np.int64), share, **options)
+        columns = [pa.array([np.ascontiguousarray(getattr(model, k)).astype(v).tobytes()], type=pa.binary()) for k, v in kinds.items()]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([float(model.bias)]), pa.array([float(model.start)])], names=[*kinds, "bias", "start"])
+
+    fitted = sample.repartition(1).mapInArrow(run, "keys binary, weights binary, moves binary, document binary, bias double, start double").first()
+    if fitted is None:  # no partition at all
+        return fit([], np.zeros(0, dtype=np.int64), share)
+    parts = {k: np.frombuffer(bytes(fitted[k]), dtype=v) for k, v in kinds.items()}
+    return Model(parts["keys"], parts["weights"], fitted["bias"], fitted["start"], parts["moves"].reshape(2, 2), parts["document"])
 
 
 RESULT = "score double, spans array<struct<start: long, end: long, probability: double>>"
