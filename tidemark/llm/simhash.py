@@ -91,29 +91,69 @@ def fingerprints(docs: DataFrame, *, words: int = 3, planes: int = 1, minima: in
 # --- bit-sliced comparison -----------------------------------------------------------------------
 
 
+class Counters:
+    """Vertical counters: bit k of the counts of all lanes in one array, added to by carry-save steps.
+
+    They start so far up that a count which goes over the radius overflows; `over` keeps those lanes. Three planes
+    are first reduced to a sum and a carry, so that most planes don't ripple through the counters.
+    """
+
+    def __init__(self, shape, radius: int):
+        self.width = radius.bit_length()
+        start = (1 << self.width) - 1 - radius
+        self.bits = [np.full(shape, ~np.uint64(0) if start >> k & 1 else 0, dtype=np.uint64) for k in range(self.width)]
+        self.over = np.zeros(shape, dtype=np.uint64)
+        self.held: list[list[np.ndarray]] = [[] for _ in range(self.width)]
+
+    def add(self, plane: np.ndarray, k: int = 0) -> None:
+        """Counts a plane of bits that weigh 2^k."""
+        if k == self.width:
+            self.over |= plane
+            return
+        held = self.held[k]
+        held.append(plane)
+        if len(held) == 3:
+            a, b, c = held
+            self.held[k] = []
+            half = a ^ b
+            self.add((a & b) | (half & c), k + 1)
+            self.settle(half ^ c, k)
+
+    def settle(self, plane: np.ndarray, k: int) -> None:
+        carry = self.bits[k] & plane
+        self.bits[k] = self.bits[k] ^ plane
+        if k + 1 == self.width:
+            self.over |= carry
+        else:
+            self.add(carry, k + 1)
+
+    def beyond(self) -> np.ndarray:
+        """The lanes that are known to be over the radius so far."""
+        return self.over
+
+    def within(self) -> np.ndarray:
+        for k in range(self.width):
+            for plane in self.held[k]:
+                carry = plane
+                for j in range(k, self.width):
+                    self.bits[j], carry = self.bits[j] ^ carry, self.bits[j] & carry
+                self.over |= carry
+            self.held[k] = []
+        return ~self.over
+
+
 def within_radius(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
     """Words of bits, (queries, words): which lanes of `planes` lie within `radius` bits of each query.
 
-    planes[b] holds bit b of 64 fingerprints in each word. The differing bits of every lane are counted
-    in vertical counters by carry-save addition; a block of queries is given up once the
-    counters of all its lanes have gone over the radius.
+    planes[b] holds bit b of 64 fingerprints in each word, queries[:, b] is all ones or zeros. The differing bits of
+    every lane are counted in vertical counters; a block is given up once all its lanes are over the radius.
     """
-    width = radius.bit_length()
-    shape = (len(queries), planes.shape[1])
-    counters = [np.zeros(shape, dtype=np.uint64) for _ in range(width)]
-    over = np.zeros(shape, dtype=np.uint64)
-    start = (1 << width) - 1 - radius  # so that a counter overflows as it passes the radius
-    for k in range(width):
-        if start >> k & 1:
-            counters[k] |= ~np.uint64(0)
-    for b in range(0, len(planes), 1):
-        carry = planes[b][None, :] ^ queries[:, b][:, None]
-        for k in range(width):
-            counters[k], carry = counters[k] ^ carry, counters[k] & carry
-        over |= carry
-        if b % 16 == 15 and b > radius and (over == ~np.uint64(0)).all():
+    counters = Counters((len(queries), planes.shape[1]), radius)
+    for b in range(len(planes)):
+        counters.add(planes[b][None, :] ^ queries[:, b][:, None])
+        if b % 32 == 31 and b > radius and (counters.beyond() == ~np.uint64(0)).all():
             break
-    return ~over
+    return counters.within()
 
 
 def vertical(fps: np.ndarray) -> np.ndarray:
@@ -121,27 +161,57 @@ def vertical(fps: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
     pad = -len(bits) % 64
     bits = np.concatenate([bits, np.repeat(bits[:1], pad, axis=0)])
-    return np.packbits(bits.T, axis=1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
 def block_components(fps: np.ndarray, radius: int, most: int = 256) -> np.ndarray:
     """For each fingerprint of one block the least index that it is linked to, through any others.
 
-    A breadth-first search: fingerprints that were reached are the next queries, against those that
-    weren't yet. Each is a query once, and no pairs are listed.
+    Up to `most` queries at a time are compared with fingerprints that weren't queries yet. Those of one
+    component that were reached go first, against all outside of it, so a dense block takes a few
+    rounds; where none wait, the next ones in order go, against all. Links are united, not listed by pairs.
     """
-    root = np.arange(len(fps))
-    left = np.arange(len(fps))
-    while len(left):
-        start, left = left[0], left[1:]
-        queue = np.array([start])
-        while len(queue) and len(left):
-            queries, queue = queue[:most], queue[most:]
-            bits = np.unpackbits(fps[queries].astype(">u8").view(np.uint8).reshape(len(queries), -1), axis=1).astype(np.uint64)
-            near = within_radius(vertical(fps[left]), np.uint64(0) - bits, radius)
-            hit = np.unpackbits(np.bitwise_or.reduce(near, axis=0).view(np.uint8), bitorder="little")[: len(left)].astype(bool)
-            root[left[hit]] = start
-            queue, left = np.concatenate([queue, left[hit]]), left[~hit]
+    n = len(fps)
+    root = np.arange(n)
+    open_, reached = np.ones(n, dtype=bool), np.zeros(n, dtype=bool)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    while open_.any():
+        while not (root[root] == root).all():
+            root = root[root]
+        waiting = np.flatnonzero(open_ & reached)
+        if len(waiting):
+            own = root[waiting[0]]
+            queries, targets = waiting[root[waiting] == own][:most], np.flatnonzero(open_ & (root != own))
+        else:
+            targets = np.flatnonzero(open_)
+            queries = targets[:most]
+        open_[queries] = False
+        if not len(targets):
+            continue
+        bits = np.unpackbits(fps[queries].astype(">u8").view(np.uint8).reshape(len(queries), -1), axis=1).astype(np.uint64)
+        near = within_radius(vertical(fps[targets]), np.uint64(0) - bits, radius)
+        linked = np.unpackbits(np.ascontiguousarray(near).view(np.uint8), axis=1, bitorder="little")[:, : len(targets)].astype(bool)
+        hit = linked.any(axis=0)
+        first = linked.argmax(axis=0)  # of the queries that reach a target; the others are united with it
+        pairs = [(queries[first[hit]], targets[hit])]
+        for k in range(len(queries)):
+            others = np.unique(first[linked[k]])
+            others = others[others != k]
+            if len(others):
+                pairs.append((np.full(len(others), queries[k]), queries[others]))
+        for u, v in pairs:
+            some = u != v
+            for x, y in zip(u[some].tolist(), v[some].tolist(), strict=True):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+        reached[targets[hit]] = True
+    while not (root[root] == root).all():
+        root = root[root]
     return root
 
 
@@ -176,15 +246,10 @@ def lane_components(fps: np.ndarray, heads: np.ndarray, sizes: np.ndarray, radiu
 
 
 def _near_lanes(differing: np.ndarray, radius: int) -> np.ndarray:
-    width = radius.bit_length()
-    counters = [np.full(differing.shape[1], ~np.uint64(0) if ((1 << width) - 1 - radius) >> k & 1 else 0, dtype=np.uint64) for k in range(width)]
-    over = np.zeros(differing.shape[1], dtype=np.uint64)
-    for b in range(len(differing)):
-        carry = differing[b]
-        for k in range(width):
-            counters[k], carry = counters[k] ^ carry, counters[k] & carry
-        over |= carry
-    return ~over
+    counters = Counters(differing.shape[1:], radius)
+    for plane in differing:
+        counters.add(plane)
+    return counters.within()
 
 
 def _compare_task(planes: int, radius: int):
@@ -292,7 +357,7 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, planes: int = 4, bands: int = 10, most: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, planes: int = 16, bands: int = 10, most: int = 20_000) -> DataFrame:
     """(doc_id, component_id) of every row: groups of texts whose shingles of `words` words are alike.
 
     A link is a distance of at most radius_of(similarity) in a fingerprint of 64 * planes bits. Blocks to compare
