@@ -1,6 +1,11 @@
 """The corpus pipeline: toxicity, near duplicates, decontamination, personal data, mixture.
 
 run() gives the documents that every stage keeps, with their sanitised texts and their place in the mixture.
+Odd rows have the same result in every stage as in its operator: null and empty texts have no words, are not toxic beyond the
+labels' share, form one group of copies, hold no benchmark window and no personal data, and stand once in the
+mixture; ties go to the least doc_id; of repeated rows one stays; a null doc_id counts as the hash of its text; a null
+source is a source; empty tables give no rows; other columns pass through, whatever their names.
+
 No stage can be stated in SQL (a fitted field, SimHash groups, corpus statistics, hashed permutations), so there is no
 ORACLE_SQL; tests/llm holds run() against a brute-force version.
 """
@@ -10,6 +15,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import remove_contaminated
 from tidemark.llm.graph import shared_folder
@@ -40,8 +46,11 @@ def personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with how often and where it comes in the mix of sources."""
-    return mix(docs, max_repeats=4.0).select(*docs.columns, "mixture.*")
+    """Every document, with how often and where it comes in the mix of sources (a name that docs has gets `mixture_` before it)."""
+    taken = {c.lower() for c in docs.columns}
+    mixed = mix(docs, max_repeats=4.0, out="mixed_")
+    added = (F.col(f"mixed_.{c}").alias(f"mixture_{c}" if c in taken else c) for c in mixed.schema["mixed_"].dataType.names)
+    return mixed.select(*(F.col(f"`{c}`") for c in docs.columns), *added)
 
 
 STAGES = [

@@ -48,3 +48,22 @@ def test_run(spark, sf, duck):
         assert all(alike[d].get(e, 0) < 0.95 for e in kept[i + 1 :])
     for d, r in got.items():
         assert not re.search(r"[\w.]+@[\w-]+\.\w+", r["text"]) and r["n_chars"] == len(r["text"]) and r["repeats"] >= 1 and r["source"] == docs[d][1]
+
+
+def test_odd_rows_go_through_all_stages(spark, sf):
+    rows = [(1, None, "en", None, 0), (2, "", "en", "s", 0), (3, "one text of some words here", None, "s", 27), (3, "one text of some words here", None, "s", 27), (None, "no id but words of its own", "en", "t", 26), (9, "long " * 30_000, "en", "t", 150_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("result_x", F.lit(1)).withColumn("mixture", F.lit("own"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).checkpoint()
+        assert "mixture" in docs.columns and "result_x" in docs.columns
+    left = {r["doc_id"] for r in docs.collect()}
+    assert left == {1, 3, None, 9} and docs.count() == 4
+    last = corpus_pipeline.mixture(spark, docs.withColumn("weight", F.lit("own")), sf)
+    assert last.count() == 4 and {"mixture", "weight", "mixture_weight", "repeats"} <= set(last.columns)
+
+
+def test_empty_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.count() == 0

@@ -26,8 +26,8 @@ HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 APART = frozenset("aside button canvas dialog footer form head iframe input map menu nav noscript object script search select style svg template textarea title".split())
 #: Words of a class, id or role by which authors name what isn't the article.
 NAMES = frozenset(
-    "ad ads adv advert advertisement advertising adverts adbox adslot alert banner breadcrumb breadcrumbs byline cookie cookies comment comments commentlist complementary consent contentinfo "
-    "crumbs dialog discussion disqus foot footer gdpr header login masthead menu menubar menus modal nav navbar navigation newsletter notice notices notification notifications outbrain overlay "
+    "ad ads adsbygoogle adv advert advertise advertisement advertising adverts adbox adslot alert banner breadcrumb breadcrumbs byline cookie cookies comment comments commentlist complementary consent contentinfo "
+    "copyright crumbs dialog disclaimer discussion disqus foot footer gdpr header login masthead menu menubar menus modal nav navbar navigation newsletter notice notices notification notifications outbrain overlay paywall "
     "pagination pager popup promo promos promotion reactions recommended recommendations related replies reply respond responses search share sharing sidebar signup skip social sponsor "
     "sponsored sponsors subscribe subscription survey taboola toast toolbar topbar trending widget widgets".split()
 )

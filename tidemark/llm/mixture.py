@@ -46,8 +46,8 @@ def exponent_for(sources: DataFrame, *, entropy: float | None, max_repeats: floa
     return high
 
 
-def mix(docs: DataFrame, *, max_repeats: float = 4.0, entropy: float | None = None, budget: int | None = None, block_tokens: int = 250_000, most_blocks: int = 100_000, seed: int = 1) -> DataFrame:
-    """docs with `mixture`: n_tokens, weight (of the source), budget (tokens of the source), repeats, block, ranks.
+def mix(docs: DataFrame, *, max_repeats: float = 4.0, entropy: float | None = None, budget: int | None = None, block_tokens: int = 250_000, most_blocks: int = 100_000, seed: int = 1, out: str = "mixture") -> DataFrame:
+    """docs with `out`: n_tokens, weight (of the source), budget (tokens of the source), repeats, block, ranks.
 
     Weights are the sources' token shares to a power, which is found for the repetition limit, or for a
     target entropy if one is given. Without a budget the mix is as large as it must be for every document
@@ -58,11 +58,11 @@ def mix(docs: DataFrame, *, max_repeats: float = 4.0, entropy: float | None = No
     Documents are dealt to blocks by hashes, so a hot source is many blocks, and running sums are
     over blocks, or over the documents of one block of each source. Null text has no tokens; a null source is one source;
     sources without tokens are taken once; repeated rows share their block and fate; an empty table
-    gives no rows; other columns pass through (one named `mixture` is replaced).
+    gives no rows; other columns pass through (one named `out` is replaced).
     """
     spark = docs.sparkSession
     shared_folder(spark)
-    names = [c for c in docs.columns if c.lower() != "mixture"]
+    names = [c for c in docs.columns if c.lower() != out.lower()]
     own = docs.select(*(F.col(f"`{c}`") for c in names))
     light = docs.select(F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("src_"), "doc_id", tokens().alias("tokens_"))
     counted = light.groupBy("src_").agg(F.sum("tokens_").alias("tokens_"))
@@ -101,10 +101,10 @@ def mix(docs: DataFrame, *, max_repeats: float = 4.0, entropy: float | None = No
     blocks = blocks.join(cut, ["src_", "block_"], "left").select("src_", "block_", "weight_", "budget_", "full_", "rest_", "upto_", "before_", "blocks_", "ranks_", "cut_").checkpoint()
     rows = blocks.count()
     small = lambda df: F.broadcast(df) if rows <= MOST_BROADCAST else df
-    out = own.withColumns({"src_": F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")), "tokens_": tokens()})
+    rows_ = own.withColumns({"src_": F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")), "tokens_": tokens()})
     per_source = blocks.groupBy("src_").agg(F.first("blocks_").alias("blocks_"))
-    out = out.join(F.broadcast(per_source) if count <= MOST_BROADCAST else per_source, "src_", "left").withColumn("block_", block(F.col("blocks_")))
-    out = out.join(small(blocks.drop("blocks_")), ["src_", "block_"], "left")
+    rows_ = rows_.join(F.broadcast(per_source) if count <= MOST_BROADCAST else per_source, "src_", "left").withColumn("block_", block(F.col("blocks_")))
+    rows_ = rows_.join(small(blocks.drop("blocks_")), ["src_", "block_"], "left")
     taken = (F.col("upto_") <= F.col("rest_")) | ((F.col("before_") < F.col("rest_")) & (order <= F.col("cut_")))
     extra = F.coalesce(taken, F.lit(False))
     mixture = F.struct(
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, *, max_repeats: float = 4.0, entropy: float | None = No
         F.coalesce("block_", F.lit(0)).cast("long").alias("block"),
         F.coalesce(F.slice("ranks_", 1, (F.col("full_") + extra.cast("long")).cast("int")), F.array(F.lit(0))).alias("ranks"),
     )
-    return out.select(*(F.col(f"`{c}`") for c in names), mixture.alias("mixture"))
+    return rows_.select(*(F.col(f"`{c}`") for c in names), mixture.alias(out))
 
 
 def op6_mixture(spark, sf_dir: str) -> DataFrame:
