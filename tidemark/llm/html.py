@@ -58,7 +58,7 @@ class Block:
         self.element, self.path, self.parts, self.linked, self.text = element, path, [], 0, ""
 
 
-def _attributes(tag: str, source: str, inside: bool) -> tuple[str, bool, bool]:
+def _attributes(tag: str, source: str) -> tuple[str, bool, bool]:
     """(label of the element in a path, hidden, named as something that isn't the article)."""
     if not source.strip(" \t\r\n/"):
         return tag, False, False
@@ -102,10 +102,8 @@ def blocks_of(page: str) -> list[Block]:
             path = "/".join(e.label for e in stack[1:] if e.tag in BLOCK or e.tag in ("a", "b", "strong"))
             block = Block(holder, path)
             blocks.append(block)
-        elif block.element.apart and not stack[-1].apart:
-            pass
-        apart = stack[-1]
-        if apart.tag not in BLOCK and apart.apart and not block.element.apart:
+        inner = stack[-1]
+        if inner.tag not in BLOCK and inner.apart and not block.element.apart:
             return  # an inline part that is no text of the article, such as a button
         block.parts.append(piece)
         if links:
@@ -165,7 +163,7 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             parent = stack[-1]
             inside = any(e.tag in ("article", "main") for e in stack)
-            label, hidden, named = _attributes(tag, m["attributes"], inside)
+            label, hidden, named = _attributes(tag, m["attributes"])
             apart = parent.apart or hidden or tag in APART or (tag == "header" and not inside)
             element = Element(tag, label, parent, apart, named)
             if tag in ("article", "main", "h1"):
@@ -188,9 +186,8 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
-                        for e in stack[k : k + 1]:
-                            links -= e.tag == "a"
-                        del stack[k : k + 1]
+                        links -= tag == "a"
+                        del stack[k]
                         break
                     if stack[k].tag in BLOCK:
                         break
