@@ -179,7 +179,7 @@ def test_every_pair_within_the_radius_meets(spark):
         fps |= {f, g}
         pairs.append((f, g))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    df = spark.createDataFrame([(signed(f), signed(f)) for f in fps], "fp long, least long")
     links = {frozenset((x["a"], x["b"])) for x in simhash.exact_links(df).collect()}
     assert {frozenset((signed(f), signed(g))) for f, g in pairs} <= links
 

@@ -10,7 +10,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -253,7 +253,7 @@ def _near_lanes(differing: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _compare_task(planes: int, radius: int):
-    """Rows sorted by key and fingerprint, in batches; out go (a, b) from each member to its component's first."""
+    """Rows (key, fp, least) sorted by key and fingerprint, in batches; out go (a, b) from each member's document to its component's first."""
 
     def components(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -272,26 +272,24 @@ def _compare_task(planes: int, radius: int):
         return linked, root[linked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush(upto_last_key: bool):
-            keys = np.concatenate([k for k, _ in held])
-            fps = np.concatenate([f for _, f in held])
+            keys, fps, least = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = int(np.searchsorted(keys, keys[-1])) if upto_last_key else len(keys)
-            held[:] = [(keys[cut:], fps[cut:])] if cut < len(keys) else []
+            held[:] = [(keys[cut:], fps[cut:], least[cut:])] if cut < len(keys) else []
             if not cut:
                 return None
             a, b = components(keys[:cut], fps[:cut])
-            as_lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), planes).cast(pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([as_lists(fps[a]), as_lists(fps[b])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(least[a]), pa.array(least[b])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys, least = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             fps = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, planes)
-            held.append((keys, fps))
-            if sum(len(k) for k, _ in held) >= 20_000 and (out := flush(True)) is not None:
+            held.append((keys, fps, least))
+            if sum(len(k) for k, _, _ in held) >= 20_000 and (out := flush(True)) is not None:
                 yield out
         if held and (out := flush(False)) is not None:
             yield out
@@ -305,8 +303,17 @@ def band_keys(bits: int, radius: int, bands: int) -> list[list[tuple[int, int]]]
     return [[(edges[i], edges[i + 1]) for i in choice] for choice in itertools.combinations(range(bands), bands - radius)]
 
 
+#: Fingerprints of rows without an id are named from here on, above all ids.
+NAMELESS = 1 << 62
+
+
+def _name(least: Column, fp: Column) -> Column:
+    """The least doc_id of a fingerprint's rows; for rows without ids a number that the fingerprint gives."""
+    return F.coalesce(least.cast("long"), F.lit(NAMELESS) + F.xxhash64(fp).bitwiseAND(F.lit(NAMELESS - 1)))
+
+
 def exact_links(fps: DataFrame, radius: int = 2, bands: int = 8) -> DataFrame:
-    """Links (a, b) that connect all the 64-bit fingerprints (column fp, distinct) within `radius` bits of each other.
+    """Links (a, b) of documents that connect all the 64-bit fingerprints (fp, distinct, each with its least document) within `radius` bits of each other.
 
     Two such numbers agree in at least bands - radius of `bands` equal bands. Every choice of so many bands is
     a key, and the rows of a key form a block. A block holds distinct numbers with 64 * radius / bands free
@@ -317,13 +324,20 @@ def exact_links(fps: DataFrame, radius: int = 2, bands: int = 8) -> DataFrame:
         mask = sum(((1 << (hi - lo)) - 1) << lo for lo, hi in choice)
         mask -= (mask >> 63) << 64
         keys.append(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(mask))))
-    blocks = fps.select(F.explode(F.array(*keys)).alias("key"), F.array("fp").alias("fp"))
-    return _links(blocks, 1, radius).select(F.col("a")[0].alias("a"), F.col("b")[0].alias("b")).distinct()
+    return _links(fps.select(F.explode(F.array(*keys)).alias("key"), F.array("fp").alias("fp"), "least"), 1, radius)
 
 
 def _links(blocks: DataFrame, planes: int, radius: int) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in "ab"])
-    return blocks.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare_task(planes, radius), schema)
+    rows = blocks.select("key", "fp", "least").repartition("key").sortWithinPartitions("key", "fp")
+    return rows.mapInArrow(_compare_task(planes, radius), "a long, b long")
+
+
+def _component_of(distinct: DataFrame, links: DataFrame, *kept: str) -> DataFrame:
+    """(kept, component_id): the links are between least documents, so a component's root is its least doc_id."""
+    roots = connected_components(links)
+    root = F.coalesce("root", "least")
+    rooted = distinct.join(roots, distinct["least"] == roots["node"], "left")
+    return rooted.select(*kept, F.when(root < NAMELESS, root).alias("component_id"))
 
 
 def simhash_components(docs: DataFrame, *, words: int = 3, radius: int = 2) -> DataFrame:
@@ -335,12 +349,8 @@ def simhash_components(docs: DataFrame, *, words: int = 3, radius: int = 2) -> D
     """
     shared_folder(docs.sparkSession)
     prints = fingerprints(docs, words=words).select("doc_id", F.col("fp")[0].alias("fp")).checkpoint()
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(exact_links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(members, "fp")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", _name(F.col("least"), F.col("fp")).alias("least")).checkpoint()
+    return prints.join(_component_of(distinct, exact_links(distinct, radius), "fp"), "fp")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
@@ -371,22 +381,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     extra = 8
     prints = fingerprints(docs, words=words, planes=planes, minima=2 * bands + extra).checkpoint()
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("minima").alias("minima"))
+    distinct = distinct.select("fp", "minima", _name(F.col("least"), F.col("fp")).alias("least")).checkpoint()
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("minima")[2 * k], F.col("minima")[2 * k + 1]) for k in range(bands)))
-    blocks = distinct.select(F.explode(keys).alias("key"), "fp", F.slice("minima", 2 * bands + 1, extra).alias("more"))
+    blocks = distinct.select(F.explode(keys).alias("key"), "fp", "least", F.slice("minima", 2 * bands + 1, extra).alias("more"))
     large = blocks.groupBy("key").count().filter(F.col("count") > most).select("key").withColumn("large", F.lit(True))
     split = blocks.join(large, "key", "left")
     finer = F.when(F.col("large"), F.array(*(F.xxhash64("key", F.lit(k), F.col("more")[k]) for k in range(extra)))).otherwise(F.array("key"))
-    blocks = split.select(F.explode(finer).alias("key"), "fp")
-    # blocks of one have no links
-    radius = radius_of(similarity, 64 * planes)
-    name = lambda c: F.xxhash64(F.col(c))
-    links = _links(blocks, planes, radius).select(name("a").alias("a"), name("b").alias("b"))
-    roots = connected_components(links)
-    named = distinct.select(name("fp").alias("node_"), "least")
-    rooted = named.join(roots, named["node_"] == roots["node"], "left").select("node_", "least", F.coalesce("root", "node_").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = rooted.select("node_", "root").join(least, "root").select("node_", "component_id")
-    return prints.select("doc_id", name("fp").alias("node_")).join(members, "node_").select("doc_id", "component_id")
+    links = _links(split.select(F.explode(finer).alias("key"), "fp", "least"), planes, radius_of(similarity, 64 * planes))
+    members = _component_of(distinct.select(F.xxhash64("fp").alias("name_"), "least"), links, "name_")
+    return prints.select("doc_id", F.xxhash64("fp").alias("name_")).join(members, "name_").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
