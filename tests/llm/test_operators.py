@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays, chat, decontaminate, graph, html, licenses, mixture, pii, simhash, syncmers, toxicity, urls
+from tidemark.llm import jaccard as near
 
 LONG = "w " * 60_000 + "a" * 200_000
 ODD = [
@@ -216,6 +217,55 @@ def test_copies_keep_one_row(spark):
     assert len(kept) == 2 and 9 in kept
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_are_those_of_an_exact_similarity(spark):
+    r = random.Random(8)
+    words = lambda n: ["".join(r.choices("abcdefgh", k=7)) for _ in range(n)]
+    docs = []
+    for length in (104, 304):  # 100 and 300 shingles; each new word at the end changes one
+        for share in np.arange(5, 18, 0.5):
+            for _ in range(2):
+                base = words(length)
+                changed = round((length - 4) * share / 100)
+                docs += [" ".join(base), " ".join(base[: length - changed] + words(changed))]
+    for length in (9, 10, 11, 12, 13, 14):  # short texts: one word changed, or one added
+        for _ in range(6):
+            base = words(length)
+            docs += [" ".join(base), " ".join(base[:-1] + words(1)), " ".join(words(length)), " ".join(words(length))]
+            base = words(length - 1)
+            docs += [" ".join(base), " ".join(base + words(1))]
+    base = words(60)  # sets count, not how often a passage comes
+    docs += [" ".join(base + base[:10] * 30), " ".join(base + base[:10] * 2)]
+    pairs = [(k, k + 1, jaccard(docs[k], docs[k + 1])) for k in range(0, len(docs), 2)]
+    assert {0.78, 0.79, 0.8, 0.81, 0.82} <= {round(j, 2) for _, _, j in pairs}
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(df).collect()}
+    want = {k: k for k in range(len(docs))} | {b: a for a, b, j in pairs if j >= 0.8}
+    assert got == want
+
+
+def test_rows_without_an_id_stay(spark):
+    df = spark.createDataFrame([(None, f"text number {k} has no id but words of its own") for k in range(40)], "doc_id long, text string")
+    assert simhash.keep_one(df).count() == 40
+
+
+def test_exact_links_unite_all_that_are_alike():
+    r = np.random.default_rng(3)
+    for n, pool in ((2, 12), (30, 14), (80, 16)):
+        sets = [np.unique(r.choice(pool, r.integers(1, pool))).astype(np.int64) for _ in range(n)]
+        alike = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.75 for b in sets] for a in sets])
+        want = np.arange(n)
+        while not (want == (new := np.where(alike, want[None, :], n).min(axis=1))).all():
+            want = new
+        links = near.exact_links(np.concatenate(sets), np.array([len(s) for s in sets]), np.arange(n), 0.75)
+        assert all(alike[a, b] for a, b in links) and len(links) == n - len(set(want.tolist()))
+        assert all(want[a] == want[b] for a, b in links)
+
+
 # --- urls ----------------------------------------------------------------------------------------
 
 

@@ -55,7 +55,7 @@ def majority_bits(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprint_task(id_col: str, words: int, planes: int, minima: int):
+def _fingerprint_task(id_col: str, words: int, planes: int, minima: int, distinct: bool = False):
     salts = arrays.mix(np.arange(1, planes + 1, dtype=np.uint64))
     keys = arrays.mix(np.arange(1001, 1001 + minima, dtype=np.uint64)) | np.uint64(1)
 
@@ -65,6 +65,7 @@ def _fingerprint_task(id_col: str, words: int, planes: int, minima: int):
             for first, last, offsets, data in arrays.slices(batch.column(batch.schema.get_field_index("text")), 1 << 20):
                 raw = data.tobytes()
                 parts = [shingle_hashes(raw[a:b], words) for a, b in itertools.pairwise(offsets.tolist())]
+                parts = [np.unique(p) for p in parts] if distinct else parts
                 cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
                 hashes = np.concatenate(parts)
                 fp = [majority_bits(hashes if k == 0 else arrays.mix(hashes ^ salts[k]), cuts) for k in range(planes)]
@@ -80,12 +81,13 @@ def _fingerprint_task(id_col: str, words: int, planes: int, minima: int):
     return run
 
 
-def fingerprints(docs: DataFrame, *, words: int = 3, planes: int = 1, minima: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, *, words: int = 3, planes: int = 1, minima: int = 0, distinct: bool = False) -> DataFrame:
     """(doc_id, fp, minima) of every whole text: fp has `planes` 64-bit numbers, the first the SimHash of the
-    shingles' XXH64, the others of mixed copies of it; minima has that many minima of shingle hashes."""
+    shingles' XXH64, the others of mixed copies of it; minima has that many minima of shingle hashes.
+    With `distinct` a shingle counts once however often it is in the text."""
     kept = docs.schema["doc_id"]
     fields = [T.StructField("doc_id", kept.dataType), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("minima", T.ArrayType(T.LongType()))]
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint_task("doc_id", words, planes, minima), T.StructType(fields[: 3 if minima else 2]))
+    return docs.select("doc_id", "text").mapInArrow(_fingerprint_task("doc_id", words, planes, minima, distinct), T.StructType(fields[: 3 if minima else 2]))
 
 
 # --- bit-sliced comparison -----------------------------------------------------------------------
@@ -361,43 +363,81 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 # --- near duplicates by similarity ---------------------------------------------------------------
 
 
+def differing_share(similarity: float, most: int = 40) -> float:
+    """The largest chance that a bit differs in two sets of shingles with at least this Jaccard similarity.
+
+    Of large sets it is the angle's share; up to `most` shared shingles, where ties count, it is summed up exactly.
+    """
+    worst = math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+    def chance(shared: int, own: int, s: int) -> float:  # that over half of shared + own bits are set, s of them in the shared ones
+        return sum(math.comb(own, k) for k in range(own + 1) if 2 * (s + k) > shared + own) / 2**own
+
+    for shared in range(1, most + 1):
+        others = math.floor(shared * (1 / similarity - 1) + 1e-9)
+        for x in range(others + 1):
+            for y in range(min(x, others - x) + 1):
+                p = [(chance(shared, x, s), chance(shared, y, s), math.comb(shared, s) / 2**shared) for s in range(shared + 1)]
+                worst = max(worst, sum(w * (a * (1 - b) + b * (1 - a)) for a, b, w in p))
+    return worst
+
+
 def radius_of(similarity: float, bits: int) -> int:
-    """The differing bits to be expected at a Jaccard similarity of shingles, and half a standard deviation."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    """The differing bits to be expected at most at a Jaccard similarity of shingles, and three standard deviations."""
+    share = differing_share(similarity)
+    return round(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, planes: int = 16, bands: int = 10, most: int = 20_000) -> DataFrame:
-    """(doc_id, component_id) of every row: groups of texts whose shingles of `words` words are alike.
+def _groups(rows: DataFrame, words: int, similarity: float, planes: int, bands: int, most: int) -> DataFrame:
+    """(doc_id, component_id) of rows without null ids: the least id that is linked to it, through any others."""
+    from tidemark.llm.jaccard import shingle_sets, verified_links
 
-    A link is a distance of at most radius_of(similarity) in a fingerprint of 64 * planes bits. Blocks to compare
-    are keyed by pairs of shingle minima, `bands` of them (two texts of similarity 0.8 share none with a chance
-    of 4e-5); a block of over `most` distinct fingerprints is split by eight further minima, each with a block
-    of its own, so its members meet again if alike, while texts that merely share a passage part.
-    Null and empty texts share one fingerprint, so they form a group. Repeated rows keep their group.
-    """
-    spark = docs.sparkSession
-    shared_folder(spark)
+    shared_folder(rows.sparkSession)
     extra = 8
-    prints = fingerprints(docs, words=words, planes=planes, minima=2 * bands + extra).checkpoint()
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("minima").alias("minima"))
-    distinct = distinct.select("fp", "minima", _name(F.col("least"), F.col("fp")).alias("least")).checkpoint()
+    prints = fingerprints(rows, words=words, planes=planes, minima=2 * bands + extra, distinct=True).checkpoint()
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("minima").alias("minima")).checkpoint()
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("minima")[2 * k], F.col("minima")[2 * k + 1]) for k in range(bands)))
     blocks = distinct.select(F.explode(keys).alias("key"), "fp", "least", F.slice("minima", 2 * bands + 1, extra).alias("more"))
     large = blocks.groupBy("key").count().filter(F.col("count") > most).select("key").withColumn("large", F.lit(True))
     split = blocks.join(large, "key", "left")
     finer = F.when(F.col("large"), F.array(*(F.xxhash64("key", F.lit(k), F.col("more")[k]) for k in range(extra)))).otherwise(F.array("key"))
-    links = _links(split.select(F.explode(finer).alias("key"), "fp", "least"), planes, radius_of(similarity, 64 * planes))
-    members = _component_of(distinct.select(F.xxhash64("fp").alias("name_"), "least"), links, "name_")
+    candidates = connected_components(_links(split.select(F.explode(finer).alias("key"), "fp", "least"), planes, radius_of(similarity, 64 * planes)))
+    texts = rows.join(candidates, rows["doc_id"] == candidates["node"]).select("root", "node", "text")
+    links = verified_links(shingle_sets(texts, words), similarity)
+    roots = connected_components(links)
+    members = distinct.join(roots, distinct["least"] == roots["node"], "left")
+    members = members.select(F.xxhash64("fp").alias("name_"), F.coalesce("root", "least").alias("component_id"))
     return prints.select("doc_id", F.xxhash64("fp").alias("name_")).join(members, "name_").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def _row_id(docs: DataFrame) -> Column:
+    """The doc_id, or for rows without one a number above all ids that the text gives."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NAMELESS) + F.xxhash64(docs["text"]).bitwiseAND(F.lit(NAMELESS - 1)))
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, planes: int = 16, bands: int = 10, most: int = 20_000) -> DataFrame:
+    """(doc_id, component_id) of every row: groups of texts linked by an exact Jaccard similarity of `similarity` or more.
+
+    The similarity is that of the sets of shingles of `words` words (a shorter text is one shingle). Fingerprints of
+    64 * planes bits find the candidates: pairs within radius_of(similarity), three standard deviations beyond the expected
+    distance, are united; the members of each united group are then compared by their sets. Blocks to compare
+    are keyed by pairs of shingle minima, `bands` of them (two texts of similarity 0.8 share none with a chance
+    of 4e-5); a block of over `most` distinct fingerprints is split by eight further minima, each with a block
+    of its own, so its members meet again if alike, while texts that merely share a passage part.
+    Null and empty texts share one fingerprint, so they form a group. Repeated rows keep their group.
+    """
+    rows = docs.select(_row_id(docs).alias("doc_id"), "text")
+    groups = _groups(rows, words, similarity, planes, bands, most)
+    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
+    return groups.select(named("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), named("component_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, planes: int = 16, bands: int = 10, most: int = 20_000) -> DataFrame:
     """The rows of docs that stand for their group: those with the least doc_id; of rows with the same doc_id one stays.
 
-    A null doc_id counts as the hash of its text, so such rows are grouped like others.
+    A null doc_id counts as a number above all ids that the text gives, so such rows are grouped like others.
     """
-    rows = docs.withColumn("row_id_", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    groups = near_duplicates(rows.select(F.col("row_id_").alias("doc_id"), "text"), **options)
+    rows = docs.withColumn("row_id_", _row_id(docs))
+    groups = _groups(rows.select(F.col("row_id_").alias("doc_id"), "text"), words, similarity, planes, bands, most)
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("row_id_")).distinct()
     return rows.join(kept, "row_id_", "left_semi").dropDuplicates(["row_id_"]).select(*(F.col(f"`{c}`") for c in docs.columns))
