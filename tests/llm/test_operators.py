@@ -266,6 +266,45 @@ def test_exact_links_unite_all_that_are_alike():
         assert all(want[a] == want[b] for a, b in links)
 
 
+def test_large_groups_lose_no_link(spark):
+    r = np.random.default_rng(5)
+    sets = []
+    for _ in range(3):  # copies of three bases, alike to their base and often not to each other; chains away from it; others
+        base = r.integers(0, 2**40, 30)
+        for _ in range(60):
+            sets.append(np.concatenate([base[r.permutation(30)[: 30 - r.integers(0, 6)]], r.integers(0, 2**40, r.integers(0, 3))]))
+        last = base
+        for _ in range(12):
+            last = np.concatenate([last[2:], r.integers(0, 2**40, 2)])
+            sets.append(last)
+    sets = [np.unique(s) for s in sets] + [np.unique(r.integers(0, 2**40, 30)) for _ in range(25)]
+    n = len(sets)
+    alike = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8 for b in sets] for a in sets])
+    want = np.arange(n)
+    while not (want == (new := np.where(alike, want[None, :], n).min(axis=1))).all():
+        want = new
+    df = spark.createDataFrame([(1, k, k, s.tolist()) for k, s in enumerate(sets)], "root long, node long, label long, shingles array<long>")
+    exact = near.verified_links(df, 0.8, most=600, rounds=2).collect()
+    assert all(alike[x["a"], x["b"]] for x in exact)
+    got = {x["node"]: x["root"] for x in graph.connected_components(spark.createDataFrame([tuple(x) for x in exact], "a long, b long")).collect()}
+    assert [got.get(k, k) for k in range(n)] == want.tolist()
+
+
+def test_no_task_holds_a_large_group(spark):
+    r = random.Random(9)
+    base = ["".join(r.choices("abcdefgh", k=6)) for _ in range(80)]
+    docs = [(k, " ".join(base[: 80 - k % 3] + [f"own{k}"])) for k in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sizes = []
+    real = simhash._links
+    simhash._links = lambda blocks, *a: (sizes.append(blocks.groupBy("key").count().agg(F.max("count")).first()[0]), real(blocks, *a))[1]
+    try:
+        got = {x["component_id"] for x in simhash.near_duplicates(df, most=50).collect()}
+    finally:
+        simhash._links = real
+    assert got == {0} and all((s or 0) <= 50 for s in sizes)
+
+
 # --- urls ----------------------------------------------------------------------------------------
 
 

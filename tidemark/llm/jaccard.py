@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays
+from tidemark.llm.graph import connected_components
 from tidemark.llm.simhash import shingle_hashes
 
 #: Shingles that a task compares at once (16 MB); more only for the texts of one key.
@@ -112,14 +113,78 @@ def _links_task(similarity: float):
                 if (out := flush(True)) is not None:
                     yield out
                 count = sum(len(x[4]) + len(x[0]) for x in held)
-                count = min(count, MOST // 2)
         if held and (out := flush(False)) is not None:
             yield out
 
     return run
 
 
-def verified_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of nodes whose sets are alike, which connect all such nodes of each root."""
-    rows = sets.select(F.col("root").alias("key"), "node", "label", "shingles")
+def _bounded(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links_task(similarity), "a long, b long")
+
+
+def _similarity(a: str, b: str):
+    shared = F.size(F.array_intersect(a, b))
+    return shared, F.size(a), F.size(b)
+
+
+def _representatives(members: DataFrame, unsettled: DataFrame, counts: DataFrame, turn: int, sample: int = 256) -> DataFrame:
+    """(root, rep, rep_set): for each root the member that is most like what a random unsettled member and those around it have in common."""
+    pivots = unsettled.groupBy("root").agg(F.min_by(F.struct("node", "shingles"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("p"))
+    pivots = F.broadcast(pivots.join(counts, "root").select("root", "members", F.col("p.node").alias("pivot"), F.col("p.shingles").alias("pivot_set")).checkpoint())
+    some = members.join(pivots, "root").filter((F.col("node") == F.col("pivot")) | (F.pmod(F.xxhash64("node"), F.lit(1_000_000)) * F.col("members") < sample * 1_000_000))
+    shared, a, b = _similarity("shingles", "pivot_set")
+    around = some.filter((F.col("node") == F.col("pivot")) | (shared * 3 >= a + b)).select("root", "shingles").checkpoint()  # a similarity of 0.5
+    common = around.select("root", F.explode("shingles").alias("s")).groupBy("root", "s").count().join(F.broadcast(around.groupBy("root").agg(F.count("*").alias("n"))), "root")
+    common = F.broadcast(common.filter("2 * count >= n").groupBy("root").agg(F.collect_list("s").alias("common")))
+    shared, a, b = _similarity("shingles", "common")
+    best = members.join(common, "root").select("root", "node", "shingles", (shared / F.greatest(a + b - shared, F.lit(1))).alias("j"))
+    rep = best.groupBy("root").agg(F.max_by(F.struct("node", "shingles"), F.struct("j", "node")).alias("r"))
+    return rep.select("root", F.col("r.node").alias("rep"), F.col("r.shingles").alias("rep_set")).checkpoint()
+
+
+def _large_links(members: DataFrame, counts: DataFrame, similarity: float, most: int, rounds: int) -> DataFrame:
+    """Links of groups that are too large for a task.
+
+    Rounds link members to a representative, all in parallel. Members that are connected so need not be compared with each
+    other. Every other pair meets: members are dealt into chunks by what they are connected to, and each two chunks
+    that aren't connected are a key, so no task holds more than two chunks and no link is lost.
+    """
+    found, unsettled, labels = None, members, None
+    for turn in range(rounds):
+        reps = F.broadcast(_representatives(members, unsettled, counts, turn))
+        shared, a, b = _similarity("shingles", "rep_set")
+        alike = members.join(reps, "root").filter(enough(shared, a, b, similarity)).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        found = alike.checkpoint() if found is None else found.unionByName(alike).checkpoint()
+        labels = connected_components(found).select("node", F.col("root").alias("united"))
+        unsettled = members.join(labels, "node", "left_anti")
+        left = unsettled.groupBy("root").agg(F.sum(F.size("shingles") + 1).alias("n")).filter(F.col("n") > most)
+        unsettled = unsettled.join(F.broadcast(left.select("root")), "root", "left_semi").checkpoint()
+        if unsettled.isEmpty():
+            break
+    of = members.join(labels, "node", "left").select("root", "node", F.coalesce("united", "node").alias("label"), "shingles", "united").checkpoint()
+    dealt = of.groupBy("root", "united").agg(F.ceil(F.sum(F.size("shingles") + 1) / F.lit(max(1, most // 2))).cast("int").alias("chunks")).checkpoint()
+    same = F.col("of.united").eqNullSafe(F.col("dealt.united"))
+    rows = of.alias("of").join(F.broadcast(dealt).alias("dealt"), (F.col("of.root") == F.col("dealt.root")) & same)
+    chunk = F.xxhash64("of.root", F.coalesce("of.united", F.lit(-1)), F.col("of.united").isNull(), F.pmod(F.xxhash64(F.lit(7), "of.node"), "chunks"))
+    rows = rows.select(chunk.alias("chunk"), "of.node", "of.label", "of.shingles")
+    chunks = dealt.select("root", "united", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
+    chunks = chunks.select("root", "united", F.xxhash64("root", F.coalesce("united", F.lit(-1)), F.col("united").isNull(), F.col("c").cast("long")).alias("chunk"))
+    x, y = chunks.alias("x"), chunks.alias("y")
+    apart = F.col("x.united").isNull() | F.col("y.united").isNull() | (F.col("x.united") != F.col("y.united"))
+    pairs = x.join(y, (F.col("x.root") == F.col("y.root")) & (F.col("x.chunk") <= F.col("y.chunk")) & apart)
+    pairs = pairs.select(F.xxhash64("x.chunk", "y.chunk").alias("key"), F.explode(F.array_distinct(F.array("x.chunk", "y.chunk"))).alias("chunk"))
+    return found.unionByName(_bounded(rows.join(pairs, "chunk").select("key", "node", "label", "shingles"), similarity))
+
+
+def verified_links(sets: DataFrame, similarity: float, most: int = 200_000, rounds: int = 4) -> DataFrame:
+    """Links (a, b) of nodes whose sets are alike, which connect all such nodes of each root. No task holds much more than `most` shingles of a root."""
+    sets = sets.checkpoint()
+    counts = sets.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.size("shingles") + 1).alias("n"))
+    counts = counts.filter(F.col("n") > most).filter("members > 2").checkpoint()
+    few = F.broadcast(counts.select("root"))
+    links = _bounded(sets.join(few, "root", "left_anti").select(F.col("root").alias("key"), "node", "label", "shingles"), similarity)
+    if counts.isEmpty():
+        return links
+    members = sets.join(few, "root", "left_semi").select("root", "node", "shingles").checkpoint()
+    return links.unionByName(_large_links(members, F.broadcast(counts), similarity, most, rounds))

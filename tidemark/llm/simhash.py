@@ -398,10 +398,15 @@ def _groups(rows: DataFrame, words: int, similarity: float, planes: int, bands:
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("minima").alias("minima")).checkpoint()
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("minima")[2 * k], F.col("minima")[2 * k + 1]) for k in range(bands)))
     blocks = distinct.select(F.explode(keys).alias("key"), "fp", "least", F.slice("minima", 2 * bands + 1, extra).alias("more"))
-    large = blocks.groupBy("key").count().filter(F.col("count") > most).select("key").withColumn("large", F.lit(True))
-    split = blocks.join(large, "key", "left")
+    counted = lambda b: F.broadcast(b.groupBy("key").count().filter(F.col("count") > most).select("key", F.lit(True).alias("large")))
     finer = F.when(F.col("large"), F.array(*(F.xxhash64("key", F.lit(k), F.col("more")[k]) for k in range(extra)))).otherwise(F.array("key"))
-    candidates = connected_components(_links(split.select(F.explode(finer).alias("key"), "fp", "least"), planes, radius_of(similarity, 64 * planes)))
+    blocks = blocks.join(counted(blocks), "key", "left").select(F.explode(finer).alias("key"), "fp", "least")
+    large = counted(blocks)
+    links = _links(blocks.join(large, "key", "left_anti"), planes, radius_of(similarity, 64 * planes))
+    alike = blocks.join(large, "key").select("key", "least")
+    first = F.broadcast(alike.groupBy("key").agg(F.min("least").alias("b")))
+    links = links.unionByName(alike.join(first, "key").select(F.col("least").alias("a"), "b"))
+    candidates = connected_components(links)
     texts = rows.join(candidates, rows["doc_id"] == candidates["node"]).select("root", "node", "text")
     links = verified_links(shingle_sets(texts, words), similarity)
     roots = connected_components(links)
@@ -423,7 +428,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     distance, are united; the members of each united group are then compared by their sets. Blocks to compare
     are keyed by pairs of shingle minima, `bands` of them (two texts of similarity 0.8 share none with a chance
     of 4e-5); a block of over `most` distinct fingerprints is split by eight further minima, each with a block
-    of its own, so its members meet again if alike, while texts that merely share a passage part.
+    of its own, so its members meet again if alike, while texts that merely share a passage part. What is over `most`
+    even then is one group of candidates as it stands, and no task ever holds it: see verified_links.
     Null and empty texts share one fingerprint, so they form a group. Repeated rows keep their group.
     """
     rows = docs.select(_row_id(docs).alias("doc_id"), "text")
