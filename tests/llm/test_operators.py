@@ -305,6 +305,12 @@ def test_no_task_holds_a_large_group(spark):
     assert got == {0} and all((s or 0) <= 50 for s in sizes)
 
 
+def test_nothing_is_removed_without_a_model(spark):
+    df = spark.createDataFrame([(k, f"some clean text {k}") for k in range(30)], "doc_id long, text string")
+    for rows in ([], [(k, 0, 1) for k in range(30)]):  # no labels, or toxic ones only
+        assert toxicity.remove_toxic(df, spark.createDataFrame(rows, LABELS)).count() == 30
+
+
 # --- urls ----------------------------------------------------------------------------------------
 
 

@@ -330,8 +330,11 @@ def score(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The rows of docs with a score below the threshold."""
-    return score(docs, train(docs, labels, **options), "result_").filter(F.col("result_.score") < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs with a score below the threshold; all where the labels fit no model, as their share alone tells nothing of a text."""
+    model = train(docs, labels, **options)
+    if not model.document[1:].any():
+        return docs
+    return score(docs, model, "result_").filter(F.col("result_.score") < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
