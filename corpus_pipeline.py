@@ -12,17 +12,15 @@ ORACLE_SQL; tests/llm holds run() against a brute-force version.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import remove_contaminated
-from tidemark.llm.graph import shared_folder
 from tidemark.llm.mixture import mix
 from tidemark.llm.pii import sanitise
 from tidemark.llm.simhash import keep_one
 from tidemark.llm.toxicity import remove_toxic
+from tidemark.sources.files import discard, workspace
 
 
 def toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,13 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """The stages, one after the other; what each keeps is written to the shared folder and read again."""
-    shared_folder(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    """The stages, one after the other; what each keeps is written to the shared folder and read again, and goes once the next stage is written."""
+    folder = workspace(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            discard(spark, before)
+        before = f"{folder}/{name}"
+    return STAGES[-1][1](spark, docs, sf_dir)

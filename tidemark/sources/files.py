@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,12 +16,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def workspace(spark) -> str:
-    """A new folder under the session's checkpoint folder, which all executors share; one is set only where none is."""
+def shared_folder(spark) -> str:
+    """The session's checkpoint folder, which all executors share. A cluster has to name it in spark.checkpoint.dir; a local session gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4()}"
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def workspace(spark) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4()}"
+
+
+def discard(spark, path: str) -> None:
+    """Deletes a folder of intermediate results that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def parallelize(spark, rows: list, schema, partitions: int = 2) -> DataFrame:
