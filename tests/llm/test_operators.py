@@ -180,7 +180,7 @@ def test_every_pair_within_the_radius_meets(spark):
         fps |= {f, g}
         pairs.append((f, g))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    df = spark.createDataFrame([(signed(f), signed(f)) for f in fps], "fp long, least long")
+    df = spark.createDataFrame([(signed(f), signed(f)) for f in fps], "fp long, node long")
     links = {frozenset((x["a"], x["b"])) for x in simhash.exact_links(df).collect()}
     assert {frozenset((signed(f), signed(g))) for f, g in pairs} <= links
 
@@ -213,8 +213,45 @@ def test_near_copies_of_long_texts(spark):
 
 def test_copies_keep_one_row(spark):
     df = spark.createDataFrame([(4, "same text of five words or more"), (2, "same text of five words or more"), (2, "same text of five words or more"), (None, "same text of five words or more"), (9, "another text that is not at all alike here")], "doc_id long, text string")
-    kept = [x["doc_id"] for x in simhash.keep_one(df).collect()]
-    assert len(kept) == 2 and 9 in kept
+    assert sorted(x["doc_id"] for x in simhash.keep_one(df).collect()) == [2, 9]
+
+
+HIGH = (1 << 62) + 5
+ANY_IDS = [
+    (HIGH, "one text with a number beyond all others as its id"),
+    (HIGH + 4, "one text with a number beyond all others as its id"),
+    (-7, "this text here has a number below zero as its id"),
+    (8, "this text here has a number below zero as its id"),
+    (-(1 << 63), "the least number of all is the id of this one"),
+    (3, "two texts that are not alike under one and the same id"),
+    (3, "an unlike second one which has the number three as well"),
+    (None, "no id here at all but the words are its own ones"),
+    (None, "no id here either and these words are others than those"),
+    (None, "no id here either and these words are others than those"),
+]
+
+
+def test_ids_of_any_value(spark):
+    df = spark.createDataFrame(ANY_IDS, "doc_id long, text string")
+    want = {HIGH: {HIGH}, HIGH + 4: {HIGH}, -7: {-7}, 8: {-7}, -(1 << 63): {-(1 << 63)}, 3: {3}, None: {None}}
+    for out in (simhash.near_duplicates(df), simhash.simhash_components(df)):
+        got: dict = {}
+        for x in out.collect():
+            got.setdefault(x["doc_id"], set()).add(x["component_id"])
+        assert got == want
+    kept = sorted((x["doc_id"] is None, x["doc_id"] or 0, x["text"]) for x in simhash.keep_one(df).collect())
+    assert len(kept) == 7 and {t for _, _, t in kept} == {t for _, t in ANY_IDS}
+    named = df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert simhash.keep_one(named).count() == 7
+
+
+def test_one_id_of_two_texts_unites_nothing(spark):
+    r = random.Random(3)
+    words = lambda: ["".join(r.choices("abcdefgh", k=6)) for _ in range(80)]
+    a, b = words(), words()
+    df = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:-1])), (3, " ".join(b[:-1]))], "doc_id long, text string")
+    assert {x["text"] for x in simhash.keep_one(df).collect()} == {" ".join(a), " ".join(b)}
+    assert {(x["doc_id"], x["component_id"]) for x in simhash.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
 def jaccard(a, b):
@@ -283,7 +320,7 @@ def test_large_groups_lose_no_link(spark):
     want = np.arange(n)
     while not (want == (new := np.where(alike, want[None, :], n).min(axis=1))).all():
         want = new
-    df = spark.createDataFrame([(1, k, k, s.tolist()) for k, s in enumerate(sets)], "root long, node long, label long, shingles array<long>")
+    df = spark.createDataFrame([(1, k, s.tolist()) for k, s in enumerate(sets)], "root long, node long, shingles array<long>")
     exact = near.verified_links(df, 0.8, most=600, rounds=2).collect()
     assert all(alike[x["a"], x["b"]] for x in exact)
     got = {x["node"]: x["root"] for x in graph.connected_components(spark.createDataFrame([tuple(x) for x in exact], "a long, b long")).collect()}

@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import shared_folder
 
-def shared_folder(spark) -> None:
-    """Keeps the cluster's spark.checkpoint.dir; sets a folder only where there is none, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+#: A table with more rows than this is joined by a shuffle and not broadcast.
+MOST_BROADCAST = 500_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, checkpointed, marked for a broadcast if a count shows that it has at most `most` rows."""
+    shared_folder(df.sparkSession)
+    df = df.checkpoint()
+    return F.broadcast(df) if df.count() <= most else df
+
+
+class Names:
+    """Column names that no column of `df` has, whatever the case: names("x") is x_, or x__ where that is taken, and so on."""
+
+    def __init__(self, *frames: DataFrame):
+        self.taken = {c.lower() for df in frames for c in df.columns}
+        self.given: dict[str, str] = {}
+
+    def __call__(self, base: str) -> str:
+        if base not in self.given:
+            name = base + "_"
+            while name.lower() in self.taken:
+                name += "_"
+            self.given[base] = name
+            self.taken.add(name.lower())
+        return self.given[base]
+
+
+def columns(names: list[str], of: str | None = None) -> list[Column]:
+    """Columns by their whole names, which may hold dots or quotes."""
+    return [F.col((f"{of}." if of else "") + f"`{c.replace('`', '``')}`") for c in names]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of `edges` (columns a, b): root is the smallest node reachable.
+    """(node, root) for every node of `edges` (columns a, b, of any type that has an order): root is the smallest node reachable.
 
     Alternates the large-star and small-star steps: each node's neighbours are linked to the least
     node of its neighbourhood, first the larger neighbours, then the others. Every step is an aggregate

@@ -8,17 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import arrays
-from tidemark.llm.graph import connected_components
+from tidemark.llm.graph import connected_components, small
 from tidemark.llm.simhash import shingle_hashes
 
-#: Shingles that a task compares at once (16 MB); more only for the texts of one key.
+#: Shingles that a task compares at once (16 MB); larger groups are split.
 MOST = 2_000_000
 
 
 def _sets_task(words: int):
-    """(root, node, text) to (root, node, label, shingles): sorted distinct hashes, and a label of its own for each node."""
+    """(root, node, text) to (root, node, shingles): sorted distinct hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -28,14 +29,15 @@ def _sets_task(words: int):
                 cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 shingles = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets).view(np.int64)))
                 root, node = (batch.column(k).slice(first, last - first) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([root, node, node, shingles], names=["root", "node", "label", "shingles"])
+                yield pa.RecordBatch.from_arrays([root, node, shingles], names=["root", "node", "shingles"])
 
     return run
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(root, node, label, shingles) of (root, node, text)."""
-    return texts.select("root", "node", "text").mapInArrow(_sets_task(words), "root long, node long, label long, shingles array<long>")
+    """(root, node, shingles) of (root, node, text)."""
+    schema = T.StructType([texts.schema["root"], texts.schema["node"], T.StructField("shingles", T.ArrayType(T.LongType()))])
+    return texts.select("root", "node", "text").mapInArrow(_sets_task(words), schema)
 
 
 def enough(shared, a, b, similarity: float):
@@ -79,10 +81,9 @@ def exact_links(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, similar
 
 
 def _links_task(similarity: float):
-    """Rows (key, node, label, shingles) sorted by key, in batches; out go (a, b) of sets that are alike and connect each key's."""
+    """Rows (key, label, node, shingles) sorted by key, in batches; out go (a, b) of sets that are alike and connect each key's."""
 
-    def linked(rows) -> pa.RecordBatch | None:
-        keys, nodes, labels, sizes, flat = rows
+    def linked(keys, labels, sizes, flat, nodes) -> pa.RecordBatch | None:
         new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         a, b = [], []
@@ -90,29 +91,30 @@ def _links_task(similarity: float):
             for x, y in exact_links(flat[cuts[low] : cuts[high]], sizes[low:high], labels[low:high], similarity):
                 a.append(low + x)
                 b.append(low + y)
-        return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"]) if a else None
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], names=["a", "b"]) if a else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
         def flush(upto_last_key: bool):
-            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1])) if upto_last_key else len(rows[0])
-            at = int(rows[3][:cut].sum())
-            held[:] = [tuple(x[cut:] for x in rows[:4]) + (rows[4][at:],)] if cut < len(rows[0]) else []
-            return linked([x[:cut] for x in rows[:4]] + [rows[4][:at]]) if cut else None
+            keys, labels, sizes, flat = (np.concatenate([h[k] for h in held]) for k in range(4))
+            nodes = pa.concat_arrays([h[4] for h in held])
+            cut = int(np.searchsorted(keys, keys[-1])) if upto_last_key else len(keys)
+            at = int(sizes[:cut].sum())
+            held[:] = [(keys[cut:], labels[cut:], sizes[cut:], flat[at:], nodes.slice(cut))] if cut < len(keys) else []
+            return linked(keys[:cut], labels[:cut], sizes[:cut], flat[:at], nodes.slice(0, cut)) if cut else None
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             column = batch.column(3)
             sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
-            held.append((*(batch.column(k).to_numpy() for k in range(3)), sizes, column.flatten().to_numpy()))
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), sizes, column.flatten().to_numpy(), batch.column(2)))
             count += int(sizes.sum()) + len(sizes)
             if count >= MOST:
                 if (out := flush(True)) is not None:
                     yield out
-                count = sum(len(x[4]) + len(x[0]) for x in held)
+                count = sum(len(x[3]) + len(x[0]) for x in held)
         if held and (out := flush(False)) is not None:
             yield out
 
@@ -120,7 +122,9 @@ def _links_task(similarity: float):
 
 
 def _bounded(rows: DataFrame, similarity: float) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links_task(similarity), "a long, b long")
+    node = rows.schema["node"].dataType
+    schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
+    return rows.select("key", "label", "node", "shingles").repartition("key").sortWithinPartitions("key").mapInArrow(_links_task(similarity), schema)
 
 
 def _similarity(a: str, b: str):
@@ -131,12 +135,12 @@ def _similarity(a: str, b: str):
 def _representatives(members: DataFrame, unsettled: DataFrame, counts: DataFrame, turn: int, sample: int = 256) -> DataFrame:
     """(root, rep, rep_set): for each root the member that is most like what a random unsettled member and those around it have in common."""
     pivots = unsettled.groupBy("root").agg(F.min_by(F.struct("node", "shingles"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("p"))
-    pivots = F.broadcast(pivots.join(counts, "root").select("root", "members", F.col("p.node").alias("pivot"), F.col("p.shingles").alias("pivot_set")).checkpoint())
+    pivots = small(pivots.join(counts, "root").select("root", "members", F.col("p.node").alias("pivot"), F.col("p.shingles").alias("pivot_set")))
     some = members.join(pivots, "root").filter((F.col("node") == F.col("pivot")) | (F.pmod(F.xxhash64("node"), F.lit(1_000_000)) * F.col("members") < sample * 1_000_000))
     shared, a, b = _similarity("shingles", "pivot_set")
     around = some.filter((F.col("node") == F.col("pivot")) | (shared * 3 >= a + b)).select("root", "shingles").checkpoint()  # a similarity of 0.5
-    common = around.select("root", F.explode("shingles").alias("s")).groupBy("root", "s").count().join(F.broadcast(around.groupBy("root").agg(F.count("*").alias("n"))), "root")
-    common = F.broadcast(common.filter("2 * count >= n").groupBy("root").agg(F.collect_list("s").alias("common")))
+    common = around.select("root", F.explode("shingles").alias("s")).groupBy("root", "s").count().join(small(around.groupBy("root").agg(F.count("*").alias("n"))), "root")
+    common = small(common.filter("2 * count >= n").groupBy("root").agg(F.collect_list("s").alias("common")))
     shared, a, b = _similarity("shingles", "common")
     best = members.join(common, "root").select("root", "node", "shingles", (shared / F.greatest(a + b - shared, F.lit(1))).alias("j"))
     rep = best.groupBy("root").agg(F.max_by(F.struct("node", "shingles"), F.struct("j", "node")).alias("r"))
@@ -152,39 +156,39 @@ def _large_links(members: DataFrame, counts: DataFrame, similarity: float, most:
     """
     found, unsettled, labels = None, members, None
     for turn in range(rounds):
-        reps = F.broadcast(_representatives(members, unsettled, counts, turn))
+        reps = small(_representatives(members, unsettled, counts, turn))
         shared, a, b = _similarity("shingles", "rep_set")
         alike = members.join(reps, "root").filter(enough(shared, a, b, similarity)).select(F.col("node").alias("a"), F.col("rep").alias("b"))
         found = alike.checkpoint() if found is None else found.unionByName(alike).checkpoint()
         labels = connected_components(found).select("node", F.col("root").alias("united"))
         unsettled = members.join(labels, "node", "left_anti")
         left = unsettled.groupBy("root").agg(F.sum(F.size("shingles") + 1).alias("n")).filter(F.col("n") > most)
-        unsettled = unsettled.join(F.broadcast(left.select("root")), "root", "left_semi").checkpoint()
+        unsettled = unsettled.join(small(left.select("root")), "root", "left_semi").checkpoint()
         if unsettled.isEmpty():
             break
-    of = members.join(labels, "node", "left").select("root", "node", F.coalesce("united", "node").alias("label"), "shingles", "united").checkpoint()
-    dealt = of.groupBy("root", "united").agg(F.ceil(F.sum(F.size("shingles") + 1) / F.lit(max(1, most // 2))).cast("int").alias("chunks")).checkpoint()
-    same = F.col("of.united").eqNullSafe(F.col("dealt.united"))
-    rows = of.alias("of").join(F.broadcast(dealt).alias("dealt"), (F.col("of.root") == F.col("dealt.root")) & same)
-    chunk = F.xxhash64("of.root", F.coalesce("of.united", F.lit(-1)), F.col("of.united").isNull(), F.pmod(F.xxhash64(F.lit(7), "of.node"), "chunks"))
-    rows = rows.select(chunk.alias("chunk"), "of.node", "of.label", "of.shingles")
-    chunks = dealt.select("root", "united", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
-    chunks = chunks.select("root", "united", F.xxhash64("root", F.coalesce("united", F.lit(-1)), F.col("united").isNull(), F.col("c").cast("long")).alias("chunk"))
+    of = members.join(labels, "node", "left").select("root", "node", F.xxhash64(F.coalesce("united", "node")).alias("label"), "shingles", F.xxhash64("united").alias("whole"), F.col("united").isNotNull().alias("linked"))
+    of = of.withColumn("whole", F.when(F.col("linked"), F.col("whole")).otherwise(F.lit(0))).checkpoint()
+    dealt = small(of.groupBy("root", "linked", "whole").agg(F.ceil(F.sum(F.size("shingles") + 1) / F.lit(max(1, most // 2))).cast("long").alias("chunks")))
+    name = lambda c: F.xxhash64("root", "linked", "whole", c)
+    rows = of.join(dealt, ["root", "linked", "whole"]).select(name(F.pmod(F.xxhash64(F.lit(7), "node"), "chunks")).alias("chunk"), "node", "label", "shingles")
+    chunks = dealt.select("root", "linked", "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c")).withColumn("chunk", name(F.col("c")))
     x, y = chunks.alias("x"), chunks.alias("y")
-    apart = F.col("x.united").isNull() | F.col("y.united").isNull() | (F.col("x.united") != F.col("y.united"))
+    apart = ~F.col("x.linked") | ~F.col("y.linked") | (F.col("x.whole") != F.col("y.whole"))
     pairs = x.join(y, (F.col("x.root") == F.col("y.root")) & (F.col("x.chunk") <= F.col("y.chunk")) & apart)
     pairs = pairs.select(F.xxhash64("x.chunk", "y.chunk").alias("key"), F.explode(F.array_distinct(F.array("x.chunk", "y.chunk"))).alias("chunk"))
-    return found.unionByName(_bounded(rows.join(pairs, "chunk").select("key", "node", "label", "shingles"), similarity))
+    return found.unionByName(_bounded(rows.join(pairs, "chunk"), similarity))
 
 
-def verified_links(sets: DataFrame, similarity: float, most: int = 200_000, rounds: int = 4) -> DataFrame:
-    """Links (a, b) of nodes whose sets are alike, which connect all such nodes of each root. No task holds much more than `most` shingles of a root."""
+def verified_links(sets: DataFrame, similarity: float, most: int = MOST, rounds: int = 4) -> DataFrame:
+    """Links (a, b) of nodes whose sets are alike, which connect all such nodes of each root. sets: (root, node, shingles).
+
+    No task holds much more than `most` shingles of a root. Root and node may be of any type that has an order.
+    """
     sets = sets.checkpoint()
     counts = sets.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.size("shingles") + 1).alias("n"))
-    counts = counts.filter(F.col("n") > most).filter("members > 2").checkpoint()
-    few = F.broadcast(counts.select("root"))
-    links = _bounded(sets.join(few, "root", "left_anti").select(F.col("root").alias("key"), "node", "label", "shingles"), similarity)
+    counts = small(counts.filter(F.col("n") > most).filter("members > 2"))
+    links = _bounded(sets.join(counts, "root", "left_anti").select(F.xxhash64("root").alias("key"), F.xxhash64("node").alias("label"), "node", "shingles"), similarity)
     if counts.isEmpty():
         return links
-    members = sets.join(few, "root", "left_semi").select("root", "node", "shingles").checkpoint()
-    return links.unionByName(_large_links(members, F.broadcast(counts), similarity, most, rounds))
+    members = sets.join(counts, "root", "left_semi").checkpoint()
+    return links.unionByName(_large_links(members, counts, similarity, most, rounds))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import arrays
-from tidemark.llm.graph import connected_components, shared_folder
+from tidemark.llm.graph import Names, columns, connected_components, shared_folder, small
 
 #: Spreads a byte's bits over eight byte-wide counters, the highest bit first.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint8).copy().view(np.uint64).ravel()
@@ -55,13 +55,12 @@ def majority_bits(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprint_task(id_col: str, words: int, planes: int, minima: int, distinct: bool = False):
+def _fingerprint_task(kept: list[str], words: int, planes: int, minima: int, distinct: bool = False):
     salts = arrays.mix(np.arange(1, planes + 1, dtype=np.uint64))
     keys = arrays.mix(np.arange(1001, 1001 + minima, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(id_col))
             for first, last, offsets, data in arrays.slices(batch.column(batch.schema.get_field_index("text")), 1 << 20):
                 raw = data.tobytes()
                 parts = [shingle_hashes(raw[a:b], words) for a, b in itertools.pairwise(offsets.tolist())]
@@ -69,25 +68,26 @@ def _fingerprint_task(id_col: str, words: int, planes: int, minima: int, distinc
                 cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
                 hashes = np.concatenate(parts)
                 fp = [majority_bits(hashes if k == 0 else arrays.mix(hashes ^ salts[k]), cuts) for k in range(planes)]
-                columns = [ids.slice(first, last - first), pa.array(list(np.stack(fp, axis=1).view(np.int64)), type=pa.list_(pa.int64()))]
+                columns = [batch.column(batch.schema.get_field_index(c)).slice(first, last - first) for c in kept]
+                columns.append(pa.array(list(np.stack(fp, axis=1).view(np.int64)), type=pa.list_(pa.int64())))
                 if minima:
                     low = np.zeros((len(parts), minima), dtype=np.int64)
                     full = np.flatnonzero(np.diff(cuts))
                     for k in range(minima if len(full) else 0):
                         low[full, k] = np.minimum.reduceat(arrays.mix(hashes * keys[k]), cuts[full]).view(np.int64)
                     columns.append(pa.array(list(low), type=pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "fp", "minima"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "fp", "minima"][: len(columns)])
 
     return run
 
 
-def fingerprints(docs: DataFrame, *, words: int = 3, planes: int = 1, minima: int = 0, distinct: bool = False) -> DataFrame:
-    """(doc_id, fp, minima) of every whole text: fp has `planes` 64-bit numbers, the first the SimHash of the
+def fingerprints(docs: DataFrame, *, kept: tuple[str, ...] = ("doc_id",), words: int = 3, planes: int = 1, minima: int = 0, distinct: bool = False) -> DataFrame:
+    """(kept, fp, minima) of every whole text: fp has `planes` 64-bit numbers, the first the SimHash of the
     shingles' XXH64, the others of mixed copies of it; minima has that many minima of shingle hashes.
     With `distinct` a shingle counts once however often it is in the text."""
-    kept = docs.schema["doc_id"]
-    fields = [T.StructField("doc_id", kept.dataType), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("minima", T.ArrayType(T.LongType()))]
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint_task("doc_id", words, planes, minima, distinct), T.StructType(fields[: 3 if minima else 2]))
+    fields = [docs.schema[c] for c in kept] + [T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("minima", T.ArrayType(T.LongType()))]
+    task = _fingerprint_task(list(kept), words, planes, minima, distinct)
+    return docs.select(*kept, "text").mapInArrow(task, T.StructType(fields if minima else fields[:-1]))
 
 
 # --- bit-sliced comparison -----------------------------------------------------------------------
@@ -255,7 +255,7 @@ def _near_lanes(differing: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _compare_task(planes: int, radius: int):
-    """Rows (key, fp, least) sorted by key and fingerprint, in batches; out go (a, b) from each member's document to its component's first."""
+    """Rows (key, fp, node) sorted by key and fingerprint, in batches; out go (a, b) from each member's node to its component's first."""
 
     def components(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -274,23 +274,24 @@ def _compare_task(planes: int, radius: int):
         return linked, root[linked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
 
         def flush(upto_last_key: bool):
-            keys, fps, least = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, fps = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            nodes = pa.concat_arrays([h[2] for h in held])
             cut = int(np.searchsorted(keys, keys[-1])) if upto_last_key else len(keys)
-            held[:] = [(keys[cut:], fps[cut:], least[cut:])] if cut < len(keys) else []
+            held[:] = [(keys[cut:], fps[cut:], nodes.slice(cut))] if cut < len(keys) else []
             if not cut:
                 return None
             a, b = components(keys[:cut], fps[:cut])
-            return pa.RecordBatch.from_arrays([pa.array(least[a]), pa.array(least[b])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, least = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
             fps = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, planes)
-            held.append((keys, fps, least))
+            held.append((keys, fps, batch.column(2)))
             if sum(len(k) for k, _, _ in held) >= 20_000 and (out := flush(True)) is not None:
                 yield out
         if held and (out := flush(False)) is not None:
@@ -305,17 +306,13 @@ def band_keys(bits: int, radius: int, bands: int) -> list[list[tuple[int, int]]]
     return [[(edges[i], edges[i + 1]) for i in choice] for choice in itertools.combinations(range(bands), bands - radius)]
 
 
-#: Fingerprints of rows without an id are named from here on, above all ids.
-NAMELESS = 1 << 62
-
-
-def _name(least: Column, fp: Column) -> Column:
-    """The least doc_id of a fingerprint's rows; for rows without ids a number that the fingerprint gives."""
-    return F.coalesce(least.cast("long"), F.lit(NAMELESS) + F.xxhash64(fp).bitwiseAND(F.lit(NAMELESS - 1)))
+def _node(id_: str, *own: str) -> Column:
+    """The name of a node of the graph: what it stands for, after the least doc_id of its rows, null after all others. The least node of a component so has its least doc_id."""
+    return F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), *own)
 
 
 def exact_links(fps: DataFrame, radius: int = 2, bands: int = 8) -> DataFrame:
-    """Links (a, b) of documents that connect all the 64-bit fingerprints (fp, distinct, each with its least document) within `radius` bits of each other.
+    """Links (a, b) of nodes that connect all the 64-bit fingerprints (fp, distinct, each with its node) within `radius` bits of each other.
 
     Two such numbers agree in at least bands - radius of `bands` equal bands. Every choice of so many bands is
     a key, and the rows of a key form a block. A block holds distinct numbers with 64 * radius / bands free
@@ -326,20 +323,13 @@ def exact_links(fps: DataFrame, radius: int = 2, bands: int = 8) -> DataFrame:
         mask = sum(((1 << (hi - lo)) - 1) << lo for lo, hi in choice)
         mask -= (mask >> 63) << 64
         keys.append(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(mask))))
-    return _links(fps.select(F.explode(F.array(*keys)).alias("key"), F.array("fp").alias("fp"), "least"), 1, radius)
+    return _links(fps.select(F.explode(F.array(*keys)).alias("key"), F.array("fp").alias("fp"), "node"), 1, radius)
 
 
 def _links(blocks: DataFrame, planes: int, radius: int) -> DataFrame:
-    rows = blocks.select("key", "fp", "least").repartition("key").sortWithinPartitions("key", "fp")
-    return rows.mapInArrow(_compare_task(planes, radius), "a long, b long")
-
-
-def _component_of(distinct: DataFrame, links: DataFrame, *kept: str) -> DataFrame:
-    """(kept, component_id): the links are between least documents, so a component's root is its least doc_id."""
-    roots = connected_components(links)
-    root = F.coalesce("root", "least")
-    rooted = distinct.join(roots, distinct["least"] == roots["node"], "left")
-    return rooted.select(*kept, F.when(root < NAMELESS, root).alias("component_id"))
+    rows = blocks.select("key", "fp", "node").repartition("key").sortWithinPartitions("key", "fp")
+    node = blocks.schema["node"].dataType
+    return rows.mapInArrow(_compare_task(planes, radius), T.StructType([T.StructField("a", node), T.StructField("b", node)]))
 
 
 def simhash_components(docs: DataFrame, *, words: int = 3, radius: int = 2) -> DataFrame:
@@ -347,12 +337,15 @@ def simhash_components(docs: DataFrame, *, words: int = 3, radius: int = 2) -> D
 
     Copies meet in one row per distinct fingerprint before anything is compared. Null and empty texts
     have fingerprint zero and are linked like any other; repeated rows are kept, each with its component;
-    rows with a null doc_id get the component of their fingerprint; an empty table gives no rows.
+    rows with a null doc_id get the component of their fingerprint, null if it has no row with an id; an empty
+    table gives no rows. Ids may be any numbers or texts; columns other than doc_id and text aren't used.
     """
     shared_folder(docs.sparkSession)
     prints = fingerprints(docs, words=words).select("doc_id", F.col("fp")[0].alias("fp")).checkpoint()
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", _name(F.col("least"), F.col("fp")).alias("least")).checkpoint()
-    return prints.join(_component_of(distinct, exact_links(distinct, radius), "fp"), "fp")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", _node("least", "fp").alias("node")).checkpoint()
+    roots = connected_components(exact_links(distinct, radius))
+    rooted = distinct.join(roots, "node", "left").select("fp", F.when(F.col("root").isNull(), F.col("node.id")).otherwise(F.col("root.id")).alias("component_id"))
+    return prints.join(rooted, "fp").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
@@ -388,36 +381,35 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
 
 
+def text_name(text: str = "text") -> Column:
+    """Sixteen bytes that name a text; texts without a word share one name."""
+    return F.unhex(F.md5(F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.col(text)).otherwise(F.lit(""))))
+
+
 def _groups(rows: DataFrame, words: int, similarity: float, planes: int, bands: int, most: int) -> DataFrame:
-    """(doc_id, component_id) of rows without null ids: the least id that is linked to it, through any others."""
+    """(node, copies, root) of the distinct texts of rows (doc_id, text): root is the least node linked to it, through any others."""
     from tidemark.llm.jaccard import shingle_sets, verified_links
 
     shared_folder(rows.sparkSession)
     extra = 8
-    prints = fingerprints(rows, words=words, planes=planes, minima=2 * bands + extra, distinct=True).checkpoint()
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("minima").alias("minima")).checkpoint()
+    named = rows.select("doc_id", text_name().alias("name"), "text")
+    prints = fingerprints(named, kept=("doc_id", "name"), words=words, planes=planes, minima=2 * bands + extra, distinct=True)
+    distinct = prints.groupBy("name").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("minima").alias("minima"))
+    distinct = distinct.select(_node("least", "name").alias("node"), "copies", "fp", "minima").checkpoint()
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("minima")[2 * k], F.col("minima")[2 * k + 1]) for k in range(bands)))
-    blocks = distinct.select(F.explode(keys).alias("key"), "fp", "least", F.slice("minima", 2 * bands + 1, extra).alias("more"))
-    counted = lambda b: F.broadcast(b.groupBy("key").count().filter(F.col("count") > most).select("key", F.lit(True).alias("large")))
+    blocks = distinct.select(F.explode(keys).alias("key"), "fp", "node", F.slice("minima", 2 * bands + 1, extra).alias("more"))
+    beyond = lambda b: small(b.groupBy("key").count().filter(F.col("count") > most).select("key", F.lit(True).alias("large")))
     finer = F.when(F.col("large"), F.array(*(F.xxhash64("key", F.lit(k), F.col("more")[k]) for k in range(extra)))).otherwise(F.array("key"))
-    blocks = blocks.join(counted(blocks), "key", "left").select(F.explode(finer).alias("key"), "fp", "least")
-    large = counted(blocks)
+    blocks = blocks.join(beyond(blocks), "key", "left").select(F.explode(finer).alias("key"), "fp", "node")
+    large = beyond(blocks)
     links = _links(blocks.join(large, "key", "left_anti"), planes, radius_of(similarity, 64 * planes))
-    alike = blocks.join(large, "key").select("key", "least")
-    first = F.broadcast(alike.groupBy("key").agg(F.min("least").alias("b")))
-    links = links.unionByName(alike.join(first, "key").select(F.col("least").alias("a"), "b"))
-    candidates = connected_components(links)
-    texts = rows.join(candidates, rows["doc_id"] == candidates["node"]).select("root", "node", "text")
-    links = verified_links(shingle_sets(texts, words), similarity)
-    roots = connected_components(links)
-    members = distinct.join(roots, distinct["least"] == roots["node"], "left")
-    members = members.select(F.xxhash64("fp").alias("name_"), F.coalesce("root", "least").alias("component_id"))
-    return prints.select("doc_id", F.xxhash64("fp").alias("name_")).join(members, "name_").select("doc_id", "component_id")
-
-
-def _row_id(docs: DataFrame) -> Column:
-    """The doc_id, or for rows without one a number above all ids that the text gives."""
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NAMELESS) + F.xxhash64(docs["text"]).bitwiseAND(F.lit(NAMELESS - 1)))
+    alike = blocks.join(large, "key").select("key", "node")
+    first = small(alike.groupBy("key").agg(F.min("node").alias("b")))
+    links = links.unionByName(alike.join(first, "key").select(F.col("node").alias("a"), "b"))
+    candidates = connected_components(links).select("root", "node", F.col("node.name").alias("name"), F.col("node.id").alias("least"))
+    texts = named.join(candidates, (named["name"] == candidates["name"]) & named["doc_id"].eqNullSafe(candidates["least"])).select("root", "node", "text")
+    roots = connected_components(verified_links(shingle_sets(texts, words), similarity))
+    return distinct.select("node", "copies").join(roots, "node", "left").select("node", "copies", F.when(F.col("root").isNull(), F.col("node")).otherwise(F.col("root")).alias("root"))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, planes: int = 16, bands: int = 10, most: int = 20_000) -> DataFrame:
@@ -427,23 +419,32 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     64 * planes bits find the candidates: pairs within radius_of(similarity), three standard deviations beyond the expected
     distance, are united; the members of each united group are then compared by their sets. Blocks to compare
     are keyed by pairs of shingle minima, `bands` of them (two texts of similarity 0.8 share none with a chance
-    of 4e-5); a block of over `most` distinct fingerprints is split by eight further minima, each with a block
-    of its own, so its members meet again if alike, while texts that merely share a passage part. What is over `most`
-    even then is one group of candidates as it stands, and no task ever holds it: see verified_links.
-    Null and empty texts share one fingerprint, so they form a group. Repeated rows keep their group.
+    of 4e-5); a block of over `most` distinct texts is split by eight further minima, each with a block
+    of its own, so its members meet again if alike (all but a chance of 3e-6), while texts that merely share a passage part. What
+    is over `most` even then is one group of candidates as it stands, and no task ever holds it: see verified_links.
+
+    Texts without a word form a group. Nodes of the graph are texts, not ids: unlike texts under one doc_id are apart, rows
+    without a doc_id are grouped by their texts (component_id is null if no row of the group has an id), ids may be any
+    numbers or texts. Repeated rows keep their group; ties go to the least doc_id; an empty table gives no rows; other columns
+    aren't used.
     """
-    rows = docs.select(_row_id(docs).alias("doc_id"), "text")
-    groups = _groups(rows, words, similarity, planes, bands, most)
-    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
-    return groups.select(named("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), named("component_id").alias("component_id"))
+    rows = docs.select("doc_id", "text")
+    groups = _groups(rows, words, similarity, planes, bands, most).select(F.col("node.name").alias("name"), F.col("root.id").alias("component_id"))
+    return rows.select("doc_id", text_name().alias("name")).join(groups, "name").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, planes: int = 16, bands: int = 10, most: int = 20_000) -> DataFrame:
-    """The rows of docs that stand for their group: those with the least doc_id; of rows with the same doc_id one stays.
+    """The rows of docs that stand for their group: one for each group of near_duplicates, with the least doc_id.
 
-    A null doc_id counts as a number above all ids that the text gives, so such rows are grouped like others.
+    Of several rows with that text and doc_id the one with the least hash stays. Rows without a doc_id come after all others, and a
+    group of such rows alone is represented by one of them. All columns pass through, whatever their names.
     """
-    rows = docs.withColumn("row_id_", _row_id(docs))
-    groups = _groups(rows.select(F.col("row_id_").alias("doc_id"), "text"), words, similarity, planes, bands, most)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("row_id_")).distinct()
-    return rows.join(kept, "row_id_", "left_semi").dropDuplicates(["row_id_"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    names, free = docs.columns, Names(docs)
+    name, least, copies, pick = (free(n) for n in ("name", "least", "copies", "pick"))
+    groups = _groups(docs.select("doc_id", "text"), words, similarity, planes, bands, most)
+    heads = groups.filter("node = root").select(F.col("node.name").alias(name), F.col("node.id").alias(least), F.col("copies").alias(copies)).checkpoint()
+    rows = docs.withColumn(name, text_name())
+    found = rows.join(heads, (rows[name] == heads[name]) & rows["doc_id"].eqNullSafe(heads[least])).select(*columns(names), heads[name], copies)
+    hashed = columns([f.name for f in docs.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))])
+    repeated = found.filter(F.col(copies) > 1).groupBy(name).agg(F.min_by(F.struct(*columns(names)), F.xxhash64(*hashed)).alias(pick))
+    return found.filter(F.col(copies) == 1).select(*columns(names)).unionByName(repeated.select(f"{pick}.*"))
