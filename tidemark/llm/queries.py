@@ -33,17 +33,18 @@ ORACLES = {
     "op1_decontaminate": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORD}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORD}') AS w FROM benchmark),
-wins AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, p, p + least(10, len(w)) - 1), ' ') AS s
+wins AS (SELECT item_id, p AS q, least(10, len(w)) AS n, array_to_string(list_slice(w, p, p + least(10, len(w)) - 1), ' ') AS s
          FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(p) WHERE len(w) > 0),
 at_ AS (SELECT doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS s
         FROM d, (SELECT DISTINCT n FROM wins) k, unnest(range(1, greatest(len(w) - n + 1, 0) + 1)) AS u(p)),
-hits AS (SELECT a.doc_id, a.p, a.n, x.item_id FROM at_ a JOIN wins x ON a.s = x.s AND a.n = x.n),
-runs AS (SELECT doc_id, item_id, p, n, p - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY p) AS g FROM (SELECT DISTINCT doc_id, item_id, p, n FROM hits)),
+hits AS (SELECT a.doc_id, a.p, a.n, x.item_id, x.q FROM at_ a JOIN wins x ON a.s = x.s AND a.n = x.n),
+runs AS (SELECT doc_id, min(p) AS start, count(*) + max(n) - 1 AS size FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS g FROM hits) GROUP BY doc_id, item_id, p - q, g),
+longest AS (SELECT doc_id, max(size) AS longest, min_by(start, (-size, start)) - 1 AS longest_start FROM runs GROUP BY doc_id),
 covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, p, n FROM hits), unnest(range(p, p + n)) AS u(q) GROUP BY doc_id),
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(longest_start AS BIGINT) AS longest_start
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)""",
     "op2_urls": f"""
 WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), {_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
@@ -59,6 +60,6 @@ e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS safe FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(length('<|im_start|>') + length(role) + 1 + length(safe) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+       CAST(sum(length('<|im_start|>') + length(role) + 1 + length(safe) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars, true AS round_trip
 FROM e GROUP BY conv_id""",
 }
