@@ -47,8 +47,8 @@ def all_operators(spark, docs, benchmark):
     yield "syncmers", syncmers.fingerprint(docs)
     yield "toxicity", toxicity.score(docs, toxicity.train(docs, labels))
     yield "licenses", licenses.scan_licenses(docs)
-    yield "pii", pii.find_private(docs, support=1)
-    yield "sanitise", pii.sanitise(docs, support=1)
+    yield "pii", pii.find_private(docs)
+    yield "sanitise", pii.sanitise(docs)
     yield "mixture", mixture.mix(docs)
 
 
@@ -501,22 +501,84 @@ def test_spans_against_python(spark):
     bits = ["a@b.c", "a@b.c.x@y.z", "@", ".", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "007.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+12345", " ", "é", "\U0001f600", "\n", "-", "9", "%+_"]
     texts = ["".join(r.choices(bits, k=r.randint(1, 12))) for _ in range(400)] + ["a" * 100_000, "a@b" + ".c" * 50_000, "1" * 100_000, "1 " * 50_000, "+1" * 20_000, "+1" + "(" * 50_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in x["private"]] for x in pii.find_private(df, terms=spark.createDataFrame([], "kind int, term string")).collect()}
+    got = {x["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in x["private"]] for x in pii.find_private(df, terms=spark.createDataFrame([], "term string")).collect()}
     for d, t in enumerate(texts):
         if len(t) < 1000:
             assert got[d] == base_spans(t), t
     assert got[401] == [(0, 0, 100_003)]
 
 
-def test_terms_that_reveal(spark):
+def brute_terms(texts, threshold, z):
+    """The statistic of disclosing terms in plain Python: {(kind, term): (documents, together, contexts, strength)}."""
+    word = re.compile(r"[^\W_]{3,}")
+
+    def shape(w):
+        digit, letter = any(c.isnumeric() for c in w), any(c.isalpha() for c in w)
+        return f"{'a9' if letter else '9'}:{len(w)}" if digit else w
+
+    documents, together, contexts, size = {}, {}, {}, [0] * 5
+    for t in texts:
+        spans = base_spans(t)
+        kinds = {k for _, k, _ in spans} | ({4} if spans else set())
+        for a, _, b in spans:
+            t = t[:a] + " " * (b - a) + t[b:]
+        words = word.findall(t.lower())
+        terms = [shape(w) for w in words]
+        for k in kinds:
+            size[k] += 1
+        for x in set(terms):
+            documents[x] = documents.get(x, 0) + 1
+            for k in kinds:
+                together[k, x] = together.get((k, x), 0) + 1
+        for i, x in enumerate(terms):
+            for k in kinds:
+                contexts.setdefault((k, x), set()).add((words[i - 1] if i else None, words[i], words[i + 1] if i + 1 < len(words) else None))
+    out = {}
+    for (k, x), c in together.items():
+        share, rate = size[k] / len(texts), c / documents[x]
+        n = min(c, len(contexts[k, x])) / rate
+        low = (rate + z * z / (2 * n) - z * max(0.0, rate * (1 - rate) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+        strength = np.log2(low / share) / -np.log2(share) if share < 1 and low > 0 else -9
+        if strength >= threshold:
+            out[k, x] = (documents[x], c, len(contexts[k, x]), strength)
+    return out
+
+
+def test_terms_against_brute_force(spark, sf):
     r = random.Random(12)
-    rows = [(i, f"{' '.join(r.choices(['alpha', 'beta', 'gamma'], k=20))} clinicmail u{i}@x.org {' '.join(r.choices(['delta', 'beta'], k=9))}" if i % 5 == 0 else " ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=30))) for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(0))
-    terms = [(x["kind"], x["term"]) for x in pii.disclosing_terms(df).collect()]
-    assert terms == [(0, "clinicmail")]
+    common = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    texts = []
+    for i in range(400):
+        w = r.choices(common, k=25)
+        if i % 10 == 0:  # a word and a secret of one shape beside addresses
+            w[3:3] = ["clinicmail", f"u{i}@x.org", f"{r.getrandbits(80):020x}z1"]
+        if i % 10 == 5:
+            w[7:7] = ["rarely", f"10.0.0.{i % 200}" if i % 40 == 5 else "never"]
+        texts.append(" ".join(w))
+    texts += ["Clinicmail without any address, e5" + "a7" * 10] * 3 + ["copied words once@here.org of a single text"] * 60 + ["", "same"]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string").withColumn("n_chars", F.lit(0))
+    for threshold in (0.6, 0.3):
+        want = brute_terms([*texts, ""], threshold, 4.0)
+        got = {(x["kind"], x["term"]): tuple(x)[2:] for x in pii.disclosing_terms(df, threshold=threshold).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert {t for _, t in brute_terms(texts, 0.6, 4.0)} == {"clinicmail", "a9:22"}  # and no word of the copied text
     clean = {x["doc_id"]: x for x in pii.sanitise(df).collect()}
-    assert all("<TERM> <EMAIL>" in clean[i]["text"] and "@" not in clean[i]["text"] for i in range(0, 300, 5))
-    assert all(clean[i]["text"] == rows[i][1] and clean[i]["n_chars"] == len(rows[i][1]) for i in range(300) if i % 5)
+    assert all("<TERM> <EMAIL> <TERM>" in clean[i]["text"] for i in range(0, 400, 10))
+    assert clean[400]["text"] == "<TERM> without any address, <TERM>"
+    assert all(clean[i]["text"] == texts[i] and clean[i]["n_chars"] == len(texts[i]) for i in range(400) if i % 5)
+
+
+def test_given_documents_yield_terms(spark, duck):
+    sf = "/root/testdata/sf0.1"
+    texts = [t for (t,) in duck.sql(f"SELECT coalesce(text, '') FROM '{sf}/documents.parquet'").fetchall()]
+    want = brute_terms(texts, 0.6, 4.0)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {(x["kind"], x["term"]): x["strength"] for x in pii.disclosing_terms(docs).collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k][3]) < 1e-9 for k in want)
+    spans = pii.find_private(docs).select(F.explode(F.filter("private", lambda s: s["kind"] == pii.TERM)).alias("s"), "text").select(F.expr("lower(substring(text, s.start + 1, s.end - s.start))").alias("w")).collect()
+    found = [x["w"] for x in spans]
+    assert {(4, "token"), (4, "a9:40")} <= want.keys() and set(found) >= {t for _, t in want if ":" not in t}
+    assert found.count("token") == sum(len(re.findall(r"(?<![^\W_])token(?![^\W_])", t.lower())) for t in texts)
 
 
 def test_overlaps_are_redacted_once(spark):
