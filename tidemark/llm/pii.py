@@ -84,9 +84,10 @@ WORD = r"[\p{L}\p{N}]{3,}+"
 
 
 def terms_of(text: str) -> str:
-    """SQL: the terms of a text in order. A word of letters is a term, in lower case; others are known by their shape: 9:16 is
+    """SQL: the different terms of a text. A word of letters is a term, in lower case; others are known by their shape: 9:16 is
     sixteen digits, a9:40 forty letters and digits. So a secret that stands once in the corpus still has a term that can tell."""
-    return f"transform({words_of(text)}, w -> {_shaped('w')})"
+    distinct = f"array_distinct({words_of(text)})"
+    return f"if({text} rlike r'\\p{{N}}', array_distinct(transform({distinct}, w -> {_shaped('w')})), {distinct})"
 
 
 def words_of(text: str) -> str:
@@ -133,7 +134,7 @@ def _terms(marked: DataFrame, free: Names, threshold: float, z: float) -> DataFr
     for k, n in shown.items():
         some = some | (F.col(f"c{k}") >= n)
     together = small(together.filter(some))
-    documents = marked.select(F.explode(F.expr(f"array_distinct({terms_of(rest)})")).alias("term")).join(together.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("documents"))
+    documents = marked.select(F.explode(F.expr(terms_of(rest))).alias("term")).join(together.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("documents"))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"c{k}").alias("together"), F.lit(p).alias("share"), F.lit(least[k]).alias("least"), F.lit(shown[k]).alias("shown")) for k, p in shares.items()))).alias("e")
     measured = documents.join(together, "term").select("term", "documents", each).select("term", "documents", "e.*").withColumn("rate", F.col("together") / F.col("documents"))
     measured = small(measured.filter("rate >= least and together >= shown"))
@@ -179,7 +180,7 @@ def find_private(docs: DataFrame, terms: DataFrame | None = None, *, out: str =
     marked = _marked(docs, free)
     whole, spans, rest, row, held = (free(n) for n in ("whole", "spans", "rest", "row", "held"))
     found = small((_terms(marked, free, **{"threshold": 0.6, "z": 4.0, **options}) if terms is None else terms).select("term").distinct())
-    own = marked.select(row, F.explode(F.expr(f"array_distinct({terms_of(rest)})")).alias("term")).join(found, "term", "left_semi").groupBy(row).agg(F.array_sort(F.collect_list("term")).alias(held))
+    own = marked.select(row, F.explode(F.expr(terms_of(rest))).alias("term")).join(found, "term", "left_semi").groupBy(row).agg(F.array_sort(F.collect_list("term")).alias(held))
     rows = marked.join(small(own), row, "left")
     more = f"if({held} is null, {NONE}, {find(rest, _term_pattern(held), TERM)})"
     return rows.select(*columns(docs.columns), F.expr(f"array_sort(concat({spans}, {more}))").alias(out))
