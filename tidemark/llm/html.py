@@ -22,7 +22,11 @@ BLOCK = frozenset(
 )
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
-#: Elements that are never part of an article, and such that aren't outside of one.
+#: Blocks that are text of the element around them, and such that structure it; the others are boxes of their own.
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption figcaption legend summary option address tbody thead tfoot hgroup".split())
+STRUCTURE = frozenset("ul ol dl table blockquote figure pre details".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are never part of an article.
 APART = frozenset("aside button canvas dialog footer form head iframe input map menu nav noscript object script search select style svg template textarea title".split())
 #: Words of a class, id or role by which authors name what isn't the article.
 NAMES = frozenset(
@@ -43,19 +47,60 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
+class Paths:
+    """The tag paths of a page as numbers: each is a label below an earlier path."""
+
+    def __init__(self):
+        self.known: dict[tuple[int, str], int] = {}
+        self.parent = [-1]
+
+    def below(self, path: int, label: str) -> int:
+        found = self.known.get((path, label))
+        if found is None:
+            found = self.known[path, label] = len(self.parent)
+            self.parent.append(path)
+        return found
+
+    def intervals(self) -> tuple[list[int], list[int]]:
+        """Where each path comes, and its last descendant, in depth-first order."""
+        children: list[list[int]] = [[] for _ in self.parent]
+        for k in range(1, len(self.parent)):
+            children[self.parent[k]].append(k)
+        first, last = [0] * len(self.parent), [0] * len(self.parent)
+        todo, n = [(0, False)], 0
+        while todo:
+            k, done = todo.pop()
+            if done:
+                last[k] = n - 1
+                continue
+            first[k] = n
+            n += 1
+            todo.append((k, True))
+            todo.extend((c, False) for c in children[k])
+        return first, last
+
+
 class Element:
-    __slots__ = ("tag", "label", "parent", "apart", "named", "holds")
+    """An open or closed element. What depends on the elements around it is handed down when it opens."""
+
+    __slots__ = ("tag", "parent", "holder", "path", "box", "inside", "apart", "named", "holds", "members", "links", "out")
 
-    def __init__(self, tag: str, label: str, parent: Element | None, apart: bool, named: bool):
-        self.tag, self.label, self.parent, self.apart, self.named = tag, label, parent, apart, named
-        self.holds = False  # an article, a main part or a first heading stands inside
+    def __init__(self, tag: str, parent: Element | None, paths: Paths, label: str, apart: bool, named: bool):
+        self.tag, self.parent, self.apart, self.named = tag, parent, apart, named
+        self.holds = self.out = False  # an article, a main part or a first heading stands inside; not of the article
+        self.members = self.links = 0  # blocks of a list, and such of them that are links
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        block = tag in BLOCK or parent is None
+        self.holder = self if block else parent.holder  # the innermost block
+        self.path = 0 if parent is None else paths.below(parent.path, label) if block or tag in ("b", "strong") else parent.path
+        self.box = self.path if block and tag not in LEAF else parent.box
 
 
 class Block:
-    __slots__ = ("element", "path", "parts", "linked", "text")
+    __slots__ = ("element", "path", "box", "out", "parts", "linked", "text")
 
-    def __init__(self, element: Element, path: str):
-        self.element, self.path, self.parts, self.linked, self.text = element, path, [], 0, ""
+    def __init__(self, element: Element, path: int):
+        self.element, self.path, self.box, self.out, self.parts, self.linked, self.text = element, path, element.box, False, [], 0, ""
 
 
 def _attributes(tag: str, source: str) -> tuple[str, bool, bool]:
@@ -78,35 +123,54 @@ def _attributes(tag: str, source: str) -> tuple[str, bool, bool]:
     return tag + names, hidden, bool(hits) and tag not in ("html", "body", "main", "article")
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text in order, each with its element and its root-to-leaf tag path."""
-    root = Element("#", "", None, False, False)
-    stack, blocks = [root], []
-    block: Block | None = None
-    links = 0
+class Stack:
+    """The open elements. Each tag's places and the blocks' places are kept, so that no step looks through the stack."""
+
+    def __init__(self, root: Element):
+        self.open, self.places, self.blocks, self.links = [root], {}, [0], 0
+
+    def last(self, tags) -> int:
+        """The place of the innermost element with one of these tags, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, e: Element) -> None:
+        at = len(self.open)
+        self.open.append(e)
+        self.places.setdefault(e.tag, []).append(at)
+        if e.tag in BLOCK:
+            self.blocks.append(at)
+        self.links += e.tag == "a"
 
-    def close_to(k: int) -> None:
-        nonlocal links
-        for e in stack[k:]:
-            links -= e.tag == "a"
-        del stack[k:]
+    def close_to(self, k: int) -> None:
+        while len(self.open) > k:
+            e = self.open.pop()
+            self.places[e.tag].pop()
+            if e.tag in BLOCK:
+                self.blocks.pop()
+            self.links -= e.tag == "a"
+
+
+def blocks_of(page: str) -> tuple[list[Block], Paths]:
+    """The page's blocks of text in order, each with its element and its root-to-leaf tag path; in time linear in the page's length."""
+    paths = Paths()
+    root = Element("#", None, paths, "", False, False)
+    stack, elements, blocks = Stack(root), [root], []
+    block: Block | None = None
 
     def text(piece: str) -> None:
         nonlocal block
         if not piece:
             return
+        inner = stack.open[-1]
         if block is None:
             if piece.isspace():
                 return
-            holder = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
-            path = "/".join(e.label for e in stack[1:] if e.tag in BLOCK or e.tag in ("a", "b", "strong"))
-            block = Block(holder, path)
+            block = Block(inner.holder, inner.path)
             blocks.append(block)
-        inner = stack[-1]
         if inner.tag not in BLOCK and inner.apart and not block.element.apart:
             return  # an inline part that is no text of the article, such as a button
         block.parts.append(piece)
-        if links:
+        if stack.links:
             block.linked += len(piece.strip())
 
     at = 0
@@ -125,164 +189,139 @@ def blocks_of(page: str) -> list[Block]:
                 text(m[0][9:-3])
             continue
         tag = tag.lower()
-        if not m["end"]:
-            if tag == "br":
-                if block is not None:
-                    block.parts.append(" ")
-                continue
-            if tag in BLOCK or tag == "hr":
+        if tag == "br":
+            if not m["end"] and block is not None:
+                block.parts.append(" ")
+        elif m["end"]:
+            place = stack.last((tag,))
+            if tag in BLOCK:
+                block = None
+            if place and (tag in BLOCK or place > stack.blocks[-1]):
+                stack.close_to(place)
+        else:
+            if tag in BLOCK:
                 block = None
-                for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                    if stack[k].tag == "p":
-                        close_to(k)
-                        break
-                    if stack[k].tag in BLOCK:
-                        break
+                if stack.open[stack.blocks[-1]].tag == "p":  # a block ends an open paragraph
+                    stack.close_to(stack.blocks[-1])
                 if tag in CLOSES:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag in HOLDS[tag]:
+                    while (place := stack.last(CLOSES[tag])) > stack.last(HOLDS[tag]):
+                        stack.close_to(place)
+                        if tag not in ("tr", "tbody", "tfoot"):
                             break
-                        if stack[k].tag in CLOSES[tag]:
-                            close_to(k)
-                            if tag not in ("tr", "tbody", "tfoot"):
-                                break
-                while tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag not in BLOCK and len(stack) > 1:
-                    close_to(len(stack) - 1)
-            if tag in VOID:
-                continue
-            if tag in ("body", "html") and any(e.tag == tag for e in stack):
+                while tag in HEADING and stack.open[-1].tag not in BLOCK and len(stack.open) > 1:
+                    stack.close_to(len(stack.open) - 1)
+            if tag in VOID or (tag in ("body", "html") and stack.last((tag,))):
                 continue
-            if tag == "body":
-                for k, e in enumerate(stack):
-                    if e.tag == "head":
-                        close_to(k)
-                        break
+            if tag == "body" and (place := stack.last(("head",))):
+                stack.close_to(place)
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.IGNORECASE).search(page, at)
                 at = end.end() if end else size
                 continue
-            parent = stack[-1]
-            inside = any(e.tag in ("article", "main") for e in stack)
+            parent = stack.open[-1]
             label, hidden, named = _attributes(tag, m["attributes"])
-            apart = parent.apart or hidden or tag in APART or (tag == "header" and not inside)
-            element = Element(tag, label, parent, apart, named)
+            apart = parent.apart or hidden or tag in APART or (tag == "header" and not parent.inside)
+            element = Element(tag, parent, paths, label, apart, named)
+            elements.append(element)
             if tag in ("article", "main", "h1"):
                 e: Element | None = parent
                 while e is not None and not e.holds:
                     e.holds = True
                     e = e.parent
             if not m["attributes"].rstrip().endswith("/") or tag in BLOCK:
-                stack.append(element)
-                links += tag == "a"
-        else:
-            if tag == "br":
-                continue
-            if tag in BLOCK:
-                block = None
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        close_to(k)
-                        break
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        links -= tag == "a"
-                        del stack[k]
-                        break
-                    if stack[k].tag in BLOCK:
-                        break
+                stack.push(element)
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in blocks if b.text]
-
-
-def _chain(e: Element | None) -> Iterator[Element]:
-    while e is not None:
-        yield e
-        e = e.parent
-
+        if b.text:
+            b.element.members += 1
+            b.element.links += b.linked >= 0.9 * len(b.text)
+    for e in reversed(elements[1:]):
+        e.parent.members += e.members
+        e.parent.links += e.links
+    for e in elements:  # outer ones come first
+        menu = e.tag in ("ul", "ol", "dl") and e.members > 1 and e.links == e.members
+        aside = e.named and not (e.holds or e.tag in ("h1", "main", "article"))
+        e.out = e.apart or menu or aside or (e.parent is not None and e.parent.out)
+    for b in blocks:
+        b.out = b.element.out
+    return [b for b in blocks if b.text], paths
 
-def _is_apart(e: Element) -> bool:
-    """Not of an article: by its own or an outer element's kind, or by an outer name that doesn't span the article itself."""
-    return e.apart or any(x.named and not (x.holds or x.tag in ("h1", "main", "article")) for x in _chain(e))
 
+def path_scores(blocks: list[Block], radius: int = 1) -> dict[tuple[int, bool], float]:
+    """The fused ratio of each tag path, apart for blocks that the markup or a name sets aside, which have none.
 
-def path_scores(blocks: list[Block], outside: list[bool], radius: int = 1) -> dict[str, float]:
-    """The fused ratio of each tag path: text length and punctuation a node, smoothed in page order, without link text."""
-    sums: dict[str, list[float]] = {}
+    Text length (without link text) and punctuation a node, smoothed in page order by a Gaussian, fused with the path's own ratio.
+    """
+    sums: dict[int, list[float]] = {}
     for b in blocks:
-        s = sums.setdefault(b.path, [0, 0, 0, 0])
-        s[0] += 1
-        s[1] += len(b.text)
-        s[2] += len(PUNCTUATION.findall(b.text))
-        s[3] += min(b.linked, len(b.text))
+        if not b.out:
+            s = sums.setdefault(b.path, [0, 0, 0, 0])
+            s[0] += 1
+            s[1] += len(b.text)
+            s[2] += len(PUNCTUATION.findall(b.text))
+            s[3] += min(b.linked, len(b.text))
     ratio = {p: (chars - linked) / n * (1 + marks / n) for p, (n, chars, marks, linked) in sums.items()}
-    series = [0.0 if o else ratio[b.path] for b, o in zip(blocks, outside, strict=True)]
+    series = [0.0 if b.out else ratio[b.path] for b in blocks]
     weights = [math.exp(-(d * d) / 2) for d in range(-radius, radius + 1)]
-    total: dict[str, list[float]] = {}
+    total: dict[tuple[int, bool], list[float]] = {}
     for i, b in enumerate(blocks):
         near = [(w, series[i + d]) for d, w in zip(range(-radius, radius + 1), weights, strict=True) if 0 <= i + d < len(series)]
         smooth = sum(w * x for w, x in near) / sum(w for w, _ in near)
-        t = total.setdefault(b.path, [0.0, 0.0])
-        t[0] += 0.0 if outside[i] else math.sqrt(max(series[i], 0.0) * smooth)
+        t = total.setdefault((b.path, b.out), [0.0, 0.0])
+        t[0] += math.sqrt(max(series[i], 0.0) * smooth)
         t[1] += 1
     return {p: s / n for p, (s, n) in total.items()}
 
 
-def main_text(page: str) -> str:
-    """The text of the page's article, one line a block.
+def content(blocks: list[Block], paths: Paths, scores: dict[tuple[int, bool], float]) -> list[Block]:
+    """The blocks of the content nodes, which the paths' scores alone choose.
 
-    Paths whose fused ratio reaches half the mean over all text, weighted by length, are content. The
-    article is the element around them: the article or main element with most of their text, else
-    the innermost element with nine tenths of it. All that stands in it is kept, headings and
-    short paragraphs too, but for what the markup sets apart and lists of links.
+    A node is a path of boxes; its score is the mean of its text's paths, weighted by length. Nodes that reach half
+    the mean of the whole page's text are content. A list, table or quotation in such a node goes with it, and so does a box, unless the node is the page's
+    body; a heading goes with the node that follows it inside its own. Text of paths without a score never counts.
     """
-    blocks = blocks_of(page)
-    if not blocks:
-        return ""
-    outside = [_is_apart(b.element) for b in blocks]
-    scores = path_scores(blocks, outside)
-    size = sum(len(b.text) for b, o in zip(blocks, outside, strict=True) if not o)
+    worth = [scores[b.path, b.out] for b in blocks]
+    size = sum(len(b.text) for b, w in zip(blocks, worth, strict=True) if w > 0)
     if not size:
-        return ""
-    threshold = 0.5 * sum(scores[b.path] * len(b.text) for b, o in zip(blocks, outside, strict=True) if not o) / size
-    content = [not o and scores[b.path] >= threshold for b, o in zip(blocks, outside, strict=True)]
-    mass: dict[int, float] = {}
-    elements: dict[int, Element] = {}
-    for b, c in zip(blocks, content, strict=True):
-        if c:
-            for e in _chain(b.element):
-                mass[id(e)] = mass.get(id(e), 0.0) + len(b.text)
-                elements[id(e)] = e
-    whole = max(mass.values(), default=0.0)
-    region: Element | None = None
-    for tag in ("article", "main"):
-        own = [(mass[k], e) for k, e in elements.items() if e.tag == tag]
-        if own and region is None:
-            most = max(m for m, _ in own)
-            if most >= 0.3 * whole:
-                region = next(e for m, e in own if m == most)
-                others = [m for m, e in own if m < most and not any(x is region for x in _chain(e))]
-                if sum(others) > 0.5 * most:  # several articles on one page
-                    region = region.parent
-    if region is None:
-        region = min(((m, -sum(1 for _ in _chain(elements[k])), k) for k, m in mass.items() if m >= 0.9 * whole and elements[k].tag not in ("p", "li", "td", "blockquote", "pre", "h1")), key=lambda x: x[1], default=(0, 0, None))[2]
-        region = elements.get(region)
-    kept = [b for b, o in zip(blocks, outside, strict=True) if not o and (region is None or any(e is region for e in _chain(b.element)))]
-    lists: dict[int, list[Block]] = {}
-    for b in kept:
-        for e in _chain(b.element):
-            if e.tag in ("ul", "ol", "dl"):
-                lists.setdefault(id(e), []).append(b)
-    menus = {k for k, members in lists.items() if len(members) > 1 and all(m.linked >= 0.9 * len(m.text) for m in members)}
-    return "\n".join(b.text for b in kept if not any(id(e) in menus for e in _chain(b.element)))
+        return []
+    threshold = 0.5 * sum(w * len(b.text) for b, w in zip(blocks, worth, strict=True)) / size
+    sums: dict[int, list[float]] = {}
+    for b, w in zip(blocks, worth, strict=True):
+        if w > 0:
+            s = sums.setdefault(b.box, [0.0, 0.0])
+            s[0] += w * len(b.text)
+            s[1] += len(b.text)
+    label = {k: name.split(".", 1)[0] for (_, name), k in paths.known.items()}
+    chosen = [False] * len(paths.parent)
+    for k, above in enumerate(paths.parent):  # outer paths come first
+        own = k in sums and sums[k][0] >= threshold * sums[k][1]
+        chosen[k] = own or (k > 0 and chosen[above] and (label[k] in STRUCTURE or label[k] in LEAF or label.get(above, "body") not in ("body", "html")))
+    first, last = paths.intervals()
+    kept: list[Block] = []
+    following: Block | None = None  # the next block of the content that is no heading
+    for b, w in zip(reversed(blocks), reversed(worth), strict=True):
+        heading = b.element.tag in HEADING
+        inside = following is not None and first[b.box] <= first[following.box] <= last[b.box]
+        if w > 0 and (chosen[b.box] or (heading and inside)):
+            kept.append(b)
+            following = following if heading else b
+        elif not heading and w > 0:
+            following = None
+    return kept[::-1]
+
+
+def main_text(page: str) -> str:
+    """The text of the page's article, one line a block: see path_scores and content."""
+    blocks, paths = blocks_of(page)
+    return "\n".join(b.text for b in content(blocks, paths, path_scores(blocks))) if blocks else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages with `text`, the main text of each whole html (null html: empty; nothing but markup: empty).
 
-    One pass without a shuffle. Broken and truncated markup is read as far as it goes, very long pages
-    in linear time; repeated rows are alike; other columns pass through (one named `text` is replaced).
+    One pass without a shuffle. Broken and truncated markup is read as far as it goes, very long or deep pages
+    in linear time; a page's paths of equal score are chosen or left alike; repeated rows are alike; an empty table gives no
+    rows; other columns pass through (one named `text` is replaced).
     """
     names = [c for c in pages.columns if c.lower() != "text"]
     schema = T.StructType([*(pages.schema[c] for c in names), T.StructField("text", T.StringType())])
