@@ -624,14 +624,59 @@ def test_automaton_against_brute_force():
     assert found == {(p, k) for p in range(len(tokens)) for k, s in enumerate(sequences) if p + 1 >= len(s) and tokens[p + 1 - len(s) : p + 1] == s}
 
 
+def test_every_place_of_a_state():
+    r = random.Random(14)
+    sequences = [[r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(1, 9))] for _ in range(6)]
+    automaton = licenses.SuffixAutomaton(sequences)
+    tokens = [r.choice([b"a", b"b", b"c"]) for _ in range(200)]
+    for p, state, n in automaton.matches(tokens):
+        piece = tokens[p - n + 1 : p + 1]
+        assert sorted(automaton.ends[state]) == [(k, i + n - 1) for k, s in enumerate(sequences) for i in range(len(s) - n + 1) if s[i : i + n] == piece]
+
+
+def test_covered_shares_against_brute_force():
+    r = random.Random(15)
+    scanner = licenses.Scanner((), licenses.TEMPLATES)
+    for label, wording in licenses.TEMPLATES:
+        words = licenses.words_of(wording.encode())
+        for _ in range(12):
+            broken = {i for i in range(len(words)) if r.random() < r.choice([0.02, 0.1, 0.25])}
+            said = [b"zz%d" % i if i in broken else w for i, w in enumerate(words)]
+            runs = "".join("x" if i in broken else "." for i in range(len(words)))
+            whole = [m for m in re.finditer(r"\.+", runs) if len(m[0]) >= 3 or m.end() == len(words)]
+            gaps = [b.start() - a.end() for a, b in zip(whole, whole[1:], strict=False)]
+            if not whole or len(whole[0][0]) < 3 or max(gaps, default=0) > 8:
+                continue
+            share = sum(len(m[0]) for m in whole) / len(words)
+            got = scanner.result(b"before it " + b" ".join(said) + b" after it", 0.75)
+            own = [s["covered"] for s in got["spans"] if s["label"] == label]
+            assert bool(own) == (share >= 0.75) or (share >= 0.75 and got["spans"])
+            assert share < 0.75 or not own or abs(max(own) - share) < 1e-9
+
+
+def test_shared_wording_counts_for_all_templates():
+    both = "one two three four five six seven"
+    scanner = licenses.Scanner((), [("a", both + " eight nine"), ("b", both + " ten eleven")])
+    assert scanner.result(both.encode(), 0.7)["labels"] == ["a", "b"]
+    assert scanner.result((both + " ten eleven").encode(), 0.7)["labels"] == ["b"]
+
+
 def test_template_spans():
     scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
     mit = licenses.TEMPLATES[0][1]
     words = mit.split()
-    r = scanner.result(("before it " + " ".join(words[:60] + ["altered"] + words[61:]) + " after it").encode(), 0.6)
+    r = scanner.result(("before it " + " ".join(words[:60] + ["altered"] + words[61:]) + " after it").encode(), 0.75)
     assert r["labels"] == ["mit"] and r["n_base"] == 0 and r["score"] > 0.8 and r["spans"][0]["start"] == 2
-    assert scanner.result(b"nothing of the kind stands here", 0.6)["labels"] == []
-    assert scanner.result(b"under the Apache License it is", 0.6)["base_labels"] == ["apache"]
+    assert scanner.result(b"nothing of the kind stands here", 0.75)["labels"] == []
+    assert scanner.result(b"under the Apache License it is", 0.75)["base_labels"] == ["apache"]
+    for text, labels in (("Licensed under CC BY-NC 4.0.", ["cc-by", "cc-by-nc-4.0"]), ("Licensed under CC BY 4.0", ["cc-by", "cc-by-4.0"]), ("it is licensed under the Apache License, Version 2.0, here", ["apache", "apache-2.0"])):
+        assert scanner.result(text.encode(), 0.75)["labels"] == labels
+
+
+def test_given_documents_have_labels_beyond_the_phrases(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = licenses.scan_licenses(docs).select(F.explode("licenses.labels").alias("label")).groupBy("label").count().collect()
+    assert {r["label"] for r in got} >= {"apache", "apache-2.0", "cc-by", "cc-by-nc-4.0", "mit"}
 
 
 # --- mixture -------------------------------------------------------------------------------------

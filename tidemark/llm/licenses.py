@@ -15,7 +15,7 @@ from tidemark.llm import arrays
 #: The phrases of the base scan and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Wordings of public licenses and of the notices that files carry, by label.
+#: Wordings of public licenses and of the notices that files carry, by label. Unlike the phrases they tell versions and variants apart.
 TEMPLATES = (
     (
         "mit",
@@ -28,13 +28,13 @@ TEMPLATES = (
         "Software or the use or other dealings in the Software.",
     ),
     (
-        "apache",
+        "apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         "AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
     (
-        "gpl",
+        "gpl-3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
         "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
         "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the "
@@ -53,21 +53,26 @@ TEMPLATES = (
         "permission notice appear in all copies.",
     ),
     (
-        "mpl",
+        "mpl-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
         "https://mozilla.org/MPL/2.0/.",
     ),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit https://creativecommons.org/licenses/by/4.0/"),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit https://creativecommons.org/licenses/by/4.0/"),
     (
         "unlicense",
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
         "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
-    ("gpl", "is licensed under the GNU General Public License version 2"),
-    ("apache", "is licensed under the Apache License 2.0"),
-    ("mit", "Released under the MIT License."),
-    ("mit", "This project is licensed under the terms of the MIT License"),
-    ("cc-by", "This work is licensed under CC BY 4.0"),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License v3.0"),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License v2.0"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("mit", "Released under the MIT License"),
+    ("cc-by-4.0", "Licensed under CC BY 4.0"),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0"),
+    ("mpl-2.0", "Licensed under the Mozilla Public License, Version 2.0"),
 )
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -81,37 +86,40 @@ def words_of(text: bytes) -> list[bytes]:
 class SuffixAutomaton:
     """All substrings of several token sequences in one automaton.
 
-    length[s] is the length of the state's longest substring, link[s] its suffix link, ends[s] the
-    (sequence, place) at which that substring ends first; phrases[s] the whole sequences of `marked`
+    length[s] is the length of the state's longest substring, link[s] its suffix link, ends[s] every
+    (sequence, place) at which the state's substrings end; phrases[s] the whole sequences of `marked`
     that are suffixes of it.
     """
 
     def __init__(self, sequences: list[list[bytes]], marked: int = 0):
         self.next: list[dict[bytes, int]] = [{}]
-        self.length, self.link, self.ends = [0], [-1], [(-1, -1)]
+        self.length, self.link = [0], [-1]
+        own: dict[int, list[tuple[int, int]]] = {}
         finals: dict[int, list[int]] = {}
         for k, tokens in enumerate(sequences):
             last = 0
             for place, token in enumerate(tokens):
-                last = self._add(last, token, (k, place))
+                last = self._add(last, token)
+                own.setdefault(last, []).append((k, place))
         for k, tokens in enumerate(sequences[:marked]):
             state = 0
             for token in tokens:
                 state = self.next[state][token]
             finals.setdefault(state, []).append(k)
-        self.phrases: list[list[tuple[int, int]]] = []
-        for s in range(len(self.next)):
-            at, found = s, []
-            while at > 0:
-                found += [(k, len(sequences[k])) for k in finals.get(at, [])]
-                at = self.link[at]
-            self.phrases.append(found)
-
-    def _add(self, last: int, token: bytes, end: tuple[int, int]) -> int:
+        self.ends: list[list[tuple[int, int]]] = [own.get(s, []) for s in range(len(self.next))]
+        self.phrases: list[list[tuple[int, int]]] = [[] for _ in self.next]
+        by_length = sorted(range(1, len(self.next)), key=lambda s: self.length[s])
+        for s in by_length:
+            self.phrases[s] = [(k, len(sequences[k])) for k in finals.get(s, [])] + self.phrases[self.link[s]]
+        for s in reversed(by_length):
+            if self.link[s] > 0:
+                self.ends[self.link[s]] = self.ends[self.link[s]] + self.ends[s]
+
+    def _add(self, last: int, token: bytes) -> int:
         if token in self.next[last]:
             q = self.next[last][token]
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, q, token)
-        new = self._state(self.length[last] + 1, end)
+        new = self._state(self.length[last] + 1)
         p = last
         while p >= 0 and token not in self.next[p]:
             self.next[p][token] = new
@@ -122,7 +130,7 @@ class SuffixAutomaton:
         return new
 
     def _clone(self, p: int, q: int, token: bytes) -> int:
-        clone = self._state(self.length[p] + 1, self.ends[q])
+        clone = self._state(self.length[p] + 1)
         self.next[clone] = dict(self.next[q])
         self.link[clone] = self.link[q]
         self.link[q] = clone
@@ -131,11 +139,10 @@ class SuffixAutomaton:
             p = self.link[p]
         return clone
 
-    def _state(self, length: int, end: tuple[int, int]) -> int:
+    def _state(self, length: int) -> int:
         self.next.append({})
         self.length.append(length)
         self.link.append(0)
-        self.ends.append(end)
         return len(self.next) - 1
 
     def matches(self, tokens: list[bytes]) -> Iterator[tuple[int, int, int]]:
@@ -157,7 +164,7 @@ class SuffixAutomaton:
 class Scanner:
     """phrases and templates as token sequences in one automaton."""
 
-    def __init__(self, phrases, templates, least: int = 4, gap: int = 8):
+    def __init__(self, phrases, templates, least: int = 3, gap: int = 8):
         self.labels = [label for _, label in phrases] + [label for label, _ in templates]
         self.sequences = [words_of(p.encode()) for p, _ in phrases] + [words_of(t.encode()) for _, t in templates]
         self.marked, self.least, self.gap = len(phrases), least, gap
@@ -167,52 +174,71 @@ class Scanner:
         """([(start, phrase)], template spans {template, start, end, covered}).
 
         Maximal matches of `least` tokens or more that follow each other both in the text and in a template, with
-        at most `gap` tokens between, are chained into one span.
+        at most `gap` tokens between, are chained into one span. A match counts for every template that has it,
+        and at every place where it has it; a template's last tokens count though they are fewer, if they stand where they are due.
         """
         a = self.automaton
         places: list[tuple[int, int]] = []
-        pieces: list[tuple[int, int, int, int]] = []  # template, its place, start and end in the text
+        matches: list[tuple[int, int, int]] = []
         before = (-2, 0, 0)
         for place, state, size in a.matches(tokens):
             for k, n in a.phrases[state]:
                 if size >= n:
                     places.append((place - n + 1, k))
-            if before[2] >= self.least and (place != before[0] + 1 or size <= before[2]):
-                pieces.append(self._piece(*before))
+            if before[2] and (place != before[0] + 1 or size <= before[2]):
+                matches.append(before)
             before = (place, state, size)
-        if before[2] >= self.least:
-            pieces.append(self._piece(*before))
+        if before[2]:
+            matches.append(before)
         spans: list[dict] = []
         open_: dict[int, dict] = {}
-        for template, own, start, end in pieces:
-            s = open_.get(template)
-            if s is not None and 0 <= start - s["end"] <= self.gap and 0 <= own - s["own"] <= 4 * self.gap:
-                s["end"], s["covered"], s["own"] = end, s["covered"] + end - start, own + end - start
-            elif s is not None and start < s["end"] < end and own >= s["own"] - (s["end"] - start):
-                s["covered"], s["own"], s["end"] = s["covered"] + end - s["end"], own + end - start, end
-            else:
-                s = {"template": template, "start": start, "end": end, "covered": end - start, "own": own + end - start}
-                spans.append(s)
-            open_[template] = s
+        for place, state, size in matches:
+            start, end = place - size + 1, place + 1
+            by: dict[int, list[int]] = {}
+            for template, last in a.ends[state]:
+                if template >= self.marked and (size >= self.least or last == len(self.sequences[template]) - 1):
+                    by.setdefault(template, []).append(last - size + 1)
+            for template, owns in by.items():
+                s = open_.get(template)
+                if s is not None and start - s["end"] <= self.gap and end > s["end"]:
+                    overlap = max(0, s["end"] - start)
+                    due = s["own"] + max(0, start - s["end"])  # where the template goes on if the text was altered word by word
+                    fits = [own + overlap for own in owns if 0 <= own + overlap - s["own"] <= 4 * self.gap and (size >= self.least or own + overlap == due)]
+                    if fits:
+                        fresh = end - start - overlap
+                        s["own"] = min(fits, key=lambda x: (abs(x - due), x)) + fresh
+                        s["end"], s["covered"] = end, s["covered"] + fresh
+                        continue
+                if size >= self.least:
+                    s = open_[template] = {"template": template, "start": start, "end": end, "covered": size, "own": min(owns) + size}
+                    spans.append(s)
         return sorted(places), spans
 
-    def _piece(self, place: int, state: int, size: int) -> tuple[int, int, int, int]:
-        template, end = self.automaton.ends[state]
-        return template, end - size + 1, place - size + 1, place + 1
-
     def result(self, text: bytes, share: float) -> dict:
         tokens = words_of(text)
         places, spans = self.scan(tokens)
         base = {self.labels[k] for _, k in places}
         found, score = set(base), 0.5 if base else 0.0
-        kept = []
         for s in spans:
-            covered = min(1.0, s["covered"] / len(self.sequences[s["template"]]))
-            if s["template"] >= self.marked and covered >= share:
-                found.add(self.labels[s["template"]])
-                kept.append({"label": self.labels[s["template"]], "start": s["start"], "end": s["end"], "covered": covered})
-            if s["template"] >= self.marked:
-                score = max(score, covered if covered < share or not base else 0.5 + covered / 2)
+            s["share"] = min(1.0, s["covered"] / len(self.sequences[s["template"]]))
+        kept, reach = [], -1  # groups of spans that overlap
+        for s in sorted(spans, key=lambda s: (s["start"], -s["covered"])):
+            if s["share"] < share:
+                score = max(score, s["share"])
+                continue
+            if s["start"] >= reach:
+                kept.append([])
+            reach = max(reach, s["end"])
+            kept[-1].append(s)
+        said = []
+        for group in kept:  # of each, the spans with most tokens covered count
+            most = max(s["covered"] for s in group)
+            for s in group:
+                if s["covered"] == most:
+                    label = self.labels[s["template"]]
+                    found.add(label)
+                    score = max(score, 0.5 + s["share"] / 2 if base else s["share"])
+                    said.append({"label": label, "start": s["start"], "end": s["end"], "covered": s["share"]})
         starts = [p for p, _ in places]
         return {
             "n_words": len(tokens),
@@ -222,7 +248,7 @@ class Scanner:
             "base_labels": sorted(base),
             "labels": sorted(found),
             "score": score,
-            "spans": kept,
+            "spans": said,
         }
 
 
@@ -237,13 +263,14 @@ ARROW_RESULT = pa.struct(
 )
 
 
-def scan_licenses(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES, share: float = 0.6) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES, share: float = 0.75) -> DataFrame:
     """docs with `licenses`: counts, places and labels of the phrases, template spans (words, end exclusive) and a score.
 
-    A template's label is given from `share` of its tokens in one chained span. score: the largest covered share of a
-    template, 0.5 or more where a phrase stands. The automaton has the size of the given wordings and goes to the tasks with
-    the code; each text is streamed through it once, without a shuffle. Null and empty texts have no words and
-    score 0; repeated rows are alike; other columns pass through (one named `licenses` is replaced).
+    A template's label is given from `share` of its tokens in one chained span; of templates whose spans overlap those with most tokens
+    covered are named, all of them at a tie. score: the largest covered share of a template, 0.5 or more where a phrase stands. The
+    automaton has the size of the given wordings and goes to the tasks with the code; each text is streamed through it once, without
+    a shuffle. Null and empty texts have no words and score 0; repeated rows are alike; an empty table gives no rows; other
+    columns pass through (one named `licenses` is replaced).
     """
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(phrases, templates))
     names = [c for c in docs.columns if c.lower() != "licenses"]
