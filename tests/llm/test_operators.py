@@ -685,7 +685,7 @@ def test_given_documents_have_labels_beyond_the_phrases(spark):
 def test_exponent_meets_limits(spark):
     rows = [(i, "s" + str(min(9, int(i**0.5) // 3)), "w " * (1 + i % 7)) for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    for options in ({"max_repeats": 2.0}, {"max_repeats": 100.0}, {"entropy": 1.5}, {"max_repeats": 3.0, "block_tokens": 50}):
+    for options in ({"max_repeats": 2.0}, {"max_repeats": 100.0}, {"entropy": 1.5, "max_repeats": None}, {"max_repeats": 3.0, "block_tokens": 50}, {"max_repeats": 3.0, "budget": 20_000}):
         got = [x.asDict(recursive=True) for x in mixture.mix(df, **options).collect()]
         weights = {x["source"]: x["mixture"]["weight"] for x in got}
         assert abs(sum(weights.values()) - 1) < 1e-9 and len(got) == 2000
@@ -703,6 +703,25 @@ def test_exponent_meets_limits(spark):
                 assert len(set(places.values())) == len(places)
 
 
+def test_ranks_in_buckets(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "s" + str(i % 2), "w w") for i in range(1500)], "doc_id long, source string, text string")
+    whole = mixture.mix(df, block_tokens=10, max_repeats=2.0, budget=4_500)
+    a = {x["doc_id"]: x["mixture"] for x in whole.collect()}
+    monkeypatch.setattr(mixture, "PER_BUCKET", 20)
+    b = {x["doc_id"]: x["mixture"] for x in mixture.mix(df, block_tokens=10, max_repeats=2.0, budget=4_500).collect()}
+    assert a == b and sum(m["n_tokens"] * m["repeats"] for m in a.values()) == 4_500
+
+
+def test_limits_that_cannot_be_kept(spark):
+    df = spark.createDataFrame([(i, "s" + str(i % 3 % 2), "w w") for i in range(90)], "doc_id long, source string, text string")
+    for options in ({"budget": 180 * 20}, {"entropy": 0.7, "max_repeats": None}, {"entropy": -0.1, "max_repeats": None}, {"entropy": 0.69, "max_repeats": 1.1}):
+        with pytest.raises(ValueError):
+            mixture.mix(df, **options)
+    even = spark.createDataFrame([(i, "s" + str(i % 2), "w w") for i in range(90)], "doc_id long, source string, text string")
+    with pytest.raises(ValueError):  # equal shares keep their entropy at any exponent
+        mixture.mix(even, entropy=0.3)
+
+
 def test_budget_below_the_corpus(spark):
     df = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("string").alias("source"), F.lit("one two").alias("text"))
     got = mixture.mix(df, budget=400, block_tokens=40)
