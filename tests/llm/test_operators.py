@@ -22,13 +22,22 @@ ODD = [
 ]
 
 
+def named_inside():
+    """All names in quotes that the operators' code uses, so that none can clash with a user's column."""
+    import pathlib
+
+    code = "".join(p.read_text() for p in pathlib.Path(html.__file__).parent.glob("*.py"))
+    return {n.lower() for n in re.findall(r"[\"'`]([A-Za-z]\w*)[\"'`]", code)} | {f"{n}{u}" for n in re.findall(r"free\(?n?\) for n in \(([^)]*)", code) for n in re.findall(r"\w+", n) for u in ("_", "__")}
+
+
+CLASHING = sorted(named_inside() - {"doc_id", "text", "source", "url", "html", "n_chars"})
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Odd rows, with columns that bear the names which operators give or use."""
     df = spark.createDataFrame(ODD, "doc_id long, text string, source string")
-    for name in ("contamination", "private", "toxicity", "licenses", "mixture", "fp", "key", "a", "b", "node", "root", "score", "spans", "kind", "term", "start", "rank_"):
-        df = df.withColumn(name, F.lit("own"))
-    return df
+    return df.withColumns({name: F.lit("own") for name in CLASHING})
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +59,27 @@ def all_operators(spark, docs, benchmark):
     yield "pii", pii.find_private(docs)
     yield "sanitise", pii.sanitise(docs)
     yield "mixture", mixture.mix(docs)
+    yield "html", html.extract(docs.withColumn("html", F.col("text")))
+    yield "urls", urls.filter_urls(docs.withColumns({"url": F.col("text"), "html": F.col("text")}))
+
+
+#: The column that each operator adds or replaces; the others give columns of their own only.
+ADDED = {"scan": "contamination", "toxicity": "toxicity", "licenses": "licenses", "pii": "private", "sanitise": None, "mixture": "mixture", "html": "text", "urls": "decision"}
+
+
+def filters(spark, docs, benchmark):
+    yield "keep_one", simhash.keep_one(docs)
+    yield "remove_contaminated", decontaminate.remove_contaminated(docs, benchmark)
+    yield "remove_toxic", toxicity.remove_toxic(docs, spark.createDataFrame([(k, 0, k % 2) for k in range(8)], LABELS))
+
+
+def test_no_name_clashes(spark, odd, benchmark):
+    for name, out in [*all_operators(spark, odd, benchmark), *filters(spark, odd, benchmark)]:
+        if name in ADDED or name in ("keep_one", "remove_contaminated", "remove_toxic"):
+            kept = [c for c in CLASHING if c != ADDED.get(name)]
+            assert set(odd.columns) <= set(out.columns), name
+            changed = out.select(*(F.count_if(~F.col(c).eqNullSafe(F.lit("own"))).alias(c) for c in kept)).first()
+            assert not any(changed), name
 
 
 def test_odd_rows(spark, odd, benchmark):

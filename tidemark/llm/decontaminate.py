@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import arrays
+from tidemark.llm.graph import Names, columns
+from tidemark.sources.files import shared_folder
 
 RESULT = T.StructType(
     [
@@ -31,25 +33,33 @@ class TestSuffixes:
     """The suffixes of a block of benchmark items, ready to be looked up in any shard."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int):
-        column = pa.array(texts, type=pa.large_string())
-        hashes, words, item, place = [], [], [], []
-        for first, _, offsets, data in arrays.slices(column, 1 << 60):
-            data = arrays.LOWER[data]
-            starts, ends = arrays.runs(arrays.IS_WORD[data], offsets)
-            hashes = arrays.RollingHash(data).of(starts, ends)
-            cuts = arrays.owners(offsets, starts)
-            counts = np.diff(cuts)
-            item = np.repeat(np.arange(len(counts)), counts) + first
-            place = np.arange(len(starts)) - np.repeat(cuts[:-1], counts)
-            raw = data.tobytes()
-            words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        self.ids = ids
-        self.tokens = np.asarray(hashes, dtype=np.uint64)
-        self.words, self.item, self.place = words, np.asarray(item, dtype=np.int64), np.asarray(place, dtype=np.int64)
-        lengths = np.bincount(self.item, minlength=len(ids)) if len(words) else np.zeros(len(ids), dtype=np.int64)
-        wide = np.minimum(lengths, window)[self.item] if len(words) else np.zeros(0, dtype=np.int64)
-        whole = self.place + wide <= lengths[self.item] if len(words) else np.zeros(0, dtype=bool)
-        self.at, self.wide = np.flatnonzero(whole), wide[whole]
+        ((_, _, offsets, data),) = arrays.slices(pa.array(texts, type=pa.large_string()), 1 << 60) if texts else ((0, 0, np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint8)),)
+        self.ids, self.data = ids, arrays.LOWER[data]
+        self.starts, self.ends = arrays.runs(arrays.IS_WORD[self.data], offsets)
+        self.tokens = arrays.RollingHash(self.data).of(self.starts, self.ends)
+        cuts = arrays.owners(offsets, self.starts)
+        lengths = np.diff(cuts)
+        self.item = np.repeat(np.arange(len(lengths)), lengths)
+        self.place = np.arange(len(self.starts)) - np.repeat(cuts[:-1], lengths)
+        self.size = np.minimum(lengths, window)[self.item]  # words of the window that starts here, if it is whole
+        self.at = np.flatnonzero(self.place + self.size <= lengths[self.item])
+        self.wide = self.size[self.at]
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tests: TestSuffixes, word: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Which of the windows that begin at `word` hold the very words of the test suffixes' windows."""
+    right = np.ones(len(word), dtype=bool)
+    for i in range(int(tests.size[suffix].max(initial=0))):
+        k = np.flatnonzero(right & (tests.size[suffix] > i))
+        a, b = starts[word[k] + i], tests.starts[suffix[k] + i]
+        size = ends[word[k] + i] - a
+        right[k] = size == tests.ends[suffix[k] + i] - b
+        k, a, b, size = (x[right[k]] for x in (k, a, b, size))
+        if len(k):
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            equal = data[np.repeat(a, size) + step] == tests.data[np.repeat(b, size) + step]
+            right[k] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+    return right
 
 
 def suffix_order(ranks: np.ndarray, depth: int) -> np.ndarray:
@@ -149,15 +159,9 @@ def search_shard(offsets: np.ndarray, data: np.ndarray, tests: TestSuffixes) ->
     place_row = np.searchsorted(cuts + np.arange(rows + 1), place, side="right") - 1
     word = place - place_row
     # equal hashes are checked against the words themselves
-    wide = np.minimum(np.bincount(tests.item)[tests.item[suffix]], int(tests.wide.max()))
-    raw, right = data.tobytes(), np.ones(len(suffix), dtype=bool)
-    sure: dict[tuple[int, bytes], bool] = {}
-    for k, (s, w, n) in enumerate(zip(suffix.tolist(), word.tolist(), wide.tolist(), strict=True)):
-        piece = raw[starts[w] : ends[w + n - 1]]
-        if (s, piece) not in sure:
-            sure[s, piece] = all(raw[starts[w + i] : ends[w + i]] == tests.words[s + i] for i in range(n))
-        right[k] = sure[s, piece]
-    suffix, word, wide, place_row = suffix[right], word[right], wide[right], place_row[right]
+    right = same_words(data, starts, ends, tests, word, suffix)
+    suffix, word, place_row = suffix[right], word[right], place_row[right]
+    wide = tests.size[suffix]
     if not len(suffix):
         return out
     cover = np.zeros(len(starts) + 1, dtype=np.int64)
@@ -172,17 +176,20 @@ def search_shard(offsets: np.ndarray, data: np.ndarray, tests: TestSuffixes) ->
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(by)) - 1
     lengths = word[by[tails]] + wide[by[tails]] - word[by[heads]]
-    for k in np.lexsort((word[by[heads]], -lengths)).tolist():
-        r = out[place_row[by[heads[k]]]]
-        if not r["longest"]:
-            r["longest"], r["longest_start"] = int(lengths[k]), int(word[by[heads[k]]] - cuts[place_row[by[heads[k]]]])
-    for r in np.unique(place_row).tolist():
+    rows_of = place_row[by[heads]]
+    first = np.lexsort((word[by[heads]], -lengths, rows_of))
+    for k in first[np.flatnonzero(np.diff(rows_of[first], prepend=-1))].tolist():
+        out[rows_of[k]] |= {"longest": int(lengths[k]), "longest_start": int(word[by[heads[k]]] - cuts[rows_of[k]])}
+    pairs = np.unique(place_row * len(tests.ids) + item)
+    which, items = pairs // len(tests.ids), pairs % len(tests.ids)
+    hit_rows, at = np.unique(which, return_index=True)
+    for r, own in zip(hit_rows.tolist(), np.split(items, at[1:]), strict=True):
         mask = hit[cuts[r] : cuts[r + 1]]
-        first, last = arrays.runs(mask, np.array([0, len(mask)]))
+        begin, end = arrays.runs(mask, np.array([0, len(mask)]))
         out[r] |= {
             "n_hit": int(mask.sum()),
-            "items": sorted({tests.ids[i] for i in np.unique(item[place_row == r]).tolist()}),
-            "spans": [{"start": x, "end": y} for x, y in zip(first.tolist(), last.tolist(), strict=True)],
+            "items": sorted({tests.ids[i] for i in own.tolist()}),
+            "spans": [{"start": x, "end": y} for x, y in zip(begin.tolist(), end.tolist(), strict=True)],
         }
     return out
 
@@ -227,8 +234,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard_bytes
     Every task sorts the suffixes of its texts, shard by shard (about shard_bytes of whole texts), and
     looks every suffix of every benchmark item up in that suffix array by binary search. Rows are not
     shuffled, so a hot source or a group of copies costs no more than other rows. Benchmark items
-    are sent to the tasks in blocks of at most block_bytes; a larger benchmark takes more passes
-    over the rows within the same tasks.
+    are sent to the tasks in blocks of at most block_bytes. A larger benchmark takes a pass for each block, whose results are kept
+    in the shared folder before the next block is read, so driver and tasks hold one block at a time.
 
     Null or empty texts have no words and no hit; ties of equal length go to the first place in the text;
     repeated rows each get their result; an empty benchmark gives no hits; items without words never
@@ -237,12 +244,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard_bytes
     """
     spark = docs.sparkSession
     docs = docs.drop(out)
-    blocks = [spark.sparkContext.broadcast(TestSuffixes(ids, texts, window)) for ids, texts in benchmark_blocks(benchmark, block_bytes)]
-    for k, block in enumerate(blocks):
-        kept = [f for f in docs.schema if f.name != out and (keep_text or k < len(blocks) - 1 or f.name != "text")]
-        schema = T.StructType([*kept, T.StructField(out, RESULT)])
-        docs = docs.mapInArrow(_task(block, [f.name for f in kept], shard_bytes, out), schema)
-    return docs
+    blocks = benchmark_blocks(benchmark, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    while True:
+        kept = [f for f in docs.schema if f.name != out and (keep_text or following or f.name != "text")]
+        sent = spark.sparkContext.broadcast(TestSuffixes(*block, window))
+        docs = docs.mapInArrow(_task(sent, [f.name for f in kept], shard_bytes, out), T.StructType([*kept, T.StructField(out, RESULT)]))
+        if following is None:
+            return docs
+        shared_folder(spark)
+        docs = docs.checkpoint()
+        sent.destroy()
+        block, following = following, next(blocks, None)
 
 
 def _task(block, names: list[str], shard_bytes: int, out: str):
@@ -273,8 +286,9 @@ ARROW_RESULT = pa.struct(
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs in which no benchmark window occurs, with the columns of docs."""
-    return scan(docs, benchmark, out="result_", **options).filter("result_.n_hit = 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs in which no benchmark window occurs, with the columns of docs. Odd rows as in scan: without words, a row stays."""
+    found = Names(docs)("found")
+    return scan(docs, benchmark, out=found, **options).filter(f"{found}.n_hit = 0").select(*columns(docs.columns))
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import arrays
+from tidemark.llm.graph import Names, columns
 
 HELD_OUT = 2
 FOLDS = 4
@@ -151,14 +152,16 @@ def document_features(p: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 def training_sample(docs: DataFrame, labels: DataFrame, *, per_class: int, most_chars: int) -> tuple[DataFrame, float]:
     """(text, toxic) to fit, at most per_class toxic and twice as many clean ones with at most most_chars code points each, and the share of toxic labels.
 
-    The rows with the least hashes of their ids are taken, so the sample doesn't change with the partitioning.
+    Of the labelled rows whose texts fit those with the least hashes of their ids are taken, so the sample doesn't change with the
+    partitioning, and longer texts don't make it smaller.
     """
     usable = labels.filter(~held_out(F.col("doc_id"))).filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {row["toxic"]: row["count"] for row in usable.groupBy("toxic").count().collect()}
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1.0)
+    fitting = docs.filter(F.length("text") <= most_chars).select("doc_id").join(usable, "doc_id").distinct()
     some = None
     for label in (0, 1):
-        part = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class * (2 - label))
+        part = fitting.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class * (2 - label))
         some = part if some is None else some.unionByName(part)
     rows = docs.select("doc_id", "text").filter(F.length("text") <= most_chars).join(F.broadcast(some), "doc_id").select("text", "toxic").distinct()
     return rows, share
@@ -330,11 +333,12 @@ def score(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The rows of docs with a score below the threshold; all where the labels fit no model, as their share alone tells nothing of a text."""
+    """The rows of docs with a score below the threshold (odd rows as in score); all where the labels fit no model, as their share alone tells nothing of a text."""
     model = train(docs, labels, **options)
     if not model.document[1:].any():
         return docs
-    return score(docs, model, "result_").filter(F.col("result_.score") < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = Names(docs)("found")
+    return score(docs, model, found).filter(F.col(f"{found}.score") < threshold).select(*columns(docs.columns))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

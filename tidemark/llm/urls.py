@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.graph import connected_components
+from tidemark.llm.graph import Names, columns, connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,11 +52,11 @@ def with_rules(rows: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFram
 
     Up to MOST_RULES given rules are one expression. Others, and a DataFrame (host, path, verdict), are joined
     on the suffixes of the distinct (host, path) pairs, so that a host with many pages counts once.
-    Rules of equal length that fit are the same rule; of repeated rules, allow goes before block.
+    Of fitting rules of equal length the one with the longer host goes first, then allow before block, in either form.
     """
     if not isinstance(rules, DataFrame) and len(rules) <= MOST_RULES:
         found = F.lit(None).cast("struct<rule:string,verdict:string>")
-        for h, p, verdict in sorted(rules, key=lambda r: (len(r[0] + r[1]), r[2] == "allow")):
+        for h, p, verdict in sorted(rules, key=lambda r: (len(r[0] + r[1]), len(r[0]), r[2] == "allow")):
             rule = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))
             found = F.when(_fits(F.col(host_), F.col(path_), F.lit(h), F.lit(p)), rule).otherwise(found)
         return rows.withColumn(out, found)
@@ -71,7 +71,7 @@ def with_rules(rows: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFram
         .filter(F.col(path_).startswith(F.col("rule_path_")))
         .withColumn("name_", F.concat("rule_host_", "rule_path_"))
         .groupBy(host_, path_)
-        .agg(F.max_by(F.struct(F.col("name_").alias("rule"), F.col("rule_verdict_").alias("verdict")), F.struct(F.length("name_"), F.col("rule_verdict_") == "allow")).alias(out))
+        .agg(F.max_by(F.struct(F.col("name_").alias("rule"), F.col("rule_verdict_").alias("verdict")), F.struct(F.length("name_"), F.length("rule_host_"), F.col("rule_verdict_") == "allow")).alias(out))
     )
     return rows.join(found, [host_, path_], "left")
 
@@ -111,22 +111,23 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFr
     explicitly allowed the page is allowed, else if any is blocked it is blocked, else it is allowed.
 
     Null urls and such without :// have an empty host and path, match no rule and are allowed; null html
-    declares no alias; repeated rows are judged alike; other columns pass through (one named
-    `decision` is replaced). A component is kept as rows of (key, root), never gathered.
+    declares no alias; repeated rows are judged alike; ties go as in with_rules; an empty table gives no rows; other columns pass
+    through, whatever their names (one named `decision` is replaced). A component is kept as rows of (key, root), never gathered.
     """
     edges = aliases(pages) if edges is None else edges
     roots = connected_components(edges)
     nodes = roots.withColumns({"host_": F.regexp_extract("node", r"^[^/?#]*", 0), "path_": F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1)})
     judged = with_rules(nodes, rules)
     by_root = judged.groupBy("root").agg(F.bool_or(F.coalesce(F.col("rule_.verdict") == "allow", F.lit(False))).alias("allowed_"), F.bool_or(F.coalesce(F.col("rule_.verdict") == "block", F.lit(False))).alias("blocked_"))
-    carried = judged.join(by_root, "root").filter("blocked_ and not allowed_").select(F.col("node").alias("key_")).distinct()
-    names = [c for c in pages.columns if c.lower() != "decision"]
-    rows = pages.select(*(F.col(f"`{c}`") for c in names)).withColumns({"host_": host(F.col("url")), "path_": path(F.col("url"))})
-    rows = with_rules(rows, rules)
-    result = lambda verdict: [*(F.col(f"`{c}`") for c in names), F.struct(F.col("host_").alias("host"), F.col("path_").alias("path"), F.col("rule_.rule").alias("rule"), verdict.alias("verdict")).alias("decision")]
-    own = rows.filter("rule_ is not null").select(*result(F.col("rule_.verdict")))
-    rest = rows.filter("rule_ is null").withColumn("key_", page_key(F.col("url"))).join(carried.withColumn("carried_", F.lit(True)), "key_", "left")
-    return own.unionByName(rest.select(*result(F.when(F.col("carried_"), "block").otherwise("allow"))))
+    pages = pages.drop("decision")
+    free = Names(pages)
+    rule, host_, path_, key, carried = (free(n) for n in ("rule", "host", "path", "key", "carried"))
+    blocked = judged.join(by_root, "root").filter("blocked_ and not allowed_").select(F.col("node").alias(key), F.lit(True).alias(carried)).distinct()
+    rows = with_rules(pages.withColumns({host_: host(F.col("url")), path_: path(F.col("url"))}), rules, rule, host_, path_)
+    decided = lambda verdict: [*columns(pages.columns), F.struct(F.col(host_).alias("host"), F.col(path_).alias("path"), F.col(f"{rule}.rule").alias("rule"), verdict.alias("verdict")).alias("decision")]
+    own = rows.filter(F.col(rule).isNotNull()).select(*decided(F.col(f"{rule}.verdict")))
+    rest = rows.filter(F.col(rule).isNull()).withColumn(key, page_key(F.col("url"))).join(blocked, key, "left")
+    return own.unionByName(rest.select(*decided(F.when(F.col(carried), "block").otherwise("allow"))))
 
 
 def op2_urls(spark, sf_dir: str) -> DataFrame:
