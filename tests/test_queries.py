@@ -23,3 +23,43 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pruning_reaches_the_scan(spark, sf):
+    for name, pushed in (("prune_min", "GreaterThanOrEqual(l_orderkey,14000)"), ("prune_max", "LessThanOrEqual(l_orderkey,300)"), ("prune_range", "GreaterThanOrEqual(l_orderkey,500), LessThanOrEqual(l_orderkey,900)"), ("prune_point", "EqualTo(c_name,Customer#000000077)")):
+        assert pushed in plan_of(QUERIES[name](spark, sf)), name
+
+
+def test_sets_by_checksum(spark, sf, duck):
+    import zlib
+
+    parts = dict(duck.sql("SELECT p_partkey, p_name FROM part").fetchall())
+    assert {r["p_partkey"]: r["set"] for r in QUERIES["crc_mod"](spark, sf).collect()} == {k: zlib.crc32(n.encode()) % 7 for k, n in parts.items()}
+    names = dict(duck.sql("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey < 16").fetchall())
+    for r in QUERIES["route_to_set"](spark, sf).collect():
+        own = zlib.crc32(r["key"].encode()) % 4
+        assert (r["set"], r["nodes"]) == (own, ",".join(sorted(n for k, n in names.items() if k % 4 == own)))
+
+
+def test_ranges_give_what_whole_partitions_give(spark, sf):
+    from tidemark.operators import logs
+    from tidemark.plans import ordered
+
+    rows = lambda df: sorted(tuple(r) for r in df.select("partition", "seq", df.columns[-1]).collect())
+    messages, acks = ordered._messages(spark, sf), ordered._acks(spark, sf)
+    assert rows(logs.assign_offsets(messages, rows_per_range=37)) == rows(logs.assign_offsets(messages))
+    assert rows(logs.watermark_history(acks, [1, 2, 3], rows_per_range=37)) == rows(logs.watermark_history(acks, [1, 2, 3]))
+
+
+def test_cluster_has_to_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidemark.sources.files import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))

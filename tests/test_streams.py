@@ -4,7 +4,7 @@ from tidemark.plans import ordered, streams
 
 
 def test_detector_agrees_with_the_batch_form(spark, sf):
-    got = [(r["endpoint"], r["tick"], r["state"]) for r in streams.stream_failure_detector(spark, sf).collect()]
+    got = [(r["endpoint"], r["tick"], r["state"]) for r in streams._detector(spark, sf).collect()]
     episodes = ordered.down_episodes(spark, sf).collect()
     down = {(r["endpoint"], r["convicted_at"]) for r in episodes}
     over = {(r["endpoint"], r["convicted_at"]) for r in episodes if r["recovered_at"] is not None}

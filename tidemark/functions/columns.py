@@ -42,7 +42,7 @@ def shard_size(size: Column, k: int) -> Column:
 
 def decode_statistic(value: Column) -> Column:
     """0x... as the bytes it stands for, other text as it is; null stays null."""
-    return F.when(value.startswith("0x"), F.decode(F.try_to_binary(F.substring(value, 3, 1 << 20), F.lit("hex")), "ISO-8859-1")).otherwise(value)
+    return F.when(value.startswith("0x"), F.decode(F.try_to_binary(F.substring(value, F.lit(3), F.length(value)), F.lit("hex")), "ISO-8859-1")).otherwise(value)
 
 
 def version_name(version: Column) -> Column:

@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def assign_offsets(messages: DataFrame, partition: str = "partition", seq: str = "seq", first: int = 1) -> DataFrame:
-    """messages with `offset`: dense in each partition, in the order of arrival."""
-    order = Window.partitionBy(partition).orderBy(seq)
-    return messages.withColumn("offset", F.row_number().over(order).cast("long") + (first - 1))
+def assign_offsets(messages: DataFrame, partition: str = "partition", seq: str = "seq", first: int = 1, rows_per_range: int = 1 << 16) -> DataFrame:
+    """messages with `offset`: dense in each partition, in the order of arrival.
+
+    Rows are numbered within ranges of seq, after the counts of the earlier ranges, so a hot partition is many tasks.
+    """
+    ranged = messages.withColumn("range_", F.floor(F.col(seq) / rows_per_range))
+    earlier = Window.partitionBy(partition).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(partition, "range_").agg(F.count("*").alias("n_")).select(partition, "range_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_"))
+    nth = F.row_number().over(Window.partitionBy(partition, "range_").orderBy(seq))
+    return ranged.join(before, [partition, "range_"]).withColumn("offset", F.col("before_") + nth + F.lit(first - 1)).drop("range_", "before_")
 
 
 def latest_acks(acks: DataFrame) -> DataFrame:
@@ -23,15 +29,25 @@ def committed_offset(acks: DataFrame, replicas: int) -> DataFrame:
     return last.groupBy("partition").agg(F.when(F.count("*") < replicas, F.lit(0)).otherwise(F.min("offset")).cast("long").alias("committed"))
 
 
-def watermark_history(acks: DataFrame, replicas: list[int]) -> DataFrame:
-    """acks with `watermark`: after each, the largest least offset so far; it never goes back."""
-    order = Window.partitionBy("partition").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    known = acks
-    for r in replicas:
-        known = known.withColumn(f"r{r}_", F.coalesce(F.last(F.when(F.col("replica") == r, F.col("offset")), ignorenulls=True).over(order), F.lit(0)))
+def watermark_history(acks: DataFrame, replicas: list[int], rows_per_range: int = 1 << 16) -> DataFrame:
+    """acks with `watermark`: after each, the largest least offset so far; it never goes back.
+
+    Within ranges of seq each replica's last offset and the running maximum are taken after what the earlier ranges
+    carry over, so a hot partition is many tasks.
+    """
+    ranged = acks.withColumn("range_", F.floor(F.col("seq") / rows_per_range))
+    earlier = Window.partitionBy("partition").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("partition", "range_").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda r: F.when(F.col("replica") == r, F.col("offset"))
+    each = ranged.groupBy("partition", "range_").agg(*(F.max_by(of(r), F.when(F.col("replica") == r, F.col("seq"))).alias(f"e{r}_") for r in replicas))
+    carried = each.select("partition", "range_", *(F.coalesce(F.last(f"e{r}_", ignorenulls=True).over(earlier), F.lit(0)).alias(f"c{r}_") for r in replicas))
+    known = ranged.join(carried, ["partition", "range_"])
+    known = known.withColumns({f"r{r}_": F.coalesce(F.last(of(r), ignorenulls=True).over(within), F.col(f"c{r}_")) for r in replicas})
     columns = [F.col(f"r{r}_") for r in replicas]
-    least = F.least(*columns) if len(columns) > 1 else columns[0]
-    return known.withColumn("least_", least).withColumn("watermark", F.max("least_").over(order)).drop("least_", *(f"r{r}_" for r in replicas))
+    known = known.withColumn("least_", F.least(*columns) if len(columns) > 1 else columns[0])
+    high = known.groupBy("partition", "range_").agg(F.max("least_").alias("m_")).select("partition", "range_", F.max("m_").over(earlier).alias("before_"))
+    highest = F.greatest(F.max("least_").over(within), F.coalesce("before_", F.lit(0)))
+    return known.join(high, ["partition", "range_"]).withColumn("watermark", highest).drop("range_", "least_", "before_", *(f"{x}{r}_" for r in replicas for x in "rc"))
 
 
 def fetch(log: DataFrame, bounds: DataFrame, start: int = 1, most: int | None = None) -> DataFrame:

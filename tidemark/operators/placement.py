@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +103,11 @@ def place_objects(keys: DataFrame, sets: int, deployment: bytes | None = None) -
     return keys.withColumn("set", floor_mod(hashed("key"), sets))
 
 
+def all_nodes(sets: DataFrame, column: str) -> DataFrame:
+    """(node): the distinct union of a column's nested lists of nodes; null lists add nothing."""
+    return sets.select(F.explode(F.flatten(F.filter(column, lambda x: x.isNotNull()))).alias("node")).distinct()
+
+
 def shard_quorum(shards: DataFrame, dead: DataFrame, k: int) -> DataFrame:
     """(object, available, state) from shards (object, node) and the nodes that are down: readable with all shards, at_risk from k, else lost."""
     live = shards.join(dead.select("node").distinct().withColumn("down_", F.lit(True)), "node", "left")
@@ -142,8 +148,9 @@ def products() -> np.ndarray:
 def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     table = products()
     out = np.zeros((a.shape[0], b.shape[1]), dtype=np.uint8)
-    for i in range(a.shape[1]):
-        out ^= table[a[:, i][:, None], b[i][None, :]]
+    for r in range(a.shape[0]):
+        for i in np.flatnonzero(a[r]):
+            out[r] ^= b[i] if a[r, i] == 1 else table[a[r, i]][b[i]]
     return out
 
 
@@ -175,62 +182,113 @@ def coding_matrix(k: int, m: int) -> np.ndarray:
 SHARDS = "object long, block int, shard int, size long, bytes binary"
 
 
+def blocks_of(blobs: DataFrame, block: int) -> DataFrame:
+    """(object, block, bytes) of blobs (object, content); a blob is sliced once, and an empty one is one empty block."""
+    numbers = F.sequence(F.lit(0), F.greatest(F.floor((F.length("content") - 1) / block), F.lit(0)).cast("int"))
+    cut = F.transform(numbers, lambda b: F.struct(b.alias("block"), F.substring(F.col("content"), b * block + 1, F.lit(block)).alias("bytes")))
+    return blobs.select("object", F.explode(cut).alias("b")).select("object", "b.block", "b.bytes")
+
+
+def _side_by_side(parts: list[bytes], widths: list[int]) -> np.ndarray:
+    """Rows of bytes one after the other, each padded with zeros to its width."""
+    return np.frombuffer(b"".join(p.ljust(w, b"\0") for p, w in zip(parts, widths, strict=True)), dtype=np.uint8)
+
+
 def shard_objects(blobs: DataFrame, k: int, m: int, block: int = 1 << 20) -> DataFrame:
     """blobs (object, content) as shards: each block as k data shards and m parity shards, zero padded; size is the block's own.
 
-    A blob is cut into blocks before it is sent to Python, so a task's memory is bounded by a batch of blocks.
+    A blob is cut into blocks before it is sent to Python, so a task's memory is bounded by a batch of blocks, which is one product.
     """
-    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.length("content") - 1) / block), F.lit(0)).cast("int"))
-    cut = blobs.select("object", F.explode(blocks).alias("block"), "content").select("object", "block", F.substring(F.col("content"), F.col("block") * block + 1, F.lit(block)).alias("bytes"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parity = coding_matrix(k, m)[k:]
-        for frame in frames:
-            rows = []
-            for o, b, data in zip(frame["object"], frame["block"], frame["bytes"], strict=True):
-                width = max(1, -(-len(data) // k))
-                shards = np.zeros(width * k, dtype=np.uint8)
-                shards[: len(data)] = np.frombuffer(data, dtype=np.uint8)
-                shards = shards.reshape(k, width)
-                every = np.concatenate([shards, multiply(parity, shards)])
-                rows += [(o, b, s, len(data), every[s].tobytes()) for s in range(k + m)]
-            yield pd.DataFrame(rows, columns=["object", "block", "shard", "size", "bytes"])
-
-    return cut.mapInPandas(run, SHARDS)
-
-
-def _per_block(shards: DataFrame, work, schema: str) -> DataFrame:
-    """work over all shards of one block, which are k + m rows at most."""
-    return shards.groupBy("object", "block").applyInPandas(work, schema)
+        for batch in batches:
+            data = [x or b"" for x in batch.column(2).to_pylist()]
+            if not data:
+                continue
+            widths = [max(1, -(-len(x) // k)) for x in data]
+            rows = [x.ljust(w * k, b"\0") for x, w in zip(data, widths, strict=True)]
+            every = [b"".join(x[w * i : w * (i + 1)] for x, w in zip(rows, widths, strict=True)) for i in range(k)]
+            coded = multiply(parity, np.stack([np.frombuffer(e, dtype=np.uint8) for e in every]))
+            every += [c.tobytes() for c in coded]
+            ends = np.cumsum(widths).tolist()
+            for shard, whole in enumerate(every):
+                n = len(data)
+                cut = pa.array([whole[e - w : e] for e, w in zip(ends, widths, strict=True)], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shard] * n, type=pa.int32()), pa.array([len(x) for x in data], type=pa.int64()), cut], names=["object", "block", "shard", "size", "bytes"])
+
+    return blocks_of(blobs, block).mapInArrow(run, SHARDS)
+
+
+def _per_block(shards: DataFrame, k: int, m: int, work, schema: str) -> DataFrame:
+    """work(objects, blocks, shard numbers, sizes, shards) over batches of blocks; a block is one row of k + m shards at most."""
+    rows = shards.groupBy("object", "block").agg(F.array_sort(F.collect_list(F.struct("shard", "size", "bytes"))).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, sizes, parts = [], [], []
+            for row in batch.column(2).to_pylist():
+                own = {x["shard"]: x for x in row}  # a shard that was stored twice counts once
+                ids.append(tuple(own))
+                sizes.append(row[0]["size"])
+                parts.append([x["bytes"] for x in own.values()])
+            yield work(batch.column(0), batch.column(1), ids, sizes, parts)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _by_pattern(ids: list[tuple]) -> dict[tuple, list[int]]:
+    out: dict[tuple, list[int]] = {}
+    for i, shards in enumerate(ids):
+        out.setdefault(shards, []).append(i)
+    return out
 
 
 def repair_objects(shards: DataFrame, k: int, m: int) -> DataFrame:
-    """(object, block, bytes, status) from the shards that are left: whole if k data shards are there, rebuilt from any k, else lost."""
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("shard").drop_duplicates("shard")
-        o, b, size = int(frame["object"].iloc[0]), int(frame["block"].iloc[0]), int(frame["size"].iloc[0])
-        if len(frame) < k:
-            return pd.DataFrame([(o, b, None, "lost")], columns=["object", "block", "bytes", "status"])
-        some = frame.head(k)
-        have = np.stack([np.frombuffer(x, dtype=np.uint8) for x in some["bytes"]])
-        ids = some["shard"].tolist()
-        whole = ids == list(range(k))
-        data = have if whole else multiply(inverted(coding_matrix(k, m)[ids]), have)
-        return pd.DataFrame([(o, b, data.ravel()[:size].tobytes(), "whole" if whole else "rebuilt")], columns=["object", "block", "bytes", "status"])
+    """(object, block, bytes, status) from the shards that are left: whole if k data shards are there, rebuilt from any k, else lost.
 
-    return _per_block(shards, work, "object long, block int, bytes binary, status string")
+    Blocks of a batch that lost the same shards are rebuilt by one product with one inverse.
+    """
+    inverses: dict[tuple, np.ndarray] = {}
+
+    def work(objects, blocks, ids, sizes, parts) -> pa.RecordBatch:
+        out: list[bytes | None] = [None] * len(ids)
+        status = ["lost"] * len(ids)
+        for some, rows in _by_pattern([x[:k] for x in ids]).items():
+            if len(some) < k:
+                continue
+            widths = [len(parts[i][0]) for i in rows]
+            if some != tuple(range(k)):
+                if some not in inverses:
+                    inverses[some] = inverted(coding_matrix(k, m)[list(some)])
+                have = np.stack([_side_by_side([parts[i][j] for i in rows], widths) for j in range(k)])
+                data, at = multiply(inverses[some], have), 0
+                for i, w in zip(rows, widths, strict=True):
+                    out[i], status[i] = data[:, at : at + w].tobytes()[: sizes[i]], "rebuilt"
+                    at += w
+            else:
+                for i in rows:
+                    out[i], status[i] = b"".join(parts[i][:k])[: sizes[i]], "whole"
+        return pa.RecordBatch.from_arrays([objects, blocks, pa.array(out, type=pa.binary()), pa.array(status)], names=["object", "block", "bytes", "status"])
+
+    return _per_block(shards, k, m, work, "object long, block int, bytes binary, status string")
 
 
 def scrub_parity(shards: DataFrame, k: int, m: int) -> DataFrame:
     """(object, block, intact): whether the parity shards are what the data shards give; false if one is missing."""
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("shard").drop_duplicates("shard")
-        intact = frame["shard"].tolist() == list(range(k + m))
-        if intact:
-            every = np.stack([np.frombuffer(x, dtype=np.uint8) for x in frame["bytes"]])
-            intact = bool((multiply(coding_matrix(k, m)[k:], every[:k]) == every[k:]).all())
-        return pd.DataFrame([(int(frame["object"].iloc[0]), int(frame["block"].iloc[0]), intact)], columns=["object", "block", "intact"])
-
-    return _per_block(shards, work, "object long, block int, intact boolean")
+    whole = tuple(range(k + m))
+
+    def work(objects, blocks, ids, sizes, parts) -> pa.RecordBatch:
+        intact = [False] * len(ids)
+        rows = [i for i, x in enumerate(ids) if x == whole and len({len(p) for p in parts[i]}) == 1 and parts[i][0]]
+        if rows:
+            widths = [len(parts[i][0]) for i in rows]
+            every = np.stack([_side_by_side([parts[i][j] for i in rows], widths) for j in range(k + m)])
+            good = (multiply(coding_matrix(k, m)[k:], every[:k]) == every[k:]).all(axis=0)
+            for i, ok in zip(rows, np.logical_and.reduceat(good, np.cumsum([0, *widths[:-1]])), strict=True):
+                intact[i] = bool(ok)
+        return pa.RecordBatch.from_arrays([objects, blocks, pa.array(intact)], names=["object", "block", "intact"])
+
+    return _per_block(shards, k, m, work, "object long, block int, intact boolean")

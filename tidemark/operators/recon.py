@@ -35,11 +35,13 @@ def materialize(changes: DataFrame) -> DataFrame:
 def owned_by(items: DataFrame, owners: DataFrame, least_prefix: int | None = None) -> DataFrame:
     """Pairs of items (name) and owners (owner) whose name begins the item's.
 
-    With least_prefix, the length that all owners' names have at least, rows meet on prefixes of that length;
-    otherwise every owner is compared with every item, for which owners must be few.
+    Rows meet on prefixes of the length that all owners' names have at least (least_prefix, or else the shortest name's length).
+    An empty owner's name begins every item; then the owners must be few enough for Spark to join them so.
     """
     if least_prefix is None:
-        return items.join(F.broadcast(owners), F.col("name").startswith(F.col("owner")))
+        least_prefix = owners.agg(F.min(F.length("owner"))).first()[0] or 0
+    if least_prefix == 0:
+        return items.join(owners, F.col("name").startswith(F.col("owner")))
     i = items.withColumn("start_", F.substring("name", 1, least_prefix))
     o = owners.withColumn("start_", F.substring("owner", 1, least_prefix))
     return i.join(o, "start_").filter(F.col("name").startswith(F.col("owner"))).drop("start_")

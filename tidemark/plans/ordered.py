@@ -135,13 +135,21 @@ def arrival_mean(spark, d: str) -> DataFrame:
 
 
 def _probes(spark, d: str) -> DataFrame:
-    return _ticks(spark, d).select("endpoint").distinct().select("endpoint", F.explode(F.expr("sequence(500L, 10500L, 1000L)")).alias("tick"))
+    """Every endpoint at every thousandth tick up to the last one."""
+    last = _ticks(spark, d).agg(F.max("tick").alias("last"))
+    ticks = last.select(F.explode(F.expr("sequence(500L, greatest(last, 500L), 1000L)")).alias("tick"))
+    return _ticks(spark, d).select("endpoint").distinct().crossJoin(F.broadcast(ticks))
 
 
-def phi(spark, d: str) -> DataFrame:
+def phi_at(spark, d: str) -> DataFrame:
     return states.phi_at(_probes(spark, d), _ticks(spark, d), size=5, most=300).select("endpoint", "tick", F.round("phi", 6).alias("phi"))
 
 
+def phi(spark, d: str) -> DataFrame:
+    """The suspicion that each silence has reached when the next beat ends it; the last one's as of its own beat."""
+    return states.phi_of_silences(_ticks(spark, d), size=5, most=300).select("endpoint", "tick", F.round("phi", 6).alias("phi"))
+
+
 def down_episodes(spark, d: str) -> DataFrame:
     return states.down_episodes(_ticks(spark, d), threshold=2.0, size=5, most=300)
 
@@ -171,11 +179,11 @@ QUERIES = {
         inter_arrival,
         arrival_mean,
         phi,
+        phi_at,
         down_episodes,
         events_by_type,
     )
 }
-QUERIES["phi_at"] = phi
 
 _LOG = "log AS (SELECT CAST(user_id % 12 AS INT) AS partition, event_id AS seq, user_id AS key, row_number() OVER (PARTITION BY user_id % 12 ORDER BY event_id) AS \"offset\" FROM events)"
 _LAST = "last AS (SELECT CAST(user_id % 12 AS INT) AS partition, CAST(event_id % 3 + 1 AS INT) AS replica, max_by(event_id // {n}, event_id) AS \"offset\" FROM events GROUP BY ALL)"
@@ -217,10 +225,11 @@ ORACLES = {
         SELECT user_id AS endpoint, event_type AS key, event_id // 3 AS version, event_id AS seq FROM events JOIN r ON user_id = r.endpoint WHERE event_id // 3 > r.version""",
     "inter_arrival": f"WITH {_GAPS} SELECT endpoint, tick, gap FROM gaps",
     "arrival_mean": f"WITH {_MEANS} SELECT endpoint, tick, round(mean, 6) AS mean FROM means",
-    "phi": f"""WITH {_MEANS}, p AS (SELECT DISTINCT user_id AS endpoint, tick FROM events, range(500, 10501, 1000) AS u(tick))
+    "phi": f"""WITH {_MEANS}, n AS (SELECT *, lead(tick) OVER (PARTITION BY endpoint ORDER BY tick) - tick AS since FROM means)
+        SELECT endpoint, tick, round(coalesce(since, 0) / mean / ln(10), 6) AS phi FROM n""",
+    "phi_at": f"""WITH {_MEANS}, p AS (SELECT DISTINCT user_id AS endpoint, u.tick FROM events, (SELECT unnest(range(500, greatest(max(event_id) + 1, 500) + 1, 1000)) AS tick FROM events) u)
         SELECT p.endpoint, p.tick, round(CASE WHEN p.tick > m.tick THEN (p.tick - m.tick) / m.mean / ln(10) ELSE 0 END, 6) AS phi FROM p ASOF LEFT JOIN means m ON p.endpoint = m.endpoint AND p.tick >= m.tick""",
     "down_episodes": f"""WITH {_MEANS}, e AS (SELECT endpoint, CAST(tick + greatest(ceil({2.0 * math.log(10)!r} * mean), 1) AS BIGINT) AS convicted_at, lead(tick) OVER (PARTITION BY endpoint ORDER BY tick) AS recovered_at FROM means)
         SELECT * FROM e WHERE recovered_at IS NULL OR convicted_at < recovered_at""",
     "events_by_type": "SELECT event_type, count(*) AS events, count(*) FILTER (value IS NULL) AS errors FROM events GROUP BY event_type",
 }
-ORACLES["phi_at"] = ORACLES["phi"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import java_hash, key_partition
+from tidemark.functions.columns import crc_set, key_partition
 from tidemark.operators import placement, recon
 from tidemark.plans.scans import sql_hash
 from tidemark.sources import files
@@ -32,8 +32,8 @@ def placement_diff(spark, d: str) -> DataFrame:
 
 
 def _partitions(spark, d: str) -> DataFrame:
-    """One partition for each part type and brand."""
-    return _read(spark, d, "part").select((F.col("p_partkey") % 997).alias("p")).distinct()
+    """One partition for each part."""
+    return _read(spark, d, "part").select(F.col("p_partkey").alias("p")).distinct()
 
 
 def assign_replicas(spark, d: str) -> DataFrame:
@@ -78,9 +78,27 @@ def place_objects(spark, d: str) -> DataFrame:
 
 
 def route_to_set(spark, d: str) -> DataFrame:
+    """Each key with the nodes of its set; four sets of four drives, so the lookup table has four rows of four names."""
     keys = placement.place_objects(_read(spark, d, "part").select(F.col("p_name").alias("key")), 4)
-    nodes = _read(spark, d, "supplier").groupBy((F.col("s_suppkey") % 4).cast("int").alias("set")).agg(F.array_sort(F.collect_list("s_name")).alias("nodes"))
-    return keys.join(F.broadcast(nodes.limit(4)), "set").select("key", "set", F.size("nodes").alias("nodes"))
+    nodes = _read(spark, d, "supplier").filter("s_suppkey < 16").groupBy((F.col("s_suppkey") % 4).cast("int").alias("set")).agg(F.array_sort(F.collect_list("s_name")).alias("nodes"))
+    return keys.join(F.broadcast(nodes), "set").select("key", "set", F.array_join("nodes", ",").alias("nodes"))
+
+
+def all_nodes(spark, d: str) -> DataFrame:
+    """The nodes of all partitions' replicas, leaders and followers in lists of their own: the distinct union of nested lists."""
+    placed = placement.assign_replicas(_partitions(spark, d), list(range(5)), 3, start=1, shift=2)
+    nested = placed.select(F.array(F.slice("replicas", 1, 1), F.slice("replicas", 2, 2)).alias("lists"))
+    return placement.all_nodes(nested, "lists").withColumn("node", F.col("node").cast("int"))
+
+
+def sorted_keys(spark, d: str) -> DataFrame:
+    """The listing of stored keys, in the order of the keys."""
+    return _read(spark, d, "part").select(F.concat("p_type", F.lit("/"), "p_brand").alias("key")).distinct().orderBy("key")
+
+
+def crc_mod(spark, d: str) -> DataFrame:
+    """The set of each key by its checksum."""
+    return _read(spark, d, "part").select("p_partkey", crc_set(F.col("p_name"), 7).alias("set"))
 
 
 def _shards(spark, d: str) -> DataFrame:
@@ -128,13 +146,14 @@ def shard_objects(spark, d: str) -> DataFrame:
 
 
 def repair_objects(spark, d: str) -> DataFrame:
-    """Every object after the loss of two shards (three of every hundredth): whether it reads back to the same bytes."""
+    """Every object after the loss of two shards (three of every hundredth): whether all its blocks read back to the same bytes."""
     blobs = _blobs(spark, d)
     lost = (F.col("shard") == F.col("object") % 6) | (F.col("shard") == (F.col("object") + 2) % 6) | ((F.col("object") % 100 == 0) & (F.col("shard") == (F.col("object") + 3) % 6))
     repaired = placement.repair_objects(placement.shard_objects(blobs, 4, 2, 4096).filter(~lost), 4, 2)
-    back = repaired.groupBy("object").agg(F.array_sort(F.collect_list(F.struct("block", "bytes"))).alias("b"), F.bool_or(F.col("status") == "lost").alias("lost"))
-    whole = F.sha2(F.expr("aggregate(b, cast('' as binary), (a, x) -> concat(a, x.bytes))"), 256)
-    return back.join(blobs.select("object", F.sha2("content", 256).alias("sha")), "object").select("object", "lost", F.when(~F.col("lost"), whole == F.col("sha")).alias("same"))
+    back = repaired.select("object", "block", (F.col("status") == "lost").alias("lost"), F.sha2("bytes", 256).alias("back"))
+    source = placement.blocks_of(blobs, 4096).select("object", "block", F.sha2("bytes", 256).alias("sha"))
+    same = F.when(~F.col("lost"), F.col("back") == F.col("sha"))
+    return source.join(back, ["object", "block"], "left").groupBy("object").agg(F.bool_or(F.coalesce("lost", F.lit(True))).alias("lost"), F.bool_and(same).alias("same"))
 
 
 def scrub_parity(spark, d: str) -> DataFrame:
@@ -224,7 +243,7 @@ def rollup_status(spark, d: str) -> DataFrame:
 
 def new_topics(spark, d: str) -> DataFrame:
     p = _read(spark, d, "part")
-    return p.select("p_type").subtract(p.filter("p_size < 30 and p_partkey % 3 > 0").select("p_type"))
+    return p.select("p_type").subtract(p.filter("p_size < 4 and p_partkey % 3 > 0").select("p_type"))
 
 
 def membership_change(spark, d: str) -> DataFrame:
@@ -242,16 +261,12 @@ def distinct_keys(spark, d: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("key")).union(li.select("l_orderkey")).distinct()
 
 
-def hashes(spark, d: str) -> DataFrame:
-    return _read(spark, d, "part").select("p_partkey", java_hash(F.col("p_name")).alias("hash"), F.crc32(F.encode("p_name", "utf-8")).alias("crc"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         count_per_partition, churn_report, placement_diff, assign_replicas, assignment_with_brokers, select_leaders, leaders_per_broker, rebalance_fixed_partitions, place_objects, route_to_set,
         shard_quorum, storage_overhead, latest_object_version, object_versions, shard_objects, repair_objects, scrub_parity, with_previous_value, classify_changes, materialize_feed, owned_by,
-        desired_vs_actual, scale_down_victims, reconcile, pods_per_node, score_nodes, select_host, balanced_assign, rollup_status, new_topics, membership_change, union_files, distinct_keys,
+        all_nodes, sorted_keys, crc_mod, desired_vs_actual, scale_down_victims, reconcile, pods_per_node, score_nodes, select_host, balanced_assign, rollup_status, new_topics, membership_change, union_files, distinct_keys,
     )
 }
 
@@ -264,7 +279,7 @@ def _part(n: int) -> str:
 
 _KEYS = f"k AS (SELECT c_name AS key, {_part(3)} AS three, {_part(4)} AS four, {_part(12)} AS p FROM customer)"
 _LEAD = "(p + 1) % 5"
-_REPLICAS = "r AS (SELECT p, [(p + 1) % 5, ((p + 1) % 5 + 1 + (2 + p // 5) % 4) % 5, ((p + 1) % 5 + 1 + (2 + p // 5 + 1) % 4) % 5] AS l FROM (SELECT DISTINCT p_partkey % 997 AS p FROM part))"
+_REPLICAS = "r AS (SELECT p, [(p + 1) % 5, ((p + 1) % 5 + 1 + (2 + p // 5) % 4) % 5, ((p + 1) % 5 + 1 + (2 + p // 5 + 1) % 4) % 5] AS l FROM (SELECT DISTINCT p_partkey AS p FROM part))"
 _CHANGES = "c AS (SELECT o_custkey AS key, o_orderkey AS revision, CASE WHEN o_orderstatus = 'F' THEN 'delete' ELSE 'put' END AS op, o_orderpriority AS value FROM orders)"
 _OWNED = """o AS (SELECT substr(p_type, 1, 3) AS owner, CAST(count(*) % 40 + 300 AS INT) AS wanted FROM part GROUP BY 1),
  i AS (SELECT p_type || '-' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS name FROM part WHERE p_size <> 1),
@@ -275,6 +290,9 @@ _NODES = "n AS (SELECT s_name AS node, coalesce(c, 0) AS running FROM supplier L
 _SCORED = _NODES + ", sc AS (SELECT node, running, 100 * (m - running) // m AS score FROM n, (SELECT max(running) + 1 AS m FROM n))"
 _VERSIONS = "v AS (SELECT CAST(o_custkey AS VARCHAR) AS key, o_orderkey AS version_id, o_orderkey // 3 AS mod_time, o_orderstatus = 'F' AS deleted, CAST(length(o_orderpriority) AS BIGINT) AS size FROM orders), latest AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY key ORDER BY mod_time DESC, version_id DESC) = 1)"
 
+_BLOCKS = """l AS (SELECT doc_id AS object, strlen(text) AS n FROM documents),
+ b AS (SELECT object, CAST(k AS INT) AS block, least(4096, n - k * 4096) AS size FROM l, unnest(range(0, greatest((n + 4095) // 4096, 1))) AS u(k))"""
+
 ORACLES = {
     "count_per_partition": f"WITH {_KEYS} SELECT p, count(*) AS keys, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share FROM k GROUP BY p",
     "churn_report": f"WITH {_KEYS} SELECT count(*) FILTER (three <> four) AS moved, count(*) FILTER (three = four) AS stayed, round(CAST(count(*) FILTER (three <> four) AS DOUBLE) * 100 / count(*), 6) AS moved_percent FROM k",
@@ -282,14 +300,19 @@ ORACLES = {
     "assign_replicas": f"WITH {_REPLICAS} SELECT p, array_to_string(l, ',') AS replicas FROM r",
     "assignment_with_brokers": f"""WITH {_REPLICAS}, e AS (SELECT p, CAST(n - 1 AS INT) AS nth, CAST(l[n] AS INT) AS broker FROM r, range(1, 4) AS u(n))
         SELECT p, nth, broker, coalesce(s_name, 'unknown') AS host FROM e LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey < 5 AND s_suppkey <> 3) ON s_suppkey = broker""",
-    "select_leaders": f"SELECT DISTINCT p_partkey % 997 AS p, CAST((p_partkey % 997 + 1) % 5 AS INT) AS leader FROM part",
-    "leaders_per_broker": "SELECT CAST((p + 1) % 5 AS INT) AS leader, count(*) AS partitions FROM (SELECT DISTINCT p_partkey % 997 AS p FROM part) GROUP BY 1",
+    "select_leaders": f"SELECT DISTINCT p_partkey AS p, CAST((p_partkey + 1) % 5 AS INT) AS leader FROM part",
+    "leaders_per_broker": "SELECT CAST((p + 1) % 5 AS INT) AS leader, count(*) AS partitions FROM (SELECT DISTINCT p_partkey AS p FROM part) GROUP BY 1",
     "rebalance_fixed_partitions": f"WITH {_KEYS} SELECT CAST(3 AS BIGINT) AS partitions_moved, count(*) FILTER (p % 4 = 3) AS keys_moved, count(*) AS keys FROM k",
     "shard_quorum": """WITH s AS (SELECT doc_id AS object, (doc_id * 7 + k * 3) % 16 AS node FROM documents, range(6) AS u(k)), c AS (SELECT object, count(*) FILTER (node % 5 <> 0) AS available FROM s GROUP BY object)
         SELECT object, available, CASE WHEN available < 4 THEN 'lost' WHEN available < 6 THEN 'at_risk' ELSE 'readable' END AS state FROM c""",
     "storage_overhead": "SELECT CAST(sum(n_chars) AS BIGINT) AS bytes, CAST(sum(n_chars * 3) AS BIGINT) AS replicated, CAST(sum((n_chars + 3) // 4 * 6) AS BIGINT) AS coded FROM documents",
     "latest_object_version": f"WITH {_VERSIONS} SELECT * FROM latest WHERE NOT deleted",
     "object_versions": f"WITH {_VERSIONS} SELECT key, NOT deleted AS readable FROM latest",
+    "all_nodes": f"WITH {_REPLICAS} SELECT DISTINCT CAST(unnest(l) AS INT) AS node FROM r",
+    "sorted_keys": "SELECT DISTINCT p_type || '/' || p_brand AS key FROM part ORDER BY key",
+    "shard_objects": f"WITH {_BLOCKS} SELECT CAST(k AS INT) AS shard, count(*) AS blocks, CAST(sum(greatest((size + 3) // 4, 1)) AS BIGINT) AS bytes FROM b, range(6) AS u(k) GROUP BY k",
+    "repair_objects": "SELECT doc_id AS object, doc_id % 100 = 0 AS lost, CASE WHEN doc_id % 100 <> 0 THEN true END AS same FROM documents",
+    "scrub_parity": f"WITH {_BLOCKS} SELECT object, block, object % 10 <> 0 AS intact FROM b",
     "with_previous_value": f"""WITH {_CHANGES}, p AS (SELECT *, CASE WHEN lag(op) OVER w = 'delete' THEN NULL ELSE lag(value) OVER w END AS previous FROM c WINDOW w AS (PARTITION BY key ORDER BY revision))
         SELECT key, revision, CASE WHEN op = 'delete' THEN 'DELETE' WHEN previous IS NULL THEN 'ADD' ELSE 'UPDATE' END AS event, previous FROM p""",
     "classify_changes": f"""WITH {_CHANGES}, p AS (SELECT *, lag(op) OVER (PARTITION BY key ORDER BY revision) AS before FROM c)
@@ -308,7 +331,7 @@ ORACLES = {
         SELECT item, worker, level FROM items JOIN places USING (k)""",
     "rollup_status": """WITH c AS (SELECT l_orderkey, l_linenumber % 5 <> 0 AS e, l_linestatus = 'O' AND l_quantity > 35 AS r, CASE WHEN l_linenumber % 5 <> 0 AND l_returnflag = 'R' THEN 1 ELSE 0 END AS x FROM lineitem)
         SELECT l_orderkey, CASE WHEN bool_or(e AND r) THEN 'Running' WHEN bool_or(e) AND min(x) = 1 THEN 'Failed' WHEN max(x) = 0 THEN 'Succeeded' ELSE 'Scheduled' END AS status FROM c GROUP BY 1""",
-    "new_topics": "SELECT p_type FROM part EXCEPT SELECT p_type FROM part WHERE p_size < 30 AND p_partkey % 3 > 0",
+    "new_topics": "SELECT p_type FROM part EXCEPT SELECT p_type FROM part WHERE p_size < 4 AND p_partkey % 3 > 0",
     "membership_change": """WITH a AS (SELECT DISTINCT o_custkey AS member FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01'), b AS (SELECT DISTINCT o_custkey AS member FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01')
         SELECT member, 'joined' AS change FROM b ANTI JOIN a USING (member) UNION ALL SELECT member, 'left' FROM a ANTI JOIN b USING (member)""",
     "union_files": "SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import bounded_name, csv_quoted, decode_statistic, java_hash, key_partition
+from tidemark.functions.columns import as_declared, bounded_name, csv_quoted, decode_statistic, java_hash, key_partition
 from tidemark.operators import scan
 from tidemark.sources import files
 
@@ -50,7 +50,7 @@ LINES = T.StructType([T.StructField("l_orderkey", T.LongType()), T.StructField("
 
 def footer_metadata(spark, d: str) -> DataFrame:
     footers = files.footer_metadata(spark, _groups(spark, d))
-    return footers.groupBy("column", "type", "repetition").agg(F.sum("rows").alias("rows"), F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"), F.sum("nulls").alias("nulls"))
+    return footers.groupBy("column", "type", "repetition").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"))
 
 
 def _pruned(spark, d: str, low=None, high=None) -> tuple[DataFrame, DataFrame]:
@@ -58,34 +58,33 @@ def _pruned(spark, d: str, low=None, high=None) -> tuple[DataFrame, DataFrame]:
     return scan.prune(footers, "l_orderkey", low, high, "long"), footers
 
 
-def _read_pruned(spark, d: str, low=None, high=None) -> DataFrame:
-    """Pruned row groups, then the exact filter."""
-    groups, _ = _pruned(spark, d, low, high)
-    rows = files.scan_row_groups(spark, _groups(spark, d), groups.filter("kept"), LINES)
-    if low is not None:
-        rows = rows.filter(F.col("l_orderkey") >= low)
-    return rows if high is None else rows.filter(F.col("l_orderkey") <= high)
+def _read_pruned(spark, d: str, where) -> DataFrame:
+    """The filter goes to the Parquet reader, which skips row groups by their statistics."""
+    return files.scan_parquet(spark, _groups(spark, d)).filter(where).select("l_orderkey", "l_quantity")
 
 
 def scan_row_groups(spark, d: str) -> DataFrame:
     groups = files.footer_metadata(spark, _groups(spark, d)).select("path", "row_group").distinct()
-    return files.scan_row_groups(spark, _groups(spark, d), groups.filter("row_group % 2 = 0"), LINES)
+    return files.scan_row_groups(spark, _groups(spark, d), groups, LINES)
 
 
 def prune_min(spark, d: str) -> DataFrame:
-    return _read_pruned(spark, d, low=14_000)
+    return _read_pruned(spark, d, F.col("l_orderkey") >= 14_000)
 
 
 def prune_max(spark, d: str) -> DataFrame:
-    return _read_pruned(spark, d, high=300)
+    return _read_pruned(spark, d, F.col("l_orderkey") <= 300)
 
 
 def prune_point(spark, d: str) -> DataFrame:
-    return _read_pruned(spark, d, low=777, high=777)
+    """A point in the order of strings."""
+    path = files.workspace(spark)
+    files.write_parquet(_customer(spark, d).repartitionByRange("c_name").sortWithinPartitions("c_name"), path, 16_384)
+    return files.scan_parquet(spark, path, CUSTOMER).filter("c_name = 'Customer#000000077'").select("c_custkey", "c_name")
 
 
 def prune_range(spark, d: str) -> DataFrame:
-    return _read_pruned(spark, d, low=500, high=900)
+    return _read_pruned(spark, d, F.col("l_orderkey").between(500, 900))
 
 
 def bytes_report(spark, d: str) -> DataFrame:
@@ -129,10 +128,33 @@ def csv_round_trip(spark, d: str) -> DataFrame:
 
 
 def read_range(spark, d: str) -> DataFrame:
-    """The magic bytes at both ends of the table's files."""
+    """The magic bytes at both ends of the table's files, which are slices of the files; an offset below 0 is 0."""
     path = _groups(spark, d) + "/*.parquet"
-    head, whole = files.read_range(spark, path, -3, 4), files.read_range(spark, path, 4, 0)
-    return head.join(whole.withColumnRenamed("bytes", "rest"), "path").select(F.decode("bytes", "US-ASCII").alias("head"), F.decode(F.expr("substring(rest, -4, 4)"), "US-ASCII").alias("tail"), (F.length("rest") + 4).alias("size"))
+    head, rest = files.read_range(spark, path, -3, 4), files.read_range(spark, path, 4, 0)
+    both = head.join(rest.withColumnRenamed("bytes", "rest"), "path")
+    return both.select(F.decode("bytes", "US-ASCII").alias("head"), F.decode(F.expr("substring(rest, -4, 4)"), "US-ASCII").alias("tail")).distinct()
+
+
+def ordered_collect(spark, d: str) -> DataFrame:
+    """Results of a job in the order of their partitions and places, which an explicit order gives, not their arrival."""
+    parts = spark.read.parquet(f"{d}/orders.parquet").select(F.floor(F.col("o_orderkey") / 1000).alias("part"), "o_orderkey").repartition("part")
+    return scan.map_rows(parts, "part", "o_orderkey").orderBy("part", "o_orderkey")
+
+
+def typed_fields(spark, d: str) -> DataFrame:
+    """Text fields by their declared types; what is no scalar type stays text, and what isn't of its type is null."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit("many")).otherwise(F.col("o_custkey").cast("string")).alias("v"))
+    return o.select("o_orderkey", as_declared(F.col("v"), "long").alias("as_long"), as_declared(F.col("v"), "double").alias("as_double"), as_declared(F.col("v"), "array<int>").alias("as_text"))
+
+
+def read_csv(spark, d: str) -> DataFrame:
+    """A text file with blank lines and short rows: the lines vanish, the missing columns are null."""
+    path = files.workspace(spark)
+    part = spark.read.parquet(f"{d}/part.parquet")
+    line = F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey").cast("string")).otherwise(F.concat_ws(",", F.col("p_partkey").cast("string"), "p_brand", "p_type"))
+    rows = part.select(F.explode(F.when(F.col("p_partkey") % 7 == 0, F.array(line, F.lit(""))).otherwise(F.array(line))).alias("value"))
+    rows.write.text(path)
+    return files.read_csv(spark, path, "key string, brand string, type string", multi_line=False, header=False)
 
 
 def list_objects(spark, d: str) -> DataFrame:
@@ -227,6 +249,9 @@ QUERIES = {
     "footer_metadata": footer_metadata,
     "csv_round_trip": csv_round_trip,
     "read_range": read_range,
+    "ordered_collect": ordered_collect,
+    "typed_fields": typed_fields,
+    "read_csv": read_csv,
     "list_objects": list_objects,
     "map": map_,
     "map_opaque": map_opaque,
@@ -260,6 +285,13 @@ ORACLES = {
     "read_dynamic": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer WHERE CAST(c_custkey AS VARCHAR) > '30'",
     "csv_round_trip": """SELECT p_partkey, p_name || ', "' || p_brand || '"' AS p_label, CASE WHEN p_size > 10 THEN p_type ELSE '' END AS p_type,
         '"' || replace(p_name || ', "' || p_brand || '"', '"', '""') || '"' AS quoted FROM part""",
+    "read_range": "SELECT DISTINCT 'PAR1' AS head, 'PAR1' AS tail FROM lineitem",
+    "ordered_collect": "SELECT CAST(o_orderkey // 1000 AS BIGINT) AS part, o_orderkey FROM orders ORDER BY part, o_orderkey",
+    "typed_fields": """SELECT o_orderkey, try_cast(v AS BIGINT) AS as_long, try_cast(v AS DOUBLE) AS as_double, v AS as_text
+        FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'many' ELSE CAST(o_custkey AS VARCHAR) END AS v FROM orders)""",
+    "read_csv": "SELECT CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS type FROM part",
+    "scan_row_groups": "SELECT l_orderkey, l_quantity FROM lineitem",
+    "footer_metadata": "SELECT c AS \"column\", t AS type, 'OPTIONAL' AS repetition, (SELECT count(*) FROM lineitem) AS rows, CAST(0 AS BIGINT) AS nulls FROM (VALUES ('l_orderkey', 'INT64'), ('l_quantity', 'DOUBLE'), ('l_shipdate', 'INT64')) AS v(c, t)",
     "list_objects": "SELECT DISTINCT p_type || '/' || p_brand AS key FROM part WHERE starts_with(p_type, 'S') ORDER BY key",
     "map": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem",
     "map_opaque": "SELECT c_custkey, reverse(c_name) AS c_name FROM customer",
@@ -270,7 +302,7 @@ ORACLES = {
         c_mktsegment = 'BUILDING' AND CAST(c_custkey AS VARCHAR) > '30' AS eq_and_gt FROM customer""",
     "prune_min": _LINES + "l_orderkey >= 14000",
     "prune_max": _LINES + "l_orderkey <= 300",
-    "prune_point": _LINES + "l_orderkey = 777",
+    "prune_point": "SELECT c_custkey, c_name FROM customer WHERE c_name = 'Customer#000000077'",
     "prune_range": _LINES + "l_orderkey BETWEEN 500 AND 900",
     "point_lookup": "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42",
     "prefix_filter": "SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, 'STANDARD')",

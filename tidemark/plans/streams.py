@@ -16,7 +16,10 @@ from tidemark.streaming import processors, runs
 
 @cache
 def _feed(app: str, d: str) -> str:
-    """events as a folder of files in the order of arrival; made once for each session."""
+    """events as a folder of files in the order of arrival, read file by file by their times; made once for each session.
+
+    Thirds of the events are written one after the other, each by ranges of event_id with at most a million rows a file.
+    """
     spark = SparkSession.active()
     path = workspace(spark)
     events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value")
@@ -24,7 +27,7 @@ def _feed(app: str, d: str) -> str:
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = events if low is None else events.filter(F.col("event_id") > low)
         part = part if high is None else part.filter(F.col("event_id") <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartitionByRange("event_id").sortWithinPartitions("event_id").write.option("maxRecordsPerFile", 1_000_000).mode("append").parquet(path)
     return path
 
 
@@ -57,11 +60,18 @@ def stream_merge_state(spark, d: str) -> DataFrame:
     return replaced.groupBy("endpoint", "key").agg(F.max_by(F.struct("value", "version"), "version").alias("v")).select("endpoint", "key", "v.value", "v.version")
 
 
-def stream_failure_detector(spark, d: str) -> DataFrame:
+def _detector(spark, d: str) -> DataFrame:
     beats = _events(spark, d).select(F.col("user_id").alias("endpoint"), (F.col("event_id") + 1).alias("tick")).withColumn("at", F.timestamp_seconds("tick"))
     return runs.run_to_files(processors.stream_failure_detector(beats, threshold=2.0, size=5, most=300))
 
 
+def stream_failure_detector(spark, d: str) -> DataFrame:
+    """The changes of state up to each endpoint's last recovery; a silence at the end may or may not be due yet."""
+    told = _detector(spark, d)
+    last = told.filter("state = 'UP'").groupBy("endpoint").agg(F.max("tick").alias("last"))
+    return told.join(last, "endpoint").filter("tick <= last").select("endpoint", "tick", "state")
+
+
 def stream_committed_fetch(spark, d: str) -> DataFrame:
     log = processors.stream_offsets(_events(spark, d).select(_partition(), F.col("event_id").alias("seq")))
     committed = logs.committed_offset(ordered._acks(spark, d).withColumn("offset", F.floor(F.col("offset") / 40)), 3)
@@ -92,6 +102,7 @@ ORACLES = {
     "stream_offsets": ordered.ORACLES["assign_offsets"],
     "stream_high_watermark": ordered.ORACLES["high_watermark_history"],
     "stream_fence": ordered.ORACLES["fence_by_partition"],
+    "stream_failure_detector": ordered.ORACLES["down_episodes"].replace("SELECT * FROM e WHERE recovered_at IS NULL OR convicted_at < recovered_at", "SELECT endpoint, convicted_at AS tick, 'DOWN' AS state FROM e WHERE convicted_at < recovered_at UNION ALL SELECT endpoint, recovered_at, 'UP' FROM e WHERE convicted_at < recovered_at"),
     "stream_merge_state": ordered.ORACLES["merge_values"],
     "stream_committed_fetch": f"WITH {ordered._LOG}, {ordered._LAST.format(n=400)}, {ordered._COMMITTED} SELECT partition, seq, \"offset\" FROM log JOIN committed USING (partition) WHERE \"offset\" <= committed",
     "stream_append_table": _E,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources import versioned
-from tidemark.sources.files import workspace
+from tidemark.sources.files import files_of, workspace
 from tidemark.sources.versioned import Conflict, VersionedTable
 
 
@@ -22,8 +22,8 @@ def _built(app: str, d: str) -> str:
     spark = SparkSession.active()
     table = VersionedTable.create(spark, workspace(spark))
     for k in range(4):
-        table.append(_orders(spark, d).filter(F.col("o_orderkey") % 4 == k).coalesce(2))
-    table.replace(_orders(spark, d).filter("o_orderstatus <> 'P'").coalesce(2))
+        table.append(_orders(spark, d).filter(F.col("o_orderkey") % 4 == k))
+    table.replace(_orders(spark, d).filter("o_orderstatus <> 'P'"))
     return table.path
 
 
@@ -107,8 +107,8 @@ def detect_lost_updates(spark, d: str) -> DataFrame:
     """A write whose commit is refused and given up leaves files that no version names."""
     table = VersionedTable.create(spark, workspace(spark))
     table.append(_orders(spark, d).filter("o_orderstatus = 'O'"))
-    table.stage(_orders(spark, d).filter("o_orderstatus = 'F'").coalesce(1))
-    return table.lost_updates().select("files")
+    table.stage(_orders(spark, d).filter("o_orderstatus = 'F'"))
+    return table.lost_updates().agg(F.count("*").alias("writers"))
 
 
 def commit(spark, d: str) -> DataFrame:
@@ -116,11 +116,17 @@ def commit(spark, d: str) -> DataFrame:
 
 
 def table_history(spark, d: str) -> DataFrame:
-    return _table(spark, d).history()
+    return _table(spark, d).history().select("version", "operation", "read_version", (F.col("adds") > 0).alias("adds"), (F.col("removes") > 0).alias("removes"))
 
 
 def table_detail(spark, d: str) -> DataFrame:
-    return _table(spark, d).detail()
+    """Its version, whether its files and bytes are those on disk, and its rows."""
+    t = _table(spark, d)
+    named = t.files().select(_plain("path"))
+    rows = _data(spark, t).join(named, "path", "left_semi").agg(F.count("*").alias("rows"))
+    on_disk = files_of(spark, f"{t.path}/data").withColumn("path", _plain("path")).join(named, "path", "left_semi").agg(F.count("*").alias("f"), F.sum("size").alias("b"))
+    whole = t.detail().crossJoin(F.broadcast(on_disk)).crossJoin(F.broadcast(rows))
+    return whole.select("last_version", (F.col("files") == F.col("f")).alias("files_agree"), (F.col("bytes") == F.col("b")).alias("bytes_agree"), "rows")
 
 
 def snapshot_files(spark, d: str) -> DataFrame:
@@ -132,12 +138,19 @@ def snapshot_files(spark, d: str) -> DataFrame:
     return out
 
 
+def _plain(column: str):
+    return F.regexp_replace(column, "^file:/+", "/").alias("path")
+
+
+def _data(spark, t: VersionedTable) -> DataFrame:
+    """The rows of all data files on disk, with their file's path."""
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{t.path}/data").select("*", F.col("_metadata.file_path").alias("path")).withColumn("path", _plain("path"))
+
+
 def active_file_rows(spark, d: str) -> DataFrame:
     """Rows of all data files whose file is active at version 3: a semi join on the path."""
     t = _table(spark, d)
-    every = spark.read.option("recursiveFileLookup", True).parquet(f"{t.path}/data").select("*", F.col("_metadata.file_path").alias("path"))
-    norm = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    return every.withColumn("path", norm("path")).join(t.files(3).select(norm("path").alias("path")), "path", "left_semi").drop("path")
+    return _data(spark, t).join(t.files(3).select(_plain("path")), "path", "left_semi").drop("path")
 
 
 def snapshot_metadata(spark, d: str) -> DataFrame:
@@ -145,22 +158,30 @@ def snapshot_metadata(spark, d: str) -> DataFrame:
 
 
 def files_matching(spark, d: str) -> DataFrame:
-    return _table(spark, d).files().filter(F.col("path").contains("/data/")).agg(F.count("*").alias("files"))
+    """Rows of the active files whose path matches."""
+    t = _table(spark, d)
+    return _data(spark, t).join(t.files().filter(F.col("path").contains("/data/")).select(_plain("path")), "path", "left_semi").agg(F.count("*").alias("rows"))
 
 
 def read_commit_log(spark, d: str) -> DataFrame:
-    return _table(spark, d).actions().select("version", "line", "action.type", "action.size")
+    """The kinds of actions of each version, in the order of their first lines."""
+    kinds = _table(spark, d).actions().groupBy("version", "action.type").agg(F.min("line").alias("line"))
+    return kinds.groupBy("version").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "type"))), lambda x: x["type"]), ",").alias("kinds"))
 
 
 def actions_as_parquet(spark, d: str) -> DataFrame:
+    """Actions kept as Parquet and read back, against those of the log."""
     path = workspace(spark)
     _table(spark, d).exported_actions().write.parquet(path)
-    back = VersionedTable.import_actions(spark.read.parquet(path))
-    return back.groupBy("version", "action.type").agg(F.count("*").alias("actions"))
+    back = VersionedTable.import_actions(spark.read.parquet(path)).select("version", "line", F.to_json("action").alias("back"))
+    both = _table(spark, d).actions().select("version", "line", "action.type", F.to_json("action").alias("own")).join(back, ["version", "line"], "full")
+    return both.groupBy("version", "type").agg(F.bool_and(F.col("own").eqNullSafe(F.col("back"))).alias("same"))
 
 
 def orphan_files(spark, d: str) -> DataFrame:
-    return _table(spark, d).orphans().agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    """Rows of the files that no active entry names."""
+    t = _table(spark, d)
+    return _data(spark, t).join(t.orphans().select(_plain("path")), "path", "left_semi").agg(F.count("*").alias("rows"))
 
 
 def diff_versions(spark, d: str) -> DataFrame:
@@ -212,6 +233,14 @@ ORACLES = {
         UNION ALL SELECT count(*) FILTER (o_orderstatus <> 'P'), 5 FROM orders UNION ALL SELECT count(*) FILTER (o_orderstatus <> 'P'), 99 FROM orders""",
     "active_file_rows": f"SELECT {_COLUMNS} FROM orders WHERE o_orderkey % 4 < 3",
     "diff_versions": "SELECT o_orderkey, o_orderstatus, 'removed' AS change FROM orders WHERE o_orderstatus = 'P'",
+    "detect_lost_updates": "SELECT count(DISTINCT o_orderstatus) AS writers FROM orders WHERE o_orderstatus = 'F'",
+    "table_history": "SELECT CAST(v AS BIGINT) AS version, CASE WHEN v > 0 THEN 'WRITE' END AS operation, CASE WHEN v > 0 THEN CAST(v - 1 AS BIGINT) END AS read_version, v > 0 AS adds, v = 5 AS removes FROM range(6) AS u(v)",
+    "table_detail": "SELECT CAST(5 AS BIGINT) AS last_version, true AS files_agree, true AS bytes_agree, count(*) AS rows FROM orders WHERE o_orderstatus <> 'P'",
+    "snapshot_metadata": "SELECT t AS type, CASE t WHEN 'protocol' THEN CAST(1 AS INT) END AS minReaderVersion, CASE t WHEN 'protocol' THEN CAST(1 AS INT) END AS minWriterVersion FROM (VALUES ('protocol'), ('metadata')) AS v(t)",
+    "files_matching": "SELECT count(*) AS rows FROM orders WHERE o_orderstatus <> 'P'",
+    "read_commit_log": "SELECT CAST(v AS BIGINT) AS version, CASE WHEN v = 0 THEN 'protocol,metadata' WHEN v < 5 THEN 'commitInfo,add' ELSE 'commitInfo,remove,add' END AS kinds FROM range(6) AS u(v)",
+    "actions_as_parquet": "SELECT CAST(v AS BIGINT) AS version, unnest(string_split(CASE WHEN v = 0 THEN 'protocol,metadata' WHEN v < 5 THEN 'commitInfo,add' ELSE 'commitInfo,remove,add' END, ',')) AS type, true AS same FROM range(6) AS u(v)",
+    "orphan_files": "SELECT count(*) AS rows FROM orders",
     "balances": f"WITH {_LEDGER} SELECT account, CAST(sum(delta) AS BIGINT) AS balance FROM l GROUP BY account",
     "conservation_check": "SELECT o_orderkey % 4 + 1 AS version, CAST(0 AS BIGINT) AS total, true AS conserved FROM orders GROUP BY 1",
     "running_balance_by_version": f"WITH {_LEDGER}, e AS (SELECT account, version, sum(delta) AS delta FROM l GROUP BY ALL) SELECT account, version, CAST(sum(delta) OVER (PARTITION BY account ORDER BY version) AS BIGINT) AS balance FROM e",

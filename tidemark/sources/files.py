@@ -86,9 +86,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     text.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def read_csv(spark, path: str, schema: str | None = None) -> DataFrame:
-    """All columns are text; blank lines are skipped, short rows leave the trailing columns null."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+def read_csv(spark, path: str, schema: str | None = None, multi_line: bool = True, header: bool = True) -> DataFrame:
+    """All columns are text; blank lines are skipped, short rows leave the trailing columns null.
+
+    Quoted values may hold line feeds, for which a file is one task; without multi_line files are split.
+    """
+    reader = spark.read.option("header", header).option("escape", '"').option("multiLine", multi_line)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -165,12 +168,30 @@ def scan_row_groups(spark, path: str, groups: DataFrame, schema: T.StructType) -
 
 
 def read_range(spark, path: str, offset: int, length: int) -> DataFrame:
-    """(path, bytes) of a slice: a negative offset is 0, a length of 0 or less goes to the end, past the end is empty."""
+    """(path, bytes) of a slice: a negative offset is 0, a length of 0 or less goes to the end, past the end is empty.
+
+    Tasks fetch the slice alone where pyarrow knows the store; from others Spark's reader brings the files.
+    """
     start = max(offset, 0)
+    scheme = path.split(":", 1)[0] if "://" in path or path.startswith("file:") else "file"
     files = spark.read.format("binaryFile").load(path)
-    end = F.lit(start + length) if length > 0 else F.col("length")
-    size = F.greatest(F.least(end, F.col("length")) - start, F.lit(0))
-    return files.select("path", F.substring(F.col("content"), F.lit(start + 1), size.cast("int")).alias("bytes"))
+    if scheme not in RANGED:
+        end = F.lit(start + length) if length > 0 else F.col("length")
+        size = F.greatest(F.least(end, F.col("length")) - start, F.lit(0))
+        return files.select("path", F.substring(F.col("content"), F.lit(start + 1), size.cast("int")).alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                store, inner = fs.FileSystem.from_uri(name.replace("file:///", "/").replace("file:/", "/"))
+                with store.open_input_file(inner) as f:
+                    size = f.size()
+                    f.seek(min(start, size))
+                    out.append(f.read(length if length > 0 else None) if start < size else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary())], names=["path", "bytes"])
+
+    return files.select("path").mapInArrow(run, "path string, bytes binary")
 
 
 def list_objects(listings: list[DataFrame], prefix: str = "") -> DataFrame:

@@ -100,7 +100,7 @@ class VersionedTable:
 
     def actions(self, upto: int | None = None) -> DataFrame:
         """(version, line, action) of every action; whole files are read, so that lines keep their order."""
-        files = self.spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(f"{self.path}/_log")
+        files = self.spark.read.option("pathGlobFilter", "*.json").text(f"{self.path}/_log", wholetext=True)
         rows = files.select(version_of(F.col("_metadata.file_name")).alias("version"), F.posexplode(F.split("value", "\n")).alias("line", "json"))
         rows = rows.filter("version is not null and trim(json) <> ''")
         if upto is not None:

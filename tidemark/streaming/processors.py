@@ -50,16 +50,14 @@ class Watermark(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         known = {r: self.last.getValue((r,))[0] if self.last.containsKey((r,)) else 0 for r in self.replicas}
         high = self.high.get()[0] if self.high.exists() else 0
-        out = []
         batch = _ordered(rows, "seq")
-        for seq, replica, offset in zip(batch["seq"], batch["replica"], batch["offset"], strict=True):
-            known[int(replica)] = int(offset)
-            high = max(high, min(known[r] for r in self.replicas))
-            out.append((key[0], seq, high))
-        for r, offset in known.items():
-            self.last.updateValue((r,), (offset,))
-        self.high.update((high,))
-        yield pd.DataFrame(out, columns=["partition", "seq", "watermark"])
+        each = pd.DataFrame({r: batch["offset"].where(batch["replica"] == r).ffill().fillna(known[r]) for r in self.replicas})
+        marks = each.min(axis=1).cummax().clip(lower=high).astype("int64")
+        for r in self.replicas:
+            self.last.updateValue((r,), (int(each[r].iloc[-1]),))
+        self.high.update((int(marks.iloc[-1]),))
+        out = pd.DataFrame({"partition": key[0], "seq": batch["seq"], "watermark": marks})
+        yield out
 
     def close(self) -> None:
         pass
@@ -74,11 +72,9 @@ class Fence(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows, "seq")
         largest = self.epoch.get()[0] if self.epoch.exists() else 0
-        accepted = []
-        for epoch in batch["epoch"]:
-            accepted.append(bool(epoch >= largest))
-            largest = max(largest, int(epoch))
-        self.epoch.update((largest,))
+        before = batch["epoch"].cummax().shift(fill_value=largest).clip(lower=largest)
+        accepted = (batch["epoch"] >= before).to_numpy()
+        self.epoch.update((max(largest, int(batch["epoch"].max())),))
         yield pd.DataFrame({"partition": key[0], "seq": batch["seq"].to_numpy(), "epoch": batch["epoch"].to_numpy(), "accepted": accepted})
 
     def close(self) -> None:
@@ -94,14 +90,13 @@ class Merge(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows, "seq")
         version = self.newest.get()[0] if self.newest.exists() else None
-        out = []
-        for seq, value, v in zip(batch["seq"], batch["value"], batch["version"], strict=True):
-            if version is None or v > version:
-                version = int(v)
-                out.append((key[0], key[1], value, version, seq))
+        newest = batch["version"].cummax()
+        newer = batch["version"] > newest.shift(fill_value=-(2**63))
         if version is not None:
-            self.newest.update((version,))
-        yield pd.DataFrame(out, columns=["endpoint", "key", "value", "version", "seq"])
+            newer &= batch["version"] > version
+        out = batch[newer]
+        self.newest.update((max(int(newest.iloc[-1]), version if version is not None else -(2**63)),))
+        yield pd.DataFrame({"endpoint": key[0], "key": key[1], "value": out["value"], "version": out["version"], "seq": out["seq"]})
 
     def close(self) -> None:
         pass
