@@ -3,8 +3,9 @@
 run() gives the documents that every stage keeps, with their sanitised texts and their place in the mixture.
 Odd rows have the same result in every stage as in its operator: null and empty texts have no words, are not toxic beyond the
 labels' share, form one group of copies, hold no benchmark window and no personal data, and stand once in the
-mixture; ties go to the least doc_id; of repeated rows one stays; a null doc_id counts as the hash of its text; a null
-source is a source; empty tables give no rows; other columns pass through, whatever their names.
+mixture; ties go to the least doc_id; of repeated rows one stays; rows without a doc_id are grouped by their texts like others, and
+of unlike texts under one doc_id each stays; a null source is a source; empty tables give no rows; other columns pass through,
+whatever their names.
 
 No stage can be stated in SQL (a fitted field, SimHash groups, corpus statistics, hashed permutations), so there is no
 ORACLE_SQL; tests/llm holds run() against a brute-force version.
