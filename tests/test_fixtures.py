@@ -240,6 +240,28 @@ def test_transactions_are_not_repeated(spark):
     assert table.read().count() == 2
 
 
+def test_checkpoints_change_no_read(spark):
+    table = VersionedTable(spark, files.workspace(spark), checkpoint_every=3)
+    VersionedTable.create(spark, table.path)
+    for k in range(8):
+        if k == 4:
+            table.replace(spark.range(100, 110))
+        else:
+            table.append(spark.range(k, k + 1).coalesce(1), txn=f"a:b:{k}" if k % 2 else f"once {k}")
+    plain = lambda v: {(r["path"], r["size"], r["version"]) for r in table.files(v).collect()}
+    with_them = [plain(v) for v in (None, *range(-1, 10))]
+    assert [table._checkpoint(v) for v in (None, 2, 3, 5, 6, 99)] == [6, -1, 3, 3, 6, 6]
+    assert rows(table.metadata(7)) == rows(table.metadata(0)) != []
+    opened = {f.rsplit("/", 1)[1] for f in table.actions(after=6).inputFiles()}
+    read = table.actions(after=6).select("version").distinct().collect()
+    assert sorted(r[0] for r in read) == [7, 8] and len(opened) == 9
+    assert [table.has_txn(t) for t in ("a:b:1", "a:b:7", "a:b:8", "a:b", "a:c:1", "once 0", "once 6", "once 4", "once")] == [True, True, False, False, False, True, True, False, False]
+    assert table.append(spark.range(1), txn="once 2") == 8 and sorted(r[0] for r in table.read(5).collect()) == list(range(100, 110))
+    bare = VersionedTable(spark, table.path)
+    bare._checkpoint = lambda upto: -1
+    assert with_them == [{(r["path"], r["size"], r["version"]) for r in bare.files(v).collect()} for v in (None, *range(-1, 10))]
+
+
 def test_csv_quotes(spark):
     df = spark.createDataFrame([('a,"b"', None), ("line\nfeed", "x")], "p string, q string")
     path = files.workspace(spark)

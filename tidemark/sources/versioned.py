@@ -6,9 +6,10 @@ import json
 import os
 import time
 import uuid
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import version_name, version_of
@@ -21,6 +22,14 @@ ACTION = (
 )
 
 
+def txn_parts(txn: Column) -> tuple[Column, Column]:
+    """The query and the number of a txn `query:number`; one of another form is its own query with the number 0."""
+    numbered = F.regexp_like(txn, F.lit("^.*:[0-9]{1,18}$"))
+    number = F.substring_index(txn, ":", -1)
+    query = F.when(numbered, F.substring(txn, F.lit(1), F.length(txn) - F.length(number))).otherwise(txn)
+    return query, F.coalesce(F.when(numbered, number).try_cast("long"), F.lit(0))
+
+
 class Conflict(Exception):
     """Another writer published a version after the one that this transaction read."""
 
@@ -60,10 +69,14 @@ def publish(spark, path: str, text: str) -> None:
 
 
 class VersionedTable:
-    """A table at a path. Reads and replays are DataFrames; only publishing a version is a step of the driver."""
+    """A table at a path. Reads and replays are DataFrames; only publishing a version is a step of the driver.
+
+    Every `checkpoint_every` versions (0: never) the actions that still count are kept as Parquet in `_checkpoints`, so
+    that a read takes the last one before its version and the log's few files after it.
+    """
 
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark, path: str, checkpoint_every: int = 10):
+        self.spark, self.path, self.checkpoint_every = spark, path, checkpoint_every
 
     # --- log -------------------------------------------------------------------------------------
 
@@ -98,23 +111,66 @@ class VersionedTable:
         names = [s.getPath().getName() for s in store.listStatus(folder)]
         return max((int(n[:20]) for n in names if len(n) == 25 and n[:20].isdigit() and n.endswith(".json")), default=-1)
 
-    def actions(self, upto: int | None = None) -> DataFrame:
-        """(version, line, action) of every action; whole files are read, so that lines keep their order."""
+    def actions(self, upto: int | None = None, after: int = -1) -> DataFrame:
+        """(version, line, action) of every action; whole files are read, so that lines keep their order.
+
+        Files up to the version `after` aren't opened: the name is a filter that the listing answers.
+        """
         files = self.spark.read.option("pathGlobFilter", "*.json").text(f"{self.path}/_log", wholetext=True)
+        if after >= 0:
+            files = files.filter(F.col("_metadata.file_name") > f"{after:020d}.json")
+        if upto is not None:
+            files = files.filter(F.col("_metadata.file_name") <= f"{max(upto, 0):020d}.json")
         rows = files.select(version_of(F.col("_metadata.file_name")).alias("version"), F.posexplode(F.split("value", "\n")).alias("line", "json"))
         rows = rows.filter("version is not null and trim(json) <> ''")
         if upto is not None:
             rows = rows.filter(F.col("version") <= upto)
         return rows.select("version", "line", "json", F.from_json("json", ACTION).alias("action"))
 
+    def _checkpoint(self, upto: int | None) -> int:
+        """The last version up to this one with a finished checkpoint, else -1."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_checkpoints")
+        store = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not store.exists(folder):
+            return -1
+        names = sorted((s.getPath().getName() for s in store.listStatus(folder)), reverse=True)
+        fit = (int(n) for n in names if n.isdigit() and (upto is None or int(n) <= upto))
+        return next((v for v in fit if store.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_checkpoints/{v:020d}/_SUCCESS"))), -1)
+
+    def state(self, version: int | None = None) -> DataFrame:
+        """(version, line, action) of the last checkpoint up to a version, and of all actions between the two."""
+        at = self._checkpoint(version)
+        later = self.actions(version, after=at).select("version", "line", "action")
+        return later if at < 0 else self.spark.read.schema(later.schema).parquet(f"{self.path}/_checkpoints/{at:020d}").unionByName(later)
+
+    def write_checkpoint(self, version: int) -> None:
+        """Keeps what still counts at a version: active files, the last metadata and protocol, the last batch of each query that appends."""
+        kind = F.when(F.col("action.type").isin("add", "remove"), "file").when(F.col("action.type").isin("metadata", "protocol"), F.col("action.type")).when(F.col("action.txn").isNotNull(), "txn")
+        query, batch = txn_parts(F.col("action.txn"))
+        name = F.when(F.col("kind") == "file", F.col("action.path")).when(F.col("kind") == "txn", query)
+        last = (
+            self.state(version)
+            .withColumn("kind", kind)
+            .filter("kind is not null")
+            .groupBy("kind", name.alias("name"))
+            .agg(F.max_by(F.struct("version", "line", "action"), F.struct(batch, "version", "line")).alias("last"))
+        )
+        last.select("last.*").filter("action.type <> 'remove'").write.parquet(f"{self.path}/_checkpoints/{version:020d}")
+
+    def has_txn(self, txn: str) -> bool:
+        """Whether a commit bears this txn; of one named `query:number`, whether the query has come to this number."""
+        known, wanted = txn_parts(F.col("action.txn")), txn_parts(F.lit(txn))
+        return not self.state().filter((known[0] == wanted[0]) & (known[1] >= wanted[1])).isEmpty()
+
     def files(self, version: int | None = None) -> DataFrame:
         """The active files: of each path the last action, if it is an add. Beyond the last version, that one; below 0, none."""
-        named = self.actions(version).filter("action.type in ('add', 'remove')")
+        named = self.state(version).filter("action.type in ('add', 'remove')")
         last = named.groupBy("action.path").agg(F.max_by("action", F.struct("version", "line")).alias("a"), F.max("version").alias("version"))
         return last.filter("a.type = 'add'").select("path", "a.size", "a.partitionValues", "version")
 
     def metadata(self, version: int | None = None) -> DataFrame:
-        last = self.actions(version).filter("action.type in ('metadata', 'protocol')").groupBy("action.type").agg(F.max_by("action", F.struct("version", "line")).alias("a"))
+        last = self.state(version).filter("action.type in ('metadata', 'protocol')").groupBy("action.type").agg(F.max_by("action", F.struct("version", "line")).alias("a"))
         return last.select("type", "a.partitionColumns", "a.format", "a.minReaderVersion", "a.minWriterVersion")
 
     def history(self) -> DataFrame:
@@ -162,12 +218,17 @@ class VersionedTable:
             self._publish(read_version + 1, [info, *actions])
         except FileExistsError as e:
             raise Conflict(f"version {read_version + 1} was published by another writer") from e
+        if self.checkpoint_every and (read_version + 1) % self.checkpoint_every == 0:
+            try:
+                self.write_checkpoint(read_version + 1)
+            except Exception as e:  # the version is published; reads take the checkpoint before
+                warnings.warn(f"no checkpoint of version {read_version + 1}: {e}", stacklevel=2)
         return read_version + 1
 
     def append(self, df: DataFrame, partition_column: str | None = None, txn: str | None = None) -> int:
-        """One atomic commit; a txn that the log already has is not repeated."""
+        """One atomic commit; a txn that the log already has (has_txn) is not repeated."""
         read = self.version()
-        if txn is not None and not self.actions().filter((F.col("action.txn") == txn)).isEmpty():
+        if txn is not None and self.has_txn(txn):
             return read
         return self.commit(self.stage(df, partition_column), read, "WRITE", {"mode": "append"}, txn)
 
