@@ -53,6 +53,10 @@ def test_op4_edits_and_likeness(spark, sf, duck):
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         a, b = grams(text), grams(edited)
         gaps.append(abs(len(a & b) / len(a | b) - r["near_edited"]))
+        kept = len(text) - q
+        assert (r["passage_edited"] >= kept and (edited == text) <= (r["passage_edited"] == len(text))) or kept < 17
+        long = r["passage_next"]
+        assert long <= len(text) and (not long or any(text[p : p + long] in following for p in range(len(text) - long + 1)))
     assert np.mean(gaps) < 0.06
     assert np.mean([r["near_edited"] for r in got.values()]) > 0.5 > 0.05 > np.mean([r["near_next"] for r in got.values()])
     of = {}

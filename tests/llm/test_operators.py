@@ -103,6 +103,56 @@ def test_anchors_are_where_they_say(spark, odd):
     assert {(r["position"], r["anchor"]) for r in rows} <= moved
 
 
+def test_syncmers_are_chosen_by_their_least_part():
+    rng, k, s = np.random.default_rng(5), 12, 6
+    for letters in (2, 4, 200):
+        texts = ["".join(chr(97 + c) for c in rng.integers(0, letters, n)) for n in (0, 3, 11, 12, 13, 40, 400)]
+        points, cuts = syncmers.code_points(texts)
+        text, at, value = syncmers.closed_syncmers(points, cuts, k, s)
+        hashes = syncmers.Hashes(points)
+        want = set()
+        for i, t in enumerate(texts):
+            chosen = []
+            for p in range(len(t) - k + 1):
+                places = cuts[i] + np.arange(p, p + k - s + 1)
+                inner = hashes.of(places, places + s).tolist()
+                if min(inner) in (inner[0], inner[-1]):
+                    chosen.append(p)
+            want |= {(i, p) for p in chosen or ([0] if t else [])}
+            assert not t or len(t) < k or max(np.diff([-1, *chosen, len(t) - k + 1])) <= k - s + 1
+        assert sorted(zip(text.tolist(), at.tolist(), strict=True)) == sorted(want)
+        words = {}
+        for i, p, v in zip(text.tolist(), at.tolist(), value.tolist(), strict=True):
+            words.setdefault(v, set()).add(texts[i][p : p + k])
+        assert all(len(w) == 1 for w in words.values())
+
+
+def common(a, b):
+    """The length of the longest substring of both, cell by cell."""
+    best, row = 0, [0] * (len(b) + 1)
+    for c in a:
+        row = [0, *(row[j] + 1 if c == d else 0 for j, d in enumerate(b))]
+        best = max(best, *row)
+    return best
+
+
+def test_passages_against_brute_force():
+    rng = np.random.default_rng(8)
+    word = lambda n, letters=26: "".join(chr(97 + c) for c in rng.integers(0, letters, n))
+    pairs = [("", ""), ("", "abc"), ("abc", "abc"), ("abc", "abd"), ("é\U0001f600" * 40, "x" + "é\U0001f600" * 40)]
+    for size in (17, 18, 25, 60, 300):
+        for _ in range(8):
+            shared = word(size)
+            pairs.append((word(rng.integers(0, 200)) + shared + word(rng.integers(0, 200)), word(rng.integers(0, 200)) + shared + word(rng.integers(0, 90))))
+    few = [(word(150, 2) + a, word(150, 2) + a) for a in (word(40, 2) for _ in range(10))]
+    texts = [t for pair in pairs + few for t in pair]
+    got = syncmers.Anchors(texts, 12, 6).passages([(2 * i, 2 * i + 1) for i in range(len(pairs + few))]).tolist()
+    want = [common(*pair) for pair in pairs + few]
+    exact = [w if w >= 12 or a == b else 0 for w, (a, b) in zip(want, pairs, strict=False)]
+    assert got[: len(pairs)] == exact
+    assert all(g <= w for g, w in zip(got[len(pairs) :], want[len(pairs) :], strict=True))
+
+
 # --- decontamination -----------------------------------------------------------------------------
 
 

@@ -35,16 +35,35 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def closed_syncmers(points: np.ndarray, cuts: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Hashes:
+    """Hashes of any substrings of a run of code points, from one prefix sum."""
+
+    def __init__(self, points: np.ndarray):
+        up, self.down = arrays.powers(len(points) + 1)
+        self.sums = np.zeros(len(points) + 1, dtype=np.uint64)
+        np.cumsum(arrays.mix(points.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return arrays.mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+
+    def alike(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+        """How many code points, up to `most`, are the same from a and from b on (step 1) or before them (step -1)."""
+        low, high = np.zeros_like(most), most.copy()
+        while (low < high).any():
+            n = (low + high + 1) // 2
+            same = self.of(a, a + n) == self.of(b, b + n) if step > 0 else self.of(a - n, a) == self.of(b - n, b)
+            low, high = np.where(same, n, low), np.where(same, high, n - 1)
+        return low
+
+
+def closed_syncmers(points: np.ndarray, cuts: np.ndarray, k: int, s: int, hashes: Hashes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place in the text, hash) of every closed syncmer: a k-mer whose least s-mer is its first or its last.
 
     Whether a k-mer is one depends on itself alone, so an edit elsewhere in a text changes no anchor.
     A text of under k code points, or without a syncmer, is anchored by itself as a whole.
     """
-    up, down = arrays.powers(len(points) + 1)
-    sums = np.zeros(len(points) + 1, dtype=np.uint64)
-    np.cumsum(arrays.mix(points.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    hashed = lambda a, b: arrays.mix((sums[b] - sums[a]) * down[a])
+    hashes = hashes or Hashes(points)
+    sums, down, hashed = hashes.sums, hashes.down, hashes.of
     text = at = value = np.zeros(0, dtype=np.int64)
     if len(points) >= k:
         inner = arrays.mix((sums[s:] - sums[:-s]) * down[: len(sums) - s])
@@ -62,17 +81,72 @@ def closed_syncmers(points: np.ndarray, cuts: np.ndarray, k: int, s: int) -> tup
     return text, at, value
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it; the first one does."""
+    differs = np.ones(len(columns[0]), dtype=bool)
+    if len(differs):
+        differs[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return differs
+
+
+class Anchors:
+    """The anchors of a slice of texts: their sketches, and the passages that texts share."""
+
+    def __init__(self, texts: list[str], k: int, s: int):
+        points, self.cuts = code_points(texts)
+        self.hashes = Hashes(points)
+        text, at, value = closed_syncmers(points, self.cuts, k, s, self.hashes)
+        order = np.lexsort((at, value, text))
+        self.text, self.at, self.value = text[order], at[order], value[order]
+        self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
+        new = np.flatnonzero(changes(self.text, self.value))
+        self.nth = np.arange(len(self.text)) - np.repeat(new, np.diff(np.append(new, len(self.text))))
+
+    def sketches(self, size: int) -> list[np.ndarray]:
+        """For each text the `size` least different hashes of its anchors, in order."""
+        value = self.value >> np.uint64(64 - 4 * HEX)
+        new = changes(self.text, value)
+        value, first = value[new], np.searchsorted(self.text[new], np.arange(len(self.first)))
+        return [value[a : min(b, a + size)] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+    def passages(self, pairs: list[tuple[int, int]]) -> np.ndarray:
+        """For each pair of texts the code points of the longest passage in both, as anchors in the same order find it.
+
+        The n-th place of an anchor in one text is matched with the n-th in the other. Matches at one distance
+        with the same text between them are one passage, which then grows to both sides as far as the texts
+        agree. So a passage counts if one of its anchors is matched, and its length is exact.
+        """
+        longest = np.zeros(len(pairs), dtype=np.int64)
+        key = arrays.mix(self.value ^ arrays.mix(self.nth.astype(np.uint64)))
+        order = np.lexsort((key, self.text))
+        key, place = key[order], (self.at + self.cuts[self.text])[order]
+        found = []
+        for i, (a, b) in enumerate(pairs):
+            ours, theirs = slice(self.first[a], self.first[a + 1]), slice(self.first[b], self.first[b + 1])
+            if ours.start == ours.stop or theirs.start == theirs.stop:
+                continue
+            to = np.minimum(np.searchsorted(key[theirs], key[ours]), theirs.stop - theirs.start - 1)
+            hit = np.flatnonzero(key[theirs][to] == key[ours])
+            found.append((np.full(len(hit), i), place[ours][hit], place[theirs][to[hit]]))
+        if not found:
+            return longest
+        pair, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((x, y - x, pair))
+        pair, x, y = pair[order], x[order], y[order]
+        head = changes(pair, y - x)
+        follows = np.flatnonzero(~head)
+        head[follows] = self.hashes.of(x[follows - 1], x[follows]) != self.hashes.of(y[follows - 1], y[follows])
+        pair, x, y = pair[head], x[head], y[head]
+        a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2)[pair].T
+        before = self.hashes.alike(x, y, np.minimum(x - self.cuts[a], y - self.cuts[b]), -1)
+        after = self.hashes.alike(x, y, np.minimum(self.cuts[a + 1] - x, self.cuts[b + 1] - y), 1)
+        np.maximum.at(longest, pair, before + after)
+        return longest
+
+
 def sketches(texts: list[str], k: int, s: int, size: int) -> list[np.ndarray]:
     """For each text the `size` least different hashes of its anchors, in order."""
-    points, cuts = code_points(texts)
-    text, _, value = closed_syncmers(points, cuts, k, s)
-    value = value >> np.uint64(64 - 4 * HEX)
-    order = np.lexsort((value, text))
-    text, value = text[order], value[order]
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (value[1:] != value[:-1])]) if len(text) else np.zeros(0, dtype=bool)
-    text, value = text[new], value[new]
-    first = np.searchsorted(text, np.arange(len(texts) + 1))
-    return [value[a : min(b, a + size)] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return Anchors(texts, k, s).sketches(size)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int) -> float:
@@ -142,7 +216,10 @@ def _with_followers(docs: DataFrame) -> DataFrame:
 def fingerprint(docs: DataFrame, *, k: int = 12, s: int = 6, size: int = 64, share: int = 4, slice_chars: int = 1 << 19) -> DataFrame:
     """Each document's fingerprint, and that of its text with the last 1/share replaced from the next document.
 
-    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Documents go once through a shuffle by ranges of
+    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and passage_edited and
+    passage_next: the code points of the longest passage that the text shares with the edited and with the
+    next text, found by matching all anchors with their places (0: none; a shared passage of 17 code points or
+    more has an anchor, which finds it where its repeats stand in the same order). Documents go once through a shuffle by ranges of
     doc_id; a task reads its ranges in order, holding a slice of texts and one row over. Null texts are
     empty: their fingerprint is empty. Documents with the same doc_id follow each other in the order of
     their texts; null ids come first; a lone document follows itself; an empty table gives no rows.
@@ -152,6 +229,7 @@ def fingerprint(docs: DataFrame, *, k: int = 12, s: int = 6, size: int = 64, sha
         + [T.StructField("n_chars", T.LongType())]
         + [T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")]
         + [T.StructField(c, T.DoubleType()) for c in ("near_edited", "near_next")]
+        + [T.StructField(c, T.LongType()) for c in ("passage_edited", "passage_next")]
     )
 
     def finished(rows: list[tuple], follower: tuple | None) -> tuple[pa.RecordBatch, np.ndarray | None]:
@@ -159,14 +237,16 @@ def fingerprint(docs: DataFrame, *, k: int = 12, s: int = 6, size: int = 64, sha
         chain = [*rows, follower] if follower else rows
         own = [i for i in range(len(rows)) if rows[i][1] == 0]
         texts = [r[3] for r in chain]
+        following = {i: i + 1 if i + 1 < len(chain) and chain[i + 1][0] == chain[i][0] else i for i in own}
         edited = []
         for i in own:
-            text, following = texts[i], texts[i + 1] if i + 1 < len(chain) and chain[i + 1][0] == chain[i][0] else texts[i]
+            text, after = texts[i], texts[following[i]]
             cut = len(text) // share
-            edited.append(text[: len(text) - cut] + following[:cut])
-        prints = sketches(texts + edited, k, s, size)
+            edited.append(text[: len(text) - cut] + after[:cut])
+        found = Anchors(texts + edited, k, s)
+        prints = found.sketches(size)
         plain, changed = prints[: len(texts)], prints[len(texts) :]
-        follows = [plain[i + 1] if i + 1 < len(chain) and chain[i + 1][0] == chain[i][0] else plain[i] for i in own]
+        shared = found.passages([*((i, len(texts) + n) for n, i in enumerate(own)), *following.items()])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([rows[i][2] for i in own], type=pa.int64()),
@@ -175,7 +255,9 @@ def fingerprint(docs: DataFrame, *, k: int = 12, s: int = 6, size: int = 64, sha
                 pa.array([as_text(plain[i]) for i in own], type=pa.string()),
                 pa.array([as_text(p) for p in changed], type=pa.string()),
                 pa.array([likeness(plain[i], p, size) for i, p in zip(own, changed, strict=True)], type=pa.float64()),
-                pa.array([likeness(plain[i], p, size) for i, p in zip(own, follows, strict=True)], type=pa.float64()),
+                pa.array([likeness(plain[i], plain[j], size) for i, j in following.items()], type=pa.float64()),
+                pa.array(shared[: len(own)], type=pa.int64()),
+                pa.array(shared[len(own) :], type=pa.int64()),
             ],
             names=schema.names,
         )
