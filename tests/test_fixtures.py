@@ -162,6 +162,11 @@ def test_prefix_ownership(spark):
     owners = spark.createDataFrame([("rs-1",), ("rs-10",)], "owner string")
     for least in (None, 4):
         assert len(rows(recon.owned_by(items, owners, least))) == 3
+    some = spark.createDataFrame([("",), ("rs-1",), ("rs-10-longer than any item",), (None,)], "owner string")
+    every = {r["name"] for r in items.collect()}
+    got = sorted((r["owner"], r["name"]) for r in recon.owned_by(items, some).collect())
+    assert got == sorted((o, n) for o in ("", "rs-1") for n in every if n.startswith(o))
+    assert rows(recon.owned_by(items, some.limit(0))) == []
 
 
 def test_balanced_assign_is_sequential_least_loaded(spark):

@@ -33,15 +33,16 @@ def materialize(changes: DataFrame) -> DataFrame:
 
 
 def owned_by(items: DataFrame, owners: DataFrame, least_prefix: int | None = None) -> DataFrame:
-    """Pairs of items (name) and owners (owner) whose name begins the item's.
+    """Pairs of items (name) and owners (owner) whose name begins the item's; an empty owner's name begins every item.
 
-    Rows meet on prefixes of the length that all owners' names have at least (least_prefix, or else the shortest name's length).
-    An empty owner's name begins every item; then the owners must be few enough for Spark to join them so.
+    Each item meets owners on its beginnings of the lengths that owners' names have, so every row of the join is a pair. Where all
+    owners' names have least_prefix characters or more, rows meet on that one beginning instead.
     """
-    if least_prefix is None:
-        least_prefix = owners.agg(F.min(F.length("owner"))).first()[0] or 0
-    if least_prefix == 0:
-        return items.join(owners, F.col("name").startswith(F.col("owner")))
+    if not least_prefix:
+        lengths = owners.agg(F.collect_set(F.length("owner")).alias("lengths_"))  # one row, a number for each length of a name
+        starts = F.transform(F.filter("lengths_", lambda n: n <= F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n))
+        i = items.crossJoin(F.broadcast(lengths)).withColumn("start_", F.explode(starts)).drop("lengths_")
+        return i.join(owners, F.col("start_") == F.col("owner")).drop("start_")
     i = items.withColumn("start_", F.substring("name", 1, least_prefix))
     o = owners.withColumn("start_", F.substring("owner", 1, least_prefix))
     return i.join(o, "start_").filter(F.col("name").startswith(F.col("owner"))).drop("start_")
