@@ -184,11 +184,12 @@ def anchors(docs: DataFrame, *, k: int = 12, s: int = 6, slice_bytes: int = 1 <<
 def _with_followers(docs: DataFrame) -> DataFrame:
     """docs in ranges of doc_id: part, rep (1: the first document of the next range, after its own), key.
 
-    The ranges' bounds, at most 10,000 numbers, and the first id of each range come to the driver.
+    There are four ranges a shuffle partition, or one for 4,096 documents up to 10,000, so that the session's setting
+    bounds a task's share at any size. The ranges' bounds and the first id of each come to the driver.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = int(min(10_000, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), keyed.count() // 4096)))
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(10_000, keyed.count() // 4096))
     shares = [(i + 1) / parts for i in range(parts - 1)]
     bounds = np.unique(np.array(keyed.agg(F.percentile_approx("key", shares, 10 * parts)).first()[0] or [], dtype=np.int64))
 
