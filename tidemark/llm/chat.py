@@ -45,7 +45,7 @@ def format_chats(rows: DataFrame, *, loss_role: str = "assistant") -> DataFrame:
     """One row per conv_id: formatted text, loss spans (code points, end exclusive), whether it reads back to the source.
 
     Turns stand in the order of (turn, role, text); repeated rows stay; null text or role is empty; a null
-    conv_id is one conversation; other columns are not used. Every turn is first rendered as it
+    conv_id is one conversation; an empty table gives no rows; other columns, whatever their names, are not used. Every turn is first rendered as it
     is and parsed back: where the parser doesn't return that one turn, its role and text are escaped.
     Then the whole conversation is parsed and compared. A conversation's turns meet in one
     row, as the formatted text is one value; nothing is gathered across conversations.

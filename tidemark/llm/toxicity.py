@@ -314,8 +314,8 @@ def score(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
     """docs with `out`: score (0 to 1) and the toxic spans (code points, end exclusive) of every whole text.
 
     Null and empty texts have no words: their score follows from the labels' share. Repeated rows are
-    alike; a table without labels of both kinds gives every text the labels' share. One pass without a
-    shuffle, in slices of about a megabyte. Other columns pass through (one named `out` is replaced).
+    alike; a table without labels of both kinds gives every text the labels' share; tied words of a span give its
+    probability alike; an empty table gives no rows. One pass without a shuffle, in slices of about a megabyte. Other columns pass through (one named `out` is replaced).
     """
     known = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias, model.start, model.moves, model.document))
     names = [c for c in docs.columns if c.lower() != out.lower()]
