@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import Ranges, highest, last, total
 
-def assign_offsets(messages: DataFrame, partition: str = "partition", seq: str = "seq", first: int = 1, rows_per_range: int = 1 << 16) -> DataFrame:
-    """messages with `offset`: dense in each partition, in the order of arrival.
 
-    Rows are numbered within ranges of seq, after the counts of the earlier ranges, so a hot partition is many tasks.
+def assign_offsets(messages: DataFrame, partition: str = "partition", seq: str = "seq", first: int = 1, rows_per_range: int = 1 << 16, ends: DataFrame | None = None) -> DataFrame:
+    """messages with `offset`: dense in each partition, in the order of arrival; a null partition is one, a null seq comes first.
+
+    `ends` (partition, end) are the last offsets that a log has already; partitions that it lacks begin at `first`.
+    A hot partition is numbered in ranges, each after the counts of those before it.
     """
-    ranged = messages.withColumn("range_", F.floor(F.col(seq) / rows_per_range))
-    earlier = Window.partitionBy(partition).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    before = ranged.groupBy(partition, "range_").agg(F.count("*").alias("n_")).select(partition, "range_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_"))
-    nth = F.row_number().over(Window.partitionBy(partition, "range_").orderBy(seq))
-    return ranged.join(before, [partition, "range_"]).withColumn("offset", F.col("before_") + nth + F.lit(first - 1)).drop("range_", "before_")
+    numbered = Ranges(messages, [partition], seq, rows_per_range).running(messages, {"offset": total(F.lit(1).cast("long"))})
+    if ends is None:
+        return numbered.withColumn("offset", F.col("offset") + F.lit(first - 1))
+    known = ends.select(F.col("partition").alias("end_of_"), "end")
+    joined = numbered.join(known, F.col(partition).eqNullSafe(F.col("end_of_")), "left")
+    return joined.withColumn("offset", F.col("offset") + F.coalesce("end", F.lit(first - 1))).drop("end_of_", "end")
 
 
 def latest_acks(acks: DataFrame) -> DataFrame:
@@ -32,22 +36,15 @@ def committed_offset(acks: DataFrame, replicas: int) -> DataFrame:
 def watermark_history(acks: DataFrame, replicas: list[int], rows_per_range: int = 1 << 16) -> DataFrame:
     """acks with `watermark`: after each, the largest least offset so far; it never goes back.
 
-    Within ranges of seq each replica's last offset and the running maximum are taken after what the earlier ranges
-    carry over, so a hot partition is many tasks.
+    Replicas that never reported stand at 0, and so do those of other numbers or none. Each replica's last offset, then the highest
+    of their least, run over ranges of a hot partition. Null partitions are one; a null seq comes first.
     """
-    ranged = acks.withColumn("range_", F.floor(F.col("seq") / rows_per_range))
-    earlier = Window.partitionBy("partition").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("partition", "range_").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    of = lambda r: F.when(F.col("replica") == r, F.col("offset"))
-    each = ranged.groupBy("partition", "range_").agg(*(F.max_by(of(r), F.when(F.col("replica") == r, F.col("seq"))).alias(f"e{r}_") for r in replicas))
-    carried = each.select("partition", "range_", *(F.coalesce(F.last(f"e{r}_", ignorenulls=True).over(earlier), F.lit(0)).alias(f"c{r}_") for r in replicas))
-    known = ranged.join(carried, ["partition", "range_"])
-    known = known.withColumns({f"r{r}_": F.coalesce(F.last(of(r), ignorenulls=True).over(within), F.col(f"c{r}_")) for r in replicas})
-    columns = [F.col(f"r{r}_") for r in replicas]
-    known = known.withColumn("least_", F.least(*columns) if len(columns) > 1 else columns[0])
-    high = known.groupBy("partition", "range_").agg(F.max("least_").alias("m_")).select("partition", "range_", F.max("m_").over(earlier).alias("before_"))
-    highest = F.greatest(F.max("least_").over(within), F.coalesce("before_", F.lit(0)))
-    return known.join(high, ["partition", "range_"]).withColumn("watermark", highest).drop("range_", "least_", "before_", *(f"{x}{r}_" for r in replicas for x in "rc"))
+    ranges = Ranges(acks, ["partition"], "seq", rows_per_range)
+    of = {f"r{r}_": F.when(F.col("replica") == r, F.col("offset")) for r in replicas}
+    known = ranges.running(acks, {name: last(value) for name, value in of.items()})
+    columns = [F.coalesce(name, F.lit(0)) for name in of]
+    least = known.withColumn("least_", F.greatest(F.least(*columns) if len(columns) > 1 else columns[0], F.lit(0)))
+    return ranges.running(least, {"watermark": highest(F.col("least_"))}).drop("least_", *of)
 
 
 def fetch(log: DataFrame, bounds: DataFrame, start: int = 1, most: int | None = None) -> DataFrame:
@@ -69,29 +66,16 @@ def behind(log: DataFrame, ends: DataFrame) -> DataFrame:
     return ends.join(size, "partition").select("partition", "replica", F.greatest(F.col("end") - F.col("offset"), F.lit(0)).alias("missing"), (F.col("offset") + 1).alias("next_fetch"))
 
 
-def fence(commands: DataFrame, *by: str, epoch: str = "epoch", seq: str = "seq", initial: int = 0) -> DataFrame:
+def fence(commands: DataFrame, *by: str, epoch: str = "epoch", seq: str = "seq", initial: int = 0, rows_per_range: int = 1 << 16) -> DataFrame:
     """commands with `accepted`: whether the epoch is at least the largest one accepted before.
 
     A stale command never raises the largest epoch, so the running maximum of all commands before does. `by` are
-    the columns of independent registers; without them one register holds for all commands, and the running
-    maximum is taken in two steps so that no task sees all rows: within ranges of seq, then over the ranges.
+    the columns of independent registers; without them one register holds for all commands. A command without an epoch
+    is refused; one without a seq comes first. One hot register, or the only one, is many tasks.
     """
-    if by:
-        before = Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-        return commands.withColumn("accepted", F.col(epoch) >= F.greatest(F.lit(initial), F.coalesce(F.max(epoch).over(before), F.lit(initial))))
-    carried, within = running_before(commands, F.max, epoch, seq)
-    largest = F.greatest(F.lit(initial), F.coalesce(within, F.lit(initial)), F.coalesce(F.col("carried_"), F.lit(initial)))
-    return carried.withColumn("accepted", F.col(epoch) >= largest).drop("carried_", "range_")
-
-
-def running_before(df: DataFrame, aggregate, value: str, seq: str, rows_per_range: int = 1 << 16) -> tuple[DataFrame, Column]:
-    """df with the aggregate of `value` over all earlier ranges of seq (carried_), and a column for the earlier rows of the own range."""
-    ranged = df.withColumn("range_", F.floor(F.col(seq) / rows_per_range))
-    each = ranged.groupBy("range_").agg(aggregate(value).alias("own_"))
-    earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    carried = each.select("range_", aggregate("own_").over(earlier).alias("carried_"))
-    before = Window.partitionBy("range_").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(carried, "range_"), aggregate(value).over(before)
+    before = Ranges(commands, list(by), seq, rows_per_range).running(commands, {"largest_": highest(F.col(epoch))}, before=True)
+    accepted = F.col(epoch) >= F.greatest(F.lit(initial), F.coalesce("largest_", F.lit(initial)))
+    return before.withColumn("accepted", F.coalesce(accepted, F.lit(False))).drop("largest_")
 
 
 def current_assignment(fenced: DataFrame, key: str = "partition") -> DataFrame:

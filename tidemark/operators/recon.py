@@ -5,25 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import Ranges, last
 
-def with_previous_value(changes: DataFrame) -> DataFrame:
-    """changes (key, revision, op, value) with `previous` and `event`: ADD where the key had no value, UPDATE, DELETE."""
-    order = Window.partitionBy("key").orderBy("revision")
-    gone = F.lag("op").over(order) == "delete"
-    previous = F.when(~F.coalesce(gone, F.lit(False)), F.lag("value").over(order))
+
+def with_previous_value(changes: DataFrame, ranges: Ranges | None = None) -> DataFrame:
+    """changes (key, revision, op, value) with `previous` and `event`: ADD where the key had no value, UPDATE, DELETE.
+
+    A null key is a key; a null revision comes first. A hot key is many tasks.
+    """
+    ranges = ranges or Ranges(changes, ["key"], "revision")
+    rows = ranges.running(changes, {"before_": last(F.struct("op", "value"))}, before=True)
+    gone = F.coalesce(F.col("before_.op") == "delete", F.lit(False))
     event = F.when(F.col("op") == "delete", "DELETE").when(F.col("previous").isNull(), "ADD").otherwise("UPDATE")
-    return changes.withColumn("previous", previous).withColumn("event", event)
-
-
-def classify_changes(changes: DataFrame) -> DataFrame:
-    """changes with `created` (the first revision since the last delete) and `kind`: Added, Modified or Deleted."""
-    before = Window.partitionBy("key").orderBy("revision").rowsBetween(Window.unboundedPreceding, -1)
-    lives = Window.partitionBy("key", "life_")
-    life = F.coalesce(F.count_if(F.col("op") == "delete").over(before), F.lit(0))
-    created = F.min(F.when(F.col("op") != "delete", F.col("revision"))).over(lives)
-    rows = changes.withColumn("life_", life).withColumn("created", created)
-    kind = F.when(F.col("op") == "delete", "Deleted").when(F.col("created") == F.col("revision"), "Added").otherwise("Modified")
-    return rows.withColumn("kind", kind).drop("life_")
+    return rows.withColumn("previous", F.when(~gone, F.col("before_.value"))).withColumn("event", event).drop("before_")
+
+
+def classify_changes(changes: DataFrame, ranges: Ranges | None = None) -> DataFrame:
+    """changes with `created` (the first revision since the last delete) and `kind`: Added, Modified or Deleted.
+
+    A life begins with the first put of a key, or the first after a delete; a delete without a life has no `created`.
+    """
+    ranges = ranges or Ranges(changes, ["key"], "revision")
+    gone = F.col("op") == "delete"
+    rows = ranges.running(changes, {"before_": last(F.struct("op"))}, before=True)
+    fresh = F.coalesce(F.col("before_.op") == "delete", F.lit(True))  # nothing stands before this change
+    rows = rows.withColumn("fresh_", fresh).drop("before_")
+    rows = ranges.running(rows, {"born_": last(F.when(~gone & F.col("fresh_"), F.struct("revision")))})
+    created = F.when(~(gone & F.col("fresh_")), F.col("born_.revision"))
+    kind = F.when(gone, "Deleted").when(F.col("fresh_"), "Added").otherwise("Modified")
+    return rows.withColumn("created", created).withColumn("kind", kind).drop("fresh_", "born_")
 
 
 def materialize(changes: DataFrame) -> DataFrame:
