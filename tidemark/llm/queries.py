@@ -6,6 +6,7 @@ from tidemark.llm.chat import op7_chat
 from tidemark.llm.decontaminate import op1_decontaminate
 from tidemark.llm.html import op3_html
 from tidemark.llm.licenses import op10_licenses
+from tidemark.llm.merkle import op13_merkle
 from tidemark.llm.mixture import op6_mixture
 from tidemark.llm.pii import op9_pii
 from tidemark.llm.simhash import op8_simhash
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_licenses": op10_licenses,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES = {
@@ -62,4 +64,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length('<|im_start|>') + length(role) + 1 + length(safe) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars, true AS round_trip
 FROM e GROUP BY conv_id""",
+    "op13_merkle": r"""
+WITH RECURSIVE d AS (SELECT *, coalesce('=' || source, '') AS seq,
+    list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: list_concat([256 + ascii(substr(CAST(doc_id AS VARCHAR), i, 1))], [0, 0, 0, 0, 0, 0, 0, 0])))),
+      lambda c, o: CASE WHEN o >= 256 THEN xor(c, (o - 256)::BIGINT) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) & 1 = 1 AS hit FROM documents),
+f AS (SELECT seq, doc_id, concat_ws('', coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+    text, CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END AS copy FROM d),
+leaves AS (SELECT seq, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(copy) || ':' || copy, '-')) AS copy FROM f),
+placed AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth FROM leaves),
+up AS (SELECT seq, 0 AS level, nth, leaf AS node FROM placed
+  UNION ALL SELECT seq, level + 1, nth // 3, sha256(string_agg(node, '' ORDER BY nth)) FROM (SELECT *, count(*) OVER (PARTITION BY seq) AS n FROM up) WHERE n > 1 GROUP BY seq, level, nth // 3),
+subs AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS nth FROM (SELECT seq, max(level) AS level, max_by(node, level) AS subroot FROM up GROUP BY seq)),
+over_ AS (SELECT 0 AS level, nth, subroot AS node FROM subs
+  UNION ALL SELECT level + 1, nth // 3, sha256(string_agg(node, '' ORDER BY nth)) FROM (SELECT *, count(*) OVER () AS n FROM over_) WHERE n > 1 GROUP BY level, nth // 3),
+top AS (SELECT node AS root, level FROM over_ ORDER BY level DESC LIMIT 1),
+run AS (SELECT seq, level, nth // 3 AS parent, list(node ORDER BY nth) AS nodes FROM up GROUP BY ALL),
+above AS (SELECT level, nth // 3 AS parent, list(node ORDER BY nth) AS nodes FROM over_ GROUP BY ALL),
+way AS (SELECT p.seq, p.doc_id, p.nth, p.leaf, l.level, (p.nth // CAST(pow(3, l.level) AS BIGINT)) % 3 AS at_, r.nodes FROM placed p JOIN subs s USING (seq), range(40) AS l(level), run r
+    WHERE l.level < s.level AND r.seq = p.seq AND r.level = l.level AND r.parent = p.nth // CAST(pow(3, l.level + 1) AS BIGINT)
+  UNION ALL SELECT p.seq, p.doc_id, p.nth, p.leaf, s.level + l.level, (s.nth // CAST(pow(3, l.level) AS BIGINT)) % 3, a.nodes FROM placed p JOIN subs s USING (seq), top t, range(40) AS l(level), above a
+    WHERE l.level < t.level AND a.level = l.level AND a.parent = s.nth // CAST(pow(3, l.level + 1) AS BIGINT)),
+proofs AS (SELECT seq, nth, list({'at': at_, 'left': array_to_string(nodes[1:at_], ''), 'right': array_to_string(nodes[at_ + 2:], '')} ORDER BY level) AS path FROM way GROUP BY seq, nth),
+folded AS (SELECT p.*, s.subroot, t.root, sha256(coalesce(array_to_string(list_transform(q.path, lambda x: x.left || x.right), ''), '')) AS proof_sha256,
+    list_reduce(list_concat([p.copy], list_transform(coalesce(q.path, []), lambda x: x.left || '|' || x.right)), lambda c, x: sha256(replace(x, '|', c))) AS folded_root
+  FROM placed p JOIN subs s USING (seq) CROSS JOIN top t LEFT JOIN proofs q ON q.seq = p.seq AND q.nth = p.nth)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded""",
 }

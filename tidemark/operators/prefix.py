@@ -60,7 +60,7 @@ def quoted(name: str) -> Column:
 
 
 class Ranges:
-    """How the rows of `df` are cut: by keys, and hot keys by quantiles of `order` (a number, a date or a time).
+    """How the rows of `df` are cut: by keys, and hot keys by quantiles of `order` (a number, a date, a time or a text).
 
     The counts of keys stay in Spark; the keys with more than rows_per_range rows (or more than a MOST_RANGESth of all), and
     the bounds of their ranges come to the driver. Rows that tie in `order` are in one range; nulls are in the first.
@@ -80,7 +80,12 @@ class Ranges:
             self.hot = spark.createDataFrame(keys.collect(), keys.schema) if by else None
             parts = math.ceil(rows / per)
             shares = [i / parts for i in range(1, parts)]
-            found = self._with_hot(df).filter("hot_").agg(F.percentile_approx(quoted(order), shares, 10 * parts)).first()[0]
+            rows = self._with_hot(df).filter("hot_").select(quoted(order).alias("o_")).filter("o_ is not null")
+            if rows.dtypes[0][1] == "string":  # of those with the least hashes
+                found = sorted(r[0] for r in rows.distinct().orderBy(F.xxhash64("o_"), "o_").limit(20 * parts).collect())
+                found = [found[len(found) * i // parts] for i in range(1, parts)] if found else []
+            else:
+                found = rows.agg(F.percentile_approx("o_", shares, 10 * parts)).first()[0]
             self.bounds = sorted(set(found or []))
 
     @classmethod
