@@ -139,7 +139,7 @@ def manifest(docs: DataFrame, *, check: dict[str, Column] | None = None, depth:
     copy = leaf_digest(list((fields | (check or {})).values()))
     seq = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
     leaves = known.select(seq.alias("seq"), "doc_id", leaf_digest(list(fields.values())).alias("leaf"), (copy if check else F.lit(None).cast("string")).alias("copy"))
-    numbered = Ranges(known.select(seq.alias("seq"), "doc_id"), ["seq"], "doc_id").running(leaves, {"nth": total(F.lit(1).cast("long"))}, then=("leaf",))
+    numbered = Ranges(known.select(seq.alias("seq"), "doc_id"), ["seq"], "doc_id", ARITY**depth).running(leaves, {"nth": total(F.lit(1).cast("long"))}, then=("leaf",))
     slim = numbered.select("seq", (F.col("nth") - 1).alias("nth"), "doc_id", F.unhex("leaf").alias("leaf"), F.when(F.col("copy") != F.col("leaf"), F.unhex("copy")).alias("copy"))
     slim.write.parquet(f"{folder}/leaves")  # once: the reduction and the proofs read it
     slim = spark.read.parquet(f"{folder}/leaves").withColumns({c: F.lower(F.hex(c)) for c in ("leaf", "copy")})
@@ -147,7 +147,7 @@ def manifest(docs: DataFrame, *, check: dict[str, Column] | None = None, depth:
     inner.write.parquet(f"{folder}/inner")
     inner = spark.read.parquet(f"{folder}/inner")
     subroots = inner.filter("block = 0").select("seq", "subroot")
-    places = Ranges(subroots, [], "seq").running(subroots, {"nth": total(F.lit(1).cast("long"))}).select("seq", (F.col("nth") - 1).alias("nth"), F.col("subroot").alias("node"))
+    places = Ranges(subroots, [], "seq", ARITY**depth).running(subroots, {"nth": total(F.lit(1).cast("long"))}).select("seq", (F.col("nth") - 1).alias("nth"), F.col("subroot").alias("node"))
     top = paths_to_root(places.select(F.lit("").alias("seq"), "nth", "node"), depth, f"{folder}/all")
     own = places.select(F.col("seq").alias("of"), "nth", F.col("node"), F.floor(F.col("nth") / ARITY**depth).alias("block"))
 

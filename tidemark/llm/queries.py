@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.bpe import op12_bpe
 from tidemark.llm.chat import op7_chat
 from tidemark.llm.decontaminate import op1_decontaminate
 from tidemark.llm.html import op3_html
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_licenses": op10_licenses,
+    "op12_bpe": op12_bpe,
     "op13_merkle": op13_merkle,
 }
 
