@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op12_bpe
 from tidemark.llm.chat import op7_chat
+from tidemark.llm.collocations import op11_collocations
 from tidemark.llm.decontaminate import op1_decontaminate
 from tidemark.llm.html import op3_html
 from tidemark.llm.licenses import op10_licenses
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_licenses": op10_licenses,
+    "op11_collocations": op11_collocations,
     "op12_bpe": op12_bpe,
     "op13_merkle": op13_merkle,
 }
