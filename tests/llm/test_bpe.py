@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+
 from tidemark.llm import bpe
 
 POOL = [
@@ -55,6 +56,26 @@ def test_windows_are_short(library, monkeypatch):
     assert len(sizes) == len(parts) - 1 and max(sizes) < 400
 
 
+def test_parts_known_at_their_edges_alone(library, monkeypatch):
+    monkeypatch.setattr(bpe, "EDGE", 4)
+    r = random.Random(9)
+    for _ in range(150):
+        text = "".join(r.choices(r.sample(POOL, r.choice([1, 2, 5, len(POOL)])), k=400))
+        places = bpe.cuts(text, 100)
+        whole_parts = [bpe.tokens_of(library.encode(text[a:b], add_special_tokens=False), a, b) for a, b in zip(places, places[1:], strict=False)]
+        parts = [bpe.from_edges(t.start, t.end, t.ids, bpe.edges_of(t._replace(begins=t.begins - t.start, ends=t.ends - t.start))) for t in whole_parts]
+        assert bpe.concatenate(library, text, parts, bpe.margin_of(library)).tolist() == whole(library, text), repr(text)
+
+
+def test_remembered_words(library):
+    memory = bpe.Memory(bpe.vocabulary(), most=50)
+    assert memory.apart and not bpe.Memory(bpe.vocabulary("/opt/tokenizers/byte_bpe_50k.json")).apart
+    r = random.Random(4)
+    for _ in range(60):
+        texts = ["".join(r.choices([*POOL, " ", "\t", "\x1c", "\u2028", "\x85"], k=r.choice([0, 3, 60]))) for _ in range(5)]
+        assert memory.ids(texts) == [whole(library, t) for t in texts]
+
+
 def test_odd_rows(spark, library):
     long = "Longer text, 'tis one! " * 300 + "x" * 3000
     rows = [(1, None, "a"), (2, "", "b"), (None, "Plain words", None), (2, "Plain words", "c"), (4, long, "d"), (5, long, "e"), (5, long, "e"), (6, long[:-1] + "́" * 50, None)]
@@ -74,7 +95,7 @@ def test_query(spark, sf, duck, library, longest):
 
     texts = dict(duck.sql("SELECT doc_id, coalesce(text, '') FROM documents").fetchall())
     if longest:
-        docs = bpe.decode(bpe.encode(spark.read.parquet(f"{sf}/documents.parquet"), longest=longest, most=longest // 2))
+        docs = bpe.encode(spark.read.parquet(f"{sf}/documents.parquet"), longest=longest, most=longest // 2, decoded="decoded")
         df = docs.select("doc_id", F.size("ids").cast("long"), F.sha2(F.array_join("ids", " "), 256), F.sha2("decoded", 256))
     else:
         df = bpe.op12_bpe(spark, sf)

@@ -14,10 +14,13 @@ that no normalisation joins to those before.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -174,50 +177,89 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
+#: How the public vocabulary's file splits texts into words (fixed values of that file): none of them holds white space.
+WORDS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_CHUNK = re.compile(r"[^ \t\n\r]+")
+
+
+class Memory:
+    """A tokenizer that remembers what stands between white space, if its file drops white space before all else."""
+
+    def __init__(self, file: str, most: int = 1 << 17):
+        self.tokenizer, self.most, self.known = _in_task(file), most, {}
+        steps = (json.loads(file)["pre_tokenizer"] or {}).get("pretokenizers") or [None]
+        self.apart = steps[0] == WORDS
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        if not self.apart:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        chunks = [_CHUNK.findall(t) for t in texts]
+        new = list({c for own in chunks for c in own if c not in self.known})
+        known = self.known | dict(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        self.known = known if len(known) <= self.most else {}
+        return [list(chain.from_iterable(map(known.__getitem__, own))) for own in chunks]
+
+
+@cache
+def _memory(file: str) -> Memory:
+    return Memory(file)
+
+
 _IDS = T.ArrayType(T.IntegerType())
-_PART = "key binary, part int, text string, ids array<int>, begins array<int>, ends array<int>, first array<boolean>"
+#: Tokens at either end of a part whose places are kept: windows seldom reach further, and then grow to the whole part.
+EDGE = 256
+_PART = "key binary, part int, text string, ids array<int>, edges array<int>"
 
 
-def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, each, slice_bytes: int, drop: tuple[str, ...] = ()) -> DataFrame:
-    """df with a column made of slices of another one; `drop` names columns that go."""
-    kept = [f for f in df.schema if f.name not in drop]
+def edges_of(t: Tokens) -> np.ndarray:
+    """Begins, ends and firsts of the tokens at both ends."""
+    n = len(t.ids)
+    near = np.r_[0:n] if n <= 2 * EDGE else np.r_[0:EDGE, n - EDGE : n]
+    return np.concatenate([t.begins[near], t.ends[near], t.first[near]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(batch.schema.get_field_index(source))
-            if pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
-                counts = np.cumsum(values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                edges = [0, *(np.flatnonzero(np.diff(counts // max(slice_bytes // 4, 1))) + 1).tolist(), len(values)] if len(values) else [0]
-                bounds = list(zip(edges, edges[1:], strict=False))
-            else:
-                bounds = [(a, b) for a, b, _, _ in arrays.slices(values, slice_bytes)]
-            for a, b in bounds:
-                part = batch.slice(a, b - a)
-                made = each(values.slice(a, b - a).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), made], names=[*(f.name for f in kept), name])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(name, kind)]))
+def from_edges(start: int, end: int, ids: np.ndarray, edges: np.ndarray) -> Tokens:
+    """A part of which the tokens in the middle begin and end nowhere that agrees with anything."""
+    begins, ends, first = np.asarray(edges, dtype=np.int64).reshape(3, -1)
+    begins, ends, first, n = begins + start, ends + start, first.astype(bool), len(ids)
+    if n > 2 * EDGE:
+        middle = n - 2 * EDGE
+        begins = np.concatenate([begins[:EDGE], np.full(middle, ends[EDGE - 1]), begins[EDGE:]])
+        ends = np.concatenate([ends[:EDGE], np.full(middle, begins[-EDGE]), ends[EDGE:]])
+        first = np.concatenate([first[:EDGE], np.zeros(middle, dtype=bool), first[EDGE:]])
+    return Tokens(start, end, ids, begins, ends, first)
 
 
-def encode(docs: DataFrame, path: str | None = None, *, out: str = "ids", longest: int = 1 << 15, most: int = 1 << 14, keep_text: bool = True, slice_bytes: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, *, out: str = "ids", decoded: str | None = None, longest: int = 1 << 15, most: int = 1 << 14, keep_text: bool = True, slice_bytes: int = 1 << 20) -> DataFrame:
     """docs with their texts' token ids in `out`, as the library's encode gives them, without special tokens around them.
 
     Texts of up to `longest` code points are encoded where they are read. Longer ones are halved into parts of about `most`,
     each different text once; parts are shuffled by text and place, so one text, and a text with many copies, is work for many
     tasks. One task then joins a text's parts, re-encoding windows only; it holds one text and its ids.
+    With `decoded`, also what decode() makes of the ids, by the same tasks.
     A null text is empty; an empty text has no ids; special strings in texts are their tokens, as in the library;
-    repeated rows repeat theirs; an empty table has no rows. Other columns pass through, but for one named `out`, which is replaced.
+    repeated rows repeat theirs; an empty table has no rows. Other columns pass through, but for those named as the new ones, which are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    docs = docs.drop(out)
+    made = [T.StructField(out, _IDS)] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    docs = docs.drop(*(f.name for f in made))
     drop = () if keep_text else ("text",)
     size = F.length(F.coalesce("text", F.lit("")))
+    kept = [f for f in docs.schema if f.name not in drop]
 
-    def ids_of(texts: list[str | None]) -> pa.Array:
-        found = _in_task(sent.value).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-        return pa.array([e.ids for e in found], type=pa.list_(pa.int32()))
+    def columns_of(ids: list[list[int]]) -> list[pa.Array]:
+        texts = [pa.array(_in_task(sent.value).decode_batch(ids, skip_special_tokens=False), type=pa.string())] if decoded else []
+        return [pa.array(ids, type=pa.list_(pa.int32())), *texts]
 
-    short = _with_column(docs.filter(size <= longest), "text", out, _IDS, ids_of, slice_bytes, drop)
+    def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = arrays.plain(batch.column(batch.schema.get_field_index("text")))
+            for a, b, _, _ in arrays.slices(texts, slice_bytes):
+                part = batch.slice(a, b - a)
+                new = columns_of(_memory(sent.value).ids(texts.slice(a, b - a).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), *new], names=[f.name for f in [*kept, *made]])
+
+    short = docs.filter(size <= longest).mapInArrow(whole_texts, T.StructType([*kept, *made]))
     names = Names(docs)
     key = names("key")
     long = docs.filter(size > longest).withColumn(key, F.unhex(F.sha2("text", 256)))
@@ -233,41 +275,52 @@ def encode(docs: DataFrame, path: str | None = None, *, out: str = "ids", longes
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _in_task(sent.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                some = batch.slice(i, 64)
+            for i in range(0, batch.num_rows, 16):
+                some = batch.slice(i, 16)
                 texts = some.column(2).to_pylist()
                 found = [tokens_of(e, 0, len(t)) for e, t in zip(tokenizer.encode_batch(texts, add_special_tokens=False), texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array([getattr(t, c) for t in found], type=pa.list_(pa.bool_() if c == "first" else pa.int32())) for c in ("ids", "begins", "ends", "first"))], names=[*some.schema.names, "ids", "begins", "ends", "first"])
+                new = [pa.array(x, type=pa.list_(pa.int32())) for x in ([t.ids for t in found], [edges_of(t) for t in found])]
+                yield pa.RecordBatch.from_arrays([*some.columns, *new], names=[*some.schema.names, "ids", "edges"])
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         tokenizer = _in_task(sent.value)
         group = group.sort_values("part")
         at, tokens = 0, []
         for row in group.itertuples(index=False):
-            tokens.append(Tokens(at, at + len(row.text), np.asarray(row.ids, dtype=np.int64), np.asarray(row.begins, dtype=np.int64) + at, np.asarray(row.ends, dtype=np.int64) + at, np.asarray(row.first, dtype=bool)))
+            tokens.append(from_edges(at, at + len(row.text), np.asarray(row.ids, dtype=np.int64), row.edges))
             at += len(row.text)
-        ids = concatenate(tokenizer, "".join(group["text"]), tokens, margin_of(tokenizer))
-        return pd.DataFrame({"key": [group["key"].iloc[0]], "ids": [ids.tolist()]})
+        ids = [concatenate(tokenizer, "".join(group["text"]), tokens, margin_of(tokenizer)).tolist()]
+        texts = {"text": tokenizer.decode_batch(ids, skip_special_tokens=False)} if decoded else {}
+        return pd.DataFrame({"key": [group["key"].iloc[0]], "ids": ids, **texts})
 
     pieces = long.select(F.col(key).alias("key"), "text").mapInArrow(parts, "key binary, part int, text string")
     pieces = pieces.groupBy("key", "part").agg(F.first("text").alias("text"))  # copies are one
-    whole = pieces.mapInArrow(encoded, _PART).groupBy("key").applyInPandas(joined, "key binary, ids array<int>")
-    kept = [c for c in docs.columns if c not in drop]
-    found = long.select(*columns(kept), F.col(key)).join(whole.select(F.col("key").alias(key), F.col("ids").alias(out)), key)
-    return short.unionByName(found.select(*columns([*kept, out])))
+    whole = pieces.mapInArrow(encoded, _PART).groupBy("key").applyInPandas(joined, "key binary, ids array<int>" + (", text string" if decoded else ""))
+    found = whole.select(F.col("key").alias(key), F.col("ids").alias(out), *([F.col("text").alias(decoded)] if decoded else []))
+    own = [f.name for f in kept]
+    return short.unionByName(long.select(*columns(own), F.col(key)).join(found, key).select(*columns([*own, *(f.name for f in made)])))
 
 
-def decode(encoded: DataFrame, path: str | None = None, *, ids: str = "ids", out: str = "decoded", slice_bytes: int = 1 << 20) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None, *, ids: str = "ids", out: str = "decoded", most: int = 1 << 18) -> DataFrame:
     """encoded with the text that the library's decode gives for `ids`, special tokens included, in `out`. No ids, or null, give an empty text."""
     sent = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
+    encoded = encoded.drop(out)
 
-    def texts_of(rows: list[list[int] | None]) -> pa.Array:
-        return pa.array(_in_task(sent.value).decode_batch([r or [] for r in rows], skip_special_tokens=False), type=pa.string())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index(ids))
+            ends, first = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), 0
+            while first < batch.num_rows:  # about `most` ids at a time
+                last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")), first + 1)
+                rows = [r or [] for r in lists.slice(first, last - first).to_pylist()]
+                texts = pa.array(_in_task(sent.value).decode_batch(rows, skip_special_tokens=False), type=pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, texts], names=[*batch.schema.names, out])
+                first = last
 
-    return _with_column(encoded.drop(out), ids, out, T.StringType(), texts_of, slice_bytes)
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema, T.StructField(out, T.StringType())]))
 
 
 def op12_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    read = decode(encode(docs, keep_text=False))
+    read = encode(docs, decoded="decoded", keep_text=False)
     return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -68,8 +68,14 @@ class BitMap:
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bit_map(phrases: DataFrame, bits: int) -> BitMap:
-    """The bit map of phrases (lang, phrase: hashes of words), made in Spark; bits / 64 numbers come to the driver."""
+#: Bits of a map: 16 for each phrase, within these bounds (the larger is 32 MB).
+FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+
+def bit_map(phrases: DataFrame, bits: int | None):
+    """The bit map of phrases (lang, phrase: hashes of words), made in Spark and sent to the tasks; bits / 64 numbers come to the driver."""
+    if bits is None:
+        bits = min(max(1 << (16 * phrases.count()).bit_length(), FEWEST_BITS), MOST_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +91,7 @@ def bit_map(phrases: DataFrame, bits: int) -> BitMap:
     found = phrases.select("lang", "phrase").mapInArrow(run, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
     words = np.zeros(bits // 64, dtype=np.uint64)
     words[found.column("at").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
-    return BitMap(words)
+    return phrases.sparkSession.sparkContext.broadcast(BitMap(words))
 
 
 def _pieces(batch: pa.RecordBatch, slice_bytes: int) -> Iterator[tuple]:
@@ -113,21 +119,24 @@ def _counted(corpus: DataFrame, seed: int, slice_bytes: int) -> DataFrame:
                 like = first[group]
                 step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 if (data[np.repeat(starts, size) + step] != data[np.repeat(starts[like], size) + step]).any():
-                    raise ValueError("two words have one hash: take another seed")
+                    # two words with one hash are rows of their own here, which shows below
+                    spelled = np.array([data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=object)
+                    which = np.unique(spelled, return_inverse=True)[1]
+                    first, group, counts = grouped(phrase_keys(own.astype(np.uint64), [which.astype(np.uint64)]), [own, which])
                 words = [data[a:b].tobytes().decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names[own[first]].tolist()), pa.array(hashes[first].view(np.int64)), pa.array(words, type=pa.string()), pa.array(counts)], names=["lang", "hash", "word", "n"])
 
     return corpus.mapInArrow(run, "lang string, hash long, word string, n long").groupBy("lang", "hash", "word").agg(F.sum("n").alias("f"))
 
 
-def _sequences(corpus: DataFrame, frequent: BitMap, seed: int, slice_bytes: int) -> DataFrame:
+def _sequences(corpus: DataFrame, frequent, seed: int, slice_bytes: int) -> DataFrame:
     """(lang, words): each text as hashes of its frequent words, with a 0 for each gap (a cut, or other words) and at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for langs, data, starts, ends, rows, piece in _pieces(batch, slice_bytes):
                 hashes = word_hashes(data, starts, ends, seed)
-                keep = np.flatnonzero(frequent.has(phrase_keys(lang_keys(langs)[rows], [hashes])))
+                keep = np.flatnonzero(frequent.value.has(phrase_keys(lang_keys(langs)[rows], [hashes])))
                 hashes, own, place = hashes[keep], rows[keep], keep + piece[keep]  # within a piece places have no gap; a cut makes one
                 gap = np.append((np.diff(place) > 1) | (np.diff(own) > 0), True) if len(keep) else np.zeros(0, dtype=bool)
                 at = np.arange(len(keep)) + np.cumsum(gap) - gap
@@ -171,7 +180,7 @@ def _phrases(langs: list[str], rows: np.ndarray, words: np.ndarray, at: np.ndarr
     return first, group, counts, [pa.array(names[own[first]].tolist(), type=pa.string()), lists]
 
 
-def _grown(sequences: DataFrame, size: int, heads: BitMap, prefixes: BitMap | None, tails: BitMap, most_words: int) -> DataFrame:
+def _grown(sequences: DataFrame, size: int, heads, prefixes, tails, most_words: int) -> DataFrame:
     """(lang, phrase, f): the phrases of `size` words that begin with an open prefix and end with a word of `tails`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +188,11 @@ def _grown(sequences: DataFrame, size: int, heads: BitMap, prefixes: BitMap | No
             for langs, rows, words in _runs(batch, most_words):
                 key = lang_keys(langs)[rows]
                 single = phrase_keys(key, [words])
-                is_tail = tails.has(single)
-                at = _whole(words, np.flatnonzero(heads.has(single) & (words != 0)), size)
+                is_tail = tails.value.has(single)
+                at = _whole(words, np.flatnonzero(heads.value.has(single) & (words != 0)), size)
                 at = at[is_tail[at + size - 1]]
                 if prefixes is not None:
-                    at = at[prefixes.has(phrase_keys(key[at], [words[at + i] for i in range(size - 1)]))]
+                    at = at[prefixes.value.has(phrase_keys(key[at], [words[at + i] for i in range(size - 1)]))]
                 if len(at):
                     _, _, counts, columns = _phrases(langs, rows, words, at, size)
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=["lang", "phrase", "n"])
@@ -191,7 +200,7 @@ def _grown(sequences: DataFrame, size: int, heads: BitMap, prefixes: BitMap | No
     return sequences.mapInArrow(run, "lang string, phrase array<long>, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
-def _settled(sequences: DataFrame, wanted: BitMap, longest: int, most_words: int) -> DataFrame:
+def _settled(sequences: DataFrame, wanted, longest: int, most_words: int) -> DataFrame:
     """(lang, phrase, f, within): how often the wanted phrases occur, and whether always beside the same word of the same piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +210,7 @@ def _settled(sequences: DataFrame, wanted: BitMap, longest: int, most_words: int
                 before = np.concatenate([np.zeros(1, dtype=np.uint64), words])  # the word before each place
                 for size in range(2, longest + 1):
                     at = _whole(words, np.arange(len(words)), size)
-                    at = at[wanted.has(phrase_keys(key[at], [words[at + i] for i in range(size)]))]
+                    at = at[wanted.value.has(phrase_keys(key[at], [words[at + i] for i in range(size)]))]
                     if not len(at):
                         continue
                     _, group, counts, columns = _phrases(langs, rows, words, at, size)
@@ -242,7 +251,7 @@ def _scored(phrases: DataFrame, known: DataFrame, totals: DataFrame) -> DataFram
     return best.select("lang", "phrase", "a", "n", "cut.score", "cut.l", "cut.r")
 
 
-def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, longest: int = 5, waves: tuple[float, ...] = (0.05, 0.25, 1.0), bits: int = 1 << 26, slice_bytes: int = 4 << 20, most_words: int = 1 << 20) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, longest: int = 5, waves: tuple[float, ...] = (0.05, 0.25, 1.0), bits: int | None = None, slice_bytes: int = 4 << 20, most_words: int = 1 << 20) -> DataFrame:
     """The first `top` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     Texts are read twice: to count words, and to write them as hashes of their frequent words, which is all that later passes
@@ -263,6 +272,7 @@ def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, longest:
     corpus = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     for seed in range(1, 9):
         counts = keep(_counted(corpus, seed, slice_bytes))
+        # with another seed, if two words of a language have one hash, or one has that of a gap
         if not counts.groupBy("lang", "hash").agg(F.count("*").alias("words")).filter("words > 1 or hash = 0").limit(1).count():
             break
     totals = keep(counts.groupBy("lang").agg(F.sum("f").alias("n")))
@@ -283,6 +293,12 @@ def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, longest:
     singles = words.select("lang", "phrase", "f")
     survivors, closed = None, None  # closed: (lang, least_score), which a phrase has to reach
 
+    sent = []  # maps that no pass needs once what it gave is written
+
+    def mapped(phrases: DataFrame):
+        sent.append(bit_map(phrases, bits))
+        return sent[-1]
+
     def above(df: DataFrame, score: str) -> DataFrame:
         return df if closed is None else df.join(closed, "lang", "left").filter(f"least_score is null or {score} >= least_score").drop("least_score")
 
@@ -290,8 +306,8 @@ def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, longest:
         roots = above(words.filter(F.col("wave") == nth), "bound").select("lang", "phrase")
         if not roots.limit(1).count():
             continue
-        heads, prefixes, grown = bit_map(roots, bits), None, []
-        last = every if closed is None else bit_map(above(words, "bound"), bits)  # a rest is cut off as a first word is
+        heads, prefixes, grown = mapped(roots), None, []
+        last = every if closed is None else mapped(above(words, "bound"))  # a rest is cut off as a first word is
         parents = roots
         for size in range(2, longest + 1):
             found = _grown(sequences, size, heads, prefixes, last if size == longest else every, most_words).filter(F.col("f") >= least)
@@ -301,8 +317,10 @@ def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, longest:
             if not parents.limit(1).count():
                 break
             grown.append(parents)
-            prefixes = bit_map(parents, bits) if size < longest else None
+            prefixes = mapped(parents) if size < longest else None
         if not grown:
+            while sent:
+                sent.pop().destroy()
             continue
         phrases = grown[0]
         for more in grown[1:]:
@@ -312,8 +330,10 @@ def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, longest:
         if closed is not None:
             candidates = keep(above(_scored(candidates, known, totals), "score").select("lang", "phrase", "a"))
         rests = candidates.filter("size(phrase) > 2").select("lang", F.explode(F.transform(F.sequence(F.lit(2), F.size("phrase") - 1), lambda k: F.slice("phrase", k, F.size("phrase") - k + 1))).alias("phrase"))
-        wanted = bit_map(candidates.select("lang", "phrase").unionByName(rests), bits)
+        wanted = mapped(candidates.select("lang", "phrase").unionByName(rests))
         settled = keep(_settled(sequences, wanted, longest, most_words).filter(F.col("f") >= least))
+        while sent:
+            sent.pop().destroy()
         rest_counts = settled.select("lang", "phrase", "f").unionByName(known).distinct()
         scored = above(_scored(candidates, rest_counts, totals), "score")
         free = settled.filter((F.size("phrase") == longest) | ~F.col("within")).select("lang", "phrase")
@@ -322,6 +342,7 @@ def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, longest:
         nth_score = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
         firsts = survivors.select("lang", "score", nth_score.alias("nth")).filter(F.col("nth") <= top)
         closed = keep(firsts.groupBy("lang").agg(F.count("*").alias("n_"), F.min("score").alias("least_score")).filter(F.col("n_") == top).drop("n_"))
+    every.destroy()
     if survivors is None:
         discard(spark, folder)
         return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
