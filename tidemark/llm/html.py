@@ -26,15 +26,19 @@ HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption figcaption legend summary option address tbody thead tfoot hgroup".split())
 STRUCTURE = frozenset("ul ol dl table blockquote figure pre details".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that are never part of an article.
-APART = frozenset("aside button canvas dialog footer form head iframe input map menu nav noscript object script search select style svg template textarea title".split())
-#: Words of a class, id or role by which authors name what isn't the article.
+#: Elements whose text isn't running text of any page.
+NEVER = frozenset("button canvas head iframe input map noscript object script select style svg template textarea title".split())
+#: Elements that seldom hold the article, and words by which authors name such; both weigh, and the scores decide.
+WEIGHED = frozenset("aside dialog footer form menu nav search".split())
 NAMES = frozenset(
     "ad ads adsbygoogle adv advert advertise advertisement advertising adverts adbox adslot alert banner breadcrumb breadcrumbs byline cookie cookies comment comments commentlist complementary consent contentinfo "
     "copyright crumbs dialog disclaimer discussion disqus foot footer gdpr header login masthead menu menubar menus modal nav navbar navigation newsletter notice notices notification notifications outbrain overlay paywall "
     "pagination pager popup promo promos promotion reactions recommended recommendations related replies reply respond responses search share sharing sidebar signup skip social sponsor "
     "sponsored sponsors subscribe subscription survey taboola toast toolbar topbar trending widget widgets".split()
 )
+#: Words that say nothing beside such a name, as in site-footer; with any other (social-studies, ad-hoc) a name is none.
+BESIDE = frozenset("area bar bottom box block col column container fixed global inner item items left links list main module outer page panel right row section site slot text top unit wrap wrapper".split())
+WEIGHT = 0.02
 OWN = frozenset("article body content entry main post story text".split())
 
 TOKEN = re.compile(
@@ -83,12 +87,12 @@ class Paths:
 class Element:
     """An open or closed element. What depends on the elements around it is handed down when it opens."""
 
-    __slots__ = ("tag", "parent", "holder", "path", "box", "inside", "apart", "named", "holds", "members", "links", "out")
+    __slots__ = ("tag", "parent", "holder", "path", "box", "inside", "apart", "named", "holds", "weight")
 
     def __init__(self, tag: str, parent: Element | None, paths: Paths, label: str, apart: bool, named: bool):
         self.tag, self.parent, self.apart, self.named = tag, parent, apart, named
-        self.holds = self.out = False  # an article, a main part or a first heading stands inside; not of the article
-        self.members = self.links = 0  # blocks of a list, and such of them that are links
+        self.holds = False  # an article, a main part or a first heading stands inside
+        self.weight = 1.0
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         block = tag in BLOCK or parent is None
         self.holder = self if block else parent.holder  # the innermost block
@@ -97,30 +101,29 @@ class Element:
 
 
 class Block:
-    __slots__ = ("element", "path", "box", "out", "parts", "linked", "text")
+    __slots__ = ("element", "path", "box", "weight", "parts", "linked", "text")
 
     def __init__(self, element: Element, path: int):
-        self.element, self.path, self.box, self.out, self.parts, self.linked, self.text = element, path, element.box, False, [], 0, ""
+        self.element, self.path, self.box, self.weight, self.parts, self.linked, self.text = element, path, element.box, 1.0, [], 0, ""
 
 
 def _attributes(tag: str, source: str) -> tuple[str, bool, bool]:
     """(label of the element in a path, hidden, named as something that isn't the article)."""
     if not source.strip(" \t\r\n/"):
         return tag, False, False
-    words: set[str] = set()
-    names, hidden = "", False
+    names, hidden, named = "", False, False
     for name, a, b, c in ATTRIBUTE.findall(source):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role", "aria-label"):
-            words.update(w.lower() for w in NAME_WORD.findall(value))
+            for token in value.split() if name != "aria-label" else [value]:
+                words = {w.lower() for w in NAME_WORD.findall(token)}
+                hits = words & NAMES
+                named = named or (bool(hits) and words <= NAMES | BESIDE and not (words & OWN and hits <= {"header", "byline", "banner"}))
             if name == "class":
                 names += "." + ".".join(value.split())
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             hidden = True
-    hits = words & NAMES
-    if words & OWN:  # such as entry-header
-        hits -= {"header", "byline", "banner"}
-    return tag + names, hidden, bool(hits) and tag not in ("html", "body", "main", "article")
+    return tag + names, hidden, named and tag not in ("html", "body", "main", "article")
 
 
 class Stack:
@@ -220,8 +223,8 @@ def blocks_of(page: str) -> tuple[list[Block], Paths]:
                 continue
             parent = stack.open[-1]
             label, hidden, named = _attributes(tag, m["attributes"])
-            apart = parent.apart or hidden or tag in APART or (tag == "header" and not parent.inside)
-            element = Element(tag, parent, paths, label, apart, named)
+            apart = parent.apart or hidden or tag in NEVER
+            element = Element(tag, parent, paths, label, apart, named or tag in WEIGHED or (tag == "header" and not parent.inside))
             elements.append(element)
             if tag in ("article", "main", "h1"):
                 e: Element | None = parent
@@ -230,79 +233,79 @@ def blocks_of(page: str) -> tuple[list[Block], Paths]:
                     e = e.parent
             if not m["attributes"].rstrip().endswith("/") or tag in BLOCK:
                 stack.push(element)
-    for b in blocks:
-        b.text = " ".join("".join(b.parts).split())
-        if b.text:
-            b.element.members += 1
-            b.element.links += b.linked >= 0.9 * len(b.text)
-    for e in reversed(elements[1:]):
-        e.parent.members += e.members
-        e.parent.links += e.links
     for e in elements:  # outer ones come first
-        menu = e.tag in ("ul", "ol", "dl") and e.members > 1 and e.links == e.members
-        aside = e.named and not (e.holds or e.tag in ("h1", "main", "article"))
-        e.out = e.apart or menu or aside or (e.parent is not None and e.parent.out)
+        named = e.named and not (e.holds or e.tag in ("h1", "main", "article"))
+        e.weight = 0.0 if e.apart else min(WEIGHT if named else 1.0, e.parent.weight if e.parent is not None else 1.0)
     for b in blocks:
-        b.out = b.element.out
+        b.text = " ".join("".join(b.parts).split())
+        b.weight = b.element.weight
     return [b for b in blocks if b.text], paths
 
 
-def path_scores(blocks: list[Block], radius: int = 1) -> dict[tuple[int, bool], float]:
-    """The fused ratio of each tag path, apart for blocks that the markup or a name sets aside, which have none.
+def path_scores(blocks: list[Block], radius: int = 1) -> dict[tuple[int, float], float]:
+    """The fused ratio of each tag path and weight; blocks that hold no running text weigh nothing.
 
-    Text length (without link text) and punctuation a node, smoothed in page order by a Gaussian, fused with the path's own ratio.
+    Text length (without link text) and punctuation a node, smoothed in page order by a Gaussian, fused with the path's own ratio, and weighed by
+    what the markup and the names around it say.
     """
-    sums: dict[int, list[float]] = {}
+    sums: dict[tuple[int, float], list[float]] = {}
     for b in blocks:
-        if not b.out:
-            s = sums.setdefault(b.path, [0, 0, 0, 0])
-            s[0] += 1
-            s[1] += len(b.text)
-            s[2] += len(PUNCTUATION.findall(b.text))
-            s[3] += min(b.linked, len(b.text))
-    ratio = {p: (chars - linked) / n * (1 + marks / n) for p, (n, chars, marks, linked) in sums.items()}
-    series = [0.0 if b.out else ratio[b.path] for b in blocks]
+        s = sums.setdefault((b.path, b.weight), [0, 0, 0, 0])
+        s[0] += 1
+        s[1] += len(b.text)
+        s[2] += len(PUNCTUATION.findall(b.text))
+        s[3] += min(b.linked, len(b.text))
+    ratio = {p: (chars - linked) / n * (1 + marks / n) if p[1] else 0.0 for p, (n, chars, marks, linked) in sums.items()}
+    series = [ratio[b.path, b.weight] for b in blocks]
     weights = [math.exp(-(d * d) / 2) for d in range(-radius, radius + 1)]
-    total: dict[tuple[int, bool], list[float]] = {}
+    total: dict[tuple[int, float], list[float]] = {}
     for i, b in enumerate(blocks):
         near = [(w, series[i + d]) for d, w in zip(range(-radius, radius + 1), weights, strict=True) if 0 <= i + d < len(series)]
         smooth = sum(w * x for w, x in near) / sum(w for w, _ in near)
-        t = total.setdefault((b.path, b.out), [0.0, 0.0])
+        t = total.setdefault((b.path, b.weight), [0.0, 0.0])
         t[0] += math.sqrt(max(series[i], 0.0) * smooth)
         t[1] += 1
-    return {p: s / n for p, (s, n) in total.items()}
+    return {p: p[1] * s / n for p, (s, n) in total.items()}
+
 
+#: A node's score against the page's mean, and its mass against that of the largest node.
+LEAST_SCORE, LEAST_MASS = 0.5, 0.2
 
-def content(blocks: list[Block], paths: Paths, scores: dict[tuple[int, bool], float]) -> list[Block]:
+
+def content(blocks: list[Block], paths: Paths, scores: dict[tuple[int, float], float]) -> list[Block]:
     """The blocks of the content nodes, which the paths' scores alone choose.
 
-    A node is a path of boxes; its score is the mean of its text's paths, weighted by length. Nodes that reach half
-    the mean of the whole page's text are content. A list, table or quotation in such a node goes with it, and so does a box, unless the node is the page's
-    body; a heading goes with the node that follows it inside its own. Text of paths without a score never counts.
+    A node is a path of boxes; its score is the mean of its text's paths by length, and its mass their sum. Nodes that reach half
+    the mean of the whole page's text (by length and weight) are content, if they have a fifth of the largest node's mass or stand beside it in one box below the
+    body. A list, table or quotation in such a node goes with it; a heading goes with the node that follows it inside its own. Text of
+    paths without a score never counts.
     """
-    worth = [scores[b.path, b.out] for b in blocks]
-    size = sum(len(b.text) for b, w in zip(blocks, worth, strict=True) if w > 0)
+    worth = [scores[b.path, b.weight] for b in blocks]
+    size = sum(len(b.text) * b.weight for b, w in zip(blocks, worth, strict=True) if w > 0)
     if not size:
         return []
-    threshold = 0.5 * sum(w * len(b.text) for b, w in zip(blocks, worth, strict=True)) / size
+    threshold = LEAST_SCORE * sum(w * len(b.text) * b.weight for b, w in zip(blocks, worth, strict=True)) / size
+    label = {k: name.split(".", 1)[0] for (_, name), k in paths.known.items()}
+    node = list(range(len(paths.parent)))  # structures belong to the box around them
+    for k, above in enumerate(paths.parent):  # outer paths come first
+        if k and (label[k] in STRUCTURE or label[k] in LEAF) and label.get(above, "body") not in ("body", "html"):
+            node[k] = node[above]
     sums: dict[int, list[float]] = {}
     for b, w in zip(blocks, worth, strict=True):
         if w > 0:
-            s = sums.setdefault(b.box, [0.0, 0.0])
+            s = sums.setdefault(node[b.box], [0.0, 0.0])
             s[0] += w * len(b.text)
             s[1] += len(b.text)
-    label = {k: name.split(".", 1)[0] for (_, name), k in paths.known.items()}
-    chosen = [False] * len(paths.parent)
-    for k, above in enumerate(paths.parent):  # outer paths come first
-        own = k in sums and sums[k][0] >= threshold * sums[k][1]
-        chosen[k] = own or (k > 0 and chosen[above] and (label[k] in STRUCTURE or label[k] in LEAF or label.get(above, "body") not in ("body", "html")))
+    largest = max(sums, key=lambda k: sums[k][0])
     first, last = paths.intervals()
+    around = lambda k: label.get(k, "body") not in ("body", "html") and first[k] <= first[largest] <= last[k]
+    chosen = {k for k, (mass, chars) in sums.items() if mass >= threshold * chars and (mass >= LEAST_MASS * sums[largest][0] or around(paths.parent[k]))}
     kept: list[Block] = []
     following: Block | None = None  # the next block of the content that is no heading
     for b, w in zip(reversed(blocks), reversed(worth), strict=True):
         heading = b.element.tag in HEADING
         inside = following is not None and first[b.box] <= first[following.box] <= last[b.box]
-        if w > 0 and (chosen[b.box] or (heading and inside)):
+        if w > 0 and (node[b.box] in chosen or (heading and inside)):
             kept.append(b)
             following = following if heading else b
         elif not heading and w > 0:

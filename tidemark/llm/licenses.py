@@ -41,16 +41,58 @@ TEMPLATES = (
         "GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ),
     (
-        "bsd",
+        "bsd-2-clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must "
         "retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of "
-        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
-        "contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and "
+        "fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential "
+        "damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of "
+        "liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.",
+    ),
+    (
+        "bsd-3-clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must "
+        "retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and "
+        "fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential "
+        "damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of "
+        "liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.",
     ),
     (
         "isc",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
-        "permission notice appear in all copies.",
+        "permission notice appear in all copies. The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, "
+        "data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.",
+    ),
+    (
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is "
+        "granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of "
+        "this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation "
+        "would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be "
+        "removed or altered from any source distribution.",
+    ),
+    (
+        "lgpl-3.0",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "agpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    (
+        "gpl-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; "
+        "either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ),
     (
         "mpl-2.0",
@@ -76,6 +118,26 @@ TEMPLATES = (
 )
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: How a text states a version: after a word for it, joined to a `v`, or as two numbers with a point.
+VERSION = re.compile(rb"(?:\bversions?|\bv\.?|v)\s*([0-9]{1,2})(?:\.([0-9]{1,2}))?(?![0-9])|(?<![0-9.])([0-9]{1,2})\.([0-9]{1,2})(?![0-9])")
+#: Tokens after a span in which its version may stand.
+AFTER = 6
+VARIANTS = (b"nc", b"nd", b"sa")
+
+
+def needs(label: str) -> tuple[tuple[int, int] | None, frozenset[bytes]]:
+    """The version that a label names, if any, and its variants."""
+    version = re.search(r"-([0-9]+)\.([0-9]+)$", label)
+    return (int(version[1]), int(version[2])) if version else None, frozenset(x for x in label.encode().split(b"-") if x in VARIANTS)
+
+
+def states(label: str, tokens: list[bytes], words: bytes) -> bool:
+    """Whether a place, as tokens and as lower-case text, states the version and just the variants that a label names."""
+    version, variants = needs(label)
+    if version and label.startswith("cc-") and variants != frozenset(t for t in tokens if t in VARIANTS):
+        return False
+    said = [(int(a or c), int(b or d or 0)) for a, b, c, d in VERSION.findall(words)]
+    return version is None or version in said
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -214,8 +276,14 @@ class Scanner:
                     spans.append(s)
         return sorted(places), spans
 
+    def _stated(self, span: dict, tokens: list[bytes], lower: bytes, words: list[re.Match]) -> bool:
+        end = min(span["end"] + AFTER, len(tokens))
+        return states(self.labels[span["template"]], tokens[span["start"] : end], lower[words[span["start"]].start() : words[end - 1].end()])
+
     def result(self, text: bytes, share: float) -> dict:
-        tokens = words_of(text)
+        lower = text.lower()
+        found_words = list(WORD.finditer(lower))
+        tokens = [m[0] for m in found_words]
         places, spans = self.scan(tokens)
         base = {self.labels[k] for _, k in places}
         found, score = set(base), 0.5 if base else 0.0
@@ -231,10 +299,12 @@ class Scanner:
             reach = max(reach, s["end"])
             kept[-1].append(s)
         said = []
-        for group in kept:  # of each, the spans with most tokens covered count
-            most = max(s["covered"] for s in group)
-            for s in group:
-                if s["covered"] == most:
+        for group in kept:  # of each, the spans with most tokens covered count, and of these such that cover most of their template
+            stated = [s for s in group if self._stated(s, tokens, lower, found_words)]
+            most = max(((s["covered"], s["share"]) for s in stated), default=None)
+            score = max([score, *(s["share"] for s in group)])
+            for s in stated:
+                if (s["covered"], s["share"]) == most:
                     label = self.labels[s["template"]]
                     found.add(label)
                     score = max(score, 0.5 + s["share"] / 2 if base else s["share"])
@@ -266,8 +336,9 @@ ARROW_RESULT = pa.struct(
 def scan_licenses(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES, share: float = 0.75) -> DataFrame:
     """docs with `licenses`: counts, places and labels of the phrases, template spans (words, end exclusive) and a score.
 
-    A template's label is given from `share` of its tokens in one chained span; of templates whose spans overlap those with most tokens
-    covered are named, all of them at a tie. score: the largest covered share of a template, 0.5 or more where a phrase stands. The
+    A template's label is given from `share` of its tokens in one chained span, if the text states the version and the variant that the label
+    names, in the span or right behind it. Of templates whose spans overlap those with most tokens covered are named, at a tie those of which
+    most is covered, and all of them at a further tie. score: the largest covered share of a template, 0.5 or more where a phrase stands. The
     automaton has the size of the given wordings and goes to the tasks with the code; each text is streamed through it once, without
     a shuffle. Null and empty texts have no words and score 0; repeated rows are alike; an empty table gives no rows; other
     columns pass through (one named `licenses` is replaced).
