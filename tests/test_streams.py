@@ -3,8 +3,13 @@
 from tidemark.plans import ordered, streams
 
 
-def test_detector_agrees_with_the_batch_form(spark, sf):
-    got = [(r["endpoint"], r["tick"], r["state"]) for r in streams._detector(spark, sf).collect()]
+def test_detector_without_a_clock_lacks_only_what_no_time_has_shown(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming import processors, runs
+
+    beats = streams._events(spark, sf).select(F.col("user_id").alias("endpoint"), (F.col("event_id") + 1).alias("tick")).withColumn("at", F.timestamp_seconds("tick"))
+    got = [tuple(r) for r in runs.run_to_files(processors.stream_failure_detector(beats, threshold=2.0, size=5, most=300)).collect()]
     episodes = ordered.down_episodes(spark, sf).collect()
     down = {(r["endpoint"], r["convicted_at"]) for r in episodes}
     over = {(r["endpoint"], r["convicted_at"]) for r in episodes if r["recovered_at"] is not None}
@@ -13,6 +18,45 @@ def test_detector_agrees_with_the_batch_form(spark, sf):
     assert sorted((e, t) for e, t, s in got if s == "UP") == sorted((r["endpoint"], r["recovered_at"]) for r in episodes if r["recovered_at"] is not None)
 
 
+def test_clock_convicts_endpoints_that_stay_silent(spark, sf):
+    episodes = ordered.down_episodes(spark, sf).collect()
+    last = max(r["tick"] for r in ordered._ticks(spark, sf).collect()) + 1000
+    want = [(r["endpoint"], r["convicted_at"], "DOWN") for r in episodes if r["convicted_at"] <= last] + [(r["endpoint"], r["recovered_at"], "UP") for r in episodes if r["recovered_at"] is not None]
+    assert any(r["recovered_at"] is None and r["convicted_at"] <= last for r in episodes)
+    assert sorted(map(tuple, streams.stream_failure_detector(spark, sf).collect())) == sorted(want)
+
+
+def _files(spark, folder, frames):
+    for df in frames:
+        df.coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_messages_wait_for_late_acks_also_over_a_restart(spark, tmp_path):
+    """Acks come batches after their messages, and the query is started anew in the middle: each message once, none lost."""
+    from tidemark.streaming import processors, runs
+
+    message, ack = "partition int, seq long, payload string", "partition int, seq long, replica int, offset long"
+    batches = [[(p, 100 * b + i, f"{p}-{b}-{i}") for p in (1, 2) for i in range(9)] for b in range(4)]
+    nothing = [(1, 0, 9, 5)]  # a replica that isn't asked
+    acks = [nothing, [(1, 1, 1, 4), (1, 2, 2, 3)], [(2, 3, 1, 30)], [(1, 4, 2, 12), (1, 5, 1, 11), (2, 6, 2, 7)], [(1, 7, 1, 2), (2, 8, 2, 36)]]
+    m, a, out, state = (str(tmp_path / x) for x in ("m", "a", "out", "state"))
+
+    def go():
+        streams_ = runs.file_stream(spark, m, message), runs.file_stream(spark, a, ack)
+        return sorted(tuple(r) for r in runs.run_to_files(processors.stream_committed_log(*streams_, [1, 2]), out, state).collect())
+
+    numbered = {p: [(p, s, i + 1, x) for i, (_, s, x) in enumerate(r for b in batches for r in b if r[0] == p)] for p in (1, 2)}
+    _files(spark, m, [spark.createDataFrame(b, message) for b in batches])
+    _files(spark, a, [spark.createDataFrame(b, ack) for b in acks[:2]])
+    assert go() == numbered[1][:3]
+    _files(spark, a, [spark.createDataFrame(b, ack) for b in acks[2:4]])
+    assert go() == sorted(numbered[1][:11] + numbered[2][:7])
+    _files(spark, a, [spark.createDataFrame(acks[4], ack)])
+    assert go() == sorted(numbered[1][:11] + numbered[2][:30])  # a lower ack takes nothing back
+    _files(spark, a, [spark.createDataFrame([(2, 9, 1, 99), (2, 10, 2, 99)], ack)])
+    assert go() == sorted(numbered[1][:11] + numbered[2])
+
+
 def test_every_detector_change_reaches_a_listener(spark, sf):
     from pyspark.sql import functions as F
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import logs, states
+from tidemark.sources.files import workspace
+from tidemark.sources.offsetlog import OffsetLog
+from tidemark.sources.versioned import VersionedTable
 
 
 def _events(spark, d: str) -> DataFrame:
@@ -32,12 +36,34 @@ def _bounds(spark, d: str) -> DataFrame:
     return logs.committed_offset(_acks(spark, d).withColumn("offset", F.floor(F.col("offset") / 4)), 3)
 
 
+@cache
+def _appended(app: str, d: str) -> str:
+    """Two appends to one log, of the earlier and the later half of the events; made once for each session."""
+    spark = SparkSession.active()
+    log = OffsetLog.create(spark, workspace(spark))
+    messages = _messages(spark, d)
+    middle = messages.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
+    for half in (messages.filter(F.col("seq") <= middle), messages.filter(F.col("seq") > middle)):
+        log.append(half, rows_per_file=4096)
+    return log.table.path
+
+
+def _stored(spark, d: str) -> OffsetLog:
+    return OffsetLog(VersionedTable(spark, _appended(spark.sparkContext.applicationId, d)))
+
+
 def append_log(spark, d: str) -> DataFrame:
-    from tidemark.sources.files import workspace
+    return _stored(spark, d).read().groupBy("partition").agg(F.count("*").alias("messages"), F.max("offset").alias("log_end"), F.min("offset").alias("log_start"))
+
+
+def stored_offsets(spark, d: str) -> DataFrame:
+    """Every message's offset, dense over both appends."""
+    return _stored(spark, d).read().select("partition", "seq", "offset")
+
 
-    path = workspace(spark)
-    _log(spark, d).write.partitionBy("partition").parquet(path)
-    return spark.read.parquet(path).groupBy("partition").agg(F.count("*").alias("messages"), F.max("offset").alias("log_end"), F.min("offset").alias("log_start"))
+def fetch_stored(spark, d: str) -> DataFrame:
+    """Up to the committed offset, from the files that the index names."""
+    return _stored(spark, d).fetch(_bounds(spark, d).withColumnRenamed("committed", "bound"), start=5).select("partition", "offset", "key")
 
 
 def assign_offsets(spark, d: str) -> DataFrame:
@@ -162,6 +188,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         append_log,
+        stored_offsets,
+        fetch_stored,
         assign_offsets,
         fetch,
         high_watermark_history,
@@ -203,6 +231,8 @@ _MEANS = (
 ORACLES = {
     "append_log": f"WITH {_LOG} SELECT partition, count(*) AS messages, max(\"offset\") AS log_end, min(\"offset\") AS log_start FROM log GROUP BY partition",
     "assign_offsets": f"WITH {_LOG} SELECT partition, seq, \"offset\" FROM log",
+    "stored_offsets": f"WITH {_LOG} SELECT partition, seq, \"offset\" FROM log",
+    "fetch_stored": f"WITH {_LOG}, {_LAST.format(n=40)}, {_COMMITTED} SELECT partition, \"offset\", key FROM log JOIN committed USING (partition) WHERE \"offset\" BETWEEN 5 AND committed",
     "fetch": f"WITH {_LOG}, {_LAST.format(n=40)}, {_COMMITTED} SELECT partition, \"offset\", key FROM log JOIN committed USING (partition) WHERE \"offset\" BETWEEN 5 AND committed",
     "high_watermark_history": """WITH a AS (SELECT CAST(user_id % 12 AS INT) AS partition, event_id AS seq, event_id % 3 + 1 AS r, event_id // 10 AS o FROM events),
         k AS (SELECT partition, seq, least(coalesce(last_value(CASE WHEN r = 1 THEN o END IGNORE NULLS) OVER w, 0), coalesce(last_value(CASE WHEN r = 2 THEN o END IGNORE NULLS) OVER w, 0),

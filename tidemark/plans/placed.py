@@ -242,8 +242,9 @@ def rollup_status(spark, d: str) -> DataFrame:
 
 
 def new_topics(spark, d: str) -> DataFrame:
+    """Types of parts that no part of the known ones has."""
     p = _read(spark, d, "part")
-    return p.select("p_type").subtract(p.filter("p_size < 4 and p_partkey % 3 > 0").select("p_type"))
+    return p.select("p_type").subtract(p.filter("p_size < 2 and p_partkey % 7 = 3").select("p_type"))
 
 
 def membership_change(spark, d: str) -> DataFrame:
@@ -331,7 +332,7 @@ ORACLES = {
         SELECT item, worker, level FROM items JOIN places USING (k)""",
     "rollup_status": """WITH c AS (SELECT l_orderkey, l_linenumber % 5 <> 0 AS e, l_linestatus = 'O' AND l_quantity > 35 AS r, CASE WHEN l_linenumber % 5 <> 0 AND l_returnflag = 'R' THEN 1 ELSE 0 END AS x FROM lineitem)
         SELECT l_orderkey, CASE WHEN bool_or(e AND r) THEN 'Running' WHEN bool_or(e) AND min(x) = 1 THEN 'Failed' WHEN max(x) = 0 THEN 'Succeeded' ELSE 'Scheduled' END AS status FROM c GROUP BY 1""",
-    "new_topics": "SELECT p_type FROM part EXCEPT SELECT p_type FROM part WHERE p_size < 4 AND p_partkey % 3 > 0",
+    "new_topics": "SELECT p_type FROM part EXCEPT SELECT p_type FROM part WHERE p_size < 2 AND p_partkey % 7 = 3",
     "membership_change": """WITH a AS (SELECT DISTINCT o_custkey AS member FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01'), b AS (SELECT DISTINCT o_custkey AS member FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01')
         SELECT member, 'joined' AS change FROM b ANTI JOIN a USING (member) UNION ALL SELECT member, 'left' FROM a ANTI JOIN b USING (member)""",
     "union_files": "SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier",

@@ -128,11 +128,14 @@ def csv_round_trip(spark, d: str) -> DataFrame:
 
 
 def read_range(spark, d: str) -> DataFrame:
-    """The magic bytes at both ends of the table's files, which are slices of the files; an offset below 0 is 0."""
-    path = _groups(spark, d) + "/*.parquet"
-    head, rest = files.read_range(spark, path, -3, 4), files.read_range(spark, path, 4, 0)
-    both = head.join(rest.withColumnRenamed("bytes", "rest"), "path")
-    return both.select(F.decode("bytes", "US-ASCII").alias("head"), F.decode(F.expr("substring(rest, -4, 4)"), "US-ASCII").alias("tail")).distinct()
+    """Files of eight-digit keys, one a line: the first record (an offset below 0 is 0), the eleventh, what follows it, and past the end."""
+    path = files.workspace(spark)
+    keys = spark.read.parquet(f"{d}/part.parquet").select((F.col("p_partkey") % 8).alias("r"), F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("value"))
+    keys.repartition("r").sortWithinPartitions("r", "value").write.partitionBy("r").text(path)
+    part = lambda name, offset, length: files.read_range(spark, f"{path}/*/*.txt", offset, length).withColumnRenamed("bytes", name)
+    slices = part("first", -3, 8).join(part("eleventh", 90, 8), "path").join(part("rest", 99, 0), "path").join(part("past", 1 << 40, 8), "path")
+    text = lambda c: F.decode(c, "US-ASCII").alias(c)
+    return slices.select(F.regexp_extract("path", "/r=([0-9]+)/", 1).cast("long").alias("r"), text("first"), text("eleventh"), F.length("rest").cast("long").alias("rest"), F.length("past").cast("long").alias("past"))
 
 
 def ordered_collect(spark, d: str) -> DataFrame:
@@ -285,7 +288,8 @@ ORACLES = {
     "read_dynamic": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer WHERE CAST(c_custkey AS VARCHAR) > '30'",
     "csv_round_trip": """SELECT p_partkey, p_name || ', "' || p_brand || '"' AS p_label, CASE WHEN p_size > 10 THEN p_type ELSE '' END AS p_type,
         '"' || replace(p_name || ', "' || p_brand || '"', '"', '""') || '"' AS quoted FROM part""",
-    "read_range": "SELECT DISTINCT 'PAR1' AS head, 'PAR1' AS tail FROM lineitem",
+    "read_range": """WITH k AS (SELECT p_partkey % 8 AS r, list(lpad(CAST(p_partkey AS VARCHAR), 8, '0') ORDER BY p_partkey) AS v FROM part GROUP BY 1)
+        SELECT r, v[1] AS first, coalesce(v[11], '') AS eleventh, greatest(CAST(len(v) AS BIGINT) - 11, 0) * 9 AS rest, CAST(0 AS BIGINT) AS past FROM k""",
     "ordered_collect": "SELECT CAST(o_orderkey // 1000 AS BIGINT) AS part, o_orderkey FROM orders ORDER BY part, o_orderkey",
     "typed_fields": """SELECT o_orderkey, try_cast(v AS BIGINT) AS as_long, try_cast(v AS DOUBLE) AS as_double, v AS as_text
         FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'many' ELSE CAST(o_custkey AS VARCHAR) END AS v FROM orders)""",

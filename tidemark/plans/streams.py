@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import logs, recon
+from tidemark.operators import recon
 from tidemark.plans import ordered
 from tidemark.sources.files import workspace
 from tidemark.sources.versioned import VersionedTable
@@ -60,22 +60,37 @@ def stream_merge_state(spark, d: str) -> DataFrame:
     return replaced.groupBy("endpoint", "key").agg(F.max_by(F.struct("value", "version"), "version").alias("v")).select("endpoint", "key", "v.value", "v.version")
 
 
-def _detector(spark, d: str) -> DataFrame:
-    beats = _events(spark, d).select(F.col("user_id").alias("endpoint"), (F.col("event_id") + 1).alias("tick")).withColumn("at", F.timestamp_seconds("tick"))
-    return runs.run_to_files(processors.stream_failure_detector(beats, threshold=2.0, size=5, most=300))
+@cache
+def _ticks(app: str, d: str) -> str:
+    """A clock beside the feed: with each of its files the last tick so far, and at the end one a thousand ticks on."""
+    spark = SparkSession.active()
+    path = workspace(spark)
+    feed = spark.read.parquet(_feed(app, d)).groupBy(F.input_file_name().alias("file")).agg((F.max("event_id") + 1).alias("tick"))
+    ends = sorted(r["tick"] for r in feed.collect())  # one for each file
+    for tick in [*ends, (ends or [0])[-1] + 1000]:
+        spark.createDataFrame([(tick,)], "tick long").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _clock(spark, d: str) -> DataFrame:
+    return runs.file_stream(spark, _ticks(spark.sparkContext.applicationId, d), "tick long")
 
 
 def stream_failure_detector(spark, d: str) -> DataFrame:
-    """The changes of state up to each endpoint's last recovery; a silence at the end may or may not be due yet."""
-    told = _detector(spark, d)
-    last = told.filter("state = 'UP'").groupBy("endpoint").agg(F.max("tick").alias("last"))
-    return told.join(last, "endpoint").filter("tick <= last").select("endpoint", "tick", "state")
+    """All changes of state up to the clock's last tick, also of endpoints that stay silent."""
+    beats = _events(spark, d).select(F.col("user_id").alias("endpoint"), (F.col("event_id") + 1).alias("tick")).withColumn("at", F.timestamp_seconds("tick"))
+    return runs.run_to_files(processors.stream_failure_detector(beats, threshold=2.0, size=5, most=300, clock=_clock(spark, d)))
+
+
+def _acks(events: DataFrame) -> DataFrame:
+    e = F.col("event_id")
+    return events.select(_partition(), e.alias("seq"), (e % 3 + 1).cast("int").alias("replica"), F.floor(e / 400).alias("offset"))
 
 
 def stream_committed_fetch(spark, d: str) -> DataFrame:
-    log = processors.stream_offsets(_events(spark, d).select(_partition(), F.col("event_id").alias("seq")))
-    committed = logs.committed_offset(ordered._acks(spark, d).withColumn("offset", F.floor(F.col("offset") / 40)), 3)
-    return runs.run_to_files(runs.committed_fetch(log, committed)).select("partition", "seq", "offset")
+    """Every message up to the last boundary; most acknowledgements come batches after the messages that they let through."""
+    messages = _events(spark, d).select(_partition(), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"))
+    return runs.run_to_files(processors.stream_committed_log(messages, _acks(_events(spark, d)), [1, 2, 3]))
 
 
 def stream_append_table(spark, d: str) -> DataFrame:
@@ -102,9 +117,10 @@ ORACLES = {
     "stream_offsets": ordered.ORACLES["assign_offsets"],
     "stream_high_watermark": ordered.ORACLES["high_watermark_history"],
     "stream_fence": ordered.ORACLES["fence_by_partition"],
-    "stream_failure_detector": ordered.ORACLES["down_episodes"].replace("SELECT * FROM e WHERE recovered_at IS NULL OR convicted_at < recovered_at", "SELECT endpoint, convicted_at AS tick, 'DOWN' AS state FROM e WHERE convicted_at < recovered_at UNION ALL SELECT endpoint, recovered_at, 'UP' FROM e WHERE convicted_at < recovered_at"),
+    "stream_failure_detector": ordered.ORACLES["down_episodes"].replace("SELECT * FROM e WHERE recovered_at IS NULL OR convicted_at < recovered_at", "SELECT endpoint, convicted_at AS tick, 'DOWN' AS state FROM e WHERE (recovered_at IS NULL OR convicted_at < recovered_at) AND convicted_at <= (SELECT max(event_id) + 1001 FROM events) UNION ALL SELECT endpoint, recovered_at, 'UP' FROM e WHERE convicted_at < recovered_at"),
     "stream_merge_state": ordered.ORACLES["merge_values"],
-    "stream_committed_fetch": f"WITH {ordered._LOG}, {ordered._LAST.format(n=400)}, {ordered._COMMITTED} SELECT partition, seq, \"offset\" FROM log JOIN committed USING (partition) WHERE \"offset\" <= committed",
+    "stream_committed_fetch": f"""WITH {ordered._LOG}, marks AS ({ordered.ORACLES["high_watermark_history"].replace("event_id // 10", "event_id // 400")}), high AS (SELECT partition, max(watermark) AS high FROM marks GROUP BY partition)
+        SELECT partition, seq, "offset", event_type AS payload FROM log JOIN high USING (partition) JOIN events ON event_id = seq WHERE "offset" <= high""",
     "stream_append_table": _E,
     "list_then_watch": """WITH c AS (SELECT user_id AS key, event_id AS revision, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, event_type AS value FROM events), m AS (SELECT max(revision) // 2 AS r FROM c)
         SELECT key, revision, value, 'Added' AS kind FROM (SELECT c.* FROM c, m WHERE revision <= r QUALIFY row_number() OVER (PARTITION BY key ORDER BY revision DESC) = 1) WHERE op <> 'delete'

@@ -68,6 +68,30 @@ def path_partition_prune(spark, d: str) -> DataFrame:
     return table.read(o_orderstatus="P").groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
 
 
+@cache
+def _keyed(app: str, d: str) -> str:
+    """Customers in the order of their keys, with Bloom filters of their names; made once for each session."""
+    spark = SparkSession.active()
+    table = VersionedTable.create(spark, workspace(spark))
+    customers = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
+    table.append(customers.repartitionByRange(8, "c_custkey").sortWithinPartitions("c_custkey"), blooms=("c_name",))
+    return table.path
+
+
+def point_lookup_by_log(spark, d: str) -> DataFrame:
+    """One key's row, from the one file whose statistics allow it."""
+    return VersionedTable(spark, _keyed(spark.sparkContext.applicationId, d)).read(at={"c_custkey": 42}).select("c_custkey", "c_name")
+
+
+def name_lookup_by_log(spark, d: str) -> DataFrame:
+    """One name's row: every file's names span it, so their Bloom filters decide."""
+    return VersionedTable(spark, _keyed(spark.sparkContext.applicationId, d)).read(at={"c_name": "Customer#000000077"}).select("c_custkey", "c_name")
+
+
+def range_by_log(spark, d: str) -> DataFrame:
+    return VersionedTable(spark, _keyed(spark.sparkContext.applicationId, d)).read(between={"c_custkey": (40, 90)}).select("c_custkey", "c_mktsegment")
+
+
 def replace(spark, d: str) -> DataFrame:
     return _table(spark, d).read(5).groupBy("o_orderstatus").agg(F.count("*").alias("orders"))
 
@@ -158,9 +182,10 @@ def snapshot_metadata(spark, d: str) -> DataFrame:
 
 
 def files_matching(spark, d: str) -> DataFrame:
-    """Rows of the active files whose path matches."""
-    t = _table(spark, d)
-    return _data(spark, t).join(t.files().filter(F.col("path").contains("/data/")).select(_plain("path")), "path", "left_semi").agg(F.count("*").alias("rows"))
+    """Rows of the active files whose path matches: those of one status."""
+    t = VersionedTable.create(spark, workspace(spark), partition_columns=("o_orderstatus",))
+    t.append(_orders(spark, d), "o_orderstatus")
+    return _data(spark, t).join(t.files().filter(F.col("path").contains("/p_o_orderstatus=F/")).select(_plain("path")), "path", "left_semi").agg(F.count("*").alias("rows"))
 
 
 def read_commit_log(spark, d: str) -> DataFrame:
@@ -209,7 +234,7 @@ def running_balance_by_version(spark, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        create_table, append, insert_and_commit, append_partitioned, path_partition_prune, replace, read_table, read_as_of, read_in_txn, commit_with_retry, detect_lost_updates, commit, table_history,
+        create_table, append, insert_and_commit, append_partitioned, path_partition_prune, point_lookup_by_log, name_lookup_by_log, range_by_log, replace, read_table, read_as_of, read_in_txn, commit_with_retry, detect_lost_updates, commit, table_history,
         table_detail, snapshot_files, active_file_rows, snapshot_metadata, files_matching, read_commit_log, actions_as_parquet, orphan_files, diff_versions, balances, conservation_check, running_balance_by_version,
     )
 }
@@ -223,6 +248,9 @@ ORACLES = {
     "insert_and_commit": f"SELECT {_COLUMNS} FROM orders",
     "append_partitioned": f"SELECT {_COLUMNS} FROM orders WHERE o_orderstatus = 'F'",
     "path_partition_prune": "SELECT o_orderstatus, count(*) AS orders, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders WHERE o_orderstatus = 'P' GROUP BY 1",
+    "point_lookup_by_log": "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42",
+    "name_lookup_by_log": "SELECT c_custkey, c_name FROM customer WHERE c_name = 'Customer#000000077'",
+    "range_by_log": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey BETWEEN 40 AND 90",
     "replace": "SELECT o_orderstatus, count(*) AS orders FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1",
     "read_table": f"SELECT {_COLUMNS} FROM orders WHERE o_orderstatus <> 'P'",
     "read_as_of": f"SELECT {_COLUMNS} FROM orders WHERE o_orderkey % 4 < 2",
@@ -237,7 +265,7 @@ ORACLES = {
     "table_history": "SELECT CAST(v AS BIGINT) AS version, CASE WHEN v > 0 THEN 'WRITE' END AS operation, CASE WHEN v > 0 THEN CAST(v - 1 AS BIGINT) END AS read_version, v > 0 AS adds, v = 5 AS removes FROM range(6) AS u(v)",
     "table_detail": "SELECT CAST(5 AS BIGINT) AS last_version, true AS files_agree, true AS bytes_agree, count(*) AS rows FROM orders WHERE o_orderstatus <> 'P'",
     "snapshot_metadata": "SELECT t AS type, CASE t WHEN 'protocol' THEN CAST(1 AS INT) END AS minReaderVersion, CASE t WHEN 'protocol' THEN CAST(1 AS INT) END AS minWriterVersion FROM (VALUES ('protocol'), ('metadata')) AS v(t)",
-    "files_matching": "SELECT count(*) AS rows FROM orders WHERE o_orderstatus <> 'P'",
+    "files_matching": "SELECT count(*) AS rows FROM orders WHERE o_orderstatus = 'F'",
     "read_commit_log": "SELECT CAST(v AS BIGINT) AS version, CASE WHEN v = 0 THEN 'protocol,metadata' WHEN v < 5 THEN 'commitInfo,add' ELSE 'commitInfo,remove,add' END AS kinds FROM range(6) AS u(v)",
     "actions_as_parquet": "SELECT CAST(v AS BIGINT) AS version, unnest(string_split(CASE WHEN v = 0 THEN 'protocol,metadata' WHEN v < 5 THEN 'commitInfo,add' ELSE 'commitInfo,remove,add' END, ',')) AS type, true AS same FROM range(6) AS u(v)",
     "orphan_files": "SELECT count(*) AS rows FROM orders",

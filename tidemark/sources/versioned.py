@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.columns import version_name, version_of
 from tidemark.sources.files import files_of
@@ -30,6 +31,26 @@ def txn_parts(txn: Column) -> tuple[Column, Column]:
     return query, F.coalesce(F.when(numbered, number).try_cast("long"), F.lit(0))
 
 
+#: Columns of these types have a least and a greatest value in the statistics.
+ORDERED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.StringType, T.DateType)
+MOST_BLOOM_BITS = 1 << 26
+
+
+def plain_path(column: str) -> Column:
+    """A path in one form, however Spark writes it; `file:` and its slashes go."""
+    return F.regexp_replace(column, "^file:/+", "/")
+
+
+def bloom_hash(value: Column) -> Column:
+    """64 bits of a value; null for null."""
+    return F.when(value.isNotNull(), F.xxhash64(value.cast("string")))
+
+
+def bloom_places(hash_: str, bits: str) -> Column:
+    """Six places of a value in a Bloom filter of `bits` bits, from the two halves of its hash."""
+    return F.expr(f"transform(sequence(0, 5), i -> pmod(shiftrightunsigned({hash_}, 32) + i * (({hash_} & 4294967295) | 1), {bits}))")
+
+
 class Conflict(Exception):
     """Another writer published a version after the one that this transaction read."""
 
@@ -167,7 +188,7 @@ class VersionedTable:
         """The active files: of each path the last action, if it is an add. Beyond the last version, that one; below 0, none."""
         named = self.state(version).filter("action.type in ('add', 'remove')")
         last = named.groupBy("action.path").agg(F.max_by("action", F.struct("version", "line")).alias("a"), F.max("version").alias("version"))
-        return last.filter("a.type = 'add'").select("path", "a.size", "a.partitionValues", "version")
+        return last.filter("a.type = 'add'").select("path", "a.size", "a.partitionValues", "version", "a.stats", "a.tags")
 
     def metadata(self, version: int | None = None) -> DataFrame:
         last = self.state(version).filter("action.type in ('metadata', 'protocol')").groupBy("action.type").agg(F.max_by("action", F.struct("version", "line")).alias("a"))
@@ -196,18 +217,57 @@ class VersionedTable:
 
     # --- writing ---------------------------------------------------------------------------------
 
-    def stage(self, df: DataFrame, partition_column: str | None = None) -> list[dict]:
-        """Writes data files, as yet invisible; returns their add actions. A null in the partition column is an error."""
-        folder = f"{self.path}/data/{uuid.uuid4()}"
+    def stage(self, df: DataFrame, partition_column: str | None = None, blooms: tuple[str, ...] = (), rows_per_file: int = 0) -> list[dict]:
+        """Writes data files, as yet invisible; returns their add actions. A null in the partition column is an error.
+
+        Each add bears the file's schema, and its statistics: rows and, of columns that have an order, the least and greatest
+        value and the nulls. For the columns named in `blooms` it also has the size of a Bloom filter, whose bits stand in `_blooms`.
+        """
+        batch = str(uuid.uuid4())
+        folder = f"{self.path}/data/{batch}"
         if partition_column:
             guarded = df.withColumn(partition_column, F.when(F.col(partition_column).isNull(), F.raise_error(F.lit(f"null in partition column {partition_column}")).cast(df.schema[partition_column].dataType)).otherwise(F.col(partition_column)))
-            guarded.withColumn(f"p_{partition_column}", F.col(partition_column).cast("string")).write.partitionBy(f"p_{partition_column}").parquet(folder)
+            guarded.withColumn(f"p_{partition_column}", F.col(partition_column).cast("string")).write.option("maxRecordsPerFile", rows_per_file).partitionBy(f"p_{partition_column}").parquet(folder)
         else:
-            df.write.parquet(folder)
+            df.write.option("maxRecordsPerFile", rows_per_file).parquet(folder)
         now = int(time.time() * 1000)
         value = F.regexp_extract("path", rf"/p_{partition_column}=([^/]*)/", 1) if partition_column else F.lit(None)
-        listed = files_of(self.spark, folder).select("path", "size", F.url_decode(value).alias("value") if partition_column else value.alias("value")).collect()
-        return [{"type": "add", "path": r["path"], "size": r["size"], "modificationTime": now, "dataChange": True, "partitionValues": {partition_column: r["value"]} if partition_column else {}, "stats": {}} for r in listed]
+        found = self._statistics(df.schema, folder, blooms)
+        if blooms:
+            self._write_blooms(df.schema, folder, found, blooms, batch)
+        listed = files_of(self.spark, folder).select("path", "size", (F.url_decode(value) if partition_column else value).alias("value"), plain_path("path").alias("plain"))
+        stats = {r["plain"]: {k: v for k, v in r["stats"].items() if v is not None} for r in found.collect()}  # one row for each file written
+        tags = {"schema": df.schema.json()}
+        return [
+            {"type": "add", "path": r["path"], "size": r["size"], "modificationTime": now, "dataChange": True, "partitionValues": {partition_column: r["value"]} if partition_column else {}, "stats": stats.get(r["plain"], {}), "tags": tags}
+            for r in listed.collect()
+        ]
+
+    def _written(self, schema: T.StructType, folder: str) -> DataFrame:
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+        return rows.select("*", plain_path("_metadata.file_path").alias("plain_"))
+
+    def _statistics(self, schema: T.StructType, folder: str, blooms: tuple[str, ...]) -> DataFrame:
+        """(plain, stats) of the files below a folder."""
+        aggregates = [F.count("*").cast("string").alias("rows")]
+        for f in schema:
+            if isinstance(f.dataType, ORDERED):
+                c = F.col(f"`{f.name}`")
+                aggregates += [F.min(c).cast("string").alias(f"min.{f.name}"), F.max(c).cast("string").alias(f"max.{f.name}"), F.count_if(c.isNull()).cast("string").alias(f"nulls.{f.name}")]
+        each = self._written(schema, folder).groupBy(F.col("plain_").alias("plain")).agg(*aggregates)
+        names = each.columns[1:]
+        bits = F.least(F.greatest(F.pow(2, F.ceil(F.log2(F.col("rows").cast("long") * 10 + 1))), F.lit(1024)), F.lit(MOST_BLOOM_BITS)).cast("long").cast("string")
+        pairs = [(n, F.when(F.length(f"`{n}`") <= 256, F.col(f"`{n}`"))) for n in names] + [(f"bloom.{c}", bits) for c in blooms]
+        return each.select("plain", F.create_map(*(x for n, v in pairs for x in (F.lit(n), v))).alias("stats"))
+
+    def _write_blooms(self, schema: T.StructType, folder: str, stats: DataFrame, blooms: tuple[str, ...], batch: str) -> None:
+        """Bits of each file and column as rows (plain, column, word, mask), in the order of columns and words."""
+        own = [F.struct(F.lit(c).alias("column"), bloom_hash(F.col(f"`{c}`")).alias("hash")) for c in blooms]
+        rows = self._written(schema, folder).select(F.col("plain_").alias("plain"), F.explode(F.array(*own)).alias("v")).select("plain", "v.*").filter("hash is not null").distinct()
+        sized = rows.join(stats, "plain").withColumn("bits", F.col("stats")[F.concat(F.lit("bloom."), "column")].cast("long"))
+        words = sized.select("plain", "column", F.explode(bloom_places("hash", "bits")).alias("at"))
+        masks = words.groupBy("plain", "column", F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
+        masks.sort("column", "word").write.parquet(f"{self.path}/_blooms/{batch}")
 
     def commit(self, actions: list[dict], read_version: int, operation: str, parameters: dict | None = None, txn: str | None = None) -> int:
         """Publishes read_version + 1; Conflict if there is a newer version than the one read."""
@@ -225,12 +285,12 @@ class VersionedTable:
                 warnings.warn(f"no checkpoint of version {read_version + 1}: {e}", stacklevel=2)
         return read_version + 1
 
-    def append(self, df: DataFrame, partition_column: str | None = None, txn: str | None = None) -> int:
+    def append(self, df: DataFrame, partition_column: str | None = None, txn: str | None = None, blooms: tuple[str, ...] = ()) -> int:
         """One atomic commit; a txn that the log already has (has_txn) is not repeated."""
         read = self.version()
         if txn is not None and self.has_txn(txn):
             return read
-        return self.commit(self.stage(df, partition_column), read, "WRITE", {"mode": "append"}, txn)
+        return self.commit(self.stage(df, partition_column, blooms), read, "WRITE", {"mode": "append"}, txn)
 
     def replace(self, df: DataFrame) -> int:
         """Removes all active files and adds df's, in one commit."""
@@ -252,19 +312,73 @@ class VersionedTable:
 
     # --- reading ---------------------------------------------------------------------------------
 
-    def read(self, version: int | None = None, **where: str) -> DataFrame:
+    def schema(self, files: DataFrame) -> T.StructType | None:
+        """The columns of all files, as their actions tell; a column that stands in several has the type of the newest."""
+        told = files.groupBy(F.col("tags")["schema"].alias("schema")).agg(F.max("version").alias("version")).orderBy("version").collect()  # different schemas only
+        if not told or any(r["schema"] is None for r in told):
+            return None
+        fields: dict[str, T.StructField] = {}
+        for r in told:
+            for f in T.StructType.fromJson(json.loads(r["schema"])):
+                fields[f.name] = T.StructField(f.name, f.dataType, True)
+        return T.StructType(list(fields.values()))
+
+    def matching(self, files: DataFrame, schema: T.StructType | None, between: dict[str, tuple] | None = None, at: dict[str, object] | None = None) -> DataFrame:
+        """Those of the files which may hold rows with columns between two values (None: open), or of a value, by their statistics alone."""
+        for column, (low, high) in [*(between or {}).items(), *((c, (v, v)) for c, v in (at or {}).items())]:
+            kind = schema[column].dataType if schema is not None and column in schema.names else None
+            if not isinstance(kind, ORDERED):
+                continue
+            least, greatest = (F.col("stats")[f"{x}.{column}"].cast(kind) for x in ("min", "max"))
+            known = F.col("stats")[f"nulls.{column}"]
+            some = F.coalesce(known.cast("long") < F.col("stats")["rows"].cast("long"), F.lit(True))
+            for bound, fits in ((low, greatest >= F.lit(low).cast(kind)), (high, least <= F.lit(high).cast(kind))):
+                if bound is not None:
+                    files = files.filter(F.coalesce(fits, F.lit(True)) & some)
+        for column, value in (at or {}).items():
+            if schema is None or column not in schema.names:
+                continue
+            kind = schema[column].dataType
+            hashed = files.select("*", F.col("stats")[f"bloom.{column}"].cast("long").alias("bits_"), bloom_hash(F.lit(value).cast(kind)).alias("hash_"))
+            wanted = hashed.filter("bits_ is not null").select(plain_path("path").alias("plain"), F.explode(F.array_distinct(bloom_places("hash_", "bits_"))).alias("at"))
+            if wanted.isEmpty():
+                continue
+            bits = self.spark.read.parquet(f"{self.path}/_blooms/*").filter(F.col("column") == column)
+            found = wanted.withColumn("word", F.shiftright("at", 6)).join(bits, ["plain", "word"], "left")
+            hit = found.groupBy("plain").agg(F.bool_and(F.coalesce(F.expr("mask & shiftleft(1L, cast(at & 63 as int))") != 0, F.lit(False))).alias("hit"))
+            missed = hit.filter("not hit").select("plain")
+            files = files.withColumn("plain", plain_path("path")).join(missed, "plain", "left_anti").drop("plain")
+        return files
+
+    def read(self, version: int | None = None, *, between: dict[str, tuple] | None = None, at: dict[str, object] | None = None, **where: str) -> DataFrame:
         """The rows at a version; `where` keeps the files of a partition value, which the log alone decides.
 
-        The active files' paths come to the driver, as in any scan; their rows don't.
+        `between` (a column's least and greatest value, None: open) and `at` (a column's value) keep rows; files whose statistics or
+        Bloom filters rule them out aren't opened. The schema comes from the log. The paths of the files to be read come to the
+        driver, as in any scan; their rows don't.
         """
         files = self.files(version)
         for column, value in where.items():
             files = files.filter(F.col("partitionValues")[column] == value)
+        schema = self.schema(files)
+        rows = self._rows(self.matching(files, schema, between, at) if between or at else files, schema)
+        for column, (low, high) in (between or {}).items():
+            if low is not None:
+                rows = rows.filter(F.col(column) >= F.lit(low))
+            if high is not None:
+                rows = rows.filter(F.col(column) <= F.lit(high))
+        for column, value in (at or {}).items():
+            rows = rows.filter(F.col(column) == F.lit(value))
+        return rows
+
+    def _rows(self, files: DataFrame, schema: T.StructType | None) -> DataFrame:
+        """The rows of files; none of them, with the same columns, where there are no files."""
         paths = [r["path"] for r in files.select("path").collect()]
-        if not paths:
-            every = [r["path"] for r in self.actions().filter("action.type = 'add'").select("action.path").limit(1).collect()]
-            return self.spark.read.parquet(*every).limit(0) if every else self.spark.createDataFrame([], "_none string").drop("_none")
-        return self.spark.read.option("mergeSchema", True).parquet(*paths)
+        if paths:
+            return self.spark.read.schema(schema).parquet(*paths) if schema is not None else self.spark.read.option("mergeSchema", True).parquet(*paths)
+        if schema is None:  # no files at this version: the columns are those of any version
+            schema = self.schema(self.actions().filter("action.type = 'add'").select("action.tags", "version"))
+        return self.spark.createDataFrame([], schema) if schema is not None else self.spark.createDataFrame([], "_none string").drop("_none")
 
     def pinned(self) -> Callable[[], DataFrame]:
         """A reader of the version that is the latest now."""
@@ -279,10 +393,8 @@ class VersionedTable:
     def diff_rows(self, before: int, after: int) -> DataFrame:
         """Rows added and removed between two versions; files that both have are not read."""
         old, new = self.files(before), self.files(after)
-        only = lambda a, b: [r["path"] for r in a.join(b, "path", "left_anti").select("path").collect()]
-        empty = self.read(after).limit(0)
-        rows = lambda paths: self.spark.read.parquet(*paths) if paths else empty
-        gone, come = rows(only(old, new)), rows(only(new, old))
+        schema = self.schema(old.unionByName(new))
+        gone, come = (self._rows(a.join(b.select("path"), "path", "left_anti"), schema) for a, b in ((old, new), (new, old)))
         return come.exceptAll(gone).withColumn("change", F.lit("added")).unionByName(gone.exceptAll(come).withColumn("change", F.lit("removed")))
 
     def orphans(self, version: int | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -102,11 +103,62 @@ class Merge(StatefulProcessor):
         pass
 
 
+class CommittedLog(StatefulProcessor):
+    """Messages with their offsets, each sent once, when the committed boundary has reached it.
+
+    Messages and acknowledgements of a partition come as one input. What is above the boundary is held in blocks of consecutive
+    offsets, named by their first, and goes out when acknowledgements raise the boundary, however many batches later.
+    """
+
+    BLOCK = 4096
+
+    def __init__(self, replicas: list[int]):
+        self.replicas = replicas
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.marks = handle.getValueState("marks", "end long, sent long, high long")
+        self.last = handle.getMapState("last", "replica int", "offset long")
+        self.held = handle.getMapState("held", "first long", "seqs array<long>, payloads array<string>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("seq", na_position="first", kind="stable")
+        end, sent, high = self.marks.get() if self.marks.exists() else (0, 0, 0)
+        acks = batch[batch["replica"].isin(self.replicas) & batch["acked"].notna()]
+        if len(acks):
+            known = {r: self.last.getValue((r,))[0] if self.last.containsKey((r,)) else 0 for r in self.replicas}
+            each = pd.DataFrame({r: acks["acked"].where(acks["replica"] == r).ffill().fillna(known[r]) for r in self.replicas})
+            high = max(high, int(each.min(axis=1).max()))
+            for r in self.replicas:
+                self.last.updateValue((r,), (int(each[r].iloc[-1]),))
+        new = batch[batch["message"]]
+        seqs = [None if pd.isna(s) else int(s) for s in new["seq"]]
+        payloads = [p if isinstance(p, str) else None for p in new["payload"]]
+        out: list[tuple] = []
+        while sent < end and sent < high:  # of the blocks, those that the boundary has reached
+            block, whole = self.held.getValue((sent + 1,)), (sent + 1,)
+            count = min(len(block[0]), high - sent)
+            out += [(key[0], block[0][i], sent + 1 + i, block[1][i]) for i in range(count)]
+            self.held.removeKey(whole)
+            sent += count
+            if count < len(block[0]):
+                self.held.updateValue((sent + 1,), (list(block[0][count:]), list(block[1][count:])))
+        straight = max(0, min(high - end, len(seqs))) if sent == end else 0
+        out += [(key[0], seqs[i], end + 1 + i, payloads[i]) for i in range(straight)]
+        for i in range(straight, len(seqs), self.BLOCK):
+            self.held.updateValue((end + 1 + i,), (seqs[i : i + self.BLOCK], payloads[i : i + self.BLOCK]))
+        sent, end = sent + straight, end + len(seqs)
+        self.marks.update((end, sent, high))
+        yield pd.DataFrame(out, columns=["partition", "seq", "offset", "payload"]).astype({"seq": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
 class Detector(StatefulProcessor):
     """DOWN when phi reaches the threshold, UP at the next beat.
 
     The tick of the conviction is known at each beat, so an event-time timer is set for it; it fires once the watermark
-    is past. A beat that comes first reports a conviction which had been due.
+    is past, which beats of any endpoint and the ticks of a clock move on. A beat that comes first reports a conviction which had been due.
     """
 
     def __init__(self, threshold: float, size: int, initial: int, most: int):
@@ -118,10 +170,14 @@ class Detector(StatefulProcessor):
         self.last = handle.getValueState("last", "tick long, due long, down boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = _ordered(rows, "tick")
+        batch = batch[batch["beat"]]
+        if not len(batch):  # the clock's ticks
+            return
         gaps = [g[0] for g in self.gaps.get()] if self.gaps.exists() else []
         last, due, down = self.last.get() if self.last.exists() else (None, None, False)
         before, out = due, []
-        for tick in _ordered(rows, "tick")["tick"].astype(int).tolist():
+        for tick in batch["tick"].astype(int).tolist():
             if last is None:
                 gaps.append(self.initial)
             else:
@@ -173,6 +229,27 @@ def stream_merge_state(values: DataFrame) -> DataFrame:
     return with_state(values, Merge(), "endpoint long, key string, value double, version long, seq long", "endpoint", "key")
 
 
-def stream_failure_detector(beats: DataFrame, threshold: float = 8.0, size: int = 1000, initial: int = 2, most: int = 1000, late: str = "0 seconds") -> DataFrame:
-    """beats: endpoint, tick, at (the tick as a timestamp)."""
-    return with_state(beats.withWatermark("at", late), Detector(threshold, size, initial, most), "endpoint long, tick long, state string", "endpoint", time="EventTime")
+def stream_committed_log(messages: DataFrame, acks: DataFrame, replicas: list[int]) -> DataFrame:
+    """(partition, seq, offset, payload): every message (partition, seq, payload) once, when all replicas' acks (partition, seq, replica, offset) have reached it.
+
+    A message without a seq comes first in its batch; acks of other replicas, or without an offset, count for nothing.
+    """
+    as_long = lambda c: F.col(c).cast("long").alias(c)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    own = messages.select("partition", as_long("seq"), F.lit(True).alias("message"), "payload", none("int", "replica"), none("long", "acked"))
+    theirs = acks.select("partition", as_long("seq"), F.lit(False).alias("message"), none("string", "payload"), F.col("replica").cast("int").alias("replica"), F.col("offset").cast("long").alias("acked"))
+    return with_state(own.unionByName(theirs), CommittedLog(replicas), "partition int, seq long, offset long, payload string", "partition")
+
+
+def stream_failure_detector(beats: DataFrame, threshold: float = 8.0, size: int = 1000, initial: int = 2, most: int = 1000, late: str = "0 seconds", clock: DataFrame | None = None) -> DataFrame:
+    """(endpoint, tick, state) of each change; beats: endpoint, tick, at (the tick as a timestamp).
+
+    `clock` (tick) is a second stream that moves time on where endpoints fall silent: its ticks convict all that are due by then.
+    It must not run ahead of the beats. Without it time moves with the beats of all endpoints.
+    """
+    rows = beats.select("endpoint", "tick", "at", F.lit(True).alias("beat"))
+    if clock is not None:
+        kind = beats.schema["endpoint"].dataType
+        at = F.timestamp_millis(F.col("tick") * 1000 + 1)  # just past the tick, for timers that are due at it
+        rows = rows.unionByName(clock.select(F.lit(None).cast(kind).alias("endpoint"), "tick", at.alias("at"), F.lit(False).alias("beat")))
+    return with_state(rows.withWatermark("at", late), Detector(threshold, size, initial, most), "endpoint long, tick long, state string", "endpoint", time="EventTime")

@@ -15,10 +15,13 @@ def file_stream(spark, path: str, schema, files_per_batch: int = 1) -> DataFrame
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def run_to_files(stream: DataFrame) -> DataFrame:
-    """All that the stream has now, through a file sink that commits each micro-batch once."""
+def run_to_files(stream: DataFrame, out: str | None = None, state: str | None = None) -> DataFrame:
+    """All that the stream has now, through a file sink that commits each micro-batch once.
+
+    With the folders of an earlier run, for the results and the state, the stream goes on where that one ended.
+    """
     spark = stream.sparkSession
-    out, state = workspace(spark), workspace(spark)
+    out, state = out or workspace(spark), state or workspace(spark)
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -37,7 +40,3 @@ def list_then_watch(baseline: DataFrame, changes: DataFrame, revision: int) -> t
     """(rows of the baseline, the changes after its revision): together every change once, without a gap."""
     return baseline.filter(F.col("revision") <= revision), changes.filter(F.col("revision") > revision)
 
-
-def committed_fetch(log: DataFrame, committed: DataFrame) -> DataFrame:
-    """The stream of a log up to each partition's committed offset; committed is read anew with each micro-batch."""
-    return log.join(committed, "partition").filter(F.col("offset") <= F.col("committed")).drop("committed")
