@@ -105,6 +105,16 @@ def _pieces(batch: pa.RecordBatch, slice_bytes: int) -> Iterator[tuple]:
         yield langs, data, starts, ends, rows, piece
 
 
+def _alike(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, at_once: int = 1 << 16) -> bool:
+    """Whether the words at a and at b, of these sizes, are the same, byte by byte."""
+    for i in range(0, len(a), at_once):
+        part = size[i : i + at_once]
+        step = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+        if (data[np.repeat(a[i : i + at_once], part) + step] != data[np.repeat(b[i : i + at_once], part) + step]).any():
+            return False
+    return True
+
+
 def _counted(corpus: DataFrame, seed: int, slice_bytes: int) -> DataFrame:
     """(lang, hash, word, f) of all words."""
 
@@ -116,9 +126,7 @@ def _counted(corpus: DataFrame, seed: int, slice_bytes: int) -> DataFrame:
                 names, code = np.unique(np.array(langs, dtype=object), return_inverse=True)
                 own, size, hashes = code[rows], ends - starts, word_hashes(data, starts, ends, seed)
                 first, group, counts = grouped(phrase_keys(own.astype(np.uint64), [hashes]), [own, size])
-                like = first[group]
-                step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                if (data[np.repeat(starts, size) + step] != data[np.repeat(starts[like], size) + step]).any():
+                if not _alike(data, starts, starts[first[group]], size):
                     # two words with one hash are rows of their own here, which shows below
                     spelled = np.array([data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=object)
                     which = np.unique(spelled, return_inverse=True)[1]
@@ -326,22 +334,27 @@ def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, longest:
         for more in grown[1:]:
             phrases = phrases.unionByName(more)
         known = singles.unionByName(phrases)
-        candidates = phrases.withColumnRenamed("f", "a")
-        if closed is not None:
-            candidates = keep(above(_scored(candidates, known, totals), "score").select("lang", "phrase", "a"))
-        rests = candidates.filter("size(phrase) > 2").select("lang", F.explode(F.transform(F.sequence(F.lit(2), F.size("phrase") - 1), lambda k: F.slice("phrase", k, F.size("phrase") - k + 1))).alias("phrase"))
-        wanted = mapped(candidates.select("lang", "phrase").unionByName(rests))
-        settled = keep(_settled(sequences, wanted, longest, most_words).filter(F.col("f") >= least))
+        # best first again: of the wave's phrases those with the highest bounds are settled, which closes most of the others
+        bounds = keep(above(_scored(phrases.withColumnRenamed("f", "a"), known, totals), "score").select("lang", "phrase", "a", F.col("score").alias("bound")))
+        nth_bound = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("bound")))
+        firsts = bounds.select("lang", "bound", nth_bound.alias("nth")).filter(F.col("nth") <= 2 * top)
+        cut = keep(firsts.groupBy("lang").agg(F.min("bound").alias("cut")))
+        for part in (F.col("bound") >= F.col("cut"), F.col("bound") < F.col("cut")):
+            candidates = above(bounds.join(cut, "lang").filter(part), "bound").select("lang", "phrase", "a")
+            if not candidates.limit(1).count():
+                continue
+            rests = candidates.filter("size(phrase) > 2").select("lang", F.explode(F.transform(F.sequence(F.lit(2), F.size("phrase") - 1), lambda k: F.slice("phrase", k, F.size("phrase") - k + 1))).alias("phrase"))
+            wanted = mapped(candidates.select("lang", "phrase").unionByName(rests))
+            settled = keep(_settled(sequences, wanted, longest, most_words).filter(F.col("f") >= least))
+            counts = settled.select("lang", "phrase", "f").unionByName(known).distinct()
+            free = settled.filter((F.size("phrase") == longest) | ~F.col("within")).select("lang", "phrase")
+            alive = above(_scored(candidates, counts, totals), "score").join(free, ["lang", "phrase"], "left_semi")
+            survivors = keep(alive if survivors is None else above(survivors, "score").unionByName(alive))
+            nth_score = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
+            firsts = survivors.select("lang", "score", nth_score.alias("nth")).filter(F.col("nth") <= top)
+            closed = keep(firsts.groupBy("lang").agg(F.count("*").alias("n_"), F.min("score").alias("least_score")).filter(F.col("n_") == top).drop("n_"))
         while sent:
             sent.pop().destroy()
-        rest_counts = settled.select("lang", "phrase", "f").unionByName(known).distinct()
-        scored = above(_scored(candidates, rest_counts, totals), "score")
-        free = settled.filter((F.size("phrase") == longest) | ~F.col("within")).select("lang", "phrase")
-        alive = scored.join(free, ["lang", "phrase"], "left_semi")
-        survivors = keep(alive if survivors is None else above(survivors, "score").unionByName(alive))
-        nth_score = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
-        firsts = survivors.select("lang", "score", nth_score.alias("nth")).filter(F.col("nth") <= top)
-        closed = keep(firsts.groupBy("lang").agg(F.count("*").alias("n_"), F.min("score").alias("least_score")).filter(F.col("n_") == top).drop("n_"))
     every.destroy()
     if survivors is None:
         discard(spark, folder)

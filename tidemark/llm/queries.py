@@ -68,6 +68,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length('<|im_start|>') + length(role) + 1 + length(safe) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars, true AS round_trip
 FROM e GROUP BY conv_id""",
+    "op11_collocations": rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k AS size, w[i:i + k - 1] AS phrase, count(*) AS f FROM p, range(1, 6) AS u(k), unnest(range(1, len(w) - k + 2)) AS v(i) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE size > 1 AND f >= 100),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, n.n, (CAST(1000 AS HUGEINT) * c.f * n.n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM c JOIN n ON n.lang = c.lang JOIN range(1, 5) AS u(k) ON k < c.size JOIN g l ON l.lang = c.lang AND l.phrase = c.phrase[1:k] JOIN g r ON r.lang = c.lang AND r.phrase = c.phrase[k + 1:c.size]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT c.lang, c.phrase[i:i + k - 1] AS phrase, max(c.f) AS f FROM c, range(2, 5) AS u(k), unnest(range(1, CAST(c.size AS BIGINT) - k + 2)) AS v(i) WHERE k < c.size GROUP BY ALL),
+alive AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.f IS NULL OR 100 * i.f < 100 * b.a),
+ranked AS (SELECT *, array_to_string(phrase, ' ') AS text, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank FROM alive)
+SELECT lang, rank, text AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
     "op13_merkle": r"""
 WITH RECURSIVE d AS (SELECT *, coalesce('=' || source, '') AS seq,
     list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: list_concat([256 + ascii(substr(CAST(doc_id AS VARCHAR), i, 1))], [0, 0, 0, 0, 0, 0, 0, 0])))),
