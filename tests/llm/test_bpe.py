@@ -69,11 +69,17 @@ def test_parts_known_at_their_edges_alone(library, monkeypatch):
 
 def test_remembered_words(library):
     memory = bpe.Memory(bpe.vocabulary(), most=50)
-    assert memory.apart and not bpe.Memory(bpe.vocabulary("/opt/tokenizers/byte_bpe_50k.json")).apart
+    other = bpe.Memory(bpe.vocabulary("/opt/tokenizers/byte_bpe_50k.json"))
+    assert memory.plain and not other.plain
+    assert other.ids(["Some words, 'tis so"]) == [other.tokenizer.encode("Some words, 'tis so", add_special_tokens=False).ids]
     r = random.Random(4)
-    for _ in range(60):
-        texts = ["".join(r.choices([*POOL, " ", "\t", "\x1c", "\u2028", "\x85"], k=r.choice([0, 3, 60]))) for _ in range(5)]
+    plain = [chr(c) for c in range(0x180)]
+    for k in range(80):
+        pool = [*POOL, " ", "\t", "\x1c", "\u2028", "\x85"] if k % 2 else [*plain, "'", "'", "s", "re", "LL", " "]
+        texts = ["".join(r.choices(pool, k=r.choice([0, 3, 60]))) for _ in range(5)] + ["A<|ENDOFTEXT|>b"]
         assert memory.ids(texts) == [whole(library, t) for t in texts]
+    every = " ".join(plain) + "".join(plain)
+    assert memory.ids([every]) == [whole(library, every)]
 
 
 def test_odd_rows(spark, library):

@@ -20,7 +20,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -177,27 +176,48 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
-#: How the public vocabulary's file splits texts into words (fixed values of that file): none of them holds white space.
-WORDS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
-_CHUNK = re.compile(r"[^ \t\n\r]+")
+#: How the public vocabulary's file treats a text before the merges (fixed values of that file).
+NORMALIZED = ["NFC", "Replace", "Lowercase"]
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Below this code point nothing is composed, and lower case stays there (but for the dot of U+0130) whatever stands around a letter.
+PLAIN = 0x180
+
+
+def _class(kinds: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] in kinds)
 
 
 class Memory:
-    """A tokenizer that remembers what stands between white space, if its file drops white space before all else."""
+    """A tokenizer that encodes each word once, in texts of which it can tell the words: code points below U+0180, no special string.
+
+    Those are lower-cased and cut by the file's own pattern; words are remembered with their ids. Other texts, and all texts of
+    another tokenizer, are encoded by the library as they are.
+    """
 
-    def __init__(self, file: str, most: int = 1 << 17):
+    def __init__(self, file: str, most: int = 1 << 19):
         self.tokenizer, self.most, self.known = _in_task(file), most, {}
-        steps = (json.loads(file)["pre_tokenizer"] or {}).get("pretokenizers") or [None]
-        self.apart = steps[0] == WORDS
+        told = json.loads(file)
+        steps = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
+        split = ((told["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.plain = steps == NORMALIZED and split.get("pattern") == {"Regex": WORDS} and split["behavior"] == "Removed" and split["invert"]
+        if self.plain:
+            self.lower = _loaded(json.dumps(told | {"normalizer": None}))
+            letters, numbers = _class("L"), _class("N")
+            self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\x09-\\x0d \\x85\\xa0{letters}{numbers}]+").findall
+            special = [re.escape(t.content[:2]) for t in self.tokenizer.get_added_tokens_decoder().values()]
+            self.odd = re.compile("|".join([f"[^\\x00-{chr(PLAIN - 1)}]", *special])).search
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        if not self.apart:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        chunks = [_CHUNK.findall(t) for t in texts]
-        new = list({c for own in chunks for c in own if c not in self.known})
-        known = self.known | dict(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        self.known = known if len(known) <= self.most else {}
-        return [list(chain.from_iterable(map(known.__getitem__, own))) for own in chunks]
+        easy = [self.plain and self.odd(t) is None for t in texts]
+        split = [self.words(t.lower()) if e else () for t, e in zip(texts, easy, strict=True)]
+        new = list({w for own in split for w in own if w not in self.known})
+        self.known.update(zip(new, (e.ids for e in self.lower.encode_batch_fast(new, add_special_tokens=False)), strict=True) if new else ())
+        known = self.known
+        rest = iter(self.tokenizer.encode_batch_fast([t for t, e in zip(texts, easy, strict=True) if not e], add_special_tokens=False))
+        out = [[i for w in own for i in known[w]] if e else next(rest).ids for own, e in zip(split, easy, strict=True)]
+        if len(known) > self.most:
+            self.known = {}
+        return out
 
 
 @cache
