@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import crc_set, floor_mod
@@ -146,14 +147,29 @@ def products() -> np.ndarray:
 
 
 def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The product of a matrix of the field with rows of bytes; two bytes are looked up at a time."""
     table = products()
     out = np.zeros((a.shape[0], b.shape[1]), dtype=np.uint8)
+    even = b.shape[1] & ~1
+    pairs = [row[:even].view(np.uint16) if row.flags.c_contiguous else np.ascontiguousarray(row[:even]).view(np.uint16) for row in b]
     for r in range(a.shape[0]):
+        wide = out[r, :even].view(np.uint16)
         for i in np.flatnonzero(a[r]):
-            out[r] ^= b[i] if a[r, i] == 1 else table[a[r, i]][b[i]]
+            wide ^= pairs[i] if a[r, i] == 1 else _wide_row(int(a[r, i]))[pairs[i]]
+            if even < b.shape[1]:
+                out[r, -1] ^= table[a[r, i], b[i, -1]]
     return out
 
 
+def _wide_row(factor: int) -> np.ndarray:
+    """The products of all pairs of bytes with one factor."""
+    key = ("wide", factor)
+    if key not in _tables:
+        row = products()[factor].astype(np.uint16)
+        _tables[key] = (row[None, :] | (row[:, None] << 8)).reshape(-1)
+    return _tables[key]
+
+
 def inverted(a: np.ndarray) -> np.ndarray:
     table, n = products(), len(a)
     work = np.concatenate([a.astype(np.uint8), np.eye(n, dtype=np.uint8)], axis=1)
@@ -179,8 +195,6 @@ def coding_matrix(k: int, m: int) -> np.ndarray:
     return multiply(powers, inverted(powers[:k]))
 
 
-SHARDS = "object long, block int, shard int, size long, bytes binary"
-
 
 def blocks_of(blobs: DataFrame, block: int) -> DataFrame:
     """(object, block, bytes) of blobs (object, content); a blob is sliced once, and an empty one is one empty block."""
@@ -189,106 +203,115 @@ def blocks_of(blobs: DataFrame, block: int) -> DataFrame:
     return blobs.select("object", F.explode(cut).alias("b")).select("object", "b.block", "b.bytes")
 
 
-def _side_by_side(parts: list[bytes], widths: list[int]) -> np.ndarray:
-    """Rows of bytes one after the other, each padded with zeros to its width."""
-    return np.frombuffer(b"".join(p.ljust(w, b"\0") for p, w in zip(parts, widths, strict=True)), dtype=np.uint8)
+def _width(size: Column, k: int) -> Column:
+    return F.greatest(F.floor((size + (k - 1)) / k), F.lit(1)).cast("int")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values' lengths and their bytes one after the other, as they lie in the column's buffers."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32, count=len(column) + 1, offset=4 * column.offset)
+    whole = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
+    return np.diff(ends), whole[ends[0] : ends[-1]]
+
+
+def _binary(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    """The inverse of _flat."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+
+
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
 def shard_objects(blobs: DataFrame, k: int, m: int, block: int = 1 << 20) -> DataFrame:
     """blobs (object, content) as shards: each block as k data shards and m parity shards, zero padded; size is the block's own.
 
-    A blob is cut into blocks before it is sent to Python, so a task's memory is bounded by a batch of blocks, which is one product.
+    Spark cuts blobs into blocks and blocks into data shards; Python adds the parity shards, one product for a batch of blocks whose
+    bytes stay in the batch's buffers. A null content is an empty blob.
     """
+    size = F.length("bytes")
+    blocks = blocks_of(blobs.withColumn("content", F.coalesce("content", F.lit(b""))), block).withColumns({"size": size.cast("long"), "width_": _width(size, k)})
+    blocks = blocks.withColumn("bytes", F.rpad(F.col("bytes"), F.col("width_") * k, F.lit(b"\0")))
+    parts = blocks.select("object", "block", "size", *(F.substring("bytes", F.col("width_") * j + 1, F.col("width_")).alias(f"s{j}") for j in range(k)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parity = coding_matrix(k, m)[k:]
         for batch in batches:
-            data = [x or b"" for x in batch.column(2).to_pylist()]
-            if not data:
-                continue
-            widths = [max(1, -(-len(x) // k)) for x in data]
-            rows = [x.ljust(w * k, b"\0") for x, w in zip(data, widths, strict=True)]
-            every = [b"".join(x[w * i : w * (i + 1)] for x, w in zip(rows, widths, strict=True)) for i in range(k)]
-            coded = multiply(parity, np.stack([np.frombuffer(e, dtype=np.uint8) for e in every]))
-            every += [c.tobytes() for c in coded]
-            ends = np.cumsum(widths).tolist()
-            for shard, whole in enumerate(every):
-                n = len(data)
-                cut = pa.array([whole[e - w : e] for e, w in zip(ends, widths, strict=True)], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shard] * n, type=pa.int32()), pa.array([len(x) for x in data], type=pa.int64()), cut], names=["object", "block", "shard", "size", "bytes"])
+            lengths, _ = _flat(_column(batch, "s0"))
+            coded = multiply(parity, np.stack([_flat(_column(batch, f"s{j}"))[1] for j in range(k)])) if batch.num_rows else np.zeros((m, 0), dtype=np.uint8)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(_binary(lengths, c) for c in coded)], names=[*batch.schema.names, *(f"s{k + j}" for j in range(m))])
 
-    return blocks_of(blobs, block).mapInArrow(run, SHARDS)
+    kind = blobs.schema["object"].dataType.simpleString()
+    whole = parts.mapInArrow(run, f"object {kind}, block int, size long, " + ", ".join(f"s{j} binary" for j in range(k + m)))
+    each = F.explode(F.array(*(F.struct(F.lit(j).alias("shard"), F.col(f"s{j}").alias("bytes")) for j in range(k + m))))
+    return whole.select("object", "block", "size", each.alias("s")).select("object", "block", "s.shard", "size", "s.bytes")
 
 
-def _per_block(shards: DataFrame, k: int, m: int, work, schema: str) -> DataFrame:
-    """work(objects, blocks, shard numbers, sizes, shards) over batches of blocks; a block is one row of k + m shards at most."""
-    rows = shards.groupBy("object", "block").agg(F.array_sort(F.collect_list(F.struct("shard", "size", "bytes"))).alias("s"))
+def _side_by_side(shards: DataFrame, k: int, m: int) -> DataFrame:
+    """(object, block, size, s0, s1, ...) with the shards that are there; one whose length isn't that of its block is damaged, and so missing.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, sizes, parts = [], [], []
-            for row in batch.column(2).to_pylist():
-                own = {x["shard"]: x for x in row}  # a shard that was stored twice counts once
-                ids.append(tuple(own))
-                sizes.append(row[0]["size"])
-                parts.append([x["bytes"] for x in own.values()])
-            yield work(batch.column(0), batch.column(1), ids, sizes, parts)
-
-    return rows.mapInArrow(run, schema)
-
-
-def _by_pattern(ids: list[tuple]) -> dict[tuple, list[int]]:
-    out: dict[tuple, list[int]] = {}
-    for i, shards in enumerate(ids):
-        out.setdefault(shards, []).append(i)
-    return out
+    A shard that was stored twice counts once.
+    """
+    fit = F.when(F.length("bytes") == _width(F.col("size"), k), F.col("bytes"))
+    return shards.groupBy("object", "block").agg(F.max("size").alias("size"), *(F.max(F.when(F.col("shard") == j, fit)).alias(f"s{j}") for j in range(k + m)))
 
 
 def repair_objects(shards: DataFrame, k: int, m: int) -> DataFrame:
     """(object, block, bytes, status) from the shards that are left: whole if k data shards are there, rebuilt from any k, else lost.
 
-    Blocks of a batch that lost the same shards are rebuilt by one product with one inverse.
+    Blocks of a batch that lost the same shards are rebuilt by one product with one inverse, over the batch's buffers.
     """
     inverses: dict[tuple, np.ndarray] = {}
 
-    def work(objects, blocks, ids, sizes, parts) -> pa.RecordBatch:
-        out: list[bytes | None] = [None] * len(ids)
-        status = ["lost"] * len(ids)
-        for some, rows in _by_pattern([x[:k] for x in ids]).items():
-            if len(some) < k:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            widths = [len(parts[i][0]) for i in rows]
-            if some != tuple(range(k)):
-                if some not in inverses:
-                    inverses[some] = inverted(coding_matrix(k, m)[list(some)])
-                have = np.stack([_side_by_side([parts[i][j] for i in rows], widths) for j in range(k)])
-                data, at = multiply(inverses[some], have), 0
-                for i, w in zip(rows, widths, strict=True):
-                    out[i], status[i] = data[:, at : at + w].tobytes()[: sizes[i]], "rebuilt"
-                    at += w
-            else:
-                for i in rows:
-                    out[i], status[i] = b"".join(parts[i][:k])[: sizes[i]], "whole"
-        return pa.RecordBatch.from_arrays([objects, blocks, pa.array(out, type=pa.binary()), pa.array(status)], names=["object", "block", "bytes", "status"])
-
-    return _per_block(shards, k, m, work, "object long, block int, bytes binary, status string")
+            columns = [_column(batch, f"s{j}") for j in range(k + m)]
+            there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns], axis=1)
+            used = there & (np.cumsum(there, axis=1) <= k)
+            code = used @ (1 << np.arange(k + m))
+            pieces, order = [], []
+            status = np.where(used.sum(axis=1) < k, "lost", np.where(used[:, :k].all(axis=1), "whole", "rebuilt"))
+            for pattern in np.unique(code).tolist():
+                rows = np.flatnonzero(code == pattern)
+                some = tuple(j for j in range(k + m) if pattern >> j & 1)
+                order.append(rows)
+                if len(some) < k:
+                    pieces.append(pa.nulls(len(rows), pa.binary()))
+                    continue
+                own = [columns[j].take(pa.array(rows)) for j in some]
+                if some != tuple(range(k)):
+                    if some not in inverses:
+                        inverses[some] = inverted(coding_matrix(k, m)[list(some)])
+                    lengths, _ = _flat(own[0])
+                    own = [_binary(lengths, row) for row in multiply(inverses[some], np.stack([_flat(c)[1] for c in own]))]
+                pieces.append(pc.binary_join_element_wise(*own, pa.scalar(b"", pa.binary())))
+            back = pa.concat_arrays(pieces).take(pa.array(np.argsort(np.concatenate(order))))
+            yield pa.RecordBatch.from_arrays([_column(batch, "object"), _column(batch, "block"), _column(batch, "size"), back, pa.array(status.tolist())], names=["object", "block", "size", "bytes", "status"])
+
+    rows = _side_by_side(shards, k, m)
+    kind = shards.schema["object"].dataType.simpleString()
+    padded = rows.mapInArrow(run, f"object {kind}, block int, size long, bytes binary, status string")
+    return padded.select("object", "block", F.substring("bytes", F.lit(1), F.col("size").cast("int")).alias("bytes"), "status")
 
 
 def scrub_parity(shards: DataFrame, k: int, m: int) -> DataFrame:
-    """(object, block, intact): whether the parity shards are what the data shards give; false if one is missing."""
-    whole = tuple(range(k + m))
-
-    def work(objects, blocks, ids, sizes, parts) -> pa.RecordBatch:
-        intact = [False] * len(ids)
-        rows = [i for i, x in enumerate(ids) if x == whole and len({len(p) for p in parts[i]}) == 1 and parts[i][0]]
-        if rows:
-            widths = [len(parts[i][0]) for i in rows]
-            every = np.stack([_side_by_side([parts[i][j] for i in rows], widths) for j in range(k + m)])
-            good = (multiply(coding_matrix(k, m)[k:], every[:k]) == every[k:]).all(axis=0)
-            for i, ok in zip(rows, np.logical_and.reduceat(good, np.cumsum([0, *widths[:-1]])), strict=True):
-                intact[i] = bool(ok)
-        return pa.RecordBatch.from_arrays([objects, blocks, pa.array(intact)], names=["object", "block", "intact"])
-
-    return _per_block(shards, k, m, work, "object long, block int, intact boolean")
+    """(object, block, intact): whether the parity shards are what the data shards give; false if a shard is missing or damaged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [_column(batch, f"s{j}") for j in range(k + m)]
+            intact = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+            rows = np.flatnonzero(intact)
+            if len(rows):
+                own = [_flat(c.take(pa.array(rows))) for c in columns]
+                every = np.stack([data for _, data in own])
+                good = (multiply(coding_matrix(k, m)[k:], every[:k]) == every[k:]).all(axis=0)
+                intact[rows] = np.logical_and.reduceat(good, np.cumsum(own[0][0]) - own[0][0])
+            yield pa.RecordBatch.from_arrays([_column(batch, "object"), _column(batch, "block"), pa.array(intact)], names=["object", "block", "intact"])
+
+    kind = shards.schema["object"].dataType.simpleString()
+    return _side_by_side(shards, k, m).mapInArrow(run, f"object {kind}, block int, intact boolean")

@@ -171,8 +171,8 @@ class Detector(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows, "tick")
-        batch = batch[batch["beat"]]
-        if not len(batch):  # the clock's ticks
+        if not key[1]:  # the clock's ticks, which only move time
+            yield pd.DataFrame({"endpoint": pd.Series(dtype="int64"), "tick": pd.Series(dtype="int64"), "state": pd.Series(dtype="str")})
             return
         gaps = [g[0] for g in self.gaps.get()] if self.gaps.exists() else []
         last, due, down = self.last.get() if self.last.exists() else (None, None, False)
@@ -251,5 +251,5 @@ def stream_failure_detector(beats: DataFrame, threshold: float = 8.0, size: int
     if clock is not None:
         kind = beats.schema["endpoint"].dataType
         at = F.timestamp_millis(F.col("tick") * 1000 + 1)  # just past the tick, for timers that are due at it
-        rows = rows.unionByName(clock.select(F.lit(None).cast(kind).alias("endpoint"), "tick", at.alias("at"), F.lit(False).alias("beat")))
-    return with_state(rows.withWatermark("at", late), Detector(threshold, size, initial, most), "endpoint long, tick long, state string", "endpoint", time="EventTime")
+        rows = rows.unionByName(clock.select(F.lit(0).cast(kind).alias("endpoint"), "tick", at.alias("at"), F.lit(False).alias("beat")))
+    return with_state(rows.withWatermark("at", late), Detector(threshold, size, initial, most), "endpoint long, tick long, state string", "endpoint", "beat", time="EventTime")
