@@ -1,6 +1,7 @@
 """Small cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, and each method's own rules."""
 
 import random
+import hashlib
 import re
 
 import numpy as np
@@ -103,6 +104,28 @@ def test_anchors_are_where_they_say(spark, odd):
     assert {(r["position"], r["anchor"]) for r in rows} <= moved
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "long", "none", "one"])
+def test_ids_of_any_type_follow_each_other(spark, kind):
+    """Each text's follower, told by the digest of its edited text; also where all ids are null or one."""
+    texts = [f"{'xyz' * (i % 7)} text number {i} of some length, to be cut and followed" for i in range(60)] + ["", "same", "same"]
+    ids = {"string": [f"k{i * 7 % 64:02d}" for i in range(63)], "int": [i * 7 % 64 for i in range(63)], "long": [i * 7 % 64 for i in range(63)], "none": [None] * 63, "one": [5] * 63}[kind]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {'string' if kind == 'string' else 'int' if kind == 'int' else 'long'}, text string")
+    got = syncmers.fingerprint(df)
+    assert got.schema["doc_id"] == df.schema["doc_id"]
+    order = [(r["doc_id"], r["text"]) for r in df.withColumn("h", F.xxhash64("text")).orderBy("doc_id", "h").collect()]
+    want = []
+    for (d, a), (_, b) in zip(order, [*order[1:], order[0]], strict=True):
+        cut = len(a) // 4
+        want.append((d, len(a), hashlib.sha256((a[: len(a) - cut] + b[:cut]).encode()).hexdigest()))
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_a_hot_id_is_many_ranges(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    sizes = [r["count"] for r in syncmers._with_followers(df).filter("rep = 0").groupBy("part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 900
+
+
 def test_syncmers_are_chosen_by_their_least_part():
     rng, k, s = np.random.default_rng(5), 12, 6
     for letters in (2, 4, 200):
@@ -183,6 +206,46 @@ def test_windows_against_brute_force(spark):
         for d, t in docs:
             assert (got[d]["n_words"], got[d]["n_hit"], got[d]["items"]) == brute_hits(t, items, 4)
             assert sum(s["end"] - s["start"] for s in got[d]["spans"]) == got[d]["n_hit"]
+            assert (got[d]["longest"], got[d]["longest_start"]) == brute_longest(t, items)
+
+
+def brute_longest(text, items):
+    words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate({i: i + 32 for i in range(65, 91)}))
+    w, best, start = words(text), 0, None
+    for p in range(len(w)):
+        for _, item in items:
+            v = words(item)
+            for q in range(len(v)):
+                n = 0
+                while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                    n += 1
+                if n > best:
+                    best, start = n, p
+    return best, start
+
+
+def test_many_blocks_write_no_corpus(spark):
+    import os
+
+    from tidemark.sources.files import shared_folder
+
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(9)]
+    docs = [(i, "before " + items[i % 9][1] + " after w3x4 w3x5") for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    before = sum(len(f) for _, _, f in os.walk(shared_folder(spark).removeprefix("file:")))
+    got = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_bytes=200).collect()
+    assert all(r["contamination"]["items"] == [str(r["doc_id"] % 9)] and r["contamination"]["longest"] == 12 for r in got) and len(got) == 30
+    assert sum(len(f) for _, _, f in os.walk(shared_folder(spark).removeprefix("file:"))) == before
+
+
+def test_wide_windows(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_TOKENS", 64)
+    words = [f"w{i}" for i in range(300)]
+    data = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+    r = decontaminate.search_shard(np.array([0, len(data)]), data, decontaminate.TestSuffixes(["1"], [" ".join(words[100:140])], 30))[0]
+    assert (r["n_hit"], r["longest"], r["longest_start"]) == (40, 40, 100)
+    with pytest.raises(ValueError, match="at most 32 words"):
+        decontaminate.search_shard(np.array([0, len(data)]), data, decontaminate.TestSuffixes(["1"], [" ".join(words[100:190])], 40))
 
 
 def test_longest_match_and_pieces(spark, monkeypatch):

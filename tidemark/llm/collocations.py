@@ -115,24 +115,52 @@ def _alike(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, at_
     return True
 
 
+class Tally:
+    """Words and their counts over the slices of a task, given out when they are many."""
+
+    def __init__(self, most: int = 400_000):
+        self.most, self.keys, self.parts = most, np.zeros(0, dtype=np.uint64), None
+
+    def add(self, keys: np.ndarray, part: tuple) -> Iterator[pa.RecordBatch]:
+        if self.parts is not None:
+            keys, part = np.concatenate([self.keys, keys]), tuple(np.concatenate(x) for x in zip(self.parts, part, strict=True))
+        _, first, group = np.unique(keys, return_index=True, return_inverse=True)
+        langs, hashes, words, counts = part
+        if (words[first][group] != words).any() or (langs[first][group] != langs).any():  # two words with one key: none is joined
+            self.keys, self.parts = keys, part
+            yield from self.out()
+            return
+        self.keys, self.parts = keys[first], (langs[first], hashes[first], words[first], np.bincount(group, counts).astype(np.int64))
+        if len(first) > self.most:
+            yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.parts is not None:
+            langs, hashes, words, counts = self.parts
+            self.keys, self.parts = np.zeros(0, dtype=np.uint64), None
+            yield pa.RecordBatch.from_arrays([pa.array(langs.tolist(), type=pa.string()), pa.array(hashes.view(np.int64)), pa.array([w.decode() for w in words.tolist()], type=pa.string()), pa.array(counts)], names=["lang", "hash", "word", "n"])
+
+
 def _counted(corpus: DataFrame, seed: int, slice_bytes: int) -> DataFrame:
     """(lang, hash, word, f) of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Tally()
         for batch in batches:
             for langs, data, starts, ends, rows, _ in _pieces(batch, slice_bytes):
                 if not len(starts):
                     continue
-                names, code = np.unique(np.array(langs, dtype=object), return_inverse=True)
-                own, size, hashes = code[rows], ends - starts, word_hashes(data, starts, ends, seed)
-                first, group, counts = grouped(phrase_keys(own.astype(np.uint64), [hashes]), [own, size])
+                own, size, hashes = lang_keys(langs)[rows], ends - starts, word_hashes(data, starts, ends, seed)
+                first, group, counts = grouped(phrase_keys(own, [hashes]), [own, size])
                 if not _alike(data, starts, starts[first[group]], size):
                     # two words with one hash are rows of their own here, which shows below
                     spelled = np.array([data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=object)
-                    which = np.unique(spelled, return_inverse=True)[1]
-                    first, group, counts = grouped(phrase_keys(own.astype(np.uint64), [which.astype(np.uint64)]), [own, which])
-                words = [data[a:b].tobytes().decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names[own[first]].tolist()), pa.array(hashes[first].view(np.int64)), pa.array(words, type=pa.string()), pa.array(counts)], names=["lang", "hash", "word", "n"])
+                    which = np.unique(spelled, return_inverse=True)[1].astype(np.uint64)
+                    first, _, counts = grouped(phrase_keys(own, [which]), [own, which])
+                spelled = np.array([data[a:b].tobytes() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], dtype=object)
+                part = (np.array(langs, dtype=object)[rows[first]], hashes[first], spelled, counts)
+                yield from known.add(phrase_keys(own[first], [hashes[first]]), part)
+        yield from known.out()
 
     return corpus.mapInArrow(run, "lang string, hash long, word string, n long").groupBy("lang", "hash", "word").agg(F.sum("n").alias("f"))
 
@@ -259,7 +287,7 @@ def _scored(phrases: DataFrame, known: DataFrame, totals: DataFrame) -> DataFram
     return best.select("lang", "phrase", "a", "n", "cut.score", "cut.l", "cut.r")
 
 
-def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, longest: int = 5, waves: tuple[float, ...] = (0.05, 0.25, 1.0), bits: int | None = None, slice_bytes: int = 4 << 20, most_words: int = 1 << 20) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, longest: int = 5, waves: tuple[float, ...] = (0.05, 0.25, 1.0), bits: int | None = None, slice_bytes: int = 1 << 20, most_words: int = 1 << 19) -> DataFrame:
     """The first `top` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     Texts are read twice: to count words, and to write them as hashes of their frequent words, which is all that later passes

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from tidemark.llm import arrays
 from tidemark.llm.graph import Names, columns
-from tidemark.sources.files import shared_folder
 
 RESULT = T.StructType(
     [
@@ -42,8 +41,7 @@ class TestSuffixes:
         self.item = np.repeat(np.arange(len(lengths)), lengths)
         self.place = np.arange(len(self.starts)) - np.repeat(cuts[:-1], lengths)
         self.size = np.minimum(lengths, window)[self.item]  # words of the window that starts here, if it is whole
-        self.at = np.flatnonzero(self.place + self.size <= lengths[self.item])
-        self.wide = self.size[self.at]
+        self.reach = np.minimum(lengths[self.item] - self.place, self.size)  # words that a match from here on can have, up to a window
 
 
 def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tests: TestSuffixes, word: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -84,49 +82,60 @@ def suffix_order(ranks: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def occurrences(tokens: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
-    """(test suffix, place) for every place where a test suffix's window stands, by binary search.
+def occurrences(tokens: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(test suffix, place) for every place where a test suffix's window stands, and for each place how many words from it on,
+    up to a window, are those of some test suffix; by binary search.
 
     The interval of the suffix array that agrees with a test suffix is narrowed token by token; a
-    suffix leaves the search when its interval is empty.
+    suffix leaves the search when its interval is empty, or when its item or the window ends.
     """
     none = np.zeros(0, dtype=np.int64)
-    if not len(tokens) or not len(tests.at):
-        return none, none
+    if not len(tokens) or not len(tests.reach):
+        return none, none, np.zeros(len(tokens), dtype=np.int64)
+    window = int(tests.reach.max())
     if len(tokens) > MOST_TOKENS:  # one very long text: pieces that overlap by a window
+        step = MOST_TOKENS - window + 1
+        if step < MOST_TOKENS // 2:
+            raise ValueError(f"a window has at most {MOST_TOKENS // 2} words")
         parts = []
-        for at in range(0, len(tokens), MOST_TOKENS - 1024):
-            suffix, place = occurrences(tokens[at : at + MOST_TOKENS - 1024 + int(tests.wide.max()) - 1], tests)
-            parts.append((suffix[place < MOST_TOKENS - 1024], place[place < MOST_TOKENS - 1024] + at))
+        for at in range(0, len(tokens), step):
+            suffix, place, deep = occurrences(tokens[at : at + MOST_TOKENS], tests)
+            own = place < step
+            parts.append((suffix[own], place[own] + at, deep[:step]))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     known, ranks = np.unique(tokens, return_inverse=True)
     ranks = ranks.astype(np.int64)
-    order = suffix_order(ranks, int(tests.wide.max()))
+    order = suffix_order(ranks, window)
     found = np.searchsorted(known, tests.tokens)
     found[found == len(known)] = 0
     wanted = np.where(known[found] == tests.tokens, found, -1)
-    ahead = np.concatenate([ranks, np.full(int(tests.wide.max()), -2, dtype=np.int64)])
+    ahead = np.concatenate([ranks, np.full(window, -2, dtype=np.int64)])
     first = ranks[order]
-    live = np.flatnonzero(wanted[tests.at] >= 0)
-    low = np.searchsorted(first, wanted[tests.at[live]], side="left")
-    high = np.searchsorted(first, wanted[tests.at[live]], side="right")
+    live = np.flatnonzero(wanted >= 0)
+    low = np.searchsorted(first, wanted[live], side="left")
+    high = np.searchsorted(first, wanted[live], side="right")
+    whole = tests.reach == tests.size
+    deep = np.zeros(len(tokens), dtype=np.int64)
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     depth = 1
     while len(live):
-        full = tests.wide[live] == depth
+        inside = np.bincount(low, minlength=len(tokens) + 1) - np.bincount(high, minlength=len(tokens) + 1)
+        deep[order[np.cumsum(inside)[:-1] > 0]] = depth
+        ends = tests.reach[live] == depth
+        full = ends & whole[live]
         done.append((live[full], low[full], high[full]))
-        live, low, high = live[~full], low[~full], high[~full]
-        token = wanted[tests.at[live] + depth]
+        live, low, high = live[~ends], low[~ends], high[~ends]
+        token = wanted[live + depth]
         low, high = (_bound(ahead, order, depth, token, low, high, right) for right in (False, True))
         keep = (high > low) & (token >= 0)
         live, low, high = live[keep], low[keep], high[keep]
         depth += 1
     if not done:
-        return none, none
+        return none, none, deep
     suffix, low, high = (np.concatenate(x) for x in zip(*done, strict=True))
     counts = high - low
     within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return tests.at[np.repeat(suffix, counts)], order[np.repeat(low, counts) + within]
+    return np.repeat(suffix, counts), order[np.repeat(low, counts) + within], deep
 
 
 def _bound(ahead, order, depth, token, low, high, right: bool) -> np.ndarray:
@@ -152,8 +161,13 @@ def search_shard(offsets: np.ndarray, data: np.ndarray, tests: TestSuffixes) ->
     tokens = np.zeros(len(starts) + rows, dtype=np.uint64)
     shifted = np.arange(len(starts)) + row_of
     tokens[shifted] = arrays.RollingHash(data).of(starts, ends)
-    suffix, place = occurrences(tokens, tests)
+    suffix, place, deep = occurrences(tokens, tests)
     out = [{"n_words": n, "n_hit": 0, "longest": 0, "longest_start": None, "items": [], "spans": []} for n in counts.tolist()]
+    deep = deep[shifted]
+    matched = np.flatnonzero(deep)
+    by = matched[np.lexsort((matched, -deep[matched], row_of[matched]))]
+    for w in by[np.flatnonzero(np.diff(row_of[by], prepend=-1))].tolist():
+        out[row_of[w]] |= {"longest": int(deep[w]), "longest_start": int(w - cuts[row_of[w]])}
     if not len(suffix):
         return out
     place_row = np.searchsorted(cuts + np.arange(rows + 1), place, side="right") - 1
@@ -179,7 +193,8 @@ def search_shard(offsets: np.ndarray, data: np.ndarray, tests: TestSuffixes) ->
     rows_of = place_row[by[heads]]
     first = np.lexsort((word[by[heads]], -lengths, rows_of))
     for k in first[np.flatnonzero(np.diff(rows_of[first], prepend=-1))].tolist():
-        out[rows_of[k]] |= {"longest": int(lengths[k]), "longest_start": int(word[by[heads[k]]] - cuts[rows_of[k]])}
+        if lengths[k] > out[rows_of[k]]["longest"]:
+            out[rows_of[k]] |= {"longest": int(lengths[k]), "longest_start": int(word[by[heads[k]]] - cuts[rows_of[k]])}
     pairs = np.unique(place_row * len(tests.ids) + item)
     which, items = pairs // len(tests.ids), pairs % len(tests.ids)
     hit_rows, at = np.unique(which, return_index=True)
@@ -204,7 +219,7 @@ def merged(old: dict | None, new: dict) -> dict:
             spans[-1]["end"] = max(spans[-1]["end"], s["end"])
         else:
             spans.append(dict(s))
-    longer = max((old, new), key=lambda r: (r["longest"], -(r["longest_start"] or 0)))
+    longer = max((old, new), key=lambda r: (r["longest"], -(r["longest_start"] or 0)))  # at a tie the first place
     return {
         "n_words": new["n_words"],
         "n_hit": sum(s["end"] - s["start"] for s in spans),
@@ -229,48 +244,40 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[l
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard_bytes: int = 2 << 20, block_bytes: int = 16 << 20, keep_text: bool = True, out: str = "contamination") -> DataFrame:
-    """docs with a column `out`: n_words, n_hit, the longest verbatim match and where it starts, items, spans of words.
+    """docs with a column `out`: n_words, n_hit, the longest verbatim match of any length and where it starts, items, spans of words.
 
     Every task sorts the suffixes of its texts, shard by shard (about shard_bytes of whole texts), and
     looks every suffix of every benchmark item up in that suffix array by binary search. Rows are not
     shuffled, so a hot source or a group of copies costs no more than other rows. Benchmark items
-    are sent to the tasks in blocks of at most block_bytes. A larger benchmark takes a pass for each block, whose results are kept
-    in the shared folder before the next block is read, so driver and tasks hold one block at a time.
+    are sent to the tasks in blocks of at most block_bytes; of a larger benchmark a task takes one block after the other for each shard and
+    merges what they give, so driver and tasks hold one block at a time and the corpus is read once.
 
     Null or empty texts have no words and no hit; ties of equal length go to the first place in the text;
     repeated rows each get their result; an empty benchmark gives no hits; items without words never
     occur; a null item_id counts as the id "null". Other columns pass through, but for one named
     `out`, which is replaced.
     """
-    spark = docs.sparkSession
     docs = docs.drop(out)
-    blocks = benchmark_blocks(benchmark, block_bytes)
-    block, following = next(blocks), next(blocks, None)
-    while True:
-        kept = [f for f in docs.schema if f.name != out and (keep_text or following or f.name != "text")]
-        sent = spark.sparkContext.broadcast(TestSuffixes(*block, window))
-        docs = docs.mapInArrow(_task(sent, [f.name for f in kept], shard_bytes, out), T.StructType([*kept, T.StructField(out, RESULT)]))
-        if following is None:
-            return docs
-        shared_folder(spark)
-        docs = docs.checkpoint()
-        sent.destroy()
-        block, following = following, next(blocks, None)
-
-
-def _task(block, names: list[str], shard_bytes: int, out: str):
+    kept = [f for f in docs.schema if keep_text or f.name != "text"]
+    names = [f.name for f in kept]
+    sent = [docs.sparkSession.sparkContext.broadcast(TestSuffixes(*block, window)) for block in benchmark_blocks(benchmark, block_bytes)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = block.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            results = [r for _, _, offsets, data in arrays.slices(texts, shard_bytes) for r in search_shard(offsets, data, tests)]
-            if out in batch.schema.names:
-                old = batch.column(batch.schema.get_field_index(out)).to_pylist()
-                results = [merged(a, b) for a, b in zip(old, results, strict=True)]
+            results = []
+            for _, _, offsets, data in arrays.slices(texts, shard_bytes):
+                found = None
+                for block in sent:
+                    new = search_shard(offsets, data, block.value)
+                    found = [merged(a, b) for a, b in zip(found or [None] * len(new), new, strict=True)]
+                    if len(sent) > 1:
+                        vars(block).pop("_value", None)  # read again from the worker's disk when it is due
+                results += found
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(results, type=ARROW_RESULT)], names=[*names, out])
 
-    return run
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(out, RESULT)]))
 
 
 ARROW_RESULT = pa.struct(

@@ -45,7 +45,9 @@ at_ AS (SELECT doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') A
         FROM d, (SELECT DISTINCT n FROM wins) k, unnest(range(1, greatest(len(w) - n + 1, 0) + 1)) AS u(p)),
 hits AS (SELECT a.doc_id, a.p, a.n, x.item_id, x.q FROM at_ a JOIN wins x ON a.s = x.s AND a.n = x.n),
 runs AS (SELECT doc_id, min(p) AS start, count(*) + max(n) - 1 AS size FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS g FROM hits) GROUP BY doc_id, item_id, p - q, g),
-longest AS (SELECT doc_id, max(size) AS longest, min_by(start, (-size, start)) - 1 AS longest_start FROM runs GROUP BY doc_id),
+parts AS (SELECT DISTINCT k AS n, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s FROM b, range(1, 10) AS v(k), unnest(range(1, len(w) - k + 2)) AS u(p)),
+short AS (SELECT doc_id, p AS start, k AS size FROM d, range(1, 10) AS v(k), unnest(range(1, len(w) - k + 2)) AS u(p) SEMI JOIN parts ON parts.n = k AND parts.s = array_to_string(list_slice(w, p, p + k - 1), ' ')),
+longest AS (SELECT doc_id, max(size) AS longest, min_by(start, (-size, start)) - 1 AS longest_start FROM (SELECT doc_id, start, size FROM runs UNION ALL SELECT * FROM short) GROUP BY doc_id),
 covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, p, n FROM hits), unnest(range(p, p + n)) AS u(q) GROUP BY doc_id),
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,

@@ -6,15 +6,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm import arrays
 
-LOWEST = -(2**63)
 #: Digits of a fingerprint's numbers.
 HEX = 10
 
@@ -181,37 +180,40 @@ def anchors(docs: DataFrame, *, k: int = 12, s: int = 6, slice_bytes: int = 1 <<
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+#: Rows of the sample behind each range's bound.
+PER_BOUND = 32
+
+
 def _with_followers(docs: DataFrame) -> DataFrame:
-    """docs in ranges of doc_id: part, rep (1: the first document of the next range, after its own), key.
+    """(part, rep, doc_id, text) in ranges of (doc_id, hash of the text); rep 1: the first document of the next range, after the own ones.
 
     There are four ranges a shuffle partition, or one for 4,096 documents up to 10,000, so that the session's setting
-    bounds a task's share at any size. The ranges' bounds and the first id of each come to the driver.
+    bounds a task's share at any size. Bounds are quantiles of the rows with the least hashes, so ids of any type, repeated
+    ones and nulls are cut alike; only rows that agree in id and text can't be parted. The bounds' sample and
+    the first row of each range come to the driver, without texts.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    key, slim = F.struct("doc_id", "h"), keyed.select("doc_id", "h")
+    kind = docs.schema["doc_id"].dataType
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(10_000, keyed.count() // 4096))
-    shares = [(i + 1) / parts for i in range(parts - 1)]
-    bounds = np.unique(np.array(keyed.agg(F.percentile_approx("key", shares, 10 * parts)).first()[0] or [], dtype=np.int64))
-
-    @F.pandas_udf("int")
-    def part_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="left"))
-
-    ranges = keyed.select("key").withColumn("part", part_of("key")).groupBy("part").agg(F.min("key").alias("first")).orderBy("part").collect()
-    before = {row["first"]: ranges[i - 1]["part"] for i, row in enumerate(ranges)}  # the last range is before the first one
-    firsts = np.array(sorted(before), dtype=np.int64)
-    earlier = np.array([before[f] for f in firsts.tolist()], dtype=np.int32)
-
-    @F.pandas_udf("array<int>")
-    def places(key: pd.Series) -> pd.Series:
-        keys = key.to_numpy()
-        own = np.searchsorted(bounds, keys, side="left")
-        at = np.minimum(np.searchsorted(firsts, keys), max(len(firsts) - 1, 0))
-        also = firsts[at] == keys if len(firsts) else np.zeros(len(keys), dtype=bool)
-        return pd.Series([[p, earlier[i]] if more else [p] for p, i, more in zip(own.tolist(), at.tolist(), also.tolist(), strict=True)])
-
-    placed = keyed.select("*", F.posexplode(places("key")).alias("rep", "part"))
-    return placed.repartition("part").sortWithinPartitions("part", "rep", "key", "text")
+    sample = slim.orderBy(F.xxhash64("doc_id", "h"), "h").limit(PER_BOUND * parts).collect()
+    sample = sorted((r["doc_id"] is not None, r["doc_id"] if r["doc_id"] is not None else 0, r["h"]) for r in sample)
+    cuts = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+    literal = lambda there, value, h: F.struct(F.lit(value if there else None).cast(kind).alias("doc_id"), F.lit(h).cast("long").alias("h"))
+    if cuts:
+        bounds, steps = F.array(*(literal(*c) for c in cuts)), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+        further = lambda at, step: F.when(F.get(bounds, at + step - 1) < key, at + step).otherwise(at)
+        part = F.aggregate(F.lit(steps), F.lit(0), further)  # a binary search
+    else:
+        part = F.lit(0)
+    firsts = slim.withColumn("part", part).groupBy("part").agg(F.min(key).alias("first")).orderBy("part").collect()
+    before = [(r["first"]["doc_id"], r["first"]["h"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)]  # the last range is before the first one
+    follow = spark.createDataFrame(before, T.StructType([T.StructField("id_", kind), T.StructField("h_", T.LongType()), T.StructField("part", T.IntegerType())]))
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))
+    reps = keyed.join(F.broadcast(follow), same).groupBy("part").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("h").alias("h"))  # a row for each range
+    placed = keyed.select(part.alias("part"), F.lit(0).alias("rep"), "doc_id", "text", "h").unionByName(reps.select("part", F.lit(1).alias("rep"), "doc_id", "text", "h"))
+    return placed.repartition("part").sortWithinPartitions("part", "rep", "doc_id", "h")
 
 
 def fingerprint(docs: DataFrame, *, k: int = 12, s: int = 6, size: int = 64, share: int = 4, slice_chars: int = 1 << 19) -> DataFrame:
@@ -222,8 +224,8 @@ def fingerprint(docs: DataFrame, *, k: int = 12, s: int = 6, size: int = 64, sha
     next text, found by matching all anchors with their places (0: none; a shared passage of 17 code points or
     more has an anchor, which finds it where its repeats stand in the same order). Documents go once through a shuffle by ranges of
     doc_id; a task reads its ranges in order, holding a slice of texts and one row over. Null texts are
-    empty: their fingerprint is empty. Documents with the same doc_id follow each other in the order of
-    their texts; null ids come first; a lone document follows itself; an empty table gives no rows.
+    empty: their fingerprint is empty. Ids may have any type that has an order. Documents with the same doc_id follow each other in the order of
+    their texts' hashes; null ids come first; a lone document follows itself; an empty table gives no rows.
     """
     schema = T.StructType(
         [docs.schema["doc_id"]]
@@ -233,6 +235,8 @@ def fingerprint(docs: DataFrame, *, k: int = 12, s: int = 6, size: int = 64, sha
         + [T.StructField(c, T.LongType()) for c in ("passage_edited", "passage_next")]
     )
 
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
+
     def finished(rows: list[tuple], follower: tuple | None) -> tuple[pa.RecordBatch, np.ndarray | None]:
         """rows: (part, rep, doc_id, text) in order; all but those with rep get a result."""
         chain = [*rows, follower] if follower else rows
@@ -250,7 +254,7 @@ def fingerprint(docs: DataFrame, *, k: int = 12, s: int = 6, size: int = 64, sha
         shared = found.passages([*((i, len(texts) + n) for n, i in enumerate(own)), *following.items()])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([rows[i][2] for i in own], type=pa.int64()),
+                pa.array([rows[i][2] for i in own], type=kind),
                 pa.array([len(texts[i]) for i in own], type=pa.int64()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], type=pa.string()),
                 pa.array([as_text(plain[i]) for i in own], type=pa.string()),
