@@ -280,3 +280,20 @@ def test_log_names(spark):
     r = log_names(spark.createDataFrame([(7,)], "version long")).first()
     assert (r["name"], r["back"]) == ("00000000000000000007.json", 7)
     assert spark.createDataFrame([("x.json",)], "n string").select(C.version_of(F.col("n"))).first()[0] is None
+
+
+def test_owners_by_a_merge_of_names(spark):
+    """Names at and across the cuts, owners within owners, repeated rows, empty and null names, other columns."""
+    import itertools
+    import random
+
+    r = random.Random(6)
+    names = ["".join(x) for n in range(4) for x in itertools.product("ab\u00e9", repeat=n)] + [None]
+    items = [(r.choice(names), i) for i in range(300)]
+    owners = [(r.choice(names), f"o{i}") for i in range(40)] + [("", "all"), ("ab", "twice"), ("ab", "twice")]
+    want = sorted((n, i, o, x) for n, i in items for o, x in owners if n is not None and o is not None and n.startswith(o))
+    i, o = spark.createDataFrame(items, "name string, id int"), spark.createDataFrame(owners, "owner string, side string")
+    for parts in (1, 2, 7, 60):
+        got = recon.owned_by(i, o, parts=parts)
+        assert got.columns == ["name", "id", "owner", "side"] and sorted(map(tuple, got.collect())) == want
+    assert recon.owned_by(i.limit(0), o).count() == 0 and recon.owned_by(i, o.limit(0)).count() == 0

@@ -63,3 +63,21 @@ def test_cluster_has_to_name_a_shared_folder():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
+def test_byte_reports_are_those_of_the_footers(spark, sf):
+    """The sizes that the reports give, against the footers read one by one."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tidemark.plans import scans
+
+    files = glob.glob(scans._groups(spark, sf).removeprefix("file:") + "/*.parquet")
+    chunks = [m.row_group(g).column(c) for f in files for m in [pq.ParquetFile(f).metadata] for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    want = {}
+    for c in chunks:
+        want[c.path_in_schema] = want.get(c.path_in_schema, 0) + c.total_compressed_size
+    got = QUERIES["column_bytes"](spark, sf).collect()
+    print(got[0], QUERIES["bytes_report"](spark, sf).collect()[0])
+    assert {r["column"]: r["bytes"] for r in got} == want

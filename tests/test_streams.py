@@ -1,5 +1,7 @@
 """Streams against their batch twins on the same feed."""
 
+import pytest
+
 from tidemark.plans import ordered, streams
 
 
@@ -67,3 +69,33 @@ def test_every_detector_change_reaches_a_listener(spark, sf):
     changes = processors.stream_failure_detector(beats, threshold=2.0, size=5, most=300)
     runs.run_batches(changes, lambda rows, batch: seen.append((batch, rows.count())))
     assert sum(n for _, n in seen) > 0 and len({b for b, _ in seen}) == len(seen)
+
+
+def test_watcher_goes_on_after_its_bookmark_or_lists_anew(spark, tmp_path):
+    from tidemark.sources.versioned import VersionedTable
+    from tidemark.streaming import runs
+
+    schema = "key string, revision long, op string, value string"
+    rows = [(f"k{i % 5}", i, "delete" if i % 7 == 0 else "put", f"v{i}") for i in range(1, 41)]
+    feed, table = str(tmp_path / "feed"), VersionedTable.create(spark, str(tmp_path / "t"))
+    give = lambda a, b: _files(spark, feed, [spark.createDataFrame(rows[a:b], schema)])
+    stream = lambda: runs.file_stream(spark, feed, schema)
+    whole = lambda upto: (spark.createDataFrame(rows, schema), upto)
+    state = lambda upto: {k: (r, v, "Added") for k, r, op, v in rows[:upto] if r == max(x for y, x, _, _ in rows[:upto] if y == k) and op == "put"}
+    read = lambda: sorted(map(tuple, table.read().select("key", "revision", "value", "kind").collect()), key=lambda r: r[1])
+    watcher = runs.Watcher(table)
+    give(0, 16)
+    assert watcher.watch(stream(), whole=whole(10), state=str(tmp_path / "s1")) and watcher.bookmark() == 16
+    want = sorted([(k, *x) for k, x in state(10).items()], key=lambda r: r[1]) + [(k, r, v, "Changed") for k, r, _, v in rows[10:16]]
+    assert read() == want
+    give(16, 24)
+    assert not runs.Watcher(table).watch(stream(), state=str(tmp_path / "s1"))  # with the stream's own checkpoint
+    give(24, 30)
+    assert not runs.Watcher(table).watch(stream())  # and without it: the feed is read from its start, what is known is passed over
+    assert read() == want + [(k, r, v, "Changed") for k, r, _, v in rows[16:30]] and not runs.Watcher(table).watch(stream())
+    with pytest.raises(ValueError, match="nothing to list from"):
+        runs.Watcher(table).watch(stream(), kept_from=35)
+    feed = str(tmp_path / "later")
+    give(34, 40)
+    assert runs.Watcher(table).watch(stream(), kept_from=35, whole=whole(36))
+    assert read() == sorted([(k, *x) for k, x in state(36).items()], key=lambda r: r[1]) + [(k, r, v, "Changed") for k, r, _, v in rows[36:]]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.prefix import Ranges, last
 
@@ -42,20 +46,56 @@ def materialize(changes: DataFrame) -> DataFrame:
     return last.filter("c.op <> 'delete'").select("key", "c.value", "c.revision")
 
 
-def owned_by(items: DataFrame, owners: DataFrame, least_prefix: int | None = None) -> DataFrame:
-    """Pairs of items (name) and owners (owner) whose name begins the item's; an empty owner's name begins every item.
+def _name_bounds(names: DataFrame, parts: int) -> list[str]:
+    """Names at which the order of all names is cut into about equal parts, from those with the least hashes."""
+    sample = sorted(r[0] for r in names.select("name").filter("name is not null").distinct().orderBy(F.xxhash64("name"), "name").limit(32 * parts).collect())
+    return sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+
+
+def owned_by(items: DataFrame, owners: DataFrame, least_prefix: int | None = None, parts: int | None = None) -> DataFrame:
+    """Pairs of items (name) and owners (owner) whose name begins the item's; an empty owner's name begins every item, a null one none.
 
-    Each item meets owners on its beginnings of the lengths that owners' names have, so every row of the join is a pair. Where all
-    owners' names have least_prefix characters or more, rows meet on that one beginning instead.
+    Items and owners are dealt to ranges of names, an owner also to every range whose first name it begins: what it owns is one run of names. A
+    task merges its range in the order of names and keeps the owners that are open, each the beginning of the next, on a stack. So a row is
+    shuffled once, whatever the lengths of names, and the items of a hot owner are many tasks. Repeated items and owners pair again.
+    Where all owners' names have least_prefix characters or more, rows can meet on that one beginning instead, by a plain join.
     """
-    if not least_prefix:
-        lengths = owners.agg(F.collect_set(F.length("owner")).alias("lengths_"))  # one row, a number for each length of a name
-        starts = F.transform(F.filter("lengths_", lambda n: n <= F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n))
-        i = items.crossJoin(F.broadcast(lengths)).withColumn("start_", F.explode(starts)).drop("lengths_")
-        return i.join(owners, F.col("start_") == F.col("owner")).drop("start_")
-    i = items.withColumn("start_", F.substring("name", 1, least_prefix))
-    o = owners.withColumn("start_", F.substring("owner", 1, least_prefix))
-    return i.join(o, "start_").filter(F.col("name").startswith(F.col("owner"))).drop("start_")
+    if least_prefix:
+        i = items.withColumn("start_", F.substring("name", 1, least_prefix))
+        o = owners.withColumn("start_", F.substring("owner", 1, least_prefix))
+        return i.join(o, "start_").filter(F.col("name").startswith(F.col("owner"))).drop("start_")
+    parts = parts or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = F.array(*map(F.lit, _name_bounds(items, parts))).cast("array<string>")
+    steps = [1 << k for k in reversed(range(max(parts, 1).bit_length()))]
+    place = lambda name: F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= name, at + step).otherwise(at))
+    item, owner = F.struct(*items.columns), F.struct(*owners.columns)
+    opened = F.filter(F.sequence(F.lit(1), F.size(bounds)), lambda j: (F.size(bounds) > 0) & F.get(bounds, j - 1).startswith(F.col("owner")))
+    none = lambda of: F.lit(None).cast(of.select(F.struct(*of.columns).alias("s")).schema["s"].dataType)
+    left = items.filter("name is not null").select(place(F.col("name")).alias("part"), F.col("name").alias("at"), F.lit(1).alias("side"), item.alias("item"), none(owners).alias("owner"))
+    right = owners.filter("owner is not null").select(F.explode(F.array_union(F.array(place(F.col("owner"))), opened)).alias("part"), F.col("owner").alias("at"), F.lit(0).alias("side"), none(items).alias("item"), owner.alias("owner"))
+    dealt = left.unionByName(right).repartition("part").sortWithinPartitions("part", "at", "side")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[tuple[str, dict]] = []
+        part = None
+        for batch in batches:
+            rows, found = [], []
+            sides, owned = batch.column(2).to_pylist(), batch.column(4)
+            for i, (own, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if own != part:
+                    stack, part = [], own
+                while stack and not at.startswith(stack[-1][0]):
+                    stack.pop()
+                if sides[i] == 0:
+                    stack.append((at, owned[i].as_py()))
+                else:
+                    rows += [i] * len(stack)
+                    found += [o for _, o in stack]
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(rows, type=pa.int64())), pa.array(found, type=owned.type)], names=["item", "owner"])
+
+    schema = T.StructType([T.StructField("item", dealt.schema["item"].dataType), T.StructField("owner", dealt.schema["owner"].dataType)])
+    pairs = dealt.select("part", "at", "side", "item", "owner").mapInArrow(merge, schema)
+    return pairs.select(*(F.col(f"item.{c}") for c in items.columns), *(F.col(f"owner.{c}") for c in owners.columns))
 
 
 def desired_vs_actual(desired: DataFrame, active: DataFrame) -> DataFrame:

@@ -191,7 +191,7 @@ def _items(spark, d: str) -> DataFrame:
 
 
 def _owned(spark, d: str) -> DataFrame:
-    return recon.owned_by(_items(spark, d).filter("p_size <> 1"), _owners(spark, d).select("owner"), least_prefix=3)
+    return recon.owned_by(_items(spark, d).filter("p_size <> 1"), _owners(spark, d).select("owner"))
 
 
 def owned_by(spark, d: str) -> DataFrame:

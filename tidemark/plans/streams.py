@@ -7,7 +7,6 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import recon
 from tidemark.plans import ordered
 from tidemark.sources.files import workspace
 from tidemark.sources.versioned import VersionedTable
@@ -100,14 +99,14 @@ def stream_append_table(spark, d: str) -> DataFrame:
 
 
 def list_then_watch(spark, d: str) -> DataFrame:
-    """The state of the baseline and every change after it, from the same feed."""
+    """The state of the baseline and every change after it, by a watcher that is started twice: the second goes on after the bookmark."""
     change = lambda e: e.select(F.col("user_id").alias("key"), F.col("event_id").alias("revision"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), F.col("event_type").alias("value"))
     whole = change(spark.read.parquet(f"{d}/events.parquet"))
-    first = whole.agg(F.floor(F.max("revision") / 2)).first()[0] or 0
-    baseline, later = runs.list_then_watch(whole, change(_events(spark, d)), first)
-    state = recon.materialize(baseline).select("key", "revision", "value", F.lit("Added").alias("kind"))
-    watched = runs.run_to_files(later).select("key", "revision", "value", F.lit("Changed").alias("kind"))
-    return state.unionByName(watched)
+    last = whole.agg(F.max("revision")).first()[0] or 0
+    table = VersionedTable.create(spark, workspace(spark))
+    for upto in (last - last // 4, last):
+        runs.Watcher(table).watch(change(_events(spark, d)).filter(F.col("revision") <= upto), whole=(whole, last // 2))
+    return table.read()
 
 
 QUERIES = {f.__name__: f for f in (stream_offsets, stream_high_watermark, stream_fence, stream_merge_state, stream_failure_detector, stream_committed_fetch, stream_append_table, list_then_watch)}

@@ -292,12 +292,12 @@ class VersionedTable:
             return read
         return self.commit(self.stage(df, partition_column, blooms), read, "WRITE", {"mode": "append"}, txn)
 
-    def replace(self, df: DataFrame) -> int:
+    def replace(self, df: DataFrame, txn: str | None = None) -> int:
         """Removes all active files and adds df's, in one commit."""
         read = self.version()
         now = int(time.time() * 1000)
         removed = [{"type": "remove", "path": r["path"], "size": r["size"], "deletionTimestamp": now, "dataChange": True} for r in self.files(read).select("path", "size").collect()]
-        return self.commit([*removed, *self.stage(df)], read, "WRITE", {"mode": "replace"})
+        return self.commit([*removed, *self.stage(df)], read, "WRITE", {"mode": "replace"}, txn)
 
     def commit_with_retry(self, attempt: Callable[[VersionedTable, int], list[dict]], tries: int = 5) -> int:
         """attempt(table, read version) gives actions; after a conflict it is asked again over the newer version."""
