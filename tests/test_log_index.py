@@ -91,3 +91,27 @@ def test_an_append_that_comes_second_is_numbered_anew(spark, tmp_path, monkeypat
     first.append(True)
     with pytest.raises(Conflict):
         log.append(row(3), tries=1)
+
+
+def test_a_diff_reads_the_ranges_that_differ(spark, tmp_path, monkeypatch):
+    table = VersionedTable.create(spark, str(tmp_path / "d"), digest=("id", 100))
+    rows = spark.range(40_000).select("id", (F.col("id") % 7).alias("v")).repartitionByRange(16, "id")
+    changed = rows.withColumn("v", F.when(F.col("id").between(12_300, 12_699), -1).otherwise(F.col("v"))).filter("id <> 39000").unionByName(spark.createDataFrame([(None, 1)], "id long, v long"))
+    table.append(rows)
+    table.replace(changed)
+    table.replace(changed.repartition(3))  # the same rows in other files
+    seen, plain = [], table._rows
+
+    def watched(files, schema):
+        df = plain(files, schema)
+        seen.append(len(names(df)) if files.count() else 0)
+        return df
+
+    monkeypatch.setattr(table, "_rows", watched)
+    got = sorted(map(tuple, table.diff_rows(1, 2).collect()), key=repr)
+    want = [(i, i % 7, "removed") for i in [*range(12_300, 12_700), 39_000]] + [(i, -1, "added") for i in range(12_300, 12_700)] + [(None, 1, "added")]
+    assert got == sorted(want, key=repr) and max(seen) <= 4
+    assert table._ranges_that_differ(table.files(2), table.files(3)) == [] and table.diff_rows(2, 3).count() == 0
+    assert table._ranges_that_differ(table.files(1), table.files(2)) == [(123, 126), (390, 390), (None, None)]
+    assert table._ranges_that_differ(table.files(1), table.files(2), most=1) == [(123, 390), (None, None)]
+    assert VersionedTable(spark, table.path).digest == ("id", 100) and VersionedTable.create(spark, str(tmp_path / "e")).digest is None

@@ -20,7 +20,7 @@ def _orders(spark, d: str) -> DataFrame:
 def _built(app: str, d: str) -> str:
     """Four batches by key, then a replacement without the pending orders; made once for each session."""
     spark = SparkSession.active()
-    table = VersionedTable.create(spark, workspace(spark))
+    table = VersionedTable.create(spark, workspace(spark), digest=("o_orderkey", 4096))
     for k in range(4):
         table.append(_orders(spark, d).filter(F.col("o_orderkey") % 4 == k))
     table.replace(_orders(spark, d).filter("o_orderstatus <> 'P'"))
@@ -213,6 +213,15 @@ def diff_versions(spark, d: str) -> DataFrame:
     return _table(spark, d).diff_rows(4, 5).select("o_orderkey", "o_orderstatus", "change")
 
 
+def diff_of_a_correction(spark, d: str) -> DataFrame:
+    """A replacement that corrects the prices of one run of keys: only the ranges whose digests differ are read."""
+    table = VersionedTable.create(spark, workspace(spark), digest=("o_orderkey", 512))
+    orders = _orders(spark, d).repartitionByRange(16, "o_orderkey").sortWithinPartitions("o_orderkey")
+    table.append(orders)
+    table.replace(orders.withColumn("o_totalprice", F.when(F.col("o_orderkey").between(5000, 5100), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))))
+    return table.diff_rows(1, 2).select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), "change")
+
+
 def _ledger(spark, d: str) -> DataFrame:
     """Orders as a ledger: each moves its price in cents from account 0 to its customer."""
     o = _orders(spark, d).select("o_custkey", (F.col("o_orderkey") % 4 + 1).alias("version"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
@@ -235,7 +244,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         create_table, append, insert_and_commit, append_partitioned, path_partition_prune, point_lookup_by_log, name_lookup_by_log, range_by_log, replace, read_table, read_as_of, read_in_txn, commit_with_retry, detect_lost_updates, commit, table_history,
-        table_detail, snapshot_files, active_file_rows, snapshot_metadata, files_matching, read_commit_log, actions_as_parquet, orphan_files, diff_versions, balances, conservation_check, running_balance_by_version,
+        table_detail, snapshot_files, active_file_rows, snapshot_metadata, files_matching, read_commit_log, actions_as_parquet, orphan_files, diff_versions, diff_of_a_correction, balances, conservation_check, running_balance_by_version,
     )
 }
 
@@ -261,6 +270,8 @@ ORACLES = {
         UNION ALL SELECT count(*) FILTER (o_orderstatus <> 'P'), 5 FROM orders UNION ALL SELECT count(*) FILTER (o_orderstatus <> 'P'), 99 FROM orders""",
     "active_file_rows": f"SELECT {_COLUMNS} FROM orders WHERE o_orderkey % 4 < 3",
     "diff_versions": "SELECT o_orderkey, o_orderstatus, 'removed' AS change FROM orders WHERE o_orderstatus = 'P'",
+    "diff_of_a_correction": """SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, 'removed' AS change FROM orders WHERE o_orderkey BETWEEN 5000 AND 5100
+        UNION ALL SELECT o_orderkey, CAST(round((o_totalprice + 1) * 100) AS BIGINT), 'added' FROM orders WHERE o_orderkey BETWEEN 5000 AND 5100""",
     "detect_lost_updates": "SELECT count(DISTINCT o_orderstatus) AS writers FROM orders WHERE o_orderstatus = 'F'",
     "table_history": "SELECT CAST(v AS BIGINT) AS version, CASE WHEN v > 0 THEN 'WRITE' END AS operation, CASE WHEN v > 0 THEN CAST(v - 1 AS BIGINT) END AS read_version, v > 0 AS adds, v = 5 AS removes FROM range(6) AS u(v)",
     "table_detail": "SELECT CAST(5 AS BIGINT) AS last_version, true AS files_agree, true AS bytes_agree, count(*) AS rows FROM orders WHERE o_orderstatus <> 'P'",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import version_name, version_of
+from tidemark.operators.prefix import Ranges, last
 from tidemark.sources.files import files_of
 
 ACTION = (
@@ -102,13 +103,17 @@ class VersionedTable:
     # --- log -------------------------------------------------------------------------------------
 
     @classmethod
-    def create(cls, spark, path: str, partition_columns: tuple[str, ...] = (), name: str | None = None) -> VersionedTable:
-        """Version 0 holds the protocol and the metadata; a table that is there is opened."""
+    def create(cls, spark, path: str, partition_columns: tuple[str, ...] = (), name: str | None = None, digest: tuple[str, int] | None = None) -> VersionedTable:
+        """Version 0 holds the protocol and the metadata; a table that is there is opened.
+
+        `digest` is a column of whole numbers and a width: of each file the digest of its rows in every range of that width is kept, by
+        which diff_rows finds the ranges that two versions don't share.
+        """
         table = cls(spark, path)
         if table.version() < 0:
             now = int(time.time() * 1000)
             protocol = {"type": "protocol", "minReaderVersion": 1, "minWriterVersion": 1}
-            metadata = {"type": "metadata", "id": str(uuid.uuid4()), "name": name, "format": "parquet", "configuration": {}, "partitionColumns": list(partition_columns), "createdTime": now}
+            metadata = {"type": "metadata", "id": str(uuid.uuid4()), "name": name, "format": "parquet", "configuration": {"digest.key": digest[0], "digest.width": str(digest[1])} if digest else {}, "partitionColumns": list(partition_columns), "createdTime": now}
             jvm = spark._jvm
             folder = jvm.org.apache.hadoop.fs.Path(f"{path}/_log")
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
@@ -235,6 +240,8 @@ class VersionedTable:
         found = self._statistics(df.schema, folder, blooms)
         if blooms:
             self._write_blooms(df.schema, folder, found, blooms, batch)
+        if self.digest and self.digest[0] in df.columns:
+            self._write_digests(df.schema, folder, batch)
         listed = files_of(self.spark, folder).select("path", "size", (F.url_decode(value) if partition_column else value).alias("value"), plain_path("path").alias("plain"))
         stats = {r["plain"]: {k: v for k, v in r["stats"].items() if v is not None} for r in found.collect()}  # one row for each file written
         tags = {"schema": df.schema.json()}
@@ -260,6 +267,47 @@ class VersionedTable:
         pairs = [(n, F.when(F.length(f"`{n}`") <= 256, F.col(f"`{n}`"))) for n in names] + [(f"bloom.{c}", bits) for c in blooms]
         return each.select("plain", F.create_map(*(x for n, v in pairs for x in (F.lit(n), v))).alias("stats"))
 
+    @property
+    def digest(self) -> tuple[str, int] | None:
+        if not hasattr(self, "_digest"):
+            told = self.state().filter("action.type = 'metadata'").select(F.col("action.configuration").alias("c"), "version").orderBy(F.desc("version")).first()
+            known = told["c"] if told and told["c"] else {}
+            self._digest = (known["digest.key"], int(known["digest.width"])) if "digest.key" in known else None
+        return self._digest
+
+    def _write_digests(self, schema: T.StructType, folder: str, batch: str) -> None:
+        """(plain, range, rows, total, mixed) of each file and range of the key: sums of its rows' hashes, which no order or layout changes."""
+        key, width = self.digest
+        hashed = self._written(schema, folder).select(F.col("plain_").alias("plain"), F.floor(F.col(f"`{key}`") / width).alias("range"), F.xxhash64(*(F.col(f"`{n}`") for n in sorted(schema.names)), F.lit(len(schema.names))).alias("h"))
+        each = hashed.groupBy("plain", "range").agg(F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"), F.bit_xor("h").alias("mixed"))
+        each.write.parquet(f"{self.path}/_digests/{batch}")
+
+    def _ranges_that_differ(self, old: DataFrame, new: DataFrame, most: int = 100) -> list[tuple] | None:
+        """Runs of ranges (first, last; None: rows without a key) in which two sets of files hold other rows; None if not all have digests.
+
+        At most `most` runs, the nearest ones joined, come to the driver's plan; the digests are compared in Spark.
+        """
+        every = old.unionByName(new)
+        if not self.digest or every.isEmpty():
+            return None
+        kept = self.spark.read.parquet(f"{self.path}/_digests/*")
+        known = every.select(plain_path("path").alias("plain")).distinct()
+        sized = every.select(plain_path("path").alias("plain"), F.col("stats")["rows"].cast("long").alias("n")).distinct()
+        counted = kept.join(known, "plain", "left_semi").groupBy("plain").agg(F.sum("rows").alias("m"))
+        if not sized.join(counted, "plain", "left").filter("coalesce(n, 0) <> coalesce(m, 0)").isEmpty():
+            return None
+        of = lambda files: kept.join(files.select(plain_path("path").alias("plain")), "plain", "left_semi").groupBy("range").agg(F.struct(F.sum("rows"), F.sum("total"), F.bit_xor("mixed")).alias("d"))
+        a, b = of(old).alias("a"), of(new).alias("b")
+        differ = a.join(b, F.col("a.range").eqNullSafe(F.col("b.range")), "full").filter(~F.col("a.d").eqNullSafe(F.col("b.d"))).select(F.coalesce("a.range", "b.range").alias("range"))
+        none = not differ.filter("range is null").isEmpty()
+        there = differ.filter("range is not null")
+        # a run ends at the widest gaps, of which there are most - 1
+        gaps = Ranges(there, [], "range").running(there, {"before": last(F.struct("range"))}, before=True).select("range", F.col("before.range").alias("before"))
+        ends = there.agg(F.min("range"), F.max("range")).first()
+        wide = sorted((r["before"], r["range"]) for r in gaps.filter(F.col("range") - F.col("before") > 1).orderBy(F.desc(F.col("range") - F.col("before")), "range").limit(most - 1).collect())
+        runs = list(zip([ends[0], *(r for _, r in wide)], [*(b for b, _ in wide), ends[1]], strict=True)) if ends[0] is not None else []
+        return runs + ([(None, None)] if none else [])
+
     def _write_blooms(self, schema: T.StructType, folder: str, stats: DataFrame, blooms: tuple[str, ...], batch: str) -> None:
         """Bits of each file and column as rows (plain, column, word, mask), in the order of columns and words."""
         own = [F.struct(F.lit(c).alias("column"), bloom_hash(F.col(f"`{c}`")).alias("hash")) for c in blooms]
@@ -391,12 +439,33 @@ class VersionedTable:
         return new.join(old, "path", "left_anti").withColumn("change", F.lit("added")).unionByName(gone)
 
     def diff_rows(self, before: int, after: int) -> DataFrame:
-        """Rows added and removed between two versions; files that both have are not read."""
+        """Rows added and removed between two versions; files that both have are not read.
+
+        Of a table with digests only the ranges are read in which the versions' other files differ, and only the files that have them.
+        """
         old, new = self.files(before), self.files(after)
         schema = self.schema(old.unionByName(new))
-        gone, come = (self._rows(a.join(b.select("path"), "path", "left_anti"), schema) for a, b in ((old, new), (new, old)))
+        gone, come = (a.join(b.select("path"), "path", "left_anti") for a, b in ((old, new), (new, old)))
+        runs = self._ranges_that_differ(gone, come)
+        if runs is None:
+            gone, come = self._rows(gone, schema), self._rows(come, schema)
+        else:
+            gone, come = self._within(gone, schema, runs), self._within(come, schema, runs)
         return come.exceptAll(gone).withColumn("change", F.lit("added")).unionByName(gone.exceptAll(come).withColumn("change", F.lit("removed")))
 
+    def _within(self, files: DataFrame, schema: T.StructType, runs: list[tuple]) -> DataFrame:
+        """The rows of files in runs of ranges of the digests' key."""
+        key, width = self.digest
+        least, greatest, nulls = (F.col("stats")[f"{x}.{key}"].cast("long") for x in ("min", "max", "nulls"))
+        some, rows = F.lit(False), F.lit(False)
+        for first, final in runs:
+            if first is None:
+                some, rows = some | (nulls > 0), rows | F.col(f"`{key}`").isNull()
+            else:
+                low, high = first * width, (final + 1) * width
+                some, rows = some | ((greatest >= low) & (least < high)), rows | ((F.col(f"`{key}`") >= low) & (F.col(f"`{key}`") < high))
+        return self._rows(files.filter(F.coalesce(some, F.lit(True))), schema).filter(rows)
+
     def orphans(self, version: int | None = None) -> DataFrame:
         """Data files on disk that no active entry names."""
         return files_of(self.spark, f"{self.path}/data").join(self.files(version), "path", "left_anti").select("path", "size")
