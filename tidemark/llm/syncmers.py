@@ -216,7 +216,7 @@ def _with_followers(docs: DataFrame) -> DataFrame:
     return placed.repartition("part").sortWithinPartitions("part", "rep", "doc_id", "h")
 
 
-def fingerprint(docs: DataFrame, *, k: int = 12, s: int = 6, size: int = 64, share: int = 4, slice_chars: int = 1 << 19) -> DataFrame:
+def fingerprint(docs: DataFrame, *, k: int = 12, s: int = 6, size: int = 64, share: int = 4, slice_chars: int = 1 << 17) -> DataFrame:
     """Each document's fingerprint, and that of its text with the last 1/share replaced from the next document.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and passage_edited and
