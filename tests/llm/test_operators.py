@@ -1,14 +1,14 @@
 """Small cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, and each method's own rules."""
 
-import random
 import hashlib
+import random
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrays, chat, decontaminate, graph, html, licenses, mixture, pii, simhash, syncmers, toxicity, urls
+from tidemark.llm import arrays, bpe, chat, decontaminate, graph, html, licenses, mixture, pii, simhash, syncmers, toxicity, urls
 from tidemark.llm import jaccard as near
 
 LONG = "w " * 60_000 + "a" * 200_000
@@ -61,11 +61,12 @@ def all_operators(spark, docs, benchmark):
     yield "sanitise", pii.sanitise(docs)
     yield "mixture", mixture.mix(docs)
     yield "html", html.extract(docs.withColumn("html", F.col("text")))
+    yield "bpe", bpe.encode(docs, longest=300, most=150)
     yield "urls", urls.filter_urls(docs.withColumns({"url": F.col("text"), "html": F.col("text")}))
 
 
 #: The column that each operator adds or replaces; the others give columns of their own only.
-ADDED = {"scan": "contamination", "toxicity": "toxicity", "licenses": "licenses", "pii": "private", "sanitise": None, "mixture": "mixture", "html": "text", "urls": "decision"}
+ADDED = {"scan": "contamination", "toxicity": "toxicity", "licenses": "licenses", "pii": "private", "sanitise": None, "mixture": "mixture", "html": "text", "urls": "decision", "bpe": "ids"}
 
 
 def filters(spark, docs, benchmark):

@@ -282,8 +282,7 @@ class Scanner:
 
     def result(self, text: bytes, share: float) -> dict:
         lower = text.lower()
-        found_words = list(WORD.finditer(lower))
-        tokens = [m[0] for m in found_words]
+        tokens = WORD.findall(lower)
         places, spans = self.scan(tokens)
         base = {self.labels[k] for _, k in places}
         found, score = set(base), 0.5 if base else 0.0
@@ -298,9 +297,10 @@ class Scanner:
                 kept.append([])
             reach = max(reach, s["end"])
             kept[-1].append(s)
-        said = []
+        said, words = [], []
         for group in kept:  # of each, the spans with most tokens covered count, and of these such that cover most of their template
-            stated = [s for s in group if self._stated(s, tokens, lower, found_words)]
+            words = words or list(WORD.finditer(lower))  # their places, where a template was found
+            stated = [s for s in group if self._stated(s, tokens, lower, words)]
             most = max(((s["covered"], s["share"]) for s in stated), default=None)
             score = max([score, *(s["share"] for s in group)])
             for s in stated:
