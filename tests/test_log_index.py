@@ -115,3 +115,12 @@ def test_a_diff_reads_the_ranges_that_differ(spark, tmp_path, monkeypatch):
     assert table._ranges_that_differ(table.files(1), table.files(2)) == [(123, 126), (390, 390), (None, None)]
     assert table._ranges_that_differ(table.files(1), table.files(2), most=1) == [(123, 390), (None, None)]
     assert VersionedTable(spark, table.path).digest == ("id", 100) and VersionedTable.create(spark, str(tmp_path / "e")).digest is None
+
+
+def test_a_diff_of_files_without_digests(spark, tmp_path):
+    table = VersionedTable.create(spark, str(tmp_path / "n"), digest=("id", 100))
+    table.append(spark.createDataFrame([(1,), (2,)], "other int"))
+    table.replace(spark.createDataFrame([(2,), (3,)], "other int"))
+    assert table._ranges_that_differ(table.files(1), table.files(2)) is None
+    assert sorted(map(tuple, table.diff_rows(1, 2).collect())) == [(1, "removed"), (3, "added")]
+    assert table.diff_rows(2, 2).count() == 0

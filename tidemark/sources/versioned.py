@@ -288,7 +288,8 @@ class VersionedTable:
         At most `most` runs, the nearest ones joined, come to the driver's plan; the digests are compared in Spark.
         """
         every = old.unionByName(new)
-        if not self.digest or every.isEmpty():
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_digests")
+        if not self.digest or not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
             return None
         kept = self.spark.read.parquet(f"{self.path}/_digests/*")
         known = every.select(plain_path("path").alias("plain")).distinct()
