@@ -99,3 +99,22 @@ def test_watcher_goes_on_after_its_bookmark_or_lists_anew(spark, tmp_path):
     give(34, 40)
     assert runs.Watcher(table).watch(stream(), kept_from=35, whole=whole(36))
     assert read() == sorted([(k, *x) for k, x in state(36).items()], key=lambda r: r[1]) + [(k, r, v, "Changed") for k, r, _, v in rows[36:]]
+
+
+def test_merged_states_are_a_streaming_aggregate_and_go_on_after_a_restart(spark, tmp_path):
+    """No processor is called for each key; of equal versions the first by seq wins, also where it comes batches later."""
+    from tidemark.operators import states
+    from tidemark.streaming import processors, runs
+
+    schema = "endpoint long, key string, value double, version long, seq long"
+    batches = [[(e, "LOAD", float(b * 1000 + e), 3 if e % 2 else b, 50 - b * 20) for e in range(300)] for b in range(3)]
+    feed, out, state = (str(tmp_path / x) for x in ("feed", "out", "state"))
+    merged = lambda: processors.stream_merge_state(runs.file_stream(spark, feed, schema))
+    want = {}
+    for frames in (batches[:2], batches[2:]):
+        _files(spark, feed, [spark.createDataFrame(b, schema) for b in frames])
+        for e, _, v, version, seq in (r for b in frames for r in b):
+            want[e] = max(want.get(e, ((-1, 0), 0)), ((version, -seq), v))
+        assert "InPandas" not in merged()._jdf.queryExecution().logical().toString()
+        got = {r["endpoint"]: (r["version"], r["value"]) for r in states.merge_values(runs.run_updates(merged(), out, state)).collect()}
+        assert got == {e: (n[0], v) for e, (n, v) in want.items()}

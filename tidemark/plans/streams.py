@@ -7,6 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import states
 from tidemark.plans import ordered
 from tidemark.sources.files import workspace
 from tidemark.sources.versioned import VersionedTable
@@ -55,8 +56,7 @@ def stream_fence(spark, d: str) -> DataFrame:
 
 def stream_merge_state(spark, d: str) -> DataFrame:
     values = _events(spark, d).select(F.col("user_id").alias("endpoint"), F.col("event_type").alias("key"), "value", F.floor(F.col("event_id") / 3).alias("version"), F.col("event_id").alias("seq"))
-    replaced = runs.run_to_files(processors.stream_merge_state(values))
-    return replaced.groupBy("endpoint", "key").agg(F.max_by(F.struct("value", "version"), "version").alias("v")).select("endpoint", "key", "v.value", "v.version")
+    return states.merge_values(runs.run_updates(processors.stream_merge_state(values)))
 
 
 @cache

@@ -32,6 +32,17 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], state
     stream.writeStream.foreachBatch(each).option("checkpointLocation", state or workspace(stream.sparkSession)).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_updates(stream: DataFrame, out: str | None = None, state: str | None = None) -> DataFrame:
+    """What each micro-batch changes (output mode update), in a folder of its own, which a repeated batch writes anew."""
+    spark = stream.sparkSession
+    out, state = out or workspace(spark), state or workspace(spark)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)  # there may be no batch
+    keep = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
+
+
 def append_to_table(stream: DataFrame, table: VersionedTable, query: str) -> None:
     """Each micro-batch is one atomic commit, which a restart doesn't repeat."""
     run_batches(stream, lambda rows, batch: table.append(rows, txn=f"{query}:{batch}"))
