@@ -118,3 +118,20 @@ def test_merged_states_are_a_streaming_aggregate_and_go_on_after_a_restart(spark
         assert "InPandas" not in merged()._jdf.queryExecution().logical().toString()
         got = {r["endpoint"]: (r["version"], r["value"]) for r in states.merge_values(runs.run_updates(merged(), out, state)).collect()}
         assert got == {e: (n[0], v) for e, (n, v) in want.items()}
+
+
+def test_feed_comes_in_order_where_the_events_are_many_files(spark, tmp_path, duck, same):
+    """Files by their times hold ascending ranges; of each write only one, since those that tasks write side by side have no order."""
+    import os
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    spark.range(600_000, numPartitions=4).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 1500).alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") / 3).alias("value")).write.parquet(str(tmp_path / "events.parquet"))
+    folder = streams._feed(spark.sparkContext.applicationId, str(tmp_path)).removeprefix("file:")
+    found = sorted((os.stat(f"{folder}/{f}").st_mtime_ns, f) for f in os.listdir(folder) if f.endswith(".parquet"))
+    ids = [pq.read_table(f"{folder}/{f}", columns=["event_id"])["event_id"].to_pylist() for _, f in found]
+    assert [i for one in ids for i in one] == list(range(600_000)) and len({f.split("-c000")[0].split("-", 2)[2] for _, f in found}) == len(found) >= 3
+    numbered = duck.sql(f"WITH events AS (SELECT * FROM '{tmp_path}/events.parquet/*.parquet') {streams.ORACLES['stream_offsets'].replace('WITH ', ', ', 1)}").df()
+    ours = {(r["partition"], r["seq"]): r["offset"] for r in streams.stream_offsets(spark, str(tmp_path)).collect()}
+    assert ours == {(p, s): o for p, s, o in numbered.itertuples(index=False)}

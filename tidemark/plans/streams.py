@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import states
+from tidemark.operators.prefix import Ranges
 from tidemark.plans import ordered
-from tidemark.sources.files import workspace
+from tidemark.sources.files import discard, workspace
 from tidemark.sources.versioned import VersionedTable
 from tidemark.streaming import processors, runs
 
 
+#: Rows of a file of the feed, and so of a micro-batch.
+ROWS_PER_FILE = 1_000_000
+
+
 @cache
 def _feed(app: str, d: str) -> str:
     """events as a folder of files in the order of arrival, read file by file by their times; made once for each session.
 
-    Thirds of the events are written one after the other, each by ranges of event_id with at most a million rows a file.
+    The times of files which tasks write side by side have no order. So the events are first laid apart by ranges of event_id, at least three
+    and of about ROWS_PER_FILE rows at most, and then written range after range: one job, one task and one file each.
     """
     spark = SparkSession.active()
-    path = workspace(spark)
+    path, laid = workspace(spark), workspace(spark)
     events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value")
-    cuts = events.agg(F.percentile_approx("event_id", [0.33, 0.66])).first()[0]
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = events if low is None else events.filter(F.col("event_id") > low)
-        part = part if high is None else part.filter(F.col("event_id") <= high)
-        part.repartitionByRange("event_id").sortWithinPartitions("event_id").write.option("maxRecordsPerFile", 1_000_000).mode("append").parquet(path)
+    ranges = Ranges(events, [], "event_id", max(1, min(ROWS_PER_FILE, math.ceil(events.count() / 3))))
+    ranges.marked(events, "part").repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(laid)
+    parts = spark.read.schema(T.StructType([*events.schema, T.StructField("part", T.IntegerType())])).parquet(laid)
+    for part in [r[0] for r in parts.select("part").distinct().orderBy("part").collect()] or [0]:
+        parts.filter(F.col("part") == part).drop("part").coalesce(1).sortWithinPartitions("event_id").write.mode("append").parquet(path)
+    discard(spark, laid)
     return path
 
 
