@@ -106,6 +106,12 @@ FOOTER = (
 )
 
 
+#: Rows of footers that a task hands over at once.
+FOOTER_ROWS = 4096
+
+#: Consecutive row groups of a file that are read at one opening.
+GROUPS_PER_TASK = 256
+
 #: Stores that pyarrow reads by itself, so that only footers and wanted row groups are fetched.
 RANGED = ("file", "s3", "gs", "gcs", "abfs", "abfss")
 
@@ -136,11 +142,15 @@ def footer_metadata(spark, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FOOTER.split(", ")]
         types = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[f.split()[1]] for f in FOOTER.split(", ")]
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
         for batch in batches:
-            rows = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = []
                 meta = _open(name, content.as_py()).metadata
                 for g in range(meta.num_row_groups):
+                    if len(rows) >= FOOTER_ROWS:
+                        yield table(rows)
+                        rows = []
                     group = meta.row_group(g)
                     for c in range(group.num_columns):
                         chunk, leaf = group.column(c), meta.schema.column(c)
@@ -148,23 +158,29 @@ def footer_metadata(spark, path: str) -> DataFrame:
                         bounds = (str(s.min), str(s.max)) if s is not None and s.has_min_max else (None, None)
                         start = chunk.dictionary_page_offset if chunk.has_dictionary_page else chunk.data_page_offset
                         rows.append((name, g, group.num_rows, leaf.path, chunk.physical_type, "OPTIONAL" if leaf.max_definition_level else "REQUIRED", start, chunk.total_compressed_size, *bounds, s.null_count if s is not None else None, chunk.num_values))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
+                yield table(rows)
 
     return files.select("path", "content").mapInArrow(run, FOOTER)
 
 
 def scan_row_groups(spark, path: str, groups: DataFrame, schema: T.StructType) -> DataFrame:
-    """The rows of the named row groups (path, row_group) only; other row groups aren't fetched where pyarrow knows the store."""
+    """The rows of the named row groups (path, row_group) only; other row groups aren't fetched where pyarrow knows the store.
+
+    A task has the row groups of one file in runs of consecutive ones, up to GROUPS_PER_TASK, and opens the file and parses its footer once a run.
+    """
     names = [f.name for f in schema]
     work = groups.select("path", "row_group").distinct()
-    files, _ = _with_files(spark, path, work)
+    files, _ = _with_files(spark, path, work.groupBy("path", F.floor(F.col("row_group") / GROUPS_PER_TASK).alias("run")).agg(F.sort_array(F.collect_list("row_group")).alias("row_groups")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content, group in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                yield from _open(name, content.as_py()).read_row_group(group, columns=names).to_batches()
+            for name, content, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                file = _open(name, content.as_py())
+                for group in own:
+                    yield from file.read_row_group(group, columns=names).to_batches()
 
-    return files.repartition("path", "row_group").select("path", "content", "row_group").mapInArrow(run, schema)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number, in turn: small shuffles by keys are joined to one task
+    return files.repartition(tasks).select("path", "content", "row_groups").mapInArrow(run, schema)
 
 
 def read_range(spark, path: str, offset: int, length: int) -> DataFrame:
