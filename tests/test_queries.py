@@ -81,3 +81,48 @@ def test_byte_reports_are_those_of_the_footers(spark, sf):
     got = QUERIES["column_bytes"](spark, sf).collect()
     print(got[0], QUERIES["bytes_report"](spark, sf).collect()[0])
     assert {r["column"]: r["bytes"] for r in got} == want
+
+
+def test_a_file_is_opened_once_for_many_row_groups(spark, tmp_path, monkeypatch):
+    """Not once for each row group, whose footers would be parsed with the square of their number; and in several tasks."""
+    import os
+    import uuid
+
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from tidemark.sources import files
+
+    path, opened = str(tmp_path / "t"), str(tmp_path / "opened")
+    os.mkdir(opened)
+    files.write_parquet(spark.range(0, 60_000, 1, 2).select("id", (F.col("id") * 2).alias("twice")), path, 16_384)
+    groups = files.footer_metadata(spark, path).select("path", "row_group").distinct()
+    number, inner = groups.count(), files._open
+
+    def counted(name, content):
+        open(f"{opened}/{os.getpid()}-{uuid.uuid4()}", "w").close()
+        return inner(name, content)
+
+    monkeypatch.setattr(files, "_open", counted)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("twice", T.LongType())])
+    rows = files.scan_row_groups(spark, path, groups, schema).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["id"], r["twice"]) for r in rows) == [(i, 2 * i) for i in range(60_000)]
+    times = len(os.listdir(opened))
+    assert 2 <= times <= 2 + number // files.GROUPS_PER_TASK and number > 8 and len({r["task"] for r in rows}) > 1
+
+
+def test_files_of_row_groups_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import scans
+    from tidemark.sources import files
+
+    monkeypatch.setattr(scans, "ROWS_PER_FILE", 1000, raising=False)
+    monkeypatch.setattr(files, "FOOTER_ROWS", 2, raising=False)
+    spark.range(12_000).select(F.col("id").alias("l_orderkey"), F.lit(1.5).alias("l_quantity"), F.timestamp_seconds("id").alias("l_shipdate")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(scans._groups(spark, str(tmp_path)).removeprefix("file:") + "/*.parquet")]
+    assert sum(rows) == 12_000 and len(rows) > 8 and max(rows) < 2000
+    assert {r["rows"] for r in scans.footer_metadata(spark, str(tmp_path)).collect()} == {12_000}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -29,14 +30,19 @@ def scan_parquet(spark, d: str) -> DataFrame:
     return _customer(spark, d)
 
 
+#: Rows of a file of many small row groups, whose sort and footer one task holds.
+ROWS_PER_FILE = 250_000
+
+
 @cache
 def _grouped(app: str, d: str) -> str:
-    """lineitem keys in order, as files of many small row groups; written once for each session."""
+    """lineitem keys in order, as files of many small row groups: four, and more as the rows do; written once for each session."""
     from pyspark.sql import SparkSession
 
     spark = SparkSession.active()
     path = files.workspace(spark)
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_quantity", "l_shipdate").repartitionByRange(4, "l_orderkey").sortWithinPartitions("l_orderkey")
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_quantity", "l_shipdate")
+    rows = lines.repartitionByRange(max(4, math.ceil(lines.count() / ROWS_PER_FILE)), "l_orderkey").sortWithinPartitions("l_orderkey")
     files.write_parquet(rows, path, 16_384)
     return path
 
