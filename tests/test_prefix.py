@@ -105,6 +105,26 @@ def test_beats_of_one_endpoint_and_of_many(spark, per):
         assert got[k, t] == pytest.approx((t - known[-1][0]) / known[-1][1] / math.log(10) if known else 0.0)
 
 
+@pytest.mark.parametrize("per", [20, 1 << 16])
+def test_probes_of_a_grid_are_made_by_the_beats(spark, per):
+    """Those of phi_at for every endpoint, without a shuffle of them: also before the first beat, after the last, and without any tick."""
+    r = random.Random(4)
+    beats = [(e, t) for e in (1, 2, None) for t in sorted(r.sample(range(2500), 60))] + [(5, 4100), (6, 700), (7, None), (8, 1700), (8, None)]
+    df = spark.createDataFrame(beats, "endpoint int, tick long")
+    probes = spark.createDataFrame([(e, t) for e in (1, 2, None, 5, 6, 7, 8) for t in range(100, 4201, 50)], "endpoint int, tick long")
+    bag = lambda d: sorted(((e, t, round(p, 9)) for e, t, p in d.select("endpoint", "tick", "phi").collect()), key=repr)
+    upto = spark.createDataFrame([(4203,)], "last long")
+    assert bag(states.phi_at_ticks(df, 100, 50, upto, 5, 2, 300, per)) == bag(states.phi_at(probes, df, 5, 2, 300, per))
+    assert not states.phi_at_ticks(df, 100, 50, spark.createDataFrame([(99,)], "last long"), 5, 2, 300, per).count()
+
+
+def test_query_phi_at_shuffles_no_probes(spark, sf):
+    from tidemark.plans import ordered
+
+    plan = ordered.phi_at(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan[: plan.index("Generate")] and "Sort" not in plan[: plan.index("Generate")]
+
+
 @pytest.mark.parametrize("per", [20, 1 << 16])
 def test_changes_of_one_key(spark, per):
     r = random.Random(8)
