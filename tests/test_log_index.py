@@ -124,3 +124,28 @@ def test_a_diff_of_files_without_digests(spark, tmp_path):
     assert table._ranges_that_differ(table.files(1), table.files(2)) is None
     assert sorted(map(tuple, table.diff_rows(1, 2).collect())) == [(1, "removed"), (3, "added")]
     assert table.diff_rows(2, 2).count() == 0
+
+
+def test_bloom_filters_shuffle_words_not_values(spark, tmp_path, monkeypatch):
+    """Files grow in number with the rows, and of a column's values nothing but the words of its filter is exchanged."""
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import versions
+    from tidemark.sources.versioned import VersionedTable
+
+    monkeypatch.setattr(versions, "ROWS_PER_FILE", 500, raising=False)
+    plans, write = [], VersionedTable._write_blooms
+
+    def seen(self, schema, folder, stats, blooms, batch):
+        plain = F.broadcast
+        monkeypatch.setattr(F, "broadcast", lambda df: plans.append(df.columns) or plain(df))
+        write(self, schema, folder, stats, blooms, batch)
+        monkeypatch.setattr(F, "broadcast", plain)
+
+    monkeypatch.setattr(VersionedTable, "_write_blooms", seen)
+    names = spark.range(10_000).select(F.col("id").alias("c_custkey"), F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("c_name"), F.lit("X").alias("c_mktsegment"))
+    names.write.parquet(str(tmp_path / "customer.parquet"))
+    assert versions.point_lookup_by_log(spark, str(tmp_path)).collect() == [(42, "Customer#000000042")]
+    assert versions.name_lookup_by_log(spark, str(tmp_path)).collect() == [(77, "Customer#000000077")]
+    table = VersionedTable(spark, versions._keyed(spark.sparkContext.applicationId, str(tmp_path)))
+    assert plans == [["plain", "stats"]] and table.files().count() > 16

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,13 +69,17 @@ def path_partition_prune(spark, d: str) -> DataFrame:
     return table.read(o_orderstatus="P").groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
 
 
+#: Rows of a file of the indexed table, which one task sorts.
+ROWS_PER_FILE = 100_000
+
+
 @cache
 def _keyed(app: str, d: str) -> str:
-    """Customers in the order of their keys, with Bloom filters of their names; made once for each session."""
+    """Customers in the order of their keys, eight files and more as the rows do, with Bloom filters of their names; made once for each session."""
     spark = SparkSession.active()
     table = VersionedTable.create(spark, workspace(spark))
     customers = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
-    table.append(customers.repartitionByRange(8, "c_custkey").sortWithinPartitions("c_custkey"), blooms=("c_name",))
+    table.append(customers.repartitionByRange(max(8, math.ceil(customers.count() / ROWS_PER_FILE)), "c_custkey").sortWithinPartitions("c_custkey"), blooms=("c_name",))
     return table.path
 
 

@@ -310,10 +310,13 @@ class VersionedTable:
         return runs + ([(None, None)] if none else [])
 
     def _write_blooms(self, schema: T.StructType, folder: str, stats: DataFrame, blooms: tuple[str, ...], batch: str) -> None:
-        """Bits of each file and column as rows (plain, column, word, mask), in the order of columns and words."""
+        """Bits of each file and column as rows (plain, column, word, mask), in the order of columns and words.
+
+        The tasks that read a file gather its words, so only those are shuffled, never its values; the statistics are one row a file.
+        """
         own = [F.struct(F.lit(c).alias("column"), bloom_hash(F.col(f"`{c}`")).alias("hash")) for c in blooms]
-        rows = self._written(schema, folder).select(F.col("plain_").alias("plain"), F.explode(F.array(*own)).alias("v")).select("plain", "v.*").filter("hash is not null").distinct()
-        sized = rows.join(stats, "plain").withColumn("bits", F.col("stats")[F.concat(F.lit("bloom."), "column")].cast("long"))
+        rows = self._written(schema, folder).select(F.col("plain_").alias("plain"), F.explode(F.array(*own)).alias("v")).select("plain", "v.*").filter("hash is not null")
+        sized = rows.join(F.broadcast(stats), "plain").withColumn("bits", F.col("stats")[F.concat(F.lit("bloom."), "column")].cast("long"))
         words = sized.select("plain", "column", F.explode(bloom_places("hash", "bits")).alias("at"))
         masks = words.groupBy("plain", "column", F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
         masks.sort("column", "word").write.parquet(f"{self.path}/_blooms/{batch}")
