@@ -125,6 +125,26 @@ def test_query_phi_at_shuffles_no_probes(spark, sf):
     assert "Window" not in plan[: plan.index("Generate")] and "Sort" not in plan[: plan.index("Generate")]
 
 
+def test_probes_of_a_grid_are_dealt_by_their_number_and_kept_small(spark, tmp_path, monkeypatch):
+    """No task makes all probes before the first beats, no row more than a block; endpoints that fall silent alike share what a format compresses."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(states, "PROBES_PER_TASK", 25_000, raising=False)
+    monkeypatch.setattr(states, "RUN", 256, raising=False)
+    beats = spark.range(300).select(F.col("id").alias("endpoint"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n")).select("endpoint", (F.col("endpoint") * 1000 + F.col("n") * 7).alias("tick"))
+    probes = states.phi_at_ticks(beats, 500, 100, spark.createDataFrame([(200_000,)], "last long"), 5, 2, 300)
+    probes.write.parquet(str(tmp_path / "probes"))
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(str(tmp_path / "probes/*.parquet"))]
+    rows = [m.num_rows for m in files]
+    assert sum(rows) == 300 * 1996 and max(rows) < 2 * 25_000
+    for name, most in (("endpoint", 0.5), ("tick", 0.5), ("phi", 2)):
+        column = probes.columns.index(name)
+        assert sum(m.row_group(g).column(column).total_compressed_size for m in files for g in range(m.num_row_groups)) < most * sum(rows)
+
+
 @pytest.mark.parametrize("per", [20, 1 << 16])
 def test_changes_of_one_key(spark, per):
     r = random.Random(8)
