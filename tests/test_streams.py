@@ -120,6 +120,44 @@ def test_merged_states_are_a_streaming_aggregate_and_go_on_after_a_restart(spark
         assert got == {e: (n[0], v) for e, (n, v) in want.items()}
 
 
+def test_detector_takes_endpoints_by_buckets_and_goes_on_after_a_restart(spark, tmp_path, monkeypatch):
+    """Calls grow with buckets and batches, not with endpoints; a null endpoint is one; the state of a bucket outlives the query."""
+    import os
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import states
+    from tidemark.streaming import processors, runs
+
+    calls, base = str(tmp_path / "calls"), processors.Detector
+
+    class Counted(base):
+        def handleInputRows(self, key, rows, timerValues):
+            with open(calls, "a") as f:
+                f.write("1\n")
+            return base.handleInputRows(self, key, rows, timerValues)
+
+    monkeypatch.setattr(processors, "Detector", Counted)
+    r = random.Random(5)
+    beats = [(e, t) for e in [None, *range(1500)] for t in sorted(r.sample(range(1, 3000), 6))]
+    beat, tick = "endpoint long, tick long", "tick long"
+    b, c, out, state = (str(tmp_path / x) for x in ("b", "c", "out", "state"))
+
+    def go(numbers):
+        _files(spark, b, [spark.createDataFrame([x for x in beats if x[1] // 1000 == n] or [], beat) for n in numbers if n < 3])
+        _files(spark, c, [spark.createDataFrame([(1000 * n + 999,)], tick) for n in numbers])
+        stream = runs.file_stream(spark, b, beat).withColumn("at", F.timestamp_seconds("tick"))
+        return runs.run_to_files(processors.stream_failure_detector(stream, 2.0, 5, 2, 300, clock=runs.file_stream(spark, c, tick)), out, state).collect()
+
+    first, got = go([0, 1]), go([2, 3])
+    assert set(first) < set(got)
+    episodes = states.down_episodes(spark.createDataFrame(beats, beat), 2.0, 5, 2, 300).collect()
+    want = [(e["endpoint"], e["convicted_at"], "DOWN") for e in episodes if e["convicted_at"] <= 3999] + [(e["endpoint"], e["recovered_at"], "UP") for e in episodes if e["recovered_at"] is not None]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and any(e is None for e, _, _ in want)
+    assert 0 < os.path.getsize(calls) // 2 < 4 * 300
+
+
 def test_feed_comes_in_order_where_the_events_are_many_files(spark, tmp_path, duck, same):
     """Files by their times hold ascending ranges; of each write only one, since those that tasks write side by side have no order."""
     import os

@@ -7,9 +7,13 @@ Each processor sorts the rows of one key that a micro-batch brings by their sequ
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,10 +138,12 @@ class CommittedLog(StatefulProcessor):
 
 
 class Detector(StatefulProcessor):
-    """DOWN when phi reaches the threshold, UP at the next beat.
+    """DOWN when phi reaches the threshold, UP at the next beat, for the endpoints of one bucket.
 
-    The tick of the conviction is known at each beat, so an event-time timer is set for it; it fires once the watermark
-    is past, which beats of any endpoint and the ticks of a clock move on. A beat that comes first reports a conviction which had been due.
+    Endpoints are many and their beats in a micro-batch few, so a call takes a bucket of them, and reads and writes the gaps of those that beat.
+    The tick of the conviction is known at each beat; the bucket keeps these ticks of all endpoints that aren't convicted, with one event-time timer for
+    the first. It fires once the watermark is past, which beats of any endpoint and the ticks of a clock move on, and convicts all that are due
+    by then. A beat that comes first reports a conviction which had been due.
     """
 
     def __init__(self, threshold: float, size: int, initial: int, most: int):
@@ -145,43 +151,55 @@ class Detector(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.gaps = handle.getListState("gaps", "gap long")
-        self.last = handle.getValueState("last", "tick long, due long, down boolean")
+        self.known = handle.getMapState("known", "endpoint long", "last long, gaps array<long>")
+        self.waiting = handle.getValueState("waiting", "timer long, endpoints array<long>, dues array<long>")
+
+    def _wait(self, dues: dict, timer: int | None) -> None:
+        """Keeps the dues, and the timer at the first of them; `timer` is set so far."""
+        first = min(dues.values(), default=None)
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer * 1000)
+        if first is not None and timer != first:
+            self.handle.registerTimer(first * 1000)
+        self.waiting.update((first, list(dues), list(dues.values())))
+
+    def _changes(self, out: list[tuple]) -> pd.DataFrame:
+        endpoints, ticks, states = zip(*out, strict=True) if out else ((), (), ())
+        return pd.DataFrame({"endpoint": pd.array(endpoints, dtype="Int64"), "tick": np.array(ticks, dtype="int64"), "state": np.array(states, dtype=object)})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, "tick")
-        if not key[1]:  # the clock's ticks, which only move time
-            yield pd.DataFrame({"endpoint": pd.Series(dtype="int64"), "tick": pd.Series(dtype="int64"), "state": pd.Series(dtype="str")})
-            return
-        gaps = [g[0] for g in self.gaps.get()] if self.gaps.exists() else []
-        last, due, down = self.last.get() if self.last.exists() else (None, None, False)
-        before, out = due, []
-        for tick in batch["tick"].astype(int).tolist():
-            if last is None:
-                gaps.append(self.initial)
-            else:
-                if due < tick and not down:
-                    out.append((key[0], due, "DOWN"))
-                if due < tick or down:
-                    out.append((key[0], tick, "UP"))
-                if tick - last <= self.most:
-                    gaps.append(max(tick - last, 1))
-            gaps = gaps[-self.size :]
-            mean = max(sum(gaps) / len(gaps), 0.1)
-            last, down = tick, False
-            due = tick + max(1, math.ceil(self.threshold * math.log(10) * mean))
-        if before is not None and not self.last.get()[2]:
-            self.handle.deleteTimer(before * 1000)
-        self.handle.registerTimer(due * 1000)
-        self.gaps.put([(g,) for g in gaps])
-        self.last.update((last, due, down))
-        yield pd.DataFrame(out, columns=["endpoint", "tick", "state"])
+        batch, out = pd.concat(list(rows)), []
+        if key[1]:  # else the clock's ticks, which only move time
+            columns = batch["tick"].astype("int64").to_numpy(), batch["endpoint"].to_numpy(), batch["named"].to_numpy()
+            ordered = np.lexsort(columns)
+            timer, endpoints, ticks = self.waiting.get() if self.waiting.exists() else (None, [], [])
+            dues = dict(zip(endpoints, ticks, strict=True))
+            for (named, endpoint), beats in groupby(zip(*(c[ordered].tolist() for c in reversed(columns)), strict=True), itemgetter(0, 1)):
+                endpoint = endpoint if named else None
+                last, known = self.known.getValue((endpoint,)) or (None, [])
+                due, gaps, total = dues.get(endpoint), deque(known, self.size), sum(known)  # none due: it is convicted
+                for _, _, tick in beats:
+                    gap = self.initial if last is None else max(tick - last, 1)
+                    if last is not None and due is not None and due < tick:
+                        out.append((endpoint, due, "DOWN"))
+                    if last is not None and (due is None or due < tick):
+                        out.append((endpoint, tick, "UP"))
+                    if last is None or tick - last <= self.most:
+                        total += gap - (gaps[0] if len(gaps) == self.size else 0)
+                        gaps.append(gap)
+                    last, due = tick, tick + max(1, math.ceil(self.threshold * math.log(10) * max(total / len(gaps), 0.1)))
+                self.known.updateValue((endpoint,), (last, list(gaps)))
+                dues[endpoint] = due
+            self._wait(dues, timer)
+        yield self._changes(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        last, due, down = self.last.get()
-        if not down and expiredTimerInfo.getExpiryTimeInMs() == due * 1000:
-            self.last.update((last, due, True))
-            yield pd.DataFrame([(key[0], due, "DOWN")], columns=["endpoint", "tick", "state"])
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        _, endpoints, ticks = self.waiting.get()
+        dues = dict(zip(endpoints, ticks, strict=True))
+        out = [(endpoint, due, "DOWN") for endpoint, due in dues.items() if due * 1000 <= until]
+        self._wait({endpoint: due for endpoint, due in dues.items() if due * 1000 > until}, None)
+        yield self._changes(out)
 
     def close(self) -> None:
         pass
@@ -227,15 +245,16 @@ def stream_committed_log(messages: DataFrame, acks: DataFrame, replicas: list[in
     return with_state(own.unionByName(theirs), CommittedLog(replicas), "partition int, seq long, offset long, payload string", "partition")
 
 
-def stream_failure_detector(beats: DataFrame, threshold: float = 8.0, size: int = 1000, initial: int = 2, most: int = 1000, late: str = "0 seconds", clock: DataFrame | None = None) -> DataFrame:
+def stream_failure_detector(beats: DataFrame, threshold: float = 8.0, size: int = 1000, initial: int = 2, most: int = 1000, late: str = "0 seconds", clock: DataFrame | None = None, buckets: int = 256) -> DataFrame:
     """(endpoint, tick, state) of each change; beats: endpoint, tick, at (the tick as a timestamp).
 
     `clock` (tick) is a second stream that moves time on where endpoints fall silent: its ticks convict all that are due by then.
-    It must not run ahead of the beats. Without it time moves with the beats of all endpoints.
+    It must not run ahead of the beats. Without it time moves with the beats of all endpoints. Endpoints go to `buckets` by their hashes; a stream that goes
+    on from its checkpoint has to keep their number.
     """
-    rows = beats.select("endpoint", "tick", "at", F.lit(True).alias("beat"))
+    named, bucket = F.col("endpoint").isNotNull(), F.pmod(F.xxhash64("endpoint"), F.lit(buckets))
+    rows = beats.select(bucket.alias("bucket"), F.lit(True).alias("beat"), named.alias("named"), F.coalesce(F.col("endpoint").cast("long"), F.lit(0)).alias("endpoint"), "tick", "at")
     if clock is not None:
-        kind = beats.schema["endpoint"].dataType
         at = F.timestamp_millis(F.col("tick") * 1000 + 1)  # just past the tick, for timers that are due at it
-        rows = rows.unionByName(clock.select(F.lit(0).cast(kind).alias("endpoint"), "tick", at.alias("at"), F.lit(False).alias("beat")))
-    return with_state(rows.withWatermark("at", late), Detector(threshold, size, initial, most), "endpoint long, tick long, state string", "endpoint", "beat", time="EventTime")
+        rows = rows.unionByName(clock.select(F.lit(0).cast("long").alias("bucket"), F.lit(False).alias("beat"), F.lit(False).alias("named"), F.lit(0).cast("long").alias("endpoint"), "tick", at.alias("at")))
+    return with_state(rows.withWatermark("at", late), Detector(threshold, size, initial, most), "endpoint long, tick long, state string", "bucket", "beat", time="EventTime")
