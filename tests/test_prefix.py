@@ -145,6 +145,15 @@ def test_probes_of_a_grid_are_dealt_by_their_number_and_kept_small(spark, tmp_pa
         assert sum(m.row_group(g).column(column).total_compressed_size for m in files for g in range(m.num_row_groups)) < most * sum(rows)
 
 
+def test_suspicions_are_rounded_like_decimals(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    values = [0.0, 5e-7, 1.0000005, 1.0000015, 0.4999999, 999999.9999995, 123456.7890125, 1e6 + 5e-7, 1e12, 1e17, 1e300, *(r.random() * 10 ** r.randrange(-7, 14) for _ in range(5000)), *(r.randrange(10**9) / 10**7 for _ in range(5000))]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    assert not df.filter(~F.round("v", 6).eqNullSafe(states._rounded(F.col("v"), 6))).count()
+
+
 @pytest.mark.parametrize("per", [20, 1 << 16])
 def test_changes_of_one_key(spark, per):
     r = random.Random(8)
